@@ -31,7 +31,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .columns import checkpointed, partitions
@@ -296,12 +296,14 @@ def digest(docs: DataFrame, **options: object) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, **options: object) -> DataFrame:
-    """The input without documents that are not the first of their component; of rows that share an id one stays.
+    """The input without documents that are not the first of their component; of rows that share an id one stays (the least text hash).
 
     Rows with a null doc_id stay.
     """
     rows = join(docs, **options)[0]
     stays = rows.where("doc_id = component_id").select(F.col("doc_id").alias("_join_id")).distinct()
     ids = F.col("doc_id").cast("long")
-    kept = docs.where(ids.isNotNull()).join(stays, ids == F.col("_join_id"), "left_semi").dropDuplicates(["doc_id"])
+    kept = docs.join(stays, ids == F.col("_join_id"), "left_semi")
+    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(F.coalesce("text", F.lit("")))))
+    kept = kept.withColumn("_join_turn", turn).where("_join_turn = 1").drop("_join_turn")
     return kept.unionByName(docs.where(ids.isNull()))
