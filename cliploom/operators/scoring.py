@@ -169,7 +169,8 @@ def contributions(segments: DataFrame, keys: tuple[str, ...] = ("asset_id", "seg
             weights = weights + F.coalesce(w, F.lit(0.0))
         entries += [F.struct(F.lit(driver).alias("driver"), (clamp(v) * divided(F.coalesce(w, F.lit(0.0)), weights) * BLEND[name]).alias("share")) for driver, v, w in drivers]
     each = rows.select(*keys, F.explode(F.array(*entries)).alias("e")).select(*keys, "e.driver", F.col("e.share").alias("share"))
-    return each.groupBy(*keys, "driver").agg(rounded(F.sum(F.round("share", 12)), 6).alias("contribution"))
+    # The small addend makes halves round up whatever the order of the sum.
+    return each.groupBy(*keys, "driver").agg(rounded(F.sum("share") + F.lit(1e-9), 6).alias("contribution"))
 
 
 def label_of(driver: Column) -> Column:
