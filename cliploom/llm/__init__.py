@@ -3,10 +3,3 @@
 Nothing outside this package imports it.  Each module holds one operator with a general interface;
 `queries` derives the registered result columns from them and `oracles` holds the matching SQL.
 """
-
-import sys
-
-from pyspark import cloudpickle
-
-# Executors get these functions by value, so the package need not be installed there.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
