@@ -1,6 +1,106 @@
-"""DuckDB SQL for the rows of the registered queries, where SQL can express them."""
+"""DuckDB SQL for the rows of the registered queries, where SQL can express them.
+
+Each builder gives the common table expressions of one operator over a table `src` (doc_id, text, ...), named with the
+prefix `p`; the queries and the pipeline are put together from them.
+"""
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
-PIPELINE: str | None = None
+import string
+
+from .quality import MAX_BOILERPLATE, MAX_LOST, MAX_REPEATED, MIN_UNPUNCTUATED, MIN_WORDS
+
+_WORDS = r"regexp_extract_all(coalesce({0}, ''), '[^\x20\x09-\x0D]+')"
+_LOWER = f"translate(coalesce({{0}}, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+_SYMBOLS = "(length({0}) - length(translate({0}, '#*$%&|<>', '')))"
+
+
+def quality(src: str, p: str) -> str:
+    """{p}judged: doc_id, counts and verdict; {p}clean: doc_id and the text without its failing lines."""
+    failing = f"""n > 0 AND ((seps >= 2 AND 5 * seps >= n) OR 10 * {_SYMBOLS.format('line')} > chars OR (n >= 8 AND length(line) - length(replace(line, '!', '')) >= n)
+      OR (n >= {MIN_UNPUNCTUATED} AND NOT regexp_matches(line, '[.!?;:…。！？；：।؟]'))
+      OR (n <= {MAX_BOILERPLATE} AND regexp_matches(line, 'licensed under|all rights reserved|terms of (?:use|service)|privacy policy|cookie policy|accept (?:all )?cookies|we use cookies|subscribe to our|sign up for our|click here to|share this (?:post|page|article)|copyright (?:©|\\(c\\))|powered by', 'i')))"""
+    return f"""{p}w AS (SELECT doc_id, text, {_WORDS.format('text')} AS ws FROM {src}),
+{p}g AS (SELECT doc_id, i, ws[i] || chr(10) || ws[i + 1] || chr(10) || ws[i + 2] AS gram FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM {p}w)),
+{p}twice AS (SELECT doc_id, gram FROM {p}g GROUP BY ALL HAVING count(*) > 1),
+{p}rep AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM {p}g JOIN {p}twice USING (doc_id, gram), range(0, 3) r(j) GROUP BY doc_id),
+{p}l0 AS (SELECT doc_id, unnest(x) AS line, unnest(range(len(x))) AS pos FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM {src})),
+{p}l1 AS (SELECT *, {_WORDS.format('line')} AS lw FROM {p}l0),
+{p}l2 AS (SELECT doc_id, line, pos, len(lw) AS n, len(list_filter(lw, lambda w: w IN ('|', '>', '>>', '·', '»', '•', '→'))) AS seps, length(array_to_string(lw, '')) AS chars FROM {p}l1),
+{p}l3 AS (SELECT *, {failing} AS bad, n > 0 AND row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) > 1 AS dup FROM {p}l2),
+{p}doc AS (SELECT doc_id, coalesce(sum(n) FILTER (bad), 0)::BIGINT AS lost, count(*) FILTER (dup) AS dups, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT bad), '') AS stay FROM {p}l3 GROUP BY doc_id),
+{p}j0 AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, {_SYMBOLS.format("coalesce(text, '')")}::BIGINT AS n_symbols, dups AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words, lost AS n_lost_words
+  FROM {p}w JOIN {p}doc USING (doc_id) LEFT JOIN {p}rep r USING (doc_id)),
+{p}j1 AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED} * n_words AS base_failed FROM {p}j0),
+{p}judged AS (SELECT *, NOT base_failed AND 100 * n_lost_words <= {MAX_LOST} * n_words AS kept FROM {p}j1),
+{p}clean AS (SELECT doc_id, stay AS text FROM {p}judged JOIN {p}doc USING (doc_id) WHERE kept)"""
+
+
+def line_dedup(src: str, p: str) -> str:
+    """{p}lines: doc_id, n_lines, n_dropped, text without the lines of keys in ten or more documents."""
+    return f"""{p}l0 AS (SELECT doc_id, unnest(x) AS line, unnest(range(len(x))) AS pos FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM {src})),
+{p}l1 AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{string.ascii_uppercase}', '{string.ascii_lowercase}') AS key FROM {p}l0),
+{p}common AS (SELECT key FROM {p}l1 WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10),
+{p}l2 AS (SELECT l.*, c.key IS NOT NULL AS gone FROM {p}l1 l LEFT JOIN {p}common c USING (key)),
+{p}lines AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text FROM {p}l2 GROUP BY doc_id)"""
+
+
+def ngram_join(src: str, p: str) -> str:
+    """{p}joined: doc_id, n_shingles, component_id."""
+    return f"""{p}w AS (SELECT doc_id, {_WORDS.format(_LOWER.format('text'))} AS ws FROM {src}),
+{p}s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], chr(10)) AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, CASE WHEN len(ws) > 0 THEN 2 ELSE 1 END))) AS i FROM {p}w)),
+{p}n AS (SELECT doc_id, count(*) AS n FROM {p}s GROUP BY doc_id),
+{p}c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM {p}s x JOIN {p}s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+{p}e0 AS (SELECT a, b FROM {p}c JOIN {p}n na ON na.doc_id = a JOIN {p}n nb ON nb.doc_id = b WHERE 100 * c >= 75 * (na.n + nb.n - c)),
+{p}e AS (SELECT a, b FROM {p}e0 UNION ALL SELECT b, a FROM {p}e0),
+{p}r AS (SELECT DISTINCT a AS node, a AS other FROM {p}e UNION SELECT {p}r.node, {p}e.b FROM {p}r JOIN {p}e ON {p}e.a = {p}r.other),
+{p}least AS (SELECT node, min(other) AS least FROM {p}r GROUP BY node),
+{p}joined AS (SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(least, d.doc_id) AS component_id FROM {src} d LEFT JOIN {p}n USING (doc_id) LEFT JOIN {p}least ON node = d.doc_id)"""
+
+
+def decontamination(src: str, p: str) -> str:
+    """{p}hit: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    words = r"regexp_extract_all({0}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""{p}i AS (SELECT item_id, {words.format(_LOWER.format('text'))} AS ws FROM benchmark),
+{p}iw AS (SELECT DISTINCT item_id, k, array_to_string(ws[i:i + k - 1], ' ') AS g FROM (SELECT item_id, ws, least(10, len(ws)) AS k, unnest(range(1, greatest(2, len(ws) - 8))) AS i FROM {p}i WHERE len(ws) > 0)),
+{p}d AS (SELECT doc_id, {words.format(_LOWER.format('text'))} AS ws FROM {src}),
+{p}dw AS (SELECT doc_id, i, k, array_to_string(ws[i:i + k - 1], ' ') AS g FROM (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM {p}d, (SELECT DISTINCT k FROM {p}iw))),
+{p}m AS (SELECT doc_id, i, {p}dw.k, item_id FROM {p}dw JOIN {p}iw USING (k, g)),
+{p}c AS (SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM {p}m, range(0, 10) r(j) WHERE j < k GROUP BY doc_id),
+{p}t AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM {p}m GROUP BY doc_id),
+{p}hit AS (SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM {p}d LEFT JOIN {p}c USING (doc_id) LEFT JOIN {p}t USING (doc_id))"""
+
+
+def mixing(src: str, p: str, seed: int = 7) -> str:
+    """{p}mix: doc_id, source, size, source_size, target, epochs, taken."""
+    return f"""{p}z AS (SELECT doc_id, source, len({_WORDS.format('text')})::BIGINT AS size, (1e0 + len({_WORDS.format('text')})) / (1e0 + len({_WORDS.format('text')}) + {_SYMBOLS.format("coalesce(text, '')")}) AS q,
+  -ln((('0x' || substr(md5('{seed}:' || doc_id), 1, 12))::BIGINT + 0.5e0) / {float(2**48)!r}e0) AS e FROM {src}),
+{p}s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM {p}z GROUP BY source),
+{p}s1 AS (SELECT *, [5e0, 2e0, 1e0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w FROM {p}s0),
+{p}s2 AS (SELECT *, 3e0 * source_size AS cap, 3e0 * source_size / w AS lev FROM {p}s1),
+{p}s3 AS (SELECT *, coalesce(sum(cap) OVER o, 0e0) AS cap_before, coalesce(sum(w) OVER o, 0e0) AS w_before, sum(source_size) OVER ()::DOUBLE AS budget, sum(w) OVER () AS w_all FROM {p}s2 WINDOW o AS (ORDER BY lev, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+{p}s4 AS (SELECT *, (budget - cap_before) / (w_all - w_before) AS fill FROM {p}s3),
+{p}s5 AS (SELECT source, source_size, least(cap, coalesce((SELECT arg_min(fill, lev) FROM {p}s4 WHERE fill <= lev) * w, cap)) AS target FROM {p}s4),
+{p}o AS (SELECT z.doc_id, z.source, size, source_size, target, CASE WHEN source_size > 0 THEN floor(floor(target + 0.5e0) / source_size) ELSE 0 END::BIGINT AS epochs,
+  coalesce(sum(size) OVER (PARTITION BY z.source ORDER BY e / q, z.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM {p}z z JOIN {p}s5 s ON s.source IS NOT DISTINCT FROM z.source),
+{p}mix AS (SELECT doc_id, source, size, source_size, target, epochs, (epochs * size + greatest(0, least(size, floor(target + 0.5e0) - epochs * source_size - ahead)))::BIGINT AS taken FROM {p}o)"""
+
+
+ORACLES: dict[str, str] = {
+    "op1_source_mixing": f"WITH {mixing('documents', 'm_')} SELECT doc_id, size, source_size, target, taken, source FROM m_mix",
+    "op4_decontamination": f"WITH {decontamination('documents', 'd_')} SELECT * FROM d_hit",
+    "op6_ngram_join": f"WITH RECURSIVE {ngram_join('documents', 'j_')} SELECT * FROM j_joined",
+    "op7_quality_rules": f"WITH {quality('documents', 'q_')} SELECT * FROM q_judged",
+    "op8_line_dedup": f"WITH {line_dedup('documents', 'l_')} SELECT doc_id, n_lines, n_dropped, sha256(text) AS kept_sha256 FROM l_lines",
+}
+
+#: The pipeline: rows of corpus_pipeline.run.
+PIPELINE: str | None = f"""WITH RECURSIVE {quality('documents', 'q_')},
+{line_dedup('q_clean', 'l_')},
+k1 AS (SELECT doc_id, text FROM l_lines),
+{ngram_join('k1', 'j_')},
+k2 AS (SELECT doc_id, text FROM k1 JOIN j_joined USING (doc_id) WHERE doc_id = component_id),
+{decontamination('k2', 'd_')},
+k3 AS (SELECT k2.doc_id, k2.text, lang, source FROM k2 JOIN d_hit ON d_hit.doc_id = k2.doc_id JOIN documents o ON o.doc_id = k2.doc_id WHERE NOT contaminated),
+{mixing('k3', 'm_')}
+SELECT m.doc_id, m.source, size, source_size, target, epochs, taken, text, lang, length(text)::BIGINT AS n_chars FROM m_mix m JOIN k3 ON k3.doc_id = m.doc_id WHERE taken > 0"""
