@@ -19,10 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .columns import ascii_lower, partitions, strip_blanks, text_of
+from .columns import ascii_lower, checkpointed, partitions, strip_blanks, text_of
 
 #: Names of the work columns; a table that has one of these is refused by Spark as ambiguous, so they are unusual.
 DOC, TEXT, BITS = "_line_doc", "_line_text_hash", "_line_bits"
+SALTS = 16
 
 
 def lines_of(text: Column) -> Column:
@@ -47,11 +48,15 @@ def line_bitmaps(docs: DataFrame, min_docs: int = 10, mode: str = "all", min_cha
     # Two hashes of other seeds make 128 bits: keys that differ do not meet.
     each = each.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(11), "key").alias("h2"), DOC, TEXT, "pos")
     keys = ["h1", "h2", DOC, TEXT]
+    # Written once, without text: the range partitioning samples it and two branches read it.
+    each = checkpointed(each)
     each = each.repartitionByRange(partitions(docs.sparkSession), *keys).sortWithinPartitions(*keys, "pos")
     word = F.struct(F.floor(F.col("pos") / 64).cast("int").alias("word"), F.col("pos"))
     held = each.groupBy(*keys).agg(F.collect_set(word).alias("words"), F.min("pos").alias("first_pos"))
     common = held.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.min(F.struct(DOC, TEXT, "first_pos")).alias("first")).where(F.col("n_docs") >= min_docs)
-    hit = held.join(common, ["h1", "h2"], "inner")
+    # A common key's documents are joined in shares, so that the most common line is no single task's work.
+    common = common.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    hit = held.withColumn("salt", F.pmod(F.hash(DOC, TEXT), F.lit(SALTS))).join(common, ["h1", "h2", "salt"], "inner")
     place = hit.select(DOC, TEXT, "first", F.explode("words").alias("w")).select(DOC, TEXT, "first", F.col("w.word").alias("word"), F.col("w.pos").alias("pos"))
     if mode == "first":
         place = place.where(~((F.col("first")[DOC] == F.col(DOC)) & (F.col("first")[TEXT] == F.col(TEXT)) & (F.col("first")["first_pos"] == F.col("pos"))))
@@ -66,10 +71,10 @@ def _dense(bits: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.element_at(bits, -1)["word"]), lambda w: F.coalesce(F.try_element_at(by_word, w), F.lit(0).cast("long")))
 
 
-def apply(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """The input's rows and columns, text without its dropped lines, plus n_lines and n_dropped.
+def apply(docs: DataFrame, bitmaps: DataFrame, counts: bool = True) -> DataFrame:
+    """The input's rows and columns, text without its dropped lines; with `counts` also n_lines and n_dropped.
 
-    A text that loses nothing is passed on as it is (null stays null).
+    A text that loses nothing is passed on as it is (null stays null).  Counts take the place of input columns of their name.
     """
     doc, text = _identity(docs)
     marked = docs.select("*", doc, text).join(bitmaps, [DOC, TEXT], "left").withColumn("_line_dense", F.when(F.col(BITS).isNotNull(), _dense(F.col(BITS))))
@@ -79,10 +84,6 @@ def apply(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
         lines,
         lambda _, i: F.coalesce(F.get(F.col("_line_dense"), F.floor(i / 64).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i % 64)), F.lit(0).cast("long")) == 0,
     )
-    own = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
-    return marked.select(
-        *(F.col(c) for c in own),
-        F.when(F.col(BITS).isNull(), F.col("text")).otherwise(F.array_join(stays, "\n")).alias("text"),
-        F.size(lines).cast("long").alias("n_lines"),
-        F.coalesce(dropped, F.lit(0)).cast("long").alias("n_dropped"),
-    )
+    added = {"n_lines": F.size(lines).cast("long"), "n_dropped": F.coalesce(dropped, F.lit(0)).cast("long")} if counts else {}
+    text_kept = F.when(F.col(BITS).isNull(), F.col("text")).otherwise(F.array_join(stays, "\n")).alias("text")
+    return marked.select(*(text_kept if c == "text" else F.col(c) for c in docs.columns if c not in added), *(x.alias(n) for n, x in added.items()))

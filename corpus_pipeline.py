@@ -25,8 +25,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that ten or more of them hold."""
-    rows = line_dedup.apply(docs, line_dedup.line_bitmaps(docs))
-    return rows.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    rows = line_dedup.apply(docs, line_dedup.line_bitmaps(docs), counts=False)
+    return rows.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
