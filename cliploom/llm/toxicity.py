@@ -18,7 +18,7 @@ or labels of one kind the bias alone is fitted, and it scores under 0.5; rows wi
 from __future__ import annotations
 
 import re
-from collections import Counter
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,11 +29,13 @@ from pyspark.sql import functions as F
 SENTENCE = re.compile(r"[^.!?…。！？\n]+")
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
-MAX_TRAIN, MIN_DOCS, CHANCE, ROUNDS = 10_000, 4, 1.0, 120
+MAX_TRAIN, MIN_DOCS, CHANCE, ROUNDS = 8_000, 4, 1.0, 120
 #: A bias so low that a thousand sentences without evidence stay clean.
 BIAS = -9.0
 #: Words whose evidence a worker remembers; when full it starts anew.
-REMEMBERED = 500_000
+REMEMBERED, REMEMBERED_TRAIN = 500_000, 100_000
+#: Hash slots, as a power of two, in which features are first counted.
+SLOT_BITS = 22
 
 
 def features(word: str) -> list[str]:
@@ -81,37 +83,44 @@ class Model:
         return 1 - clean
 
 
-def _telling(texts: list[str], y: np.ndarray, min_docs: int, chance: float) -> list[str]:
-    """Features that toxic texts hold more often than chance; of the others about `chance` pass in all (log-likelihood ratio)."""
-    number: dict[str, int] = {}
-    owned: list[list[int]] = []
-    names: dict[str, int] = {}
-    docs, words = [], []
-    for d, text in enumerate(texts):
-        own = set(WORD.findall(text))
-        for word in own:
-            if word not in number:
-                number[word] = len(number)
-                owned.append([names.setdefault(f, len(names)) for f in features(word)])
-        words.append(np.fromiter((number[w] for w in own), np.int32, len(own)))
-        docs.append(np.full(len(own), d, np.int32))
-    if not names:
-        return []
-    doc, word = np.concatenate(docs), np.concatenate(words)
-    size = np.array([len(x) for x in owned])
-    flat, start = np.array([f for x in owned for f in x], np.int64), np.append(0, np.cumsum(size)[:-1])
-    n = size[word]
-    at = np.repeat(start[word] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
-    pairs = np.unique(np.repeat(doc, n).astype(np.int64) * len(names) + flat[at])
-    d, f = pairs // len(names), pairs % len(names)
-    every, toxic = np.bincount(f, minlength=len(names)), np.bincount(f, y[d], len(names))
-    base, share = y.mean(), toxic / np.maximum(every, 1)
+def _doc_features(text: str) -> set[str]:
+    return {f for w in set(WORD.findall(text)) for f in features(w)}
+
+
+def _ratio(toxic: np.ndarray, every: np.ndarray, base: float) -> np.ndarray:
+    """Log-likelihood ratio of the toxic share against the base rate, 0 where it is not over that."""
+    share = toxic / np.maximum(every, 1)
     part = lambda k, p, q: np.where(k > 0, k * np.log(np.maximum(p, 1e-12) / q), 0)
-    ratio = 2 * (part(toxic, share, base) + part(every - toxic, 1 - share, 1 - base))
+    return np.where(share > base, 2 * (part(toxic, share, base) + part(every - toxic, 1 - share, 1 - base)), 0)
+
+
+def _telling(texts: list[str], y: np.ndarray, min_docs: int, chance: float) -> list[str]:
+    """Features that toxic texts hold more often than chance; of the others about `chance` pass in all (log-likelihood ratio).
+
+    Features are first counted in a fixed number of hash slots; then those of the slots that pass are counted by name.
+    """
+    mask = (1 << SLOT_BITS) - 1
+    slot = lambda f: zlib.crc32(f.encode()) & mask
+    every, toxic = np.zeros(mask + 1, np.int32), np.zeros(mask + 1, np.int32)
+    for text, label in zip(texts, y):
+        own = np.fromiter({slot(f) for f in _doc_features(text)}, np.int64)
+        every[own] += 1
+        if label:
+            toxic[own] += 1
     tested = every >= min_docs
-    good = tested & (share > base) & (ratio >= 2 * np.log(max(tested.sum(), 2) / chance))
-    back = list(names)
-    return [back[i] for i in np.flatnonzero(good)]
+    least = 2 * np.log(max(int(tested.sum()), 2) / chance)
+    passing = tested & (_ratio(toxic, every, y.mean()) >= least)
+    named: dict[str, list[int]] = {}
+    for text, label in zip(texts, y):
+        for f in _doc_features(text):
+            if passing[slot(f)]:
+                count = named.setdefault(f, [0, 0])
+                count[0] += 1
+                count[1] += int(label)
+    names = sorted(f for f, (n, _) in named.items() if n >= min_docs)
+    counts = np.array([named[f] for f in names]).reshape(-1, 2)
+    good = _ratio(counts[:, 1], counts[:, 0], y.mean()) >= least
+    return [f for f, ok in zip(names, good) if ok]
 
 
 def fit(texts: list[str | None], labels: list[int], min_docs: int = MIN_DOCS, chance: float = CHANCE, rounds: int = ROUNDS, rate: float = 0.3, decay: float = 1e-3) -> Model:
@@ -129,6 +138,8 @@ def fit(texts: list[str | None], labels: list[int], min_docs: int = MIN_DOCS, ch
             own: set[int] = set()
             for word in WORD.findall(part):
                 if (found := known.get(word)) is None:
+                    if len(known) >= REMEMBERED_TRAIN:
+                        known.clear()
                     found = known[word] = tuple(number[f] for f in features(word) if f in number)
                 if found:
                     own.update(found)
@@ -155,8 +166,8 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, **opti
     known = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64(F.col("doc_id").cast("string"))
     chosen = known.orderBy(order, "doc_id").limit(max_train)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").dropDuplicates(["doc_id"]).orderBy(order, "doc_id").toPandas()
-    return fit(rows["text"].tolist(), [int(x) for x in rows["toxic"]], **options)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").dropDuplicates(["doc_id"]).orderBy(order, "doc_id").toArrow()
+    return fit(rows.column("text").to_pylist(), [int(x) for x in rows.column("toxic").to_pylist()], **options)
 
 
 def _score(model: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
