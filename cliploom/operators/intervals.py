@@ -197,3 +197,39 @@ def refined(seeds: DataFrame, by_transcript: DataFrame, by_audio: DataFrame, by_
 
     folded = rows.groupBy(key).agg(F.array_sort(F.collect_list(packed)).alias("_all")).select(key, F.explode(F.aggregate("_all", F.array().cast(kind), step)).alias("r"))
     return folded.select(key, F.col(f"r.{seed_id}").alias(seed_id), F.col("r.start").alias("start_sec"), F.col("r.end").alias("end_sec"), F.col("r.strategy").alias("boundary_strategy"), F.col("r.confidence").alias("boundary_confidence"))
+
+
+def refined_by_transcript(seeds: DataFrame, spans: DataFrame, turns: DataFrame, key: str = "asset_id", seed_id: str = "seed_id", margin: float = 0.75) -> DataFrame:
+    """key, seed_id, refined: a seed snapped to the turns (else spans) that it overlaps within the margin.
+
+    After a closing question the next turn joins if it starts within 1.6 s; where one turn matched that asks nothing, the
+    next one joins within .95 s if it asks nothing either.  Results under a second do not count.
+    """
+    from ..functions.text import is_question
+
+    order = Window.partitionBy(key).orderBy("start_sec", "end_sec")
+    ahead = turns.select(key, F.col("start_sec").alias("a"), F.col("end_sec").alias("b"), is_question("text").alias("q"), F.lead("start_sec").over(order).alias("next_a"), F.lead("end_sec").over(order).alias("next_b"), F.coalesce(is_question(F.lead("text").over(order)), F.lit(False)).alias("next_q"))
+    by_turn = overlapping_ranges(seeds, ahead, [key], ("start_sec", "end_sec"), ("a", "b"), None, margin)
+    last = F.max(F.struct("a", "b", "q", "next_a", "next_b", "next_q"))
+    found = by_turn.groupBy(key, seed_id).agg(F.min("a").alias("a"), F.max("b").alias("b"), F.count(F.lit(1)).alias("n"), last.alias("l"))
+    pause = F.col("l.next_a") - F.col("l.b")
+    joins = (F.col("l.q") & ~F.col("l.next_q") & (pause <= 1.6)) | ((F.col("n") == 1) & ~F.col("l.q") & ~F.col("l.next_q") & (pause <= 0.95))
+    end = F.when(F.coalesce(joins, F.lit(False)), F.greatest("b", "l.next_b")).otherwise(F.col("b"))
+    snap = lambda a, b, name, conf: F.struct(a.alias("start"), b.alias("end"), F.lit(name).alias("strategy"), F.lit(conf).alias("confidence"))
+    first = found.select(key, seed_id, snap(F.col("a"), end, "turn-snap", 0.93).alias("refined"))
+    by_span = overlapping_ranges(seeds, spans.select(key, F.col("start_sec").alias("a"), F.col("end_sec").alias("b")), [key], ("start_sec", "end_sec"), ("a", "b"), None, margin)
+    second = by_span.groupBy(key, seed_id).agg(snap(F.min("a"), F.max("b"), "transcript-snap", 0.90).alias("refined"))
+    both = first.unionByName(second.join(first.select(key, seed_id), [key, seed_id], "left_anti"))
+    return both.where(F.col("refined.end") - F.col("refined.start") >= 1)
+
+
+def scene_boundaries(ranges: Column) -> Column:
+    """Ends of all ranges but the last."""
+    return F.transform(F.slice(ranges, F.lit(1), F.greatest(F.size(ranges) - 1, F.lit(0))), lambda x: x["end"])
+
+
+def gap_stats(ranges: Column) -> Column:
+    """(largest, mean) pause between consecutive ranges of an ordered array; pauses under 0 count as 0, no pause gives (0, 1)."""
+    gaps = F.filter(F.zip_with(F.slice(ranges, F.lit(1), F.greatest(F.size(ranges) - 1, F.lit(0))), F.slice(ranges, F.lit(2), F.greatest(F.size(ranges) - 1, F.lit(0))), lambda a, b: F.greatest(F.lit(0.0), b["start"] - a["end"])), lambda x: x.isNotNull())
+    total = F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x)
+    return F.struct(rounded(F.coalesce(F.array_max(gaps), F.lit(0.0)), 3).alias("largest"), F.when(F.size(gaps) > 0, rounded(total / F.size(gaps), 3)).otherwise(F.lit(1.0)).alias("mean"))

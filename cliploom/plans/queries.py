@@ -415,3 +415,16 @@ def timecodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = adapters.table(spark, sf_dir, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("stamp"), "value")
     code = text.timecode_of("stamp")
     return e.select("event_id", code.alias("timecode"), text.timecode_seconds(code, F.lit(25.0)).alias("seconds"), text.clock(F.col("value") * 20).alias("clock"))
+
+
+@query
+def screened_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole plan from signals to timeline, with customers as clips and hash-seeded frames."""
+    from . import screening
+
+    clips = adapters.assets(spark, sf_dir)
+    named = clips.select(F.col("asset_id").alias("id"), F.col("asset_name").alias("name"), F.col("asset_name").alias("source_path"), F.col("asset_name").alias("proxy_path"), F.col("asset_name").alias("interchange_reel_name"), "duration_sec")
+    audio = adapters.audio(spark, sf_dir).select("asset_id", (F.col("event_id") % 40 + 0.5).alias("t"), "rms_energy", "is_silent").groupBy("asset_id", "t").agg(F.max("rms_energy").alias("rms_energy"), F.bool_and("is_silent").alias("is_silent"))
+    spans = adapters.spans(spark, sf_dir).select("asset_id", "start_sec", "end_sec", "text")
+    given = screening.Inputs(clips, signals.seeded_signals(named), audio, spans)
+    return screening.timeline(screening.takes(screening.segments(given)))
