@@ -11,8 +11,7 @@ p(entity | term) the share of the term's documents in which both stand together.
 the entity in `support` or more different contexts (copies of one passage are one context), become spans of kind `term`
 at the entity's mentions; `sanitise` generalises the entities to their kind and removes or generalises the terms.
 
-Rows meet by (term, entity) and by term with counts pre-aggregated; only the terms that have the support are looked up in the
-corpus, by a broadcast up to `broadcast_terms` of them (counted first) and by a shuffled join beyond.
+Rows meet by (term, entity) and by term, always as counts that were pre-aggregated before the shuffle.
 
 Edge cases: a null text is empty and gives no spans; repeated rows and rows that share a doc_id are told apart by their
 text's hash and all get their result; overlapping spans are all reported; the work columns' names start with `_pii`.
@@ -102,7 +101,8 @@ def entities(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
 
 
 def _terms_pattern(min_letters: int) -> str:
-    return r"\p{L}{%d,}" % min_letters
+    """Whole words of letters."""
+    return r"(?<![\p{L}\p{N}_])\p{L}{%d,}+(?![\p{L}\p{N}_])" % min_letters
 
 
 def _mentions(docs: DataFrame, reach: int) -> DataFrame:
@@ -134,17 +134,16 @@ def _near_terms(mentions: DataFrame, reach: int, min_letters: int) -> DataFrame:
     return each.where(inner).select("doc_id", "_pii_hash", "entity", "context", F.lower("t.text").alias("term"), (F.col("at") + F.col("t.start")).alias("start"), (F.col("at") + F.col("t.end")).alias("end"))
 
 
-def term_documents(docs: DataFrame, candidates: DataFrame, min_letters: int, broadcast_terms: int) -> DataFrame:
-    """In how many documents of the corpus each candidate term stands."""
+def term_documents(docs: DataFrame, candidates: DataFrame, min_letters: int) -> DataFrame:
+    """In how many documents of the corpus each candidate term stands.
+
+    All terms are counted, with partial sums before the shuffle, and candidates picked from the sums.
+    """
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_of()), F.lit(_terms_pattern(min_letters)), F.lit(0)))).alias("term"))
-    terms = candidates.select("term").distinct()
-    if terms.count() <= broadcast_terms:
-        words = words.join(F.broadcast(terms), "term", "left_semi")
-        return words.groupBy("term").agg(F.count(F.lit(1)).alias("term_docs"))
-    return words.groupBy("term").agg(F.count(F.lit(1)).alias("term_docs")).join(terms, "term", "left_semi")
+    return words.groupBy("term").agg(F.count(F.lit(1)).alias("term_docs")).join(candidates.select("term").distinct(), "term", "left_semi")
 
 
-def disclosing_terms(docs: DataFrame, near: DataFrame, support: int, threshold: float, min_letters: int, broadcast_terms: int) -> DataFrame:
+def disclosing_terms(docs: DataFrame, near: DataFrame, support: int, threshold: float, min_letters: int) -> DataFrame:
     """(term, entity, disclosure) at or over the threshold."""
     contexts = near.groupBy("term", "entity", "context").agg(F.count(F.lit(1)).alias("_"))
     supported = contexts.groupBy("term", "entity").agg(F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") >= support)
@@ -152,18 +151,18 @@ def disclosing_terms(docs: DataFrame, near: DataFrame, support: int, threshold:
     pairs = checkpointed(supported.join(pair_docs, ["term", "entity"]))
     entity_docs = near.groupBy("entity", "doc_id", "_pii_hash").agg(F.count(F.lit(1)).alias("_")).groupBy("entity").agg(F.count(F.lit(1)).alias("entity_docs"))
     total = docs.agg(F.count(F.lit(1)).alias("n"))
-    scored = pairs.join(term_documents(docs, pairs, min_letters, broadcast_terms), "term").join(entity_docs, "entity").crossJoin(F.broadcast(total))
+    scored = pairs.join(term_documents(docs, pairs, min_letters), "term").join(entity_docs, "entity").crossJoin(F.broadcast(total))
     p_entity = F.least(F.col("entity_docs") / F.col("n"), F.lit(1.0))
     p_given = F.least(F.col("pair_docs") / F.col("term_docs"), F.lit(1.0))
     score = F.when(p_entity < 1, F.log2(p_given / p_entity) / -F.log2(p_entity)).otherwise(F.lit(0.0))
     return scored.select("term", "entity", score.alias("disclosure")).where(F.col("disclosure") >= threshold)
 
 
-def disclosures(docs: DataFrame, reach: int = 120, min_letters: int = 4, support: int = 3, threshold: float = 0.9, broadcast_terms: int = 100_000) -> DataFrame:
+def disclosures(docs: DataFrame, reach: int = 120, min_letters: int = 4, support: int = 3, threshold: float = 0.9) -> DataFrame:
     """doc_id, _pii_hash, base and private: all spans, as arrays of (kind_no, kind, start, end); one row per document."""
     mentions = checkpointed(_mentions(docs, reach))
     near = _near_terms(mentions, reach, min_letters)
-    revealing = disclosing_terms(docs, near, support, threshold, min_letters, broadcast_terms)
+    revealing = disclosing_terms(docs, near, support, threshold, min_letters)
     hits = near.join(revealing, ["term", "entity"]).groupBy("doc_id", "_pii_hash").agg(F.collect_set(F.struct(F.lit(4).alias("kind_no"), F.lit(KINDS[4]).alias("kind"), "start", "end")).alias("terms"))
     hits = hits.select(F.col("doc_id").alias("_pii_doc"), F.col("_pii_hash").alias("_pii_h"), "terms")
     rows = mentions.join(hits, F.col("doc_id").eqNullSafe(F.col("_pii_doc")) & (F.col("_pii_hash") == F.col("_pii_h")), "left")
