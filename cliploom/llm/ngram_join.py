@@ -6,13 +6,16 @@ is cut into fragments and each fragment is worked on by itself:
 1. One pass hashes all texts: a class id per document, and a sketch of how often n-grams occur (`sketch_bits` counters of
    one byte after a logarithm, so what is broadcast has a fixed size).  The order of n-grams is (sketched count, hash).
 2. A second pass sends each class's prefix - the first n - ceil(t n) + 1 n-grams of the order, of which linked classes
-   share at least one - to the fragments, as binary arrays.  A fragment keeps the member lists of n-grams that two or more
-   classes hold, once per distinct list.
-3. Of each list the first member is paired with all others, and the pairs are verified: partial overlaps are counted in
-   each fragment of the two sets and summed per pair.  Components of these links are collapsed.
-4. All pairs of a list whose members are still in different components and were not tried are verified likewise.  Members of one
-   component need no test, so a group of near copies costs in proportion to its size, and no link is lost that would join
-   components.  (`links` lists the links that were verified; those inside a component found earlier are implied by it.)
+   share at least one - to the fragments, as binary arrays.  With each n-gram goes the largest partner that the class could
+   link with if this were the first n-gram in common: what follows it must hold the whole overlap.  A fragment keeps the
+   member lists of n-grams that two or more classes hold and could link by, once per distinct list.
+3. In turns, a list's heads of the turn are paired with the members that are in other components, and the pairs are
+   verified: partial overlaps are counted in each fragment of the two sets and summed per pair.  Components of the links are
+   collapsed, and lists within one component are done.
+4. When few pairs are left, all pairs of a list whose members are still in different components and were not tried are
+   verified likewise.  Members of one component need no test, so a group of near copies costs in proportion to its size,
+   and no link is lost that would join components.  (`links` lists the links that were verified; those inside a component
+   found earlier are implied by it.)
 
 Components come from alternating large-star and small-star steps, each a pre-aggregated minimum and a join.
 
@@ -31,9 +34,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.graph import connected
 from .columns import checkpointed, partitions
 from .shingles import mixed, set_id, shingle_sets, texts_of
 
@@ -44,7 +48,11 @@ SKETCH_BITS, SKETCH_PARTS = 22, 16
 #: Prefix n-grams that one fragment holds, about, and that a task gathers before it sends them.
 FRAGMENT_NGRAMS, FLUSH_NGRAMS = 400_000, 1_000_000
 VERIFY_FRAGMENTS = 4
-#: Bits of the fixed-size filter for the classes whose sets are fetched.
+#: Turns of star pairs at most, and pairs left per document at which they end early.
+STAR_TURNS, FEW_PAIRS = 6, 0.25
+#: Members that later turns pair with the rest.
+HEADS = 16
+#: Bits of the fixed-size filter for the documents whose sets are made.
 FILTER_BITS = 21
 
 
@@ -104,20 +112,22 @@ def _order(rows: DataFrame, bits: int) -> bytes:
 
 
 def _postings(k: int, bits: int, sketch: object, n_fragments: int, num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    schema = pa.schema([("fragment", pa.int32()), ("tokens", pa.binary()), ("classes", pa.binary()), ("sizes", pa.binary())])
+    schema = pa.schema([("fragment", pa.int32()), ("tokens", pa.binary()), ("classes", pa.binary()), ("sizes", pa.binary()), ("bounds", pa.binary())])
 
     def flush(tokens: list, classes: list, sizes: list) -> pa.RecordBatch:
         t = np.concatenate(tokens)
         lengths = [len(x) for x in tokens]
         c, s = np.repeat(np.array(classes, np.int64), lengths), np.repeat(np.array(sizes, np.int32), lengths)
+        place = np.concatenate([np.arange(n) for n in lengths])
+        b = ((s - place) * (num + den) // num - s).astype(np.int32)
         # The hash is the order within a count, so high bits of the mixed hash deal n-grams evenly.
         f = (mixed(t) % np.uint64(n_fragments)).astype(np.int32)
         by = np.argsort(f, kind="stable")
-        t, c, s, f = t[by], c[by], s[by], f[by]
+        t, c, s, b, f = t[by], c[by], s[by], b[by], f[by]
         names, at = np.unique(f, return_index=True)
         ends = np.append(at[1:], len(f))
         cut = lambda a: pa.array([a[i:j].tobytes() for i, j in zip(at, ends)], pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), cut(t), cut(c), cut(s)], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), cut(t), cut(c), cut(s), cut(b)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = np.frombuffer(sketch.value, np.uint8)
@@ -144,42 +154,54 @@ def _postings(k: int, bits: int, sketch: object, n_fragments: int, num: int, den
     return run
 
 
-def _member_lists(frame: pd.DataFrame) -> pd.DataFrame:
-    """The distinct member lists of a fragment's n-grams that two or more classes hold: (list, class, size)."""
-    gather = lambda name, kind: np.frombuffer(b"".join(frame[name]), kind)
-    t, c, s = gather("tokens", np.uint64), gather("classes", np.int64), gather("sizes", np.int32)
-    by = np.lexsort((c, t))
-    t, c, s = t[by], c[by], s[by]
-    new = np.ones(len(t), bool)
-    new[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1])
-    t, c, s = t[new], c[new], s[new]
-    head = np.ones(len(t), bool)
-    head[1:] = t[1:] != t[:-1]
-    at = np.flatnonzero(head)
-    n = np.diff(np.append(at, len(t)))
-    at, n = at[n > 1], n[n > 1]
-    if not len(at):
-        return pd.DataFrame({"list": np.zeros(0, np.int64), "class": np.zeros(0, np.int64), "size": np.zeros(0, np.int32)})
-    rows = np.repeat(at - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
-    with np.errstate(over="ignore"):
-        name = mixed(np.add.reduceat(mixed(c[rows].view(np.uint64) + np.uint64(1)), np.append(0, np.cumsum(n)[:-1])) + n.astype(np.uint64))
-    _, first = np.unique(name, return_index=True)
-    at, n, name = at[first], n[first], name[first]
-    rows = np.repeat(at - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
-    return pd.DataFrame({"list": np.repeat(name.view(np.int64), n), "class": c[rows], "size": s[rows]})
+def _member_lists(num: int, den: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """The member lists of a fragment's n-grams that two or more classes hold, once per distinct list: (list, class, size, bound).
+
+    A member stays where another one's size is within its reach; of lists with the same members the largest bounds count.
+    """
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        gather = lambda name, kind: np.frombuffer(b"".join(frame[name]), kind)
+        t, c, s, b = gather("tokens", np.uint64), gather("classes", np.int64), gather("sizes", np.int32), gather("bounds", np.int32)
+        by = np.lexsort((c, t))
+        t, c, s, b = t[by], c[by], s[by], b[by]
+        new = np.ones(len(t), bool)
+        new[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1])
+        t, c, s, b = t[new], c[new], s[new].astype(np.int64), b[new].astype(np.int64)
+        group = np.cumsum(np.append(True, t[1:] != t[:-1])) - 1 if len(t) else np.zeros(0, np.int64)
+        by_size = np.sort((group << 32) + s)
+        low = (group << 32) - (-num * s // den)
+        others = np.searchsorted(by_size, (group << 32) + np.maximum(b, 0), "right") - np.searchsorted(by_size, low, "left") - (s <= b)
+        stay = others > 0
+        group, c, s, b = group[stay], c[stay], s[stay], b[stay]
+        stay = np.bincount(group)[group] > 1 if len(group) else np.zeros(0, bool)
+        group, c, s, b = group[stay], c[stay], s[stay], b[stay]
+        if not len(group):
+            return pd.DataFrame({"list": np.zeros(0, np.int64), "class": np.zeros(0, np.int64), "size": np.zeros(0, np.int32), "bound": np.zeros(0, np.int32)})
+        at = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        n = np.diff(np.append(at, len(group)))
+        with np.errstate(over="ignore"):
+            name = np.repeat(mixed(np.add.reduceat(mixed(c.view(np.uint64) + np.uint64(1)), at) + n.astype(np.uint64)), n)
+        by = np.lexsort((c, name))
+        name, c, s, b = name[by], c[by], s[by], b[by]
+        at = np.flatnonzero(np.append(True, (name[1:] != name[:-1]) | (c[1:] != c[:-1])))
+        return pd.DataFrame({"list": name[at].view(np.int64), "class": c[at], "size": s[at].astype(np.int32), "bound": np.maximum.reduceat(b, at).astype(np.int32)})
+
+    return run
 
 
 def _sets(k: int, wanted: object, n_fragments: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(class, fragment, tokens) of the classes that the filter lets through, each once per task."""
+    """(class, fragment, tokens) of the documents that the filter lets through."""
     schema = pa.schema([("class", pa.int64()), ("fragment", pa.int32()), ("tokens", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = np.unpackbits(np.frombuffer(zlib.decompress(wanted.value), np.uint8))
         seen: set[int] = set()
         for batch in batches:
+            texts = [t for i, t in zip(batch.column(0).to_pylist(), texts_of(batch)) if flags[i & ((1 << FILTER_BITS) - 1)]]
             names, fragments, slices, size = [], [], [], 0
-            for t in shingle_sets(texts_of(batch), k):
-                if not len(t) or not flags[(name := set_id(t)) & ((1 << FILTER_BITS) - 1)] or name in seen:
+            for t in shingle_sets(texts, k):
+                if not len(t) or (name := set_id(t)) in seen:
                     continue
                 seen.add(name)
                 f = (mixed(t) % np.uint64(n_fragments)).astype(np.int32)
@@ -198,50 +220,69 @@ def _sets(k: int, wanted: object, n_fragments: int) -> Callable[[Iterator[pa.Rec
     return run
 
 
-def _fits(a: str, b: str, num: int, den: int) -> object:
-    """Sizes that allow the similarity."""
-    return (F.col(a) * den >= F.col(b) * num) & (F.col(b) * den >= F.col(a) * num)
+def _fits(a: str, b: str, num: int, den: int) -> Column:
+    """Sizes that allow the similarity, each within the other's bound, for columns with the suffixes a and b."""
+    size_a, size_b = F.col(f"size_{a}"), F.col(f"size_{b}")
+    return (size_a * den >= size_b * num) & (size_b * den >= size_a * num) & (size_b <= F.col(f"bound_{a}")) & (size_a <= F.col(f"bound_{b}"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b, size_a, size_b) that link: overlaps counted by fragment, summed by pair."""
-    left = sets.select(F.col("class").alias("a"), "fragment", F.col("tokens").alias("tokens_a"))
-    right = sets.select(F.col("class").alias("b"), "fragment", F.col("tokens").alias("tokens_b"))
-    partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "size_a", "size_b", F.size(F.array_intersect("tokens_a", "tokens_b")).alias("common"))
-    summed = partial.groupBy("a", "b", "size_a", "size_b").agg(F.sum("common").alias("common"))
-    return summed.where(F.col("common") * den >= (F.col("size_a") + F.col("size_b") - F.col("common")) * num).select("a", "b")
+def _ordered_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b, size_a, size_b) with a < b, each once."""
+    swap = F.col("a") > F.col("b")
+    pick = lambda x, y, name: F.when(swap, F.col(y)).otherwise(F.col(x)).alias(name)
+    return rows.select(pick("a", "b", "a"), pick("b", "a", "b"), pick("size_a", "size_b", "size_a"), pick("size_b", "size_a", "size_b")).distinct()
+
+
+def _stars(placed: DataFrame, turn: int, num: int, den: int) -> DataFrame:
+    """Each list's heads of this turn with the members in other components: one head at first, then some more."""
+    order = Window.partitionBy("list").orderBy(F.xxhash64("class", F.lit(turn)), "class")
+    heads = placed.withColumn("_turn", F.row_number().over(order)).where(F.col("_turn") <= (HEADS if turn else 1))
+    side = lambda df, x: df.select(F.col("list").alias(f"list_{x}"), F.col("class").alias(x), F.col("size").alias(f"size_{x}"), F.col("bound").alias(f"bound_{x}"), F.col("component").alias(f"c_{x}"))
+    on = (F.col("list_a") == F.col("list_b")) & (F.col("a") != F.col("b")) & (F.col("c_a") != F.col("c_b")) & _fits("a", "b", num, den)
+    return _ordered_pairs(side(heads, "a").join(side(placed, "b"), on))
+
 
+def _all_pairs(placed: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of a list's members in different components."""
+    side = lambda x: placed.select("list", F.col("class").alias(x), F.col("size").alias(f"size_{x}"), F.col("bound").alias(f"bound_{x}"), F.col("component").alias(f"c_{x}"))
+    one, two = side("a"), side("b")
+    on = (one["list"] == two["list"]) & (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & _fits("a", "b", num, den)
+    return one.join(two, on).select("a", "b", "size_a", "size_b").distinct()
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, component): the smallest node reachable, for every node of the edges (a, b).
 
-    Large-star joins larger neighbours to the smallest one, small-star smaller neighbours likewise; at the end each
-    node has one edge, to its component's smallest node.
+def _open_lists(lists: DataFrame, comps: DataFrame) -> tuple[DataFrame, int]:
+    """The lists whose members are in more than one component, and the pairs of members that this leaves at most."""
+    placed = lists.drop("component").join(comps.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    each = placed.groupBy("list", "component").agg(F.count(F.lit(1)).alias("m")).groupBy("list").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("q"), F.count(F.lit(1)).alias("parts"))
+    each = each.where("parts > 1")
+    placed = checkpointed(placed.join(each.select("list"), "list", "left_semi"))
+    again = placed.groupBy("list", "component").agg(F.count(F.lit(1)).alias("m")).groupBy("list").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("q"))
+    return placed, again.agg(F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("q")) / 2), F.lit(0))).first()[0]
+
+
+def _verified(pairs: DataFrame, named: DataFrame, least: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b, size_a, size_b) that link: overlaps counted by fragment, summed by pair.
+
+    Sets are made anew from each class's first document, only for classes in `pairs`.  The filter may let a few others
+    through, which the join leaves out; a set that comes twice is counted once.
     """
-    now = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    mark = None
-    for _ in range(most_rounds):
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        now = checkpointed(small)
-        state = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if state == mark:
-            break
-        mark = state
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    classes = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(least, "class")
+    sets = named.mapInArrow(_sets(k, _filter_bytes(classes), VERIFY_FRAGMENTS), "class long, fragment int, tokens array<long>")
+    left = sets.select(F.col("class").alias("a"), "fragment", F.col("tokens").alias("tokens_a"))
+    right = sets.select(F.col("class").alias("b"), "fragment", F.col("tokens").alias("tokens_b"))
+    pieces = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(VERIFY_FRAGMENTS - 1))))
+    partial = pieces.join(left, ["a", "fragment"]).join(right, ["b", "fragment"]).select("a", "b", "fragment", "size_a", "size_b", F.size(F.array_intersect("tokens_a", "tokens_b")).alias("common"))
+    partial = partial.groupBy("a", "b", "fragment", "size_a", "size_b").agg(F.max("common").alias("common"))
+    summed = partial.groupBy("a", "b", "size_a", "size_b").agg(F.sum("common").alias("common"))
+    return summed.where(F.col("common") * den >= (F.col("size_a") + F.col("size_b") - F.col("common")) * num).select("a", "b")
 
 
-def _filter_bytes(spark: SparkSession, names: DataFrame) -> object:
-    """A bit per class hash modulo 2**FILTER_BITS; what is collected has at most that many rows."""
-    slots = names.select(F.col("class").bitwiseAND((1 << FILTER_BITS) - 1).cast("int").alias("slot")).distinct().toPandas()["slot"].to_numpy()
+def _filter_bytes(ids: DataFrame) -> object:
+    """A bit per `least` modulo 2**FILTER_BITS; what is collected has at most that many rows."""
+    slots = ids.select(F.col("least").bitwiseAND((1 << FILTER_BITS) - 1).cast("int").alias("slot")).distinct().toPandas()["slot"].to_numpy().astype(np.int64)
     flags = np.zeros(1 << FILTER_BITS, np.uint8)
     flags[slots] = 1
-    return spark.sparkContext.broadcast(zlib.compress(np.packbits(flags).tobytes(), 1))
+    return ids.sparkSession.sparkContext.broadcast(zlib.compress(np.packbits(flags).tobytes(), 1))
 
 
 def join(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN, sketch_bits: int = SKETCH_BITS) -> tuple[DataFrame, DataFrame]:
@@ -255,35 +296,31 @@ def join(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN, sketch
     n_fragments = max(partitions(spark), math.ceil(total * (den - num) / den / FRAGMENT_NGRAMS), 1)
 
     named = texts.where("doc_id is not null")
-    sent = named.mapInArrow(_postings(k, sketch_bits, sketch, n_fragments, num, den), "fragment int, tokens binary, classes binary, sizes binary")
-    lists = sent.groupBy("fragment").applyInPandas(_member_lists, "list long, class long, size int").distinct()
-    lists = checkpointed(lists)
-
-    head = lists.groupBy("list").agg(F.min(F.struct("class", "size")).alias("head"))
-    star = lists.join(head, "list").select(F.col("head.class").alias("a"), F.col("class").alias("b"), F.col("head.size").alias("size_a"), F.col("size").alias("size_b"))
-    star = checkpointed(star.where("a <> b").where(_fits("size_a", "size_b", num, den)).distinct())
-    sets = named.mapInArrow(_sets(k, _filter_bytes(spark, lists.select("class")), VERIFY_FRAGMENTS), "class long, fragment int, tokens array<long>")
-    sets = checkpointed(sets.dropDuplicates(["class", "fragment"]))
-    links = checkpointed(_verified(star, sets, num, den))
-    comps = components(links)
-
-    placed = lists.join(comps.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    open_lists = placed.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("list")
-    placed = checkpointed(placed.join(open_lists, "list", "left_semi"))
-    one = placed.select("list", F.col("class").alias("a"), F.col("size").alias("size_a"), F.col("component").alias("component_a"))
-    two = placed.select("list", F.col("class").alias("b"), F.col("size").alias("size_b"), F.col("component").alias("component_b"))
-    rest = one.join(two, (one["list"] == two["list"]) & (F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")) & _fits("size_a", "size_b", num, den)).select("a", "b", "size_a", "size_b").distinct()
-    tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = checkpointed(rest.join(tried, ["a", "b"], "left_anti"))
-    links = checkpointed(links.unionByName(_verified(rest, sets, num, den)))
+    sent = named.mapInArrow(_postings(k, sketch_bits, sketch, n_fragments, num, den), "fragment int, tokens binary, classes binary, sizes binary, bounds binary")
+    lists = sent.groupBy("fragment").applyInPandas(_member_lists(num, den), "list long, class long, size int, bound int")
+    lists = checkpointed(lists.groupBy("list", "class", "size").agg(F.max("bound").alias("bound")).withColumn("component", F.col("class")))
 
-    # Nodes are the documents' ids from here on: a class is its smallest one, and rows that share an id are one node.
     with_words = rows.where("n > 0 and doc_id is not null")
     least = with_words.groupBy("class").agg(F.min("doc_id").alias("least"))
+    n_rows, placed, links, tried, comps = rows.count(), lists, None, None, None
+    for turn in range(STAR_TURNS):
+        pairs = _stars(placed, turn, num, den)
+        pairs = checkpointed(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        found = checkpointed(_verified(pairs, named, least, k, num, den))
+        links = found if links is None else links.unionByName(found)
+        tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
+        comps = connected(links)
+        placed, left = _open_lists(placed, comps)
+        if left <= FEW_PAIRS * n_rows:
+            break
+    rest = checkpointed(_all_pairs(placed, num, den).join(tried, ["a", "b"], "left_anti"))
+    links = checkpointed(links.unionByName(_verified(rest, named, least, k, num, den)))
+
+    # Nodes are the documents' ids from here on: a class is its smallest one, and rows that share an id are one node.
     edges = links.join(least.select(F.col("class").alias("a"), F.col("least").alias("u")), "a").join(least.select(F.col("class").alias("b"), F.col("least").alias("v")), "b").select(F.col("u").alias("a"), F.col("v").alias("b"))
     twice = with_words.select("doc_id", "class").distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("doc_id")
     shared = with_words.join(twice, "doc_id", "left_semi").join(least, "class").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
-    comps = components(edges.unionByName(shared)).withColumnRenamed("node", "least")
+    comps = connected(edges.unionByName(shared)).withColumnRenamed("node", "least")
     of_class = least.join(comps, "least", "left").select("class", F.coalesce("component", "least").alias("component"))
     out = rows.join(of_class, "class", "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), "class", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
