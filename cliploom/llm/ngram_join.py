@@ -49,7 +49,7 @@ SKETCH_BITS, SKETCH_PARTS = 22, 16
 FRAGMENT_NGRAMS, FLUSH_NGRAMS = 400_000, 1_000_000
 VERIFY_FRAGMENTS = 4
 #: Turns of star pairs at most, and pairs left per document at which they end early.
-STAR_TURNS, FEW_PAIRS = 6, 0.25
+STAR_TURNS, FEW_PAIRS = 3, 0.25
 #: Members that later turns pair with the rest.
 HEADS = 16
 #: Bits of the fixed-size filter for the documents whose sets are made.
