@@ -13,7 +13,8 @@ sidebars, notices, adverts, forms or comments go on any host; where a page has a
 Headings and plain paragraphs of an article are its text and are not judged by the tree.
 
 The tree is counted by (host, path, content) with partial aggregation, so a host with a third of all pages is no single
-task's work.  The few removable paths of a host are joined back to its pages in `salts` shares per host.
+task's work.  The removable paths are measured: up to `broadcast_chars` characters they are broadcast to the pages, which then
+are not shuffled; beyond, they are joined back in `salts` shares per host.
 
 Text: character references are decoded, white space within a block becomes one space, blocks are joined by a line
 feed; a line break element is white space.
@@ -33,7 +34,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LEAST, CONTENT_SHARE, MIN_PAGES, SALTS = 0.25, 0.9, 5, 16
+from .columns import checkpointed
+
+LEAST, CONTENT_SHARE, MIN_PAGES, SALTS = 0.25, 0.9, 5, 64
+#: Characters of removable paths, over all hosts, up to which they are broadcast.
+BROADCAST_CHARS = 4_000_000
 
 #: Fixed lists of HTML's element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -217,14 +222,14 @@ def style_tree(pages: DataFrame, share: float = CONTENT_SHARE) -> DataFrame:
     nodes = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(_nodes, "host string, path string, copy long, style long, content long")
     each = nodes.groupBy("host", "path", "copy").agg(F.min("style").alias("style"), F.min("content").alias("content"))
 
-    def entropy(what: str) -> DataFrame:
-        counts = each.groupBy("host", "path", what).agg(F.count(F.lit(1)).alias("c"))
-        sums = counts.groupBy("host", "path").agg(F.sum("c").alias("pages"), F.sum(F.col("c") * F.log(F.col("c"))).alias("s"))
-        m = F.log(F.col("pages"))
-        return sums.select("host", "path", "pages", F.when(F.col("pages") > 1, (m - F.col("s") / F.col("pages")) / m).otherwise(F.lit(1.0)).alias(what))
-
-    both = entropy("content").join(entropy("style").drop("pages"), ["host", "path"])
-    return both.select("host", "path", "pages", (F.lit(1 - share) * F.col("style") + F.lit(share) * F.col("content")).alias("importance"))
+    values = F.explode(F.array(F.struct(F.lit("style").alias("what"), F.col("style").alias("value")), F.struct(F.lit("content").alias("what"), F.col("content").alias("value"))))
+    counts = each.select("host", "path", values.alias("v")).groupBy("host", "path", "v.what", "v.value").agg(F.count(F.lit(1)).alias("c"))
+    clogc = F.col("c") * F.log(F.col("c"))
+    part = lambda what, x: F.sum(F.when(F.col("what") == what, x).otherwise(0))
+    sums = counts.groupBy("host", "path").agg(part("content", F.col("c")).alias("pages"), part("content", clogc).alias("content"), part("style", clogc).alias("style"))
+    m = F.log(F.col("pages"))
+    entropy = lambda s: F.when(F.col("pages") > 1, (m - F.col(s) / F.col("pages")) / m).otherwise(F.lit(1.0))
+    return sums.select("host", "path", "pages", (F.lit(1 - share) * entropy("style") + F.lit(share) * entropy("content")).alias("importance"))
 
 
 def main_text(page: str | None, removed: frozenset[str] | set[str] = frozenset()) -> str:
@@ -248,12 +253,18 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
-def extract(pages: DataFrame, least: float = LEAST, share: float = CONTENT_SHARE, min_pages: int = MIN_PAGES, salts: int = SALTS) -> DataFrame:
+def extract(pages: DataFrame, least: float = LEAST, share: float = CONTENT_SHARE, min_pages: int = MIN_PAGES, salts: int = SALTS, broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     low = style_tree(pages, share).where((F.col("pages") >= min_pages) & (F.col("importance") < least))
-    low = low.groupBy("host").agg(F.collect_set("path").alias("removed")).select(F.col("host").alias("_h"), "removed", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_s"))
+    low = checkpointed(low.groupBy("host").agg(F.collect_set("path").alias("removed")).select(F.col("host").alias("_h"), "removed"))
+    size = low.agg(F.coalesce(F.sum(F.length("_h") + F.length(F.array_join("removed", " "))), F.lit(0))).first()[0]
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("_host"), F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int").alias("_salt"))
-    rows = rows.join(low, (F.col("_host") == F.col("_h")) & (F.col("_salt") == F.col("_s")), "left").select("page_id", "url", "html", "removed")
+    if size <= broadcast_chars:
+        rows = rows.join(F.broadcast(low), F.col("_host") == F.col("_h"), "left")
+    else:
+        shares = low.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        rows = rows.join(shares, (F.col("_host") == F.col("_h")) & (F.col("_salt") == F.col("_s")), "left")
+    rows = rows.select("page_id", "url", "html", "removed")
     kind = pages.schema["page_id"].dataType.simpleString()
     return rows.mapInArrow(_extract, f"page_id {kind}, url string, text string, n_chars long")
 
