@@ -1,17 +1,19 @@
 """PII: fixed formats as protected entities, and terms that reveal them, found from corpus co-occurrence.
 
-Protected entities are the e-mail addresses, IP addresses, card and phone numbers found by pattern.  A term (a word of
-`min_letters` or more letters, lower-cased) co-occurs with an entity where it stands within `reach` code points of one
-of its mentions.  Over the whole corpus
+Protected entities are the e-mail addresses, IP addresses, card and phone numbers found by pattern.  A term (a whole word of
+`min_letters` or more letters, lower-cased, outside e-mail addresses) co-occurs with an entity where both stand in one
+document.  Over the whole corpus
 
     disclosure(term, entity) = log2(p(entity | term) / p(entity)) / -log2 p(entity)
 
 is the share of the entity's information that the term gives away: p(entity) is the entity's share of all documents and
 p(entity | term) the share of the term's documents in which both stand together.  Terms at or over `threshold`, seen with
-the entity in `support` or more different contexts (copies of one passage are one context), become spans of kind `term`
-at the entity's mentions; `sanitise` generalises the entities to their kind and removes or generalises the terms.
+the entity in `support` or more different texts, become spans of kind `term` wherever they stand in any document;
+`sanitise` generalises the entities to their kind and removes or generalises the terms.
 
-Rows meet by (term, entity) and by term, always as counts that were pre-aggregated before the shuffle.
+Rows meet by (term, entity) and by term, always as counts that were pre-aggregated before the shuffle.  Entities that stand
+in one text only have the same counts there, so one of them stands for all.  Spans are only cut from documents that hold a
+revealing term; lists of at most `BROADCAST_ROWS` rows are broadcast, longer ones are shuffled.
 
 Edge cases: a null text is empty and gives no spans; repeated rows and rows that share a doc_id are told apart by their
 text's hash and all get their result; overlapping spans are all reported; the work columns' names start with `_pii`.
@@ -26,9 +28,11 @@ from pyspark.sql import functions as F
 from .columns import HYPHEN_MARK, NAMED, SPACE_MARK, checkpointed, joined, named, segments, spans, text_of, unmarked
 
 KINDS = ("email", "ip", "card", "phone", "term")
+#: Terms or documents that are broadcast at most.
+BROADCAST_ROWS = 200_000
 
 
-def _email_spans(text: Column) -> Column:
+def _email_segments(text: Column) -> Column:
     """Dots that no domain character follows end a domain; they are marked first, so the pattern needs no nested repeat."""
     marked = F.regexp_replace(text, r"\.(?![A-Za-z0-9-])", SPACE_MARK)
     local = rf"[A-Za-z0-9._%+{SPACE_MARK}-]"
@@ -82,7 +86,7 @@ def entities(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns, base: an array of (kind_no, kind, start, end), and values: the entity of each, in order."""
     t = F.col("_pii_text")
     cut = docs.select(*keep, unmarked(text_of()).alias("_pii_text"))
-    cut = cut.select(*keep, _email_spans(t).alias("_pii_0"), _ip_segments(t).alias("_pii_1"), _card_segments(t).alias("_pii_2"), _phone_segments(t).alias("_pii_3"))
+    cut = cut.select(*keep, _email_segments(t).alias("_pii_0"), _ip_segments(t).alias("_pii_1"), _card_segments(t).alias("_pii_2"), _phone_segments(t).alias("_pii_3"))
     ok = (lambda x: F.lit(True), _ip_ok, _card_ok, _phone_ok)
     value = (lambda x: F.lower(F.replace(x, F.lit(SPACE_MARK), F.lit("."))), lambda x: x, _digits, _digits)
 
@@ -105,68 +109,80 @@ def _terms_pattern(min_letters: int) -> str:
     return r"(?<![\p{L}\p{N}_])\p{L}{%d,}+(?![\p{L}\p{N}_])" % min_letters
 
 
-def _mentions(docs: DataFrame, reach: int) -> DataFrame:
-    """Documents with their entities and the text on both sides of each mention; documents without any keep empty arrays."""
+def _prose(text: Column) -> Column:
+    """The text with zeros for the characters of e-mail addresses; as many code points as before."""
+    plain = unmarked(text)
+    masked = F.array_join(F.transform(_email_segments(plain), lambda x, i: F.when(i % 2 == 1, F.repeat(F.lit("0"), F.length(x))).otherwise(x)), "")
+    return F.when(F.contains(plain, F.lit("@")), masked).otherwise(plain)
+
+
+def _terms(text: Column, min_letters: int) -> Column:
+    """The text's distinct terms."""
+    words = F.array_distinct(F.regexp_extract_all(_prose(text), F.lit(_terms_pattern(min_letters)), F.lit(0)))
+    return F.array_distinct(F.transform(words, lambda x: F.lower(x)))
+
+
+def _mentions(docs: DataFrame, min_letters: int) -> DataFrame:
+    """Documents with their spans, distinct entities and, where they have any, distinct terms."""
     rows = entities(docs.select("doc_id", "text", F.xxhash64(text_of()).alias("_pii_hash")), keep=("doc_id", "_pii_hash", "text"))
-    near = F.transform(
-        F.arrays_zip("base", "values"),
-        lambda m: F.struct(
-            m["values"].alias("entity"),
-            F.greatest(m["base"]["start"] - reach, F.lit(0)).alias("left_at"),
-            F.substring(F.col("text"), F.greatest(m["base"]["start"] - reach, F.lit(0)) + 1, F.least(m["base"]["start"], F.lit(reach))).alias("left"),
-            m["base"]["end"].alias("right_at"),
-            F.substring(F.col("text"), m["base"]["end"] + 1, F.lit(reach)).alias("right"),
-        ),
-    )
-    return rows.select("doc_id", "_pii_hash", "base", near.alias("near"))
+    terms = F.when(F.size("values") > 0, _terms(text_of(), min_letters)).otherwise(F.array().cast("array<string>"))
+    return rows.select("doc_id", "_pii_hash", "base", F.array_distinct("values").alias("values"), terms.alias("terms"))
 
 
-def _near_terms(mentions: DataFrame, reach: int, min_letters: int) -> DataFrame:
-    """One row per term beside a mention: document, entity, term, where, and the hash of the context.
+def _pairs(mentions: DataFrame) -> DataFrame:
+    """term, entity, entity_docs, pair_docs, contexts: counts of documents, and of different texts, over whole documents."""
+    texts = mentions.where(F.size("values") > 0).groupBy("_pii_hash").agg(F.count(F.lit(1)).alias("copies"), F.first("values").alias("values"), F.first("terms").alias("terms"))
+    texts = checkpointed(texts)
+    placed = texts.select("_pii_hash", "copies", F.explode("values").alias("entity"))
+    counted = placed.groupBy("entity").agg(F.sum("copies").alias("entity_docs"), F.count(F.lit(1)).alias("texts"), F.min("_pii_hash").alias("_pii_hash"))
+    single = counted.where("texts = 1").groupBy("_pii_hash", "entity_docs").agg(F.min("entity").alias("entity"))
+    shared = placed.select("_pii_hash", "entity").join(counted.where("texts > 1").select("entity", "entity_docs"), "entity")
+    stand = single.unionByName(shared.select("_pii_hash", "entity_docs", "entity"))
+    each = texts.select("_pii_hash", "copies", "terms").join(stand, "_pii_hash").select("entity", "entity_docs", "copies", F.explode("terms").alias("term"))
+    return each.groupBy("term", "entity", "entity_docs").agg(F.sum("copies").alias("pair_docs"), F.count(F.lit(1)).alias("contexts"))
 
-    A term that the window's outer edge may have cut is left out.
-    """
-    each = mentions.where(F.size("near") > 0).select("doc_id", "_pii_hash", F.explode("near").alias("m"))
-    each = each.select("doc_id", "_pii_hash", "m.entity", F.xxhash64("m.left", "m.right").alias("context"), F.explode(F.array(F.struct(F.col("m.left_at").alias("at"), F.col("m.left").alias("side"), F.lit(True).alias("is_left")), F.struct(F.col("m.right_at").alias("at"), F.col("m.right").alias("side"), F.lit(False).alias("is_left")))).alias("s"))
-    each = each.select("doc_id", "_pii_hash", "entity", "context", "s.at", "s.is_left", F.length("s.side").alias("n"), segments(unmarked(F.col("s.side")), _terms_pattern(min_letters)).alias("cut"))
-    each = each.select("doc_id", "_pii_hash", "entity", "context", "at", "is_left", "n", F.explode(spans(F.col("cut"))).alias("t"))
-    inner = F.when(F.col("is_left"), (F.col("t.start") > 0) | (F.col("at") == 0)).otherwise((F.col("t.end") < F.col("n")) | (F.col("n") < reach))
-    return each.where(inner).select("doc_id", "_pii_hash", "entity", "context", F.lower("t.text").alias("term"), (F.col("at") + F.col("t.start")).alias("start"), (F.col("at") + F.col("t.end")).alias("end"))
 
+def term_documents(docs: DataFrame, min_letters: int) -> DataFrame:
+    """In how many documents of the corpus each term stands, counted with partial sums before the shuffle."""
+    return docs.select(F.explode(_terms(text_of(), min_letters)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("term_docs"))
 
-def term_documents(docs: DataFrame, candidates: DataFrame, min_letters: int) -> DataFrame:
-    """In how many documents of the corpus each candidate term stands.
 
-    All terms are counted, with partial sums before the shuffle, and candidates picked from the sums.
-    """
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_of()), F.lit(_terms_pattern(min_letters)), F.lit(0)))).alias("term"))
-    return words.groupBy("term").agg(F.count(F.lit(1)).alias("term_docs")).join(candidates.select("term").distinct(), "term", "left_semi")
-
-
-def disclosing_terms(docs: DataFrame, near: DataFrame, support: int, threshold: float, min_letters: int) -> DataFrame:
-    """(term, entity, disclosure) at or over the threshold."""
-    contexts = near.groupBy("term", "entity", "context").agg(F.count(F.lit(1)).alias("_"))
-    supported = contexts.groupBy("term", "entity").agg(F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") >= support)
-    pair_docs = near.groupBy("term", "entity", "doc_id", "_pii_hash").agg(F.count(F.lit(1)).alias("_")).groupBy("term", "entity").agg(F.count(F.lit(1)).alias("pair_docs"))
-    pairs = checkpointed(supported.join(pair_docs, ["term", "entity"]))
-    entity_docs = near.groupBy("entity", "doc_id", "_pii_hash").agg(F.count(F.lit(1)).alias("_")).groupBy("entity").agg(F.count(F.lit(1)).alias("entity_docs"))
-    total = docs.agg(F.count(F.lit(1)).alias("n"))
-    scored = pairs.join(term_documents(docs, pairs, min_letters), "term").join(entity_docs, "entity").crossJoin(F.broadcast(total))
+def disclosing_terms(docs: DataFrame, mentions: DataFrame, support: int, threshold: float, min_letters: int) -> DataFrame:
+    """(term, entity, disclosure) at or over the threshold; one entity stands for those of one text only."""
+    pairs = checkpointed(_pairs(mentions).where(F.col("contexts") >= support))
+    total = mentions.agg(F.count(F.lit(1)).alias("n"))
+    scored = pairs.join(term_documents(docs, min_letters), "term").crossJoin(F.broadcast(total))
     p_entity = F.least(F.col("entity_docs") / F.col("n"), F.lit(1.0))
     p_given = F.least(F.col("pair_docs") / F.col("term_docs"), F.lit(1.0))
     score = F.when(p_entity < 1, F.log2(p_given / p_entity) / -F.log2(p_entity)).otherwise(F.lit(0.0))
     return scored.select("term", "entity", score.alias("disclosure")).where(F.col("disclosure") >= threshold)
 
 
-def disclosures(docs: DataFrame, reach: int = 120, min_letters: int = 4, support: int = 3, threshold: float = 0.9) -> DataFrame:
+def _bounded(rows: DataFrame) -> DataFrame:
+    """The rows, to be broadcast if they were counted to be few."""
+    rows = checkpointed(rows)
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def _term_spans(docs: DataFrame, terms: DataFrame, min_letters: int) -> DataFrame:
+    """_pii_doc, _pii_h, terms: the spans of the given terms in every document that holds one."""
+    rows = docs.select(F.col("doc_id").alias("_pii_doc"), F.xxhash64(text_of()).alias("_pii_h"), "text")
+    terms = _bounded(terms)
+    holding = rows.select("_pii_doc", "_pii_h", F.explode(_terms(text_of(), min_letters)).alias("term")).join(terms, "term", "left_semi")
+    holding = _bounded(holding.select(F.col("_pii_doc").alias("d"), F.col("_pii_h").alias("h")).distinct())
+    rows = rows.join(holding, F.col("_pii_doc").eqNullSafe(F.col("d")) & (F.col("_pii_h") == F.col("h")), "left_semi")
+    words = rows.select("_pii_doc", "_pii_h", F.explode(spans(segments(_prose(text_of()), _terms_pattern(min_letters)))).alias("t"))
+    words = words.select("_pii_doc", "_pii_h", F.lower("t.text").alias("term"), "t.start", "t.end").join(terms, "term", "left_semi")
+    return words.groupBy("_pii_doc", "_pii_h").agg(F.collect_set(F.struct(F.lit(4).alias("kind_no"), F.lit(KINDS[4]).alias("kind"), "start", "end")).alias("found"))
+
+
+def disclosures(docs: DataFrame, min_letters: int = 1, support: int = 3, threshold: float = 0.9) -> DataFrame:
     """doc_id, _pii_hash, base and private: all spans, as arrays of (kind_no, kind, start, end); one row per document."""
-    mentions = checkpointed(_mentions(docs, reach))
-    near = _near_terms(mentions, reach, min_letters)
-    revealing = disclosing_terms(docs, near, support, threshold, min_letters)
-    hits = near.join(revealing, ["term", "entity"]).groupBy("doc_id", "_pii_hash").agg(F.collect_set(F.struct(F.lit(4).alias("kind_no"), F.lit(KINDS[4]).alias("kind"), "start", "end")).alias("terms"))
-    hits = hits.select(F.col("doc_id").alias("_pii_doc"), F.col("_pii_hash").alias("_pii_h"), "terms")
+    mentions = checkpointed(_mentions(docs, min_letters))
+    revealing = disclosing_terms(docs, mentions, support, threshold, min_letters).select("term").distinct()
+    hits = _term_spans(docs, revealing, min_letters)
     rows = mentions.join(hits, F.col("doc_id").eqNullSafe(F.col("_pii_doc")) & (F.col("_pii_hash") == F.col("_pii_h")), "left")
-    return rows.select("doc_id", "_pii_hash", "base", F.concat("base", F.coalesce("terms", F.array().cast(f"array<{NAMED}>"))).alias("private"))
+    return rows.select("doc_id", "_pii_hash", "base", F.concat("base", F.coalesce("found", F.array().cast(f"array<{NAMED}>"))).alias("private"))
 
 
 def sanitise(docs: DataFrame, generalise_terms: bool = True, **options: object) -> DataFrame:

@@ -181,6 +181,17 @@ def test_revealing_terms(docs_of):
     assert all("term" not in r.spans for r in pii.digest(copies).collect())
 
 
+def test_terms_over_whole_documents(docs_of):
+    far = " ".join(f"n{i}" for i in range(200))
+    rows = [(i, f"Xo {far} {i} boss@corp.example.com") for i in range(40)] + [(40, "ask xo."), (41, "boss, corp")]
+    rows += [(100 + i, f"nothing {i} at all") for i in range(400)]
+    docs = docs_of(rows)
+    got = {r.doc_id: r.spans for r in pii.digest(docs).collect()}
+    # Beyond any window, of two letters, where the entity is absent; words inside an address are no terms.
+    assert all("term:0:2" in got[i] and got[i].count("term") == 1 for i in range(40)) and got[40] == "term:4:6" and "term" not in got[41]
+    assert {r.doc_id: r.text for r in pii.sanitise(docs).collect()}[40] == "ask [TERM]."
+
+
 def test_edges(edges, empty):
     for run in (lambda d: mixing.mix(d), lambda d: line_dedup.apply(d, line_dedup.line_bitmaps(d)), secret_scan.digest, pii.digest, pii.sanitise):
         assert run(edges).count() == len(EDGES) and run(empty).count() == 0
