@@ -7,9 +7,10 @@ document.  Over the whole corpus
     disclosure(term, entity) = log2(p(entity | term) / p(entity)) / -log2 p(entity)
 
 is the share of the entity's information that the term gives away: p(entity) is the entity's share of all documents and
-p(entity | term) the share of the term's documents in which both stand together.  Terms at or over `threshold`, seen with
-the entity in `support` or more different texts, become spans of kind `term` wherever they stand in any document;
-`sanitise` generalises the entities to their kind and removes or generalises the terms.
+p(entity | term) the share s of the term's documents in which both stand together, smoothed by how much was seen of it: with
+c different texts that hold both (copies are one) it is (c s + p(entity)) / (c + 1), so no entity is too rare to have terms,
+and evidence from few texts counts for less.  Terms at or over `threshold` become spans of kind `term` wherever they stand
+in any document; `sanitise` generalises the entities to their kind and removes or generalises the terms.
 
 Rows meet by (term, entity) and by term, always as counts that were pre-aggregated before the shuffle.  Entities that stand
 in one text only have the same counts there, so one of them stands for all.  Spans are only cut from documents that hold a
@@ -147,13 +148,14 @@ def term_documents(docs: DataFrame, min_letters: int) -> DataFrame:
     return docs.select(F.explode(_terms(text_of(), min_letters)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("term_docs"))
 
 
-def disclosing_terms(docs: DataFrame, mentions: DataFrame, support: int, threshold: float, min_letters: int) -> DataFrame:
+def disclosing_terms(docs: DataFrame, mentions: DataFrame, threshold: float, min_letters: int) -> DataFrame:
     """(term, entity, disclosure) at or over the threshold; one entity stands for those of one text only."""
-    pairs = checkpointed(_pairs(mentions).where(F.col("contexts") >= support))
+    pairs = _pairs(mentions)
     total = mentions.agg(F.count(F.lit(1)).alias("n"))
     scored = pairs.join(term_documents(docs, min_letters), "term").crossJoin(F.broadcast(total))
     p_entity = F.least(F.col("entity_docs") / F.col("n"), F.lit(1.0))
-    p_given = F.least(F.col("pair_docs") / F.col("term_docs"), F.lit(1.0))
+    seen = F.least(F.col("pair_docs") / F.col("term_docs"), F.lit(1.0))
+    p_given = (F.col("contexts") * seen + p_entity) / (F.col("contexts") + 1)
     score = F.when(p_entity < 1, F.log2(p_given / p_entity) / -F.log2(p_entity)).otherwise(F.lit(0.0))
     return scored.select("term", "entity", score.alias("disclosure")).where(F.col("disclosure") >= threshold)
 
@@ -176,10 +178,10 @@ def _term_spans(docs: DataFrame, terms: DataFrame, min_letters: int) -> DataFram
     return words.groupBy("_pii_doc", "_pii_h").agg(F.collect_set(F.struct(F.lit(4).alias("kind_no"), F.lit(KINDS[4]).alias("kind"), "start", "end")).alias("found"))
 
 
-def disclosures(docs: DataFrame, min_letters: int = 1, support: int = 3, threshold: float = 0.9) -> DataFrame:
+def disclosures(docs: DataFrame, min_letters: int = 1, threshold: float = 0.9) -> DataFrame:
     """doc_id, _pii_hash, base and private: all spans, as arrays of (kind_no, kind, start, end); one row per document."""
     mentions = checkpointed(_mentions(docs, min_letters))
-    revealing = disclosing_terms(docs, mentions, support, threshold, min_letters).select("term").distinct()
+    revealing = disclosing_terms(docs, mentions, threshold, min_letters).select("term").distinct()
     hits = _term_spans(docs, revealing, min_letters)
     rows = mentions.join(hits, F.col("doc_id").eqNullSafe(F.col("_pii_doc")) & (F.col("_pii_hash") == F.col("_pii_h")), "left")
     return rows.select("doc_id", "_pii_hash", "base", F.concat("base", F.coalesce("found", F.array().cast(f"array<{NAMED}>"))).alias("private"))

@@ -192,6 +192,17 @@ def test_terms_over_whole_documents(docs_of):
     assert {r.doc_id: r.text for r in pii.sanitise(docs).collect()}[40] == "ask [TERM]."
 
 
+def test_terms_of_rare_entities(docs_of):
+    rows = [(1, "Zorblat plans with one@rare.example.com"), (2, "Quixmore plans for two@rare.example.com"), (3, "so Quixmore plans to meet two@rare.example.com"), (4, "and Zorblat again")]
+    rows += [(100 + i, f"so and again plans with for to meet number {i}") for i in range(1500)]
+    got = {r.doc_id: r.spans for r in pii.digest(docs_of(rows)).collect()}
+    # Seen in one text, or in two; not where the term stands without the entity half of the time, nor for common words.
+    assert "term:0:8" in got[2] and "term:3:11" in got[3] and all(got[i].count("term") == 1 for i in (2, 3))
+    assert "term" not in got[1] and "term" not in got[4] and "term" not in got[100]
+    one = {r.doc_id: r.spans for r in pii.digest(docs_of(rows[:3] + rows[4:])).collect()}
+    assert "term:0:7" in one[1]
+
+
 def test_edges(edges, empty):
     for run in (lambda d: mixing.mix(d), lambda d: line_dedup.apply(d, line_dedup.line_bitmaps(d)), secret_scan.digest, pii.digest, pii.sanitise):
         assert run(edges).count() == len(EDGES) and run(empty).count() == 0
