@@ -9,13 +9,14 @@ is cut into fragments and each fragment is worked on by itself:
    share at least one - to the fragments, as binary arrays.  With each n-gram goes the largest partner that the class could
    link with if this were the first n-gram in common: what follows it must hold the whole overlap.  A fragment keeps the
    member lists of n-grams that two or more classes hold and could link by, once per distinct list.
-3. In turns, a list's heads of the turn are paired with the members that are in other components, and the pairs are
-   verified: partial overlaps are counted in each fragment of the two sets and summed per pair.  Components of the links are
-   collapsed, and lists within one component are done.
-4. When few pairs are left, all pairs of a list whose members are still in different components and were not tried are
+3. For all links (`join`), all pairs of a list's members are verified: partial overlaps are counted in each fragment of the
+   two sets and summed per pair.  The links between different classes come out whole, so a group of near copies costs in
+   proportion to its pairs.
+4. For components only (`digest`, `keep_one`), in turns, a list's heads of the turn are paired with the members that are in other
+   components, and the pairs are verified.  Components of the links are collapsed, and lists within one component are done.
+   When few pairs are left, all pairs of a list whose members are still in different components and were not tried are
    verified likewise.  Members of one component need no test, so a group of near copies costs in proportion to its size,
-   and no link is lost that would join components.  (`links` lists the links that were verified; those inside a component
-   found earlier are implied by it.)
+   and no link is lost that would join components.
 
 Components come from alternating large-star and small-star steps, each a pre-aggregated minimum and a join.
 
@@ -285,8 +286,27 @@ def _filter_bytes(ids: DataFrame) -> object:
     return ids.sparkSession.sparkContext.broadcast(zlib.compress(np.packbits(flags).tobytes(), 1))
 
 
-def join(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN, sketch_bits: int = SKETCH_BITS) -> tuple[DataFrame, DataFrame]:
-    """(rows, links): doc_id, n_shingles, class and component_id per row; verified links (a, b) between class ids."""
+def _connecting(lists: DataFrame, named: DataFrame, least: DataFrame, n_rows: int, k: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) that have the components of all links."""
+    placed, links, tried = lists, None, None
+    for turn in range(STAR_TURNS):
+        pairs = _stars(placed, turn, num, den)
+        pairs = checkpointed(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        found = checkpointed(_verified(pairs, named, least, k, num, den))
+        links = found if links is None else links.unionByName(found)
+        tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
+        placed, left = _open_lists(placed, connected(links))
+        if left <= FEW_PAIRS * n_rows:
+            break
+    rest = checkpointed(_all_pairs(placed, num, den).join(tried, ["a", "b"], "left_anti"))
+    return checkpointed(links.unionByName(_verified(rest, named, least, k, num, den)))
+
+
+def join(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN, sketch_bits: int = SKETCH_BITS, every_link: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(rows, links): doc_id, n_shingles, class and component_id per row; links (a, b) between class ids, each once.
+
+    All links between different classes, or without `every_link` only some that connect the components.
+    """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     first = checkpointed(texts.mapInArrow(_classes(k, sketch_bits), CLASS_SCHEMA))
@@ -302,19 +322,7 @@ def join(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN, sketch
 
     with_words = rows.where("n > 0 and doc_id is not null")
     least = with_words.groupBy("class").agg(F.min("doc_id").alias("least"))
-    n_rows, placed, links, tried, comps = rows.count(), lists, None, None, None
-    for turn in range(STAR_TURNS):
-        pairs = _stars(placed, turn, num, den)
-        pairs = checkpointed(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        found = checkpointed(_verified(pairs, named, least, k, num, den))
-        links = found if links is None else links.unionByName(found)
-        tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
-        comps = connected(links)
-        placed, left = _open_lists(placed, comps)
-        if left <= FEW_PAIRS * n_rows:
-            break
-    rest = checkpointed(_all_pairs(placed, num, den).join(tried, ["a", "b"], "left_anti"))
-    links = checkpointed(links.unionByName(_verified(rest, named, least, k, num, den)))
+    links = checkpointed(_verified(checkpointed(_all_pairs(lists, num, den)), named, least, k, num, den)) if every_link else _connecting(lists, named, least, rows.count(), k, num, den)
 
     # Nodes are the documents' ids from here on: a class is its smallest one, and rows that share an id are one node.
     edges = links.join(least.select(F.col("class").alias("a"), F.col("least").alias("u")), "a").join(least.select(F.col("class").alias("b"), F.col("least").alias("v")), "b").select(F.col("u").alias("a"), F.col("v").alias("b"))
@@ -329,7 +337,7 @@ def join(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN, sketch
 
 def digest(docs: DataFrame, **options: object) -> DataFrame:
     """doc_id, n_shingles, component_id."""
-    return join(docs, **options)[0].select("doc_id", "n_shingles", "component_id")
+    return join(docs, every_link=False, **options)[0].select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one(docs: DataFrame, **options: object) -> DataFrame:
@@ -337,7 +345,7 @@ def keep_one(docs: DataFrame, **options: object) -> DataFrame:
 
     Rows with a null doc_id stay.
     """
-    rows = join(docs, **options)[0]
+    rows = join(docs, every_link=False, **options)[0]
     stays = rows.where("doc_id = component_id").select(F.col("doc_id").alias("_join_id")).distinct()
     ids = F.col("doc_id").cast("long")
     kept = docs.join(stays, ids == F.col("_join_id"), "left_semi")

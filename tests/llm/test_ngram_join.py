@@ -72,6 +72,20 @@ def test_against_brute_force(docs_of, corpus):
     assert any(i != c for i, c in want.items()) and len(links) > 50
 
 
+def test_every_link(docs_of, corpus):
+    want, _, links = brute(corpus)
+    out, found = ngram_join.join(docs_of(corpus), sketch_bits=16)
+    names = {}
+    for r in out.collect():
+        names.setdefault(r["class"], []).append(r.doc_id)
+    pairs = found.collect()
+    between = {(min(i, j), max(i, j)) for a, b in pairs for i in names[a] for j in names[b]}
+    equal = {(i, j) for ids in names.values() for i in ids for j in ids if i < j}
+    assert between | equal == links and len(pairs) == len(set(pairs)) and not between & equal
+    # The shortcut of the digest has the same components.
+    assert {r.doc_id: r.component_id for r in ngram_join.digest(docs_of(corpus)).collect()} == want
+
+
 def test_keep_one(docs_of, corpus):
     want, _, _ = brute(corpus)
     docs = docs_of(corpus + [(None, "no id"), (0, corpus[0][1])])
