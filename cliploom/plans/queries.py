@@ -419,7 +419,7 @@ def timecodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def screened_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole plan from signals to timeline, with customers as clips and hash-seeded frames."""
+    """The plan from signals to timeline without assembly, dedup, gates and budgets, with customers as clips and hash-seeded frames."""
     from . import screening
 
     clips = adapters.assets(spark, sf_dir)

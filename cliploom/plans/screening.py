@@ -1,4 +1,6 @@
-"""The whole screening plan: tables of clips, signals, spans and scenes in, ranked takes and a timeline out.
+"""A screening plan without assembly, dedup, gates and budgets: tables of clips, signals, spans and scenes in, ranked takes and a timeline out.
+
+Of the configuration only `top_windows` is read; the README lists what is left out.
 
 Seeds, refined ranges and segments are read several times each and are written to the shared checkpoint folder once.
 """
