@@ -55,7 +55,6 @@ class Model:
 
     def __init__(self, weights: dict[str, float], bias: float) -> None:
         self.weights, self.bias = weights, bias
-        self.floor = float(1 / (1 + np.exp(-bias)))
         self.known: dict[str, tuple[tuple[str, float], ...]] = {}
 
     def evidence(self, word: str) -> tuple[tuple[str, float], ...]:
@@ -66,19 +65,18 @@ class Model:
         return found
 
     def sentence(self, text: str) -> float:
-        """Of a text in lower case."""
+        """Of a text in lower case; 0 without evidence, so that length alone adds nothing."""
         held: dict[str, float] = {}
         for word in set(WORD.findall(text)):
             held.update(self.evidence(word))
-        return float(1 / (1 + np.exp(-(self.bias + sum(held.values()))))) if held else self.floor
+        return float(1 / (1 + np.exp(-(self.bias + sum(held.values()))))) if held else 0.0
 
     def document(self, text: str | None) -> float:
         text = (text or "").lower()
-        parts = SENTENCE.findall(text)
         if not any(map(self.evidence, set(WORD.findall(text)))):
-            return 1 - (1 - self.floor) ** len(parts)
+            return 0.0
         clean = 1.0
-        for part in parts:
+        for part in SENTENCE.findall(text):
             clean *= 1 - self.sentence(part)
         return 1 - clean
 

@@ -190,6 +190,13 @@ def test_toxicity(spark, docs_of):
     assert len(hits) > 90 and sum(bool(re.search("grumbly|snarkful|vexostem", x)) for x in hits) >= 0.97 * len(hits)
 
 
+def test_toxicity_of_long_clean_texts():
+    model = toxicity.Model({"snarkful": 14.0}, toxicity.BIAS)
+    clean = "a calm line of words\n" * 20_000
+    assert model.document(clean) == 0 and model.sentence("a calm line") == 0
+    assert model.document(clean + "snarkful") == pytest.approx(model.sentence("snarkful")) and model.sentence("snarkful") > 0.9
+
+
 def test_toxicity_edges(spark, edges, empty):
     marks = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
     got = toxicity.digest(edges, marks).collect()
