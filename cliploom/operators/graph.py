@@ -1,37 +1,83 @@
-"""Connected components over edge frames, by alternating star contraction.  Used by G10 and G16."""
+"""Connected components over edge frames, by contraction within tasks and star steps between them.  Used by G10 and G16."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import checkpointed as saved
+from ..sources.scratch import dropped, shares, written
+
+#: Edges that one task contracts by itself.
+TASK_EDGES = 1_000_000
+
+
+def least_reached(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For the nodes 0 to n - 1, the least node that the undirected edges (a, b) reach.
+
+    Trees hook to the least neighbouring tree and are flattened; a turn at least halves the trees that have a neighbour.
+    """
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        hooked = root.copy()
+        np.minimum.at(hooked, root[a], low)
+        np.minimum.at(hooked, root[b], low)
+        while not np.array_equal(flat := hooked[hooked], hooked):
+            hooked = flat
+        if np.array_equal(hooked, root):
+            return root
+        root = hooked
+
 
-def saved(df: DataFrame) -> DataFrame:
-    """Rows written to the session's shared checkpoint folder, with their lineage cut."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
-    return df.checkpoint(eager=True)
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A partition's nodes, each with the least node of its component within the partition."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    ends = [pa.chunked_array([b.column(i) for b in held]) for i in (0, 1)]
+    nodes = pc.unique(pa.chunked_array([c for e in ends for c in e.chunks]))
+    nodes = nodes.take(pc.array_sort_indices(nodes))
+    a, b = (pc.index_in(e, nodes).to_numpy().astype(np.int64) for e in ends)
+    root = least_reached(a, b, len(nodes))
+    yield pa.RecordBatch.from_arrays([nodes, nodes.take(pa.array(root))], names=["u", "v"])
 
 
-def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected(edges: DataFrame, most_rounds: int = 60, task_edges: int = TASK_EDGES) -> DataFrame:
     """(node, component): the least node that each node of the undirected edges (a, b) can reach.
 
-    Each round hooks every node's larger neighbours, then its smaller ones, to the least of them; it ends when a round
-    changes nothing.
+    Each round deals the edges to tasks of about `task_edges`, and each task replaces its edges by one edge from every node to
+    the least node that it reaches there.  Edges that one task holds are done by that.  Of more, every node hooks
+    its larger neighbours and then its smaller ones to the least of them, so trees of different tasks grow together; the
+    rounds end when one changes nothing.  Strings are compared by code point.
     """
 
     def hooked(pairs: DataFrame) -> DataFrame:
         low = pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         return pairs.join(low, "u")
 
-    now = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
+    kind = now.schema["u"].dataType.simpleString()
     seen = None
     for _ in range(most_rounds):
-        both = now.union(now.select("v", "u"))
+        n = shares(now.count(), task_edges)
+        forest = (now.coalesce(1) if n == 1 else now.repartition(n, "u")).mapInArrow(_forest, f"u {kind}, v {kind}")
+        if n == 1:
+            out = written(forest.select(F.col("u").alias("node"), F.col("v").alias("component")))
+            dropped(now)
+            return out
+        both = forest.where("u <> v")
+        both = both.union(both.select("v", "u"))
         wide = hooked(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         tight = hooked(wide)
-        now = saved(tight.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(tight.select("u", F.col("m").alias("v"))).distinct())
+        after = written(tight.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(tight.select("u", F.col("m").alias("v"))).distinct())
+        dropped(now)
+        now = after
         state = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if state == seen:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())

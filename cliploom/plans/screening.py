@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..operators import intervals, scoring, selection, sequence, signals, speech
-from ..operators.graph import saved
+from ..sources.scratch import checkpointed as saved
 
 
 @dataclass(frozen=True)

@@ -123,8 +123,9 @@ def test_components(spark):
         if a != b:
             x, y = find(a), find(b)
             parent[max(x, y)] = min(x, y)
-    got = {r.node: r.component for r in graph.connected(spark.createDataFrame(edges, "a int, b int")).collect()}
-    assert got == {x: find(x) for x in parent}
+    frame = spark.createDataFrame(edges, "a int, b int")
+    for task_edges in (graph.TASK_EDGES, 100):  # one task; stars between tasks
+        assert {r.node: r.component for r in graph.connected(frame, task_edges=task_edges).collect()} == {x: find(x) for x in parent}
 
 
 def test_acyclic(spark):
