@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import checkpointed, dropped, shares, written  # noqa: F401
+
 #: A word, and the white space it excludes.
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\f\r"
@@ -103,16 +105,5 @@ def joined(found: Column, by_kind: bool) -> Column:
     return F.array_join(F.transform(rows, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows, written to the folder that all executors share, with their lineage cut.
-
-    The folder is the session's spark.checkpoint.dir; only where that is unset (as in tests) a local one is taken.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
-    return df.checkpoint(eager=True)
-
-
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

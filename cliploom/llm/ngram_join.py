@@ -13,12 +13,16 @@ is cut into fragments and each fragment is worked on by itself:
    two sets and summed per pair.  The links between different classes come out whole, so a group of near copies costs in
    proportion to its pairs.
 4. For components only (`digest`, `keep_one`), in turns, a list's heads of the turn are paired with the members that are in other
-   components, and the pairs are verified.  Components of the links are collapsed, and lists within one component are done.
-   When few pairs are left, all pairs of a list whose members are still in different components and were not tried are
-   verified likewise.  Members of one component need no test, so a group of near copies costs in proportion to its size,
-   and no link is lost that would join components.
+   components, and the pairs are verified.  Lists within one component are done.  Turns go on as long as each at least
+   halves the pairs of a list's members in different components; what is left then is verified pair by pair.  Members
+   of one component need no test, so a group of near copies costs in proportion to its size, and no link is lost that
+   would join components.
+5. N-grams that the sketch gives to `hot_classes` classes or more are not gathered in a fragment: their lists are dealt by
+   class to many tasks, and joins on lists are dealt anew by Spark where they are skewed.
 
-Components come from alternating large-star and small-star steps, each a pre-aggregated minimum and a join.
+Components are found by contraction within tasks and, where one task can't hold the links, star steps between them.  Each turn
+only adds links between the components of the turn before.  Rows of the turns are small tables in the shared folder,
+removed when the next turn has read them.
 
 Edge cases: null, empty and blank texts have no n-grams and are linked with nothing; a text of fewer words than `k` is one
 n-gram; rows that share a doc_id are one node, so they are in one component; rows with a null doc_id get a null
@@ -31,6 +35,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -39,7 +44,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected
-from .columns import checkpointed, partitions
+from .columns import checkpointed, dropped, partitions, written
 from .shingles import mixed, set_id, shingle_sets, texts_of
 
 #: Similarity as a fraction, so that comparisons are exact.
@@ -49,10 +54,12 @@ SKETCH_BITS, SKETCH_PARTS = 22, 16
 #: Prefix n-grams that one fragment holds, about, and that a task gathers before it sends them.
 FRAGMENT_NGRAMS, FLUSH_NGRAMS = 400_000, 1_000_000
 VERIFY_FRAGMENTS = 4
-#: Turns of star pairs at most, and pairs left per document at which they end early.
-STAR_TURNS, FEW_PAIRS = 3, 0.25
+#: Pairs left per document at which turns of star pairs end.
+FEW_PAIRS = 0.25
 #: Members that later turns pair with the rest.
 HEADS = 16
+#: Classes that hold an n-gram, by the sketch, from which on its list is dealt to many tasks.
+HOT_CLASSES = 200_000
 #: Bits of the fixed-size filter for the documents whose sets are made.
 FILTER_BITS = 21
 
@@ -83,7 +90,7 @@ def _classes(k: int, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator
             n = len(ids)
             yield pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int8()), pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(names, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
         if some:
-            parts = np.minimum(counts, 255).astype(np.uint8).reshape(SKETCH_PARTS, -1)
+            parts = np.minimum(counts, 65_535).astype(np.uint16).reshape(SKETCH_PARTS, -1)
             m = SKETCH_PARTS
             yield pa.RecordBatch.from_arrays([pa.array([1] * m, pa.int8()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(range(m), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())], schema=schema)
 
@@ -93,15 +100,20 @@ def _classes(k: int, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator
 CLASS_SCHEMA = "kind tinyint, doc_id long, n long, class long, part int, counts binary"
 
 
+def _rank(counts: np.ndarray) -> np.ndarray:
+    """A count's logarithm in one byte."""
+    return np.minimum(8 * np.log2(1 + counts), 255).astype(np.uint8)
+
+
 def _sum_sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Adds up parts as they stream by; gives each part's counters as logarithms of one byte."""
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for part, packed in zip(batch["part"], batch["counts"]):
-            counts = np.frombuffer(zlib.decompress(packed), np.uint8)
+            counts = np.frombuffer(zlib.decompress(packed), np.uint16)
             sums[part] = sums[part] + counts if part in sums else counts.astype(np.int64)
     for part, counts in sums.items():
-        yield pd.DataFrame({"part": [part], "counts": [zlib.compress(np.minimum(8 * np.log2(1 + counts), 255).astype(np.uint8).tobytes(), 1)]})
+        yield pd.DataFrame({"part": [part], "counts": [zlib.compress(_rank(counts).tobytes(), 1)]})
 
 
 def _order(rows: DataFrame, bits: int) -> bytes:
@@ -112,17 +124,20 @@ def _order(rows: DataFrame, bits: int) -> bytes:
     return b"".join(parts.get(i, blank) for i in range(SKETCH_PARTS))
 
 
-def _postings(k: int, bits: int, sketch: object, n_fragments: int, num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _postings(k: int, bits: int, sketch: object, n_fragments: int, num: int, den: int, hot_classes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     schema = pa.schema([("fragment", pa.int32()), ("tokens", pa.binary()), ("classes", pa.binary()), ("sizes", pa.binary()), ("bounds", pa.binary())])
 
-    def flush(tokens: list, classes: list, sizes: list) -> pa.RecordBatch:
-        t = np.concatenate(tokens)
+    hot_rank = _rank(np.array([hot_classes]))[0]
+
+    def flush(tokens: list, ranks: list, classes: list, sizes: list) -> pa.RecordBatch:
+        t, hot = np.concatenate(tokens), np.concatenate(ranks) >= hot_rank
         lengths = [len(x) for x in tokens]
         c, s = np.repeat(np.array(classes, np.int64), lengths), np.repeat(np.array(sizes, np.int32), lengths)
         place = np.concatenate([np.arange(n) for n in lengths])
         b = ((s - place) * (num + den) // num - s).astype(np.int32)
         # The hash is the order within a count, so high bits of the mixed hash deal n-grams evenly.
-        f = (mixed(t) % np.uint64(n_fragments)).astype(np.int32)
+        # An n-gram of very many classes is dealt by class, to fragments of negative numbers.
+        f = np.where(hot, -1 - (c.view(np.uint64) % np.uint64(n_fragments)).astype(np.int64), (mixed(t) % np.uint64(n_fragments)).astype(np.int64)).astype(np.int32)
         by = np.argsort(f, kind="stable")
         t, c, s, b, f = t[by], c[by], s[by], b[by], f[by]
         names, at = np.unique(f, return_index=True)
@@ -133,7 +148,7 @@ def _postings(k: int, bits: int, sketch: object, n_fragments: int, num: int, den
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = np.frombuffer(sketch.value, np.uint8)
         seen: set[int] = set()
-        tokens, classes, sizes, total = [], [], [], 0
+        tokens, ranks, classes, sizes, total = [], [], [], [], 0
         with np.errstate(over="ignore"):
             for batch in batches:
                 for t in shingle_sets(texts_of(batch), k):
@@ -142,15 +157,17 @@ def _postings(k: int, bits: int, sketch: object, n_fragments: int, num: int, den
                     seen.add(name)
                     p = prefix_length(len(t), num, den)
                     r = rank[(t >> np.uint64(64 - bits)).astype(np.int64)]
-                    tokens.append(t[np.argsort(r, kind="stable")[:p]])
+                    first = np.argsort(r, kind="stable")[:p]
+                    tokens.append(t[first])
+                    ranks.append(r[first])
                     classes.append(name)
                     sizes.append(len(t))
                     total += p
                     if total >= FLUSH_NGRAMS:
-                        yield flush(tokens, classes, sizes)
-                        tokens, classes, sizes, total = [], [], [], 0
+                        yield flush(tokens, ranks, classes, sizes)
+                        tokens, ranks, classes, sizes, total = [], [], [], [], 0
             if tokens:
-                yield flush(tokens, classes, sizes)
+                yield flush(tokens, ranks, classes, sizes)
 
     return run
 
@@ -159,11 +176,14 @@ def _member_lists(num: int, den: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """The member lists of a fragment's n-grams that two or more classes hold, once per distinct list: (list, class, size, bound).
 
     A member stays where another one's size is within its reach; of lists with the same members the largest bounds count.
+    A fragment of hot n-grams holds a part of each list, which is named after its n-gram and passed on as it is.
     """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         gather = lambda name, kind: np.frombuffer(b"".join(frame[name]), kind)
         t, c, s, b = gather("tokens", np.uint64), gather("classes", np.int64), gather("sizes", np.int32), gather("bounds", np.int32)
+        if frame["fragment"].iat[0] < 0:
+            return pd.DataFrame({"list": t.view(np.int64), "class": c, "size": s, "bound": b})
         by = np.lexsort((c, t))
         t, c, s, b = t[by], c[by], s[by], b[by]
         new = np.ones(len(t), bool)
@@ -227,82 +247,103 @@ def _fits(a: str, b: str, num: int, den: int) -> Column:
     return (size_a * den >= size_b * num) & (size_b * den >= size_a * num) & (size_b <= F.col(f"bound_{a}")) & (size_a <= F.col(f"bound_{b}"))
 
 
-def _ordered_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b, size_a, size_b) with a < b, each once."""
-    swap = F.col("a") > F.col("b")
-    pick = lambda x, y, name: F.when(swap, F.col(y)).otherwise(F.col(x)).alias(name)
-    return rows.select(pick("a", "b", "a"), pick("b", "a", "b"), pick("size_a", "size_b", "size_a"), pick("size_b", "size_a", "size_b")).distinct()
+_MEMBER = ("class", "size", "bound", "node", "component", "degree")
+_PAIR = tuple(f"{c}_{x}" for c in ("class", "size", "node", "component") for x in "ab")
+
+
+def _side(rows: DataFrame, x: str) -> DataFrame:
+    return rows.select(F.col("list").alias(f"list_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in _MEMBER))
+
+
+def _untried(rows: DataFrame, tried: list[DataFrame]) -> DataFrame:
+    """The pairs, the smaller class first and each once, without those of `tried`."""
+    swap = F.col("class_a") > F.col("class_b")
+    pick = lambda c, x, y: F.when(swap, F.col(f"{c}_{y}")).otherwise(F.col(f"{c}_{x}")).alias(f"{c}_{x}")
+    rows = rows.select(*(pick(c, x, "b" if x == "a" else "a") for c in ("class", "size", "node", "component") for x in "ab"), F.lit(0).alias("old"))
+    for done in tried:
+        rows = rows.unionByName(done.withColumn("old", F.lit(1)))
+    # Components change from turn to turn, so they are not part of the key.
+    rows = rows.groupBy(*_PAIR[:6]).agg(F.max("old").alias("old"), *(F.min(c).alias(c) for c in _PAIR[6:]))
+    return rows.where("old = 0").drop("old")
 
 
 def _stars(placed: DataFrame, turn: int, num: int, den: int) -> DataFrame:
-    """Each list's heads of this turn with the members in other components: one head at first, then some more."""
-    order = Window.partitionBy("list").orderBy(F.xxhash64("class", F.lit(turn)), "class")
-    heads = placed.withColumn("_turn", F.row_number().over(order)).where(F.col("_turn") <= (HEADS if turn else 1))
-    side = lambda df, x: df.select(F.col("list").alias(f"list_{x}"), F.col("class").alias(x), F.col("size").alias(f"size_{x}"), F.col("bound").alias(f"bound_{x}"), F.col("component").alias(f"c_{x}"))
-    on = (F.col("list_a") == F.col("list_b")) & (F.col("a") != F.col("b")) & (F.col("c_a") != F.col("c_b")) & _fits("a", "b", num, den)
-    return _ordered_pairs(side(heads, "a").join(side(placed, "b"), on))
+    """Each list's heads of this turn with the members in other components: one head at first, then up to `HEADS`.
+
+    Heads are the members that stand in the most lists: a class with few n-grams of its own is in the middle of its
+    copies and links with most of them.  They are found with partial aggregation; lists that share members mostly share heads.
+    """
+    order = F.struct((-F.col("degree")).alias("d"), F.xxhash64("class", F.lit(turn)).alias("h"), *_MEMBER)
+    slot = F.pmod(F.xxhash64("class", F.lit(-1 - turn)), F.lit(HEADS if turn else 1))
+    heads = placed.groupBy("list", slot.alias("slot")).agg(F.min(order).alias("head")).select("list", *(F.col(f"head.{c}").alias(c) for c in _MEMBER))
+    on = (F.col("list_a") == F.col("list_b")) & (F.col("class_a") != F.col("class_b")) & (F.col("component_a") != F.col("component_b")) & _fits("a", "b", num, den)
+    return _side(heads, "a").join(_side(placed, "b"), on)
 
 
 def _all_pairs(placed: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of a list's members in different components."""
-    side = lambda x: placed.select("list", F.col("class").alias(x), F.col("size").alias(f"size_{x}"), F.col("bound").alias(f"bound_{x}"), F.col("component").alias(f"c_{x}"))
-    one, two = side("a"), side("b")
-    on = (one["list"] == two["list"]) & (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & _fits("a", "b", num, den)
-    return one.join(two, on).select("a", "b", "size_a", "size_b").distinct()
+    on = (F.col("list_a") == F.col("list_b")) & (F.col("class_a") < F.col("class_b")) & (F.col("component_a") != F.col("component_b")) & _fits("a", "b", num, den)
+    return _side(placed, "a").join(_side(placed, "b"), on)
 
 
-def _open_lists(lists: DataFrame, comps: DataFrame) -> tuple[DataFrame, int]:
+def _open_lists(placed: DataFrame, comps: DataFrame) -> tuple[DataFrame, int]:
     """The lists whose members are in more than one component, and the pairs of members that this leaves at most."""
-    placed = lists.drop("component").join(comps.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    each = placed.groupBy("list", "component").agg(F.count(F.lit(1)).alias("m")).groupBy("list").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("q"), F.count(F.lit(1)).alias("parts"))
-    each = each.where("parts > 1")
-    placed = checkpointed(placed.join(each.select("list"), "list", "left_semi"))
-    again = placed.groupBy("list", "component").agg(F.count(F.lit(1)).alias("m")).groupBy("list").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("q"))
-    return placed, again.agg(F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("q")) / 2), F.lit(0))).first()[0]
+    moved = placed.join(comps.select(F.col("node").alias("component"), F.col("component").alias("_to")), "component", "left")
+    moved = written(moved.select("list", "class", "size", "bound", "node", F.coalesce("_to", "component").alias("component"), "degree"))
+    m = F.col("m")
+    each = moved.groupBy("list", "component").agg(F.count(F.lit(1)).alias("m")).groupBy("list").agg(((F.sum(m) * F.sum(m) - F.sum(m * m)) / 2).alias("pairs"))
+    still = written(each.where("pairs > 0"))
+    out = written(moved.join(still.select("list"), "list", "left_semi"))
+    left = still.agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0]
+    dropped(moved, still)
+    return out, left
 
 
-def _verified(pairs: DataFrame, named: DataFrame, least: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b, size_a, size_b) that link: overlaps counted by fragment, summed by pair.
+def _verified(pairs: DataFrame, named: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The pairs that link: overlaps counted by fragment, summed by pair.
 
     Sets are made anew from each class's first document, only for classes in `pairs`.  The filter may let a few others
     through, which the join leaves out; a set that comes twice is counted once.
     """
-    classes = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(least, "class")
-    sets = named.mapInArrow(_sets(k, _filter_bytes(classes), VERIFY_FRAGMENTS), "class long, fragment int, tokens array<long>")
-    left = sets.select(F.col("class").alias("a"), "fragment", F.col("tokens").alias("tokens_a"))
-    right = sets.select(F.col("class").alias("b"), "fragment", F.col("tokens").alias("tokens_b"))
+    sets = named.mapInArrow(_sets(k, _filter_bytes(pairs), VERIFY_FRAGMENTS), "class long, fragment int, tokens array<long>")
+    side = lambda x: sets.select(F.col("class").alias(f"class_{x}"), "fragment", F.col("tokens").alias(f"tokens_{x}"))
     pieces = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(VERIFY_FRAGMENTS - 1))))
-    partial = pieces.join(left, ["a", "fragment"]).join(right, ["b", "fragment"]).select("a", "b", "fragment", "size_a", "size_b", F.size(F.array_intersect("tokens_a", "tokens_b")).alias("common"))
-    partial = partial.groupBy("a", "b", "fragment", "size_a", "size_b").agg(F.max("common").alias("common"))
-    summed = partial.groupBy("a", "b", "size_a", "size_b").agg(F.sum("common").alias("common"))
-    return summed.where(F.col("common") * den >= (F.col("size_a") + F.col("size_b") - F.col("common")) * num).select("a", "b")
+    partial = pieces.join(side("a"), ["class_a", "fragment"]).join(side("b"), ["class_b", "fragment"]).select(*_PAIR, "fragment", F.size(F.array_intersect("tokens_a", "tokens_b")).alias("common"))
+    of_fragment = lambda i: F.coalesce(F.max(F.when(F.col("fragment") == i, F.col("common"))), F.lit(0))
+    summed = partial.groupBy(*_PAIR).agg(reduce(Column.__add__, map(of_fragment, range(VERIFY_FRAGMENTS))).alias("common"))
+    return summed.where(F.col("common") * den >= (F.col("size_a") + F.col("size_b") - F.col("common")) * num).drop("common")
 
 
-def _filter_bytes(ids: DataFrame) -> object:
-    """A bit per `least` modulo 2**FILTER_BITS; what is collected has at most that many rows."""
-    slots = ids.select(F.col("least").bitwiseAND((1 << FILTER_BITS) - 1).cast("int").alias("slot")).distinct().toPandas()["slot"].to_numpy().astype(np.int64)
+def _filter_bytes(pairs: DataFrame) -> object:
+    """A bit per first document of a class in `pairs`, modulo 2**FILTER_BITS; what is collected has at most that many rows."""
+    slots = pairs.select(F.explode(F.array("node_a", "node_b")).alias("node")).select(F.col("node").bitwiseAND((1 << FILTER_BITS) - 1).cast("int").alias("slot")).distinct()
     flags = np.zeros(1 << FILTER_BITS, np.uint8)
-    flags[slots] = 1
-    return ids.sparkSession.sparkContext.broadcast(zlib.compress(np.packbits(flags).tobytes(), 1))
-
-
-def _connecting(lists: DataFrame, named: DataFrame, least: DataFrame, n_rows: int, k: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) that have the components of all links."""
-    placed, links, tried = lists, None, None
-    for turn in range(STAR_TURNS):
-        pairs = _stars(placed, turn, num, den)
-        pairs = checkpointed(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        found = checkpointed(_verified(pairs, named, least, k, num, den))
-        links = found if links is None else links.unionByName(found)
-        tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
-        placed, left = _open_lists(placed, connected(links))
-        if left <= FEW_PAIRS * n_rows:
+    flags[slots.toArrow().column(0).to_numpy()] = 1
+    return pairs.sparkSession.sparkContext.broadcast(zlib.compress(np.packbits(flags).tobytes(), 1))
+
+
+def _connecting(placed: DataFrame, named: DataFrame, n_rows: int, k: int, num: int, den: int) -> list[DataFrame]:
+    """Links that have the components of all links, by turn."""
+    links, tried, turn, before = [], [], 0, math.inf
+    while True:
+        tried.append(written(_untried(_stars(placed, turn, num, den), tried)))
+        links.append(written(_verified(tried[-1], named, k, num, den)))
+        comps = connected(links[-1].select(F.col("component_a").alias("a"), F.col("component_b").alias("b")))
+        after, left = _open_lists(placed, comps)
+        dropped(placed, comps)
+        placed, turn = after, turn + 1
+        # Turns go on as long as they do more than testing the pairs that are left would.
+        if left <= FEW_PAIRS * n_rows or left * 2 > before:
             break
-    rest = checkpointed(_all_pairs(placed, num, den).join(tried, ["a", "b"], "left_anti"))
-    return checkpointed(links.unionByName(_verified(rest, named, least, k, num, den)))
+        before = left
+    if left:
+        tried.append(written(_untried(_all_pairs(placed, num, den), tried)))
+        links.append(written(_verified(tried[-1], named, k, num, den)))
+    dropped(placed, *tried)
+    return links
 
 
-def join(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN, sketch_bits: int = SKETCH_BITS, every_link: bool = True) -> tuple[DataFrame, DataFrame]:
+def join(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN, sketch_bits: int = SKETCH_BITS, every_link: bool = True, hot_classes: int = HOT_CLASSES) -> tuple[DataFrame, DataFrame]:
     """(rows, links): doc_id, n_shingles, class and component_id per row; links (a, b) between class ids, each once.
 
     All links between different classes, or without `every_link` only some that connect the components.
@@ -312,27 +353,34 @@ def join(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN, sketch
     first = checkpointed(texts.mapInArrow(_classes(k, sketch_bits), CLASS_SCHEMA))
     rows = first.where("kind = 0").select("doc_id", "n", "class")
     sketch = spark.sparkContext.broadcast(_order(first, sketch_bits))
-    total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    n_rows, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     n_fragments = max(partitions(spark), math.ceil(total * (den - num) / den / FRAGMENT_NGRAMS), 1)
 
     named = texts.where("doc_id is not null")
-    sent = named.mapInArrow(_postings(k, sketch_bits, sketch, n_fragments, num, den), "fragment int, tokens binary, classes binary, sizes binary, bounds binary")
+    sent = named.mapInArrow(_postings(k, sketch_bits, sketch, n_fragments, num, den, hot_classes), "fragment int, tokens binary, classes binary, sizes binary, bounds binary")
     lists = sent.groupBy("fragment").applyInPandas(_member_lists(num, den), "list long, class long, size int, bound int")
-    lists = checkpointed(lists.groupBy("list", "class", "size").agg(F.max("bound").alias("bound")).withColumn("component", F.col("class")))
-
     with_words = rows.where("n > 0 and doc_id is not null")
-    least = with_words.groupBy("class").agg(F.min("doc_id").alias("least"))
-    links = checkpointed(_verified(checkpointed(_all_pairs(lists, num, den)), named, least, k, num, den)) if every_link else _connecting(lists, named, least, rows.count(), k, num, den)
-
-    # Nodes are the documents' ids from here on: a class is its smallest one, and rows that share an id are one node.
-    edges = links.join(least.select(F.col("class").alias("a"), F.col("least").alias("u")), "a").join(least.select(F.col("class").alias("b"), F.col("least").alias("v")), "b").select(F.col("u").alias("a"), F.col("v").alias("b"))
+    least = checkpointed(with_words.groupBy("class").agg(F.min("doc_id").alias("node")))
+    # From here on a class's node is its first document, and its component the least node that it is known to reach.
+    lists = lists.groupBy("list", "class", "size").agg(F.max("bound").alias("bound"))
+    degree = F.count(F.lit(1)).over(Window.partitionBy("class")).alias("degree")
+    lists = written(lists.join(least, "class").select("list", "class", "size", "bound", "node", F.col("node").alias("component"), degree))
+    if every_link:
+        pairs = written(_untried(_all_pairs(lists, num, den), []))
+        links = [written(_verified(pairs, named, k, num, den))]
+        dropped(lists, pairs)
+    else:
+        links = _connecting(lists, named, n_rows, k, num, den)
+
+    # Rows that share an id are one node.
     twice = with_words.select("doc_id", "class").distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("doc_id")
-    shared = with_words.join(twice, "doc_id", "left_semi").join(least, "class").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
-    comps = connected(edges.unionByName(shared)).withColumnRenamed("node", "least")
-    of_class = least.join(comps, "least", "left").select("class", F.coalesce("component", "least").alias("component"))
+    shared = with_words.join(twice, "doc_id", "left_semi").join(least, "class").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    every = reduce(DataFrame.unionByName, links)
+    comps = connected(every.select(F.col("component_a").alias("a"), F.col("component_b").alias("b")).unionByName(shared))
+    of_class = least.join(comps, "node", "left").select("class", F.coalesce("component", "node").alias("component"))
     out = rows.join(of_class, "class", "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), "class", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
-    return out, links
+    return out, every.select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
 
 
 def digest(docs: DataFrame, **options: object) -> DataFrame:

@@ -86,6 +86,14 @@ def test_every_link(docs_of, corpus):
     assert {r.doc_id: r.component_id for r in ngram_join.digest(docs_of(corpus)).collect()} == want
 
 
+def test_hot_lists_and_turns(docs_of, corpus, monkeypatch):
+    """Lists dealt by class, and turns that go on to the last pair."""
+    want, _, _ = brute(corpus)
+    monkeypatch.setattr(ngram_join, "FEW_PAIRS", 0)
+    monkeypatch.setattr(ngram_join, "HEADS", 2)
+    assert {r.doc_id: r.component_id for r in ngram_join.digest(docs_of(corpus), hot_classes=3).collect()} == want
+
+
 def test_keep_one(docs_of, corpus):
     want, _, _ = brute(corpus)
     docs = docs_of(corpus + [(None, "no id"), (0, corpus[0][1])])
