@@ -1,6 +1,7 @@
 """Toxicity, HTML extraction, decontamination, token counts and quality rules."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -136,13 +137,20 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><b
 
 def test_html():
     article = "<article><h1>A &amp; B</h1><p><b>One\n two<br>three<p>Caf&eacute;&nbsp;x<ul><li>i<li>ii</ul><aside>ad</aside><div class='share'>Share</div></article>"
-    assert html_extract.main_text(PAGE % article) == "A & B\nOne two three\nCafé x\ni\nii"
-    assert html_extract.main_text(PAGE % "<div class='text'><p>Plain page</p><p>Two</p></div>") == "Plain page\nTwo"
-    assert html_extract.main_text("<body><article><p>cut <b>off") == "cut off"
-    assert html_extract.main_text("a < b and c") == "a < b and c"
-    assert html_extract.main_text("<p title='a > b'>x</p><!-- <p>gone</p> --><p hidden>h</p>") == "x"
+    assert html_extract.main_text(PAGE % article)[0] == "A & B\nOne two three\nCafé x\ni\nii"
+    assert html_extract.main_text(PAGE % "<div class='text'><p>Plain page</p><p>Two</p></div>")[0] == "Plain page\nTwo"
+    assert html_extract.main_text("<body><article><p>cut <b>off")[0] == "cut off"
+    assert html_extract.main_text("a < b and c")[0] == "a < b and c"
+    assert html_extract.main_text("<p title='a > b'>x</p><!-- <p>gone</p> --><p hidden>h</p>")[0] == "x"
     for odd in (None, "", "<html></html>", "<script>x", "<!-- never closed <p>x</p>", "</p></div>"):
-        assert html_extract.main_text(odd) == ""
+        assert html_extract.main_text(odd) == ("", False)
+    for kept in ("layout has-sidebar", "header-fixed page", "form-factor-review", "blog-posts", "downloads"):
+        assert html_extract.main_text(f"<div class='{kept}'><p>Real text</p></div>")[0] == "Real text"
+    for gone in ("sidebar-inner", "site-footer", "siteFooter", "related-posts", "cookie-notice", "main-nav", "share-buttons", "comment-12", "ad_box", "side-bar left"):
+        assert html_extract.main_text(f"<div class='{gone}'>Noise</div><p>Real text</p>")[0] == "Real text"
+    assert html_extract.main_text('<p>a</p><svg width="3"/><p>b</p><svg><text>no</text></svg><math a="/"/><p>c</p>')[0] == "a\nb\nc"
+    long = [f"Paragraph {i} of a very long page." for i in range(30_000)]
+    assert html_extract.main_text("<article>" + "".join(f"<p>{x}</p>" for x in long) + "</article>")[0] == "\n".join(long)
 
 
 def test_site_style_tree(spark):
@@ -160,6 +168,51 @@ def test_site_style_tree(spark):
     assert html_extract.digest(pages.where("false")).count() == 0
 
 
+def site(host, n, page):
+    return [(i, f"https://{host}/{i}", page(i)) for i in range(n)]
+
+
+COLUMNS = "page_id long, url string, html string"
+
+
+def test_tree_within_the_article(spark):
+    """Templates inside the article go where the host has enough pages, and stay where it has not."""
+    page = lambda i: f"<body><article><h1>Title {i}</h1><h2>Summary</h2><p>Text of page {i}.</p><div class='end'><p>Read our letter</p></div><p>We were founded in 1901.</p></article></body>"
+    for n, want in ((20, "Title {0}\nSummary\nText of page {0}."), (3, "Title {0}\nSummary\nText of page {0}.\nRead our letter\nWe were founded in 1901.")):
+        rows = html_extract.digest(spark.createDataFrame(site("a.example.com", n, page), COLUMNS)).collect()
+        assert {r.page_id: r.text for r in rows} == {i: want.format(i) for i in range(n)} and {r.by_tree for r in rows} == {n == 20}
+
+
+def test_tree_beside_the_article(spark):
+    """Without an article element the tree finds the main branch; a page without it falls back to what is not noise."""
+    page = lambda i: f"<body><div class='a'><h1>Title {i}</h1></div><h1>Story {i}</h1><div class='teasers'><p>Short {i}</p></div><div class='wide'><div class='text'><h2>On {i}</h2><p>{f'Text of page {i}. ' * 20}</p></div></div></body>"
+    rows = site("b.example.com", 12, page) + [(99, "https://b.example.com/x", "<body><div class='other'><p>Another kind of page</p></div></body>")]
+    got = {r.page_id: (r.text, r.by_tree) for r in html_extract.digest(spark.createDataFrame(rows, COLUMNS)).collect()}
+    assert got == {i: (f"Story {i}\nOn {i}\n" + " ".join([f"Text of page {i}."] * 20), True) for i in range(12)} | {99: ("Another kind of page", False)}
+
+
+def test_tree_by_brute_force(spark):
+    rnd = random.Random(3)
+    part = lambda i: rnd.choice([f"<p>own {i} {rnd.random()}</p>", "<p>same</p>", "<div class='x'><p>box</p></div>", f"<div class='y'><h2>t{i % 3}</h2><b>{i % 5}</b></div>", "<ul><li>one</ul>"])
+    rows = [(i, f"https://{'ab'[i % 2]}.example.com/{i}", f"<body>{''.join(part(i) for _ in range(rnd.randrange(6)))}<article>{''.join(part(i) for _ in range(rnd.randrange(4)))}</article></body>") for i in range(60)]
+    rows += rows[:7]
+    pages = spark.createDataFrame(rows, COLUMNS)
+    seen = {}
+    for _, url, page in rows:
+        for path, copy, what, value, _ in html_extract.page_nodes(page):
+            seen.setdefault((url[8], path), {}).setdefault(what, set()).add((copy, value))
+    want = {}
+    for (host, path), by in seen.items():
+        ent = []
+        for what in (html_extract.STYLE, html_extract.CONTENT):
+            counts = Counter(v for _, v in by[what])
+            m = sum(counts.values())
+            ent.append(-sum(c / m * math.log(c / m, m) for c in counts.values()) if m > 1 else 1.0)
+        want[(f"{host}.example.com", path)] = (len(by[html_extract.CONTENT]), 0.1 * ent[0] + 0.9 * ent[1])
+    got = {(r.host, r.path): (r.pages, r.importance) for r in html_extract.style_tree(html_extract.node_counts(pages)).collect()}
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-9 for k in got)
+
+
 def test_copies_are_no_template(spark):
     page = "<html><body><article><h1>News</h1><p>The very same article text.</p></article></body></html>"
     pages = spark.createDataFrame([(i, "http://h.example.com/", page) for i in range(30)], "page_id long, url string, html string")
@@ -215,4 +268,4 @@ def test_html_beyond_the_broadcast(spark):
     page = lambda i: (i, "http://a.example.com/", f"<body><div class='box'><p>Article {i} is about {i * 3}</p></div><div class='low'><p>Call us today</p></div></body>")
     pages = spark.createDataFrame([page(i) for i in range(9)], "page_id long, url string, html string")
     small, large = (sorted(map(tuple, html_extract.extract(pages, broadcast_chars=n).collect())) for n in (10_000, 0))
-    assert small == large and all("Call" not in t for _, _, t, _ in small)
+    assert small == large and all("Call" not in r[2] for r in small)
