@@ -12,6 +12,11 @@ c different texts that hold both (copies are one) it is (c s + p(entity)) / (c +
 and evidence from few texts counts for less.  Terms at or over `threshold` become spans of kind `term` wherever they stand
 in any document; `sanitise` generalises the entities to their kind and removes or generalises the terms.
 
+A term's documents are counted over the corpus only where they can matter.  p(entity | term) must reach
+p(entity) ** (1 - threshold), and a term stands in no fewer documents than in those with entities.  So terms that stand in
+too many of the documents with entities go before terms and entities meet, and pairs that fall short on these counts go
+before the corpus is read for the terms of the rest.  No term that discloses is lost by it.
+
 Rows meet by (term, entity) and by term, always as counts that were pre-aggregated before the shuffle.  Entities that stand
 in one text only have the same counts there, so one of them stands for all.  Spans are only cut from documents that hold a
 revealing term; lists of at most `BROADCAST_ROWS` rows are broadcast, longer ones are shuffled.
@@ -87,7 +92,12 @@ def entities(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns, base: an array of (kind_no, kind, start, end), and values: the entity of each, in order."""
     t = F.col("_pii_text")
     cut = docs.select(*keep, unmarked(text_of()).alias("_pii_text"))
-    cut = cut.select(*keep, _email_segments(t).alias("_pii_0"), _ip_segments(t).alias("_pii_1"), _card_segments(t).alias("_pii_2"), _phone_segments(t).alias("_pii_3"))
+    # Most texts lack what a pattern needs, and are not searched for it.
+    cut = cut.withColumn("_pii_digits", t.rlike("[0-9]"))
+    digits, nothing = F.col("_pii_digits"), F.array(t)
+    need = (F.contains(t, F.lit("@")), digits & F.contains(t, F.lit(".")), digits, digits & F.contains(t, F.lit("+")))
+    found = (_email_segments(t), _ip_segments(t), _card_segments(t), _phone_segments(t))
+    cut = cut.select(*keep, *(F.when(has, x).otherwise(nothing).alias(f"_pii_{i}") for i, (has, x) in enumerate(zip(need, found))))
     ok = (lambda x: F.lit(True), _ip_ok, _card_ok, _phone_ok)
     value = (lambda x: F.lower(F.replace(x, F.lit(SPACE_MARK), F.lit("."))), lambda x: x, _digits, _digits)
 
@@ -130,8 +140,18 @@ def _mentions(docs: DataFrame, min_letters: int) -> DataFrame:
     return rows.select("doc_id", "_pii_hash", "base", F.array_distinct("values").alias("values"), terms.alias("terms"))
 
 
-def _pairs(mentions: DataFrame) -> DataFrame:
-    """term, entity, entity_docs, pair_docs, contexts: counts of documents, and of different texts, over whole documents."""
+def _disclosure(pair_docs: Column, term_docs: Column, entity_docs: Column, contexts: Column, n: int) -> Column:
+    p_entity = F.least(entity_docs / F.lit(n), F.lit(1.0))
+    seen = F.least(pair_docs / term_docs, F.lit(1.0))
+    p_given = (contexts * seen + p_entity) / (contexts + 1)
+    return F.when(p_entity < 1, F.log2(p_given / p_entity) / -F.log2(p_entity)).otherwise(F.lit(0.0))
+
+
+def candidate_pairs(mentions: DataFrame, n: int, threshold: float) -> DataFrame:
+    """term, entity, entity_docs, pair_docs, contexts: counts of documents, and of different texts, over whole documents.
+
+    All pairs that can disclose, and some that term counts over the corpus will show not to.
+    """
     texts = mentions.where(F.size("values") > 0).groupBy("_pii_hash").agg(F.count(F.lit(1)).alias("copies"), F.first("values").alias("values"), F.first("terms").alias("terms"))
     texts = checkpointed(texts)
     placed = texts.select("_pii_hash", "copies", F.explode("values").alias("entity"))
@@ -139,25 +159,17 @@ def _pairs(mentions: DataFrame) -> DataFrame:
     single = counted.where("texts = 1").groupBy("_pii_hash", "entity_docs").agg(F.min("entity").alias("entity"))
     shared = placed.select("_pii_hash", "entity").join(counted.where("texts > 1").select("entity", "entity_docs"), "entity")
     stand = single.unionByName(shared.select("_pii_hash", "entity_docs", "entity"))
-    each = texts.select("_pii_hash", "copies", "terms").join(stand, "_pii_hash").select("entity", "entity_docs", "copies", F.explode("terms").alias("term"))
-    return each.groupBy("term", "entity", "entity_docs").agg(F.sum("copies").alias("pair_docs"), F.count(F.lit(1)).alias("contexts"))
-
-
-def term_documents(docs: DataFrame, min_letters: int) -> DataFrame:
-    """In how many documents of the corpus each term stands, counted with partial sums before the shuffle."""
-    return docs.select(F.explode(_terms(text_of(), min_letters)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("term_docs"))
-
+    # The documents that a term may stand in at most to disclose the entity, a rounding error aside.
+    most = F.pow(F.col("entity_docs").cast("double"), F.lit(threshold)) * (float(n) ** (1 - threshold) * (1 + 1e-9))
+    stand = checkpointed(stand.withColumn("most", most))
 
-def disclosing_terms(docs: DataFrame, mentions: DataFrame, threshold: float, min_letters: int) -> DataFrame:
-    """(term, entity, disclosure) at or over the threshold; one entity stands for those of one text only."""
-    pairs = _pairs(mentions)
-    total = mentions.agg(F.count(F.lit(1)).alias("n"))
-    scored = pairs.join(term_documents(docs, min_letters), "term").crossJoin(F.broadcast(total))
-    p_entity = F.least(F.col("entity_docs") / F.col("n"), F.lit(1.0))
-    seen = F.least(F.col("pair_docs") / F.col("term_docs"), F.lit(1.0))
-    p_given = (F.col("contexts") * seen + p_entity) / (F.col("contexts") + 1)
-    score = F.when(p_entity < 1, F.log2(p_given / p_entity) / -F.log2(p_entity)).otherwise(F.lit(0.0))
-    return scored.select("term", "entity", score.alias("disclosure")).where(F.col("disclosure") >= threshold)
+    each = texts.select("_pii_hash", "copies", F.explode("terms").alias("term"))
+    seen = each.groupBy("term").agg(F.sum("copies").alias("seen_docs"))
+    most_of_text = stand.groupBy("_pii_hash").agg(F.max("most").alias("text_most"))
+    rare = each.join(most_of_text, "_pii_hash").join(seen.where(F.col("seen_docs") <= F.lit(stand.agg(F.max("most")).first()[0] or 0.0)), "term").where("seen_docs <= text_most")
+    pairs = rare.select("_pii_hash", "copies", "term", "seen_docs").join(stand, "_pii_hash").where("seen_docs <= most")
+    pairs = pairs.groupBy("term", "entity", "entity_docs", "seen_docs").agg(F.sum("copies").alias("pair_docs"), F.count(F.lit(1)).alias("contexts"))
+    return pairs.where(_disclosure(F.col("pair_docs"), F.col("seen_docs"), F.col("entity_docs"), F.col("contexts"), n) >= threshold - 1e-9).drop("seen_docs")
 
 
 def _bounded(rows: DataFrame) -> DataFrame:
@@ -166,12 +178,24 @@ def _bounded(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
-def _term_spans(docs: DataFrame, terms: DataFrame, min_letters: int) -> DataFrame:
-    """_pii_doc, _pii_h, terms: the spans of the given terms in every document that holds one."""
+def holders(docs: DataFrame, terms: DataFrame, min_letters: int) -> DataFrame:
+    """_pii_doc, _pii_h, term: each document, with its repeated rows, and the given terms that it holds."""
+    each = docs.select(F.col("doc_id").alias("_pii_doc"), F.xxhash64(text_of()).alias("_pii_h"), F.explode(_terms(text_of(), min_letters)).alias("term"))
+    return each.join(_bounded(terms), "term", "left_semi")
+
+
+def disclosing_terms(pairs: DataFrame, held: DataFrame, n: int, threshold: float) -> DataFrame:
+    """(term, entity, disclosure) at or over the threshold; one entity stands for those of one text only."""
+    scored = pairs.join(held.groupBy("term").agg(F.count(F.lit(1)).alias("term_docs")), "term")
+    score = _disclosure(F.col("pair_docs"), F.col("term_docs"), F.col("entity_docs"), F.col("contexts"), n)
+    return scored.select("term", "entity", score.alias("disclosure")).where(F.col("disclosure") >= threshold)
+
+
+def _term_spans(docs: DataFrame, held: DataFrame, terms: DataFrame, min_letters: int) -> DataFrame:
+    """_pii_doc, _pii_h, found: the spans of the given terms in every document that holds one."""
     rows = docs.select(F.col("doc_id").alias("_pii_doc"), F.xxhash64(text_of()).alias("_pii_h"), "text")
     terms = _bounded(terms)
-    holding = rows.select("_pii_doc", "_pii_h", F.explode(_terms(text_of(), min_letters)).alias("term")).join(terms, "term", "left_semi")
-    holding = _bounded(holding.select(F.col("_pii_doc").alias("d"), F.col("_pii_h").alias("h")).distinct())
+    holding = _bounded(held.join(terms, "term", "left_semi").select(F.col("_pii_doc").alias("d"), F.col("_pii_h").alias("h")).distinct())
     rows = rows.join(holding, F.col("_pii_doc").eqNullSafe(F.col("d")) & (F.col("_pii_h") == F.col("h")), "left_semi")
     words = rows.select("_pii_doc", "_pii_h", F.explode(spans(segments(_prose(text_of()), _terms_pattern(min_letters)))).alias("t"))
     words = words.select("_pii_doc", "_pii_h", F.lower("t.text").alias("term"), "t.start", "t.end").join(terms, "term", "left_semi")
@@ -181,8 +205,11 @@ def _term_spans(docs: DataFrame, terms: DataFrame, min_letters: int) -> DataFram
 def disclosures(docs: DataFrame, min_letters: int = 1, threshold: float = 0.9) -> DataFrame:
     """doc_id, _pii_hash, base and private: all spans, as arrays of (kind_no, kind, start, end); one row per document."""
     mentions = checkpointed(_mentions(docs, min_letters))
-    revealing = disclosing_terms(docs, mentions, threshold, min_letters).select("term").distinct()
-    hits = _term_spans(docs, revealing, min_letters)
+    n = mentions.count()
+    pairs = checkpointed(candidate_pairs(mentions, n, threshold))
+    held = checkpointed(holders(docs, pairs.select("term").distinct(), min_letters))
+    revealing = disclosing_terms(pairs, held, n, threshold).select("term").distinct()
+    hits = _term_spans(docs, held, revealing, min_letters)
     rows = mentions.join(hits, F.col("doc_id").eqNullSafe(F.col("_pii_doc")) & (F.col("_pii_hash") == F.col("_pii_h")), "left")
     return rows.select("doc_id", "_pii_hash", "base", F.concat("base", F.coalesce("found", F.array().cast(f"array<{NAMED}>"))).alias("private"))
 
@@ -209,7 +236,7 @@ def sanitise(docs: DataFrame, generalise_terms: bool = True, **options: object)
 
 
 def digest(docs: DataFrame, **options: object) -> DataFrame:
-    """doc_id, counts per base kind, hash of the base spans, and all spans, by kind and then start."""
+    """doc_id, counts per base kind, hash of the base spans, and all spans, by kind and then start; n_base and n_terms."""
     rows = disclosures(docs, **options)
     count = lambda no: F.size(F.filter("base", lambda x: x["kind_no"] == no)).cast("long")
     return rows.select(
@@ -217,4 +244,6 @@ def digest(docs: DataFrame, **options: object) -> DataFrame:
         *(count(i).alias(f"n_{KINDS[i]}") for i in range(4)),
         F.sha2(joined(F.col("base"), by_kind=True), 256).alias("base_sha256"),
         joined(F.col("private"), by_kind=True).alias("spans"),
+        F.size("base").cast("long").alias("n_base"),
+        (F.size("private") - F.size("base")).cast("long").alias("n_terms"),
     )

@@ -181,6 +181,51 @@ def test_revealing_terms(docs_of):
     assert all("term" not in r.spans for r in pii.digest(copies).collect())
 
 
+def brute_terms(rows, threshold):
+    """Documents' term spans from counts of co-occurrence over all rows."""
+    word = re.compile(r"(?<![^\W_])(?<!_)[^\W\d_]+(?![^\W_])(?!_)")
+    plain = [re.sub(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: "0" * len(m[0]), t or "") for _, t in rows]
+    terms = [{m[0].lower() for m in word.finditer(t)} for t in plain]
+    values = []
+    for _, t in rows:
+        t = t or ""
+        values.append({(k, t[a:b].lower() if k < 2 else re.sub("[^0-9]", "", t[a:b])) for k, a, _, b in brute_pii(t)})
+    n, docs, entity_docs, pair_docs, contexts = len(rows), Counter(x for t in terms for x in t), Counter(v for e in values for v in e), Counter(), defaultdict(set)
+    for (_, text), t, e in zip(rows, terms, values):
+        for pair in ((x, v) for x in t for v in e):
+            pair_docs[pair] += 1
+            contexts[pair].add(text)
+    telling = set()
+    for (x, v), c in pair_docs.items():
+        p, k = entity_docs[v] / n, len(contexts[(x, v)])
+        if p < 1 and math.log2((k * c / docs[x] + p) / (k + 1) / p) / -math.log2(p) >= threshold:
+            telling.add(x)
+    return {i: {(m.start(), m.end()) for m in word.finditer(t) if m[0].lower() in telling} for (i, _), t in zip(rows, plain)}, docs, telling
+
+
+@pytest.mark.parametrize("threshold", [0.9, 0.6])
+def test_terms_by_brute_force(docs_of, threshold):
+    rnd = random.Random(8)
+    common, names = [f"{a}{b}" for a in "abcdefgh" for b in "xyz"], [f"Name{c}" for c in "abcdefghijklmnop"]
+    mails = [f"p{i}@corp.example.com" for i in range(9)] + ["10.0.0.1", "+49 30 1234567"]
+    rows = []
+    for i in range(300):
+        words = [rnd.choice(common) for _ in range(rnd.randrange(1, 12))]
+        if rnd.random() < 0.35:
+            k = rnd.randrange(len(mails))
+            words += [mails[k], names[k] if rnd.random() < 0.8 else rnd.choice(names), rnd.choice(names)]
+        elif rnd.random() < 0.1:
+            words.append(rnd.choice(names))
+        rnd.shuffle(words)
+        rows.append((i, " ".join(words)))
+    rows += [(400 + i, rows[i][1]) for i in range(60)] + [(500, None), (501, "")]
+    want, docs, telling = brute_terms(rows, threshold)
+    got = {r.doc_id: r for r in pii.digest(docs_of(rows), threshold=threshold).collect()}
+    found = {i: {tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x.startswith("term")} for i, r in got.items()}
+    assert found == want and {i: r.n_terms for i, r in got.items()} == {i: len(x) for i, x in want.items()}
+    assert any(want.values()) and telling < set(docs)
+
+
 def test_terms_over_whole_documents(docs_of):
     far = " ".join(f"n{i}" for i in range(200))
     rows = [(i, f"Xo {far} {i} boss@corp.example.com") for i in range(40)] + [(40, "ask xo."), (41, "boss, corp")]
