@@ -170,15 +170,72 @@ ORACLES["turn_alignment"] = f"""WITH {CONV}, {_CTURNS('1e0')}, w AS (SELECT asse
 g AS (SELECT w.asset_id, segment_id, min(w.s) AS s, max(w.e) AS e, min(a) AS a, max(b) AS b, count(*) AS turn_count FROM w JOIN turns t ON t.asset_id = w.asset_id AND b >= w.s AND a <= w.e GROUP BY ALL),
 h AS (SELECT *, {clamp('coalesce(greatest(0e0, least(e, b) - greatest(s, a)) / nullif(b - a, 0e0), 0e0)')} AS cov, {clamp(f'1e0 - greatest(0e0, s - a) / {d(0.45)}')} AS le, {clamp(f'1e0 - greatest(0e0, b - e) / {d(0.45)}')} AS re FROM g)
 SELECT asset_id, segment_id, turn_count, {r(clamp(f'{d(0.55)} * cov + {d(0.45)} * (le + re) / 2e0'))} AS turn_completeness, CASE WHEN le >= 0.85e0 AND re >= 0.85e0 THEN 'turn-aligned' WHEN cov >= 0.8e0 THEN 'mostly-complete' ELSE 'partial-turn' END AS turn_alignment FROM h"""
-ORACLES["merge_chain"] = f"""WITH {CONV}, n AS (SELECT *, greatest(0e0, s - lag(e) OVER w) AS gap, lag(e) OVER w AS le, lag(q) OVER w AS pq FROM sp WINDOW w AS (PARTITION BY asset_id ORDER BY s, turn)),
-u AS (SELECT *, CASE WHEN le IS NULL OR gap > 1.25e0 THEN NULL WHEN pq AND NOT q THEN 'question-answer-flow' WHEN NOT pq AND NOT q AND gap <= 0.95e0 THEN 'monologue-continuity' WHEN gap <= 0.4e0 THEN 'structural-continuity' END AS rule FROM n),
-c AS (SELECT *, (sum(CASE WHEN rule IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY asset_id ORDER BY s, turn ROWS UNBOUNDED PRECEDING))::INT AS chain FROM u)
-SELECT asset_id, chain, min(s) AS start_sec, arg_max(e, s) AS end_sec, count(*) AS n, CASE count(DISTINCT rule) WHEN 0 THEN '' WHEN 1 THEN max(rule) ELSE 'continuity-chain' END AS rule_family, {r('avg((turn % 5) * 0.125e0 + 0.25e0)')} AS boundary_confidence, string_agg(turn::VARCHAR, '|' ORDER BY s, turn) AS segment_ids FROM c GROUP BY ALL"""
-
 # Scenes, grids, seeds.
 SCENES = lambda src, key, dur: f"""u AS (SELECT {key} AS asset_id, greatest({dur}, 6e0) AS d FROM {src}), v AS (SELECT *, greatest(2.75e0, least(6e0, d / 3)) AS st FROM u),
 w AS (SELECT asset_id, i, CASE WHEN d <= 8 THEN 0e0 ELSE {r('i * st', 3)} END AS a, CASE WHEN d <= 8 THEN {r('d', 3)} ELSE {r('least(d, i * st + 5.5e0)', 3)} END AS b FROM v, range(0, 4) x(i) WHERE (d <= 8 AND i = 0) OR (d > 8 AND (i = 0 OR (i - 1) * st + 5.5e0 < d))),
 scenes AS (SELECT asset_id, (row_number() OVER (PARTITION BY asset_id ORDER BY i) - 1)::INT AS pos, a, b FROM w WHERE b - a >= 2.5e0)"""
+# Assembly.  `{p}` keeps the names of the steps apart.
+_CLIPS = "clips AS (SELECT asset_id, max(e) AS dur FROM sp GROUP BY ALL)"
+
+
+def _continuity(p: str, seg: str) -> str:
+    """{p}c: the segments (asset_id, id, s, e, mode, qq, src, source, conf) with pos and the rule that joins each to the one before."""
+    return f"""{p}n AS (SELECT *, row_number() OVER o AS pos, lag(s) OVER o AS ls, lag(e) OVER o AS le, lag(mode) OVER o AS lmode, lag(qq) OVER o AS lqq, lag(src) OVER o AS lsrc, lag(source) OVER o AS lsource FROM {seg} WINDOW o AS (PARTITION BY asset_id ORDER BY s, e, id)),
+{p}s AS (SELECT n.asset_id, n.pos, lead(x.s) OVER (PARTITION BY n.asset_id, n.pos ORDER BY x.s, x.e) - x.e AS g FROM {p}n n JOIN sp x ON x.asset_id = n.asset_id AND x.e >= n.ls AND x.s <= n.e),
+{p}sg AS (SELECT asset_id, pos, count(*) AS n_spans, {r('coalesce(max(greatest(0e0, g)), 0e0)', 3)} AS span_gap FROM {p}s GROUP BY ALL),
+{p}t AS (SELECT n.asset_id, n.pos, n.s, n.e, ls, le, k, a, b FROM {p}n n JOIN turns t ON t.asset_id = n.asset_id AND b >= ls AND a <= greatest(n.e, le)),
+{p}tl AS (SELECT *, CASE WHEN a <= e THEN lead(CASE WHEN a <= e THEN a END) OVER (PARTITION BY asset_id, pos ORDER BY a, b) - b END AS g FROM {p}t),
+{p}tg AS (SELECT asset_id, pos, {r('coalesce(max(greatest(0e0, g)), 0e0)', 3)} AS turn_gap, bool_or(a <= le AND b >= ls AND a <= e AND b >= s) AS shared, max(k) FILTER (a <= le AND b >= ls) AS lk, arg_max(b, k) FILTER (a <= le AND b >= ls) AS lb, min(k) FILTER (a <= e AND b >= s) AS rk, arg_min(a, k) FILTER (a <= e AND b >= s) AS ra FROM {p}tl GROUP BY ALL),
+{p}d AS (SELECT DISTINCT n.asset_id, n.pos FROM {p}n n JOIN cuts c ON c.asset_id = n.asset_id AND cut >= le AND cut <= s),
+{p}j AS (SELECT n.*, {r('greatest(0e0, s - le)', 3)} AS gap, coalesce(n_spans, 0) AS n_spans, coalesce(span_gap, 0e0) AS span_gap, coalesce(turn_gap, 0e0) AS turn_gap, coalesce(shared, false) OR coalesce(rk - lk = 1, false) AS on_turn, coalesce(rk - lk = 1 AND ra - lb >= 1.35e0, false) AS brk, d.pos IS NOT NULL AS divider
+  FROM {p}n n LEFT JOIN {p}sg USING (asset_id, pos) LEFT JOIN {p}tg USING (asset_id, pos) LEFT JOIN {p}d d USING (asset_id, pos)),
+{p}r AS (SELECT *, CASE WHEN ls IS NULL OR gap > 1.25e0 OR coalesce(lsource = source, false) OR divider THEN NULL
+  WHEN mode = 'speech' AND lmode = 'speech' AND lqq AND NOT qq AND NOT brk THEN 'question-answer-flow' WHEN mode = 'speech' AND lmode = 'speech' AND NOT lqq AND NOT qq AND gap <= {d(0.95)} THEN 'monologue-continuity'
+  WHEN on_turn AND NOT brk AND turn_gap <= {d(0.55)} THEN 'turn-continuity' WHEN n_spans >= 2 AND span_gap <= {d(0.9)} THEN 'transcript-continuity'
+  WHEN gap <= {d(0.4)} AND greatest(e, le) - least(s, ls) <= 7.5e0 AND (mode = lmode OR mode = 'speech' OR lmode = 'speech' OR list_has_any(src, lsrc)) THEN 'structural-continuity' END AS rule FROM {p}j),
+{p}c AS (SELECT *, (sum(CASE WHEN rule IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY asset_id ORDER BY pos ROWS UNBOUNDED PRECEDING))::INT AS chain FROM {p}r)"""
+
+
+_CUTS = "cuts AS (SELECT asset_id, b AS cut FROM (SELECT *, lead(pos) OVER (PARTITION BY asset_id ORDER BY pos) AS nx FROM scenes) WHERE nx IS NOT NULL)"
+_FAMILY = "CASE count(DISTINCT rule) WHEN 0 THEN '' WHEN 1 THEN max(rule) ELSE 'continuity-chain' END"
+_ON_CLIPS = f"{CONV}, {_CTURNS(d(0.9))}, {_CLIPS}, {SCENES('clips', 'asset_id', 'dur')}, {_CUTS}"
+ORACLES["merge_chain"] = f"""WITH {_ON_CLIPS},
+sg AS (SELECT asset_id, turn AS id, s, e + (turn % 3) * 0.125e0 AS e, CASE WHEN turn % 4 = 3 THEN 'visual' ELSE 'speech' END AS mode, turn % 4 <> 3 AND trim(text) <> '' AND q AS qq, [['scene', 'audio-peak', 'visual-peak'][(turn % 3 + 1)::INT]] AS src, CASE WHEN turn % 6 >= 4 THEN (turn // 6)::VARCHAR END AS source, (turn % 5) * 0.125e0 + 0.25e0 AS conf FROM sp),
+{_continuity('m_', 'sg')}
+SELECT asset_id, chain, min(s) AS start_sec, arg_max(e, pos) AS end_sec, count(*) AS n, {_FAMILY} AS rule_family, {r(clamp('avg(conf)'))} AS boundary_confidence, string_agg(id::VARCHAR, '|' ORDER BY pos) AS segment_ids FROM m_c GROUP BY ALL"""
+
+
+def _dividers(seg: str) -> str:
+    """div: asset_id, id, divider, rule of the segments (asset_id, id, s, e) that are cut."""
+    apart = "mid - s >= 2 AND e - mid >= 2"
+    gaps = lambda rows, a, b: f"SELECT *, lead({a}) OVER (PARTITION BY asset_id, id ORDER BY {a}, {b}) - {b} AS gap, {r(f'(lead({a}) OVER (PARTITION BY asset_id, id ORDER BY {a}, {b}) + {b}) / 2', 3)} AS mid FROM {rows}"
+    return f"""dl AS (SELECT asset_id, id, s, e FROM {seg} WHERE e - s >= 6.5e0),
+dt AS (SELECT l.*, a, b FROM dl l JOIN turns t ON t.asset_id = l.asset_id AND b >= s AND a <= e), ds AS (SELECT l.*, x.s AS a, x.e AS b FROM dl l JOIN sp x ON x.asset_id = l.asset_id AND x.e >= l.s AND x.s <= l.e),
+dn AS (SELECT asset_id, id, count(*) AS n, min(a) AS fa, max(b) AS lb FROM ds GROUP BY ALL), dtg AS ({gaps('dt', 'a', 'b')}), dsg AS ({gaps('ds', 'a', 'b')}),
+dall AS (SELECT asset_id, id, s, e, 1 AS rank, mid AS o, mid, 'turn-break' AS rule FROM dtg WHERE gap >= 1.35e0 AND {apart}
+  UNION ALL SELECT asset_id, id, s, e, 2, -gap, mid, 'transcript-gap' FROM dsg JOIN dn USING (asset_id, id) WHERE n >= 3 AND gap >= 1.25e0 AND {apart}
+  UNION ALL SELECT asset_id, id, s, e, 3, CASE WHEN n IS NULL THEN abs(cut - (s + e) / 2) ELSE cut END, cut, 'scene-divider' FROM dl JOIN cuts USING (asset_id) LEFT JOIN dn USING (asset_id, id) WHERE cut >= s + 1.5e0 AND cut <= e - 1.5e0 AND (n IS NULL OR (fa < cut AND lb > cut))),
+div AS (SELECT asset_id, id, mid AS divider, rule FROM (SELECT * FROM dall QUALIFY row_number() OVER (PARTITION BY asset_id, id ORDER BY rank, o, mid) = 1) WHERE {apart})"""
+
+
+_SPLIT_SCENES = SCENES("clips", "asset_id", "dur")
+ORACLES["split_dividers"] = f"""WITH {CONV}, {_CTURNS('2e0')}, {_CLIPS}, {_SPLIT_SCENES}, {_CUTS}, ss AS (SELECT asset_id, count(*) AS id, min(s) AS s, max(e) AS e FROM sp GROUP BY ALL), {_dividers('ss')}
+SELECT asset_id, id AS segment_id, divider, rule FROM div"""
+_SAID = lambda rows: f"SELECT g.asset_id, g.id, string_agg(trim(text), ' ' ORDER BY x.s, x.e, trim(text)) FILTER (trim(text) <> '') AS txt FROM {rows} g JOIN sp x ON x.asset_id = g.asset_id AND x.e >= g.s AND x.s <= g.e GROUP BY ALL"
+ORACLES["assembled_segments"] = f"""WITH {_ON_CLIPS},
+ss AS (SELECT asset_id, i::INT AS id, i * 12e0 AS s, least(i * 12e0 + 11, dur) AS e, [CASE WHEN i % 2 = 0 THEN 'scene' ELSE 'audio-peak' END] AS src, 0.25e0 + (i % 4) * 0.125e0 AS conf FROM clips, range(0, 100000) x(i) WHERE i <= floor(dur / 12) AND i * 12e0 < least(i * 12e0 + 11, dur)),
+{_dividers('ss')},
+pt AS (SELECT asset_id, id::VARCHAR AS id, s, e, src, conf, NULL::VARCHAR AS source, '' AS prule, 'scene-snap' AS st FROM ss ANTI JOIN div USING (asset_id, id)
+  UNION ALL SELECT asset_id, id || '-split-' || i, CASE WHEN i = 1 THEN s ELSE divider END, CASE WHEN i = 1 THEN divider ELSE e END, src, {r(f'greatest(conf, {d(0.45)}) * {d(0.92)}')}, id::VARCHAR, rule, 'assembly-split:' || rule FROM ss JOIN div USING (asset_id, id), (VALUES (1), (2)) x(i)),
+ps AS ({_SAID('pt')}),
+pd AS (SELECT pt.*, CASE WHEN coalesce(txt, '') <> '' THEN 'speech' ELSE 'visual' END AS mode, contains(coalesce(txt, ''), '?') OR regexp_extract(lower(trim(coalesce(txt, ''))), '[a-z0-9'']+') IN {_Q} AS qq FROM pt LEFT JOIN ps USING (asset_id, id)),
+{_continuity('a_', 'pd')},
+ch AS (SELECT asset_id, chain, min(s) AS s, arg_max(e, pos) AS e, count(*) AS n, {_FAMILY} AS fam, {r(clamp('avg(conf)'))} AS mean, arg_min(conf, pos) AS conf, arg_min(source, pos) AS source, arg_min(prule, pos) AS prule, arg_min(st, pos) AS st, list(id ORDER BY pos) AS ids, flatten(list(src ORDER BY pos)) AS srcs FROM a_c GROUP BY ALL),
+cc AS (SELECT asset_id, ids[1] AS id, s, e, CASE WHEN n = 1 THEN st ELSE 'assembly-merge:' || fam END AS st, CASE WHEN n = 1 THEN conf ELSE mean END AS conf, CASE WHEN n > 1 THEN 'merge' WHEN source IS NOT NULL THEN 'split' ELSE '' END AS op, CASE WHEN n = 1 THEN prule ELSE fam END AS fam,
+  CASE WHEN n = 1 AND source IS NOT NULL THEN source ELSE array_to_string(ids, '|') END AS source_ids, array_to_string(list_filter(srcs, lambda x, i: list_position(srcs, x) = i), '|') AS seed_sources FROM ch),
+cs AS ({_SAID('cc')})
+SELECT asset_id, asset_id || '-segment-' || lpad(row_number() OVER (PARTITION BY asset_id ORDER BY s, e, id)::VARCHAR, 2, '0') AS segment_id, s AS start_sec, e AS end_sec, st AS boundary_strategy, conf AS boundary_confidence, op AS operation, fam AS rule_family, source_ids, seed_sources,
+CASE WHEN coalesce(txt, '') <> '' THEN 'speech' ELSE 'visual' END AS analysis_mode, length(coalesce(txt, ''))::INT AS excerpt_chars FROM cc LEFT JOIN cs USING (asset_id, id)"""
 ORACLES["scene_windows"] = f"WITH {ASSETS}, {SCENES('assets', 'asset_id', 'duration_sec')} SELECT asset_id, pos, a AS start_sec, b AS end_sec FROM scenes"
 ORACLES["sample_grid"] = f"""WITH {ASSETS}, n AS (SELECT asset_id, greatest(duration_sec, 1e0) AS u, greatest(4, least(10, (ceil(greatest(duration_sec, 1e0) / 8) + 2)::INT)) AS n FROM assets)
 SELECT asset_id, (i - 1)::INT AS pos, {r('i * (u / (n + 1))', 3)} AS t FROM n, range(1, 11) x(i) WHERE i <= n"""

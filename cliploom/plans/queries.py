@@ -296,17 +296,57 @@ def split_dividers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assembly.split_dividers(seg, speech.turns(rows, gap=2.0), rows, scenes)
 
 
+def _clips_of(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("asset_id").agg(F.max("end_sec").alias("duration_sec"))
+
+
 @query
 def merge_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = adapters.spans(spark, sf_dir).select("asset_id", F.col("turn").alias("pos"), F.col("turn").alias("segment_id"), "start_sec", "end_sec", "text", ((F.col("turn") % 5) * 0.125 + 0.25).alias("boundary_confidence"))
-    order = Window.partitionBy("asset_id").orderBy("start_sec", "pos")
-    gap = F.greatest(F.lit(0.0), F.col("start_sec") - F.lag("end_sec").over(order))
-    asks, asked = text.is_question("text"), F.lag(text.is_question("text")).over(order)
-    rule = F.when(gap.isNull() | F.lag("end_sec").over(order).isNull() | (gap > 1.25), F.lit(None).cast("string")).when(asked & ~asks, "question-answer-flow").when(~asked & ~asks & (gap <= 0.95), "monologue-continuity").when(gap <= 0.4, "structural-continuity")
-    found = assembly.merged_chains(rows, rule)
+    """Conversation turns as segments, every fourth one without speech, some as parts of one split."""
+    rows = adapters.spans(spark, sf_dir)
+    turn, spoken = F.col("turn"), F.col("turn") % 4 != 3
+    seg = rows.select(
+        "asset_id",
+        turn.alias("segment_id"),
+        "start_sec",
+        (F.col("end_sec") + (turn % 3) * 0.125).alias("end_sec"),
+        F.when(spoken, "speech").otherwise("visual").alias("analysis_mode"),
+        F.when(spoken, F.col("text")).otherwise("").alias("transcript_excerpt"),
+        F.array(F.element_at(F.array(*map(F.lit, ("scene", "audio-peak", "visual-peak"))), (turn % 3 + 1).cast("int"))).alias("seed_sources"),
+        F.when(turn % 6 >= 4, F.floor(turn / 6).cast("string")).alias("source"),
+        ((turn % 5) * 0.125 + 0.25).alias("boundary_confidence"),
+    )
+    scenes = intervals.fallback_scenes(_clips_of(rows), "asset_id", "duration_sec")
+    near = assembly.continuity(seg, rows, _turns(rows), scenes)
+    found = assembly.merged_chains(near, assembly.merge_rule())
     return found.select("asset_id", "chain", "start_sec", "end_sec", "n", "rule_family", "boundary_confidence", F.array_join(F.transform("segment_ids", lambda x: x.cast("string")), "|").alias("segment_ids"))
 
 
+@query
+def assembled_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 11 seconds, split, joined and numbered anew."""
+    rows = adapters.spans(spark, sf_dir)
+    clips = _clips_of(rows)
+    i = F.col("segment_id")
+    seg = clips.withColumn("segment_id", F.explode(F.sequence(F.lit(0), F.floor(F.col("duration_sec") / 12).cast("int"))))
+    seg = seg.select("asset_id", "segment_id", (i * 12.0).alias("start_sec"), F.least(i * 12.0 + 11.0, F.col("duration_sec")).alias("end_sec"), F.array(F.when(i % 2 == 0, "scene").otherwise("audio-peak")).alias("seed_sources"), F.lit("scene-snap").alias("boundary_strategy"), (0.25 + (i % 4) * 0.125).alias("boundary_confidence"))
+    seg = seg.where("end_sec > start_sec")
+
+    def describe(ranges: DataFrame) -> DataFrame:
+        said = intervals.overlapping_ranges(ranges.select("asset_id", "segment_id", "start_sec", "end_sec"), rows.select("asset_id", F.col("start_sec").alias("a"), F.col("end_sec").alias("b"), "text"), ["asset_id"], ("start_sec", "end_sec"), ("a", "b"), 30.0)
+        said = said.groupBy("asset_id", "segment_id").agg(speech.ordered_text("a", "b").alias("transcript_excerpt"))
+        out = ranges.join(said, ["asset_id", "segment_id"], "left").withColumn("transcript_excerpt", F.coalesce("transcript_excerpt", F.lit("")))
+        return out.withColumn("analysis_mode", F.when(F.col("transcript_excerpt") != "", "speech").otherwise("visual"))
+
+    scenes = intervals.fallback_scenes(clips, "asset_id", "duration_sec")
+    out = assembly.assembled(seg, rows, _turns(rows), scenes, describe)
+    return out.select("asset_id", "segment_id", "start_sec", "end_sec", "boundary_strategy", "boundary_confidence", "operation", "rule_family", joined(F.col("source_ids")).alias("source_ids"), joined(F.col("seed_sources")).alias("seed_sources"), "analysis_mode", F.length("transcript_excerpt").alias("excerpt_chars"))
+
+
+def _turns(rows: DataFrame) -> DataFrame:
+    return speech.turns(rows, gap=0.9)
+
+
 def _bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = adapters.audio(spark, sf_dir).select("asset_id", (F.floor(F.col("t") / 216000)).cast("int").alias("segment_id"), F.col("rms_energy").alias("brightness"), F.col("rms_energy").alias("distinctiveness"))
     return dedup.histograms(rows, ["asset_id", "segment_id"])

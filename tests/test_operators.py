@@ -144,6 +144,72 @@ def test_split(spark):
     assert [(r.start_sec, r.end_sec, r.boundary_confidence) for r in parts] == [(0.0, 4.25, 0.828), (4.25, 9.0, 0.828)]
 
 
+SEG = "asset_id int, segment_id string, start_sec double, end_sec double, analysis_mode string, transcript_excerpt string, seed_sources array<string>, source string, boundary_confidence double"
+SPAN, TURN, SCENE = "asset_id int, start_sec double, end_sec double, text string", "asset_id int, turn int, start_sec double, end_sec double", "asset_id int, pos int, start_sec double, end_sec double"
+
+
+def chain_rules(spark, cases):
+    """Rule families of pairs of segments: each case is ((range, mode, excerpt, sources, source) twice, spans, turns, scenes)."""
+    seg, spans, turns, scenes = [], [], [], []
+    for k, (left, right, said, spoken, seen) in enumerate(cases):
+        seg += [(k, f"{k}{x}", a, b, mode, excerpt, sources, source, 0.5) for x, ((a, b), mode, excerpt, sources, source) in zip("lr", (left, right))]
+        spans += [(k, a, b, "t") for a, b in said]
+        turns += [(k, i + 1, a, b) for i, (a, b) in enumerate(spoken)]
+        scenes += [(k, i, a, b) for i, (a, b) in enumerate(seen)]
+    near = assembly.continuity(spark.createDataFrame(seg, SEG), spark.createDataFrame(spans, SPAN), spark.createDataFrame(turns, TURN), spark.createDataFrame(scenes, SCENE))
+    found = {}
+    for r in assembly.merged_chains(near, assembly.merge_rule()).orderBy("asset_id", "chain").collect():
+        found.setdefault(r.asset_id, []).append((r.n, r.rule_family))
+    return [found[k][0][1] if len(found[k]) == 1 else None for k in range(len(cases))]
+
+
+def test_merge_rules(spark):
+    say = lambda a, b, text="we go on", source=None: ((a, b), "speech", text, ["scene"], source)
+    see = lambda a, b, seed="scene", source=None: ((a, b), "visual", "", [seed], source)
+    none, cut = [], [(0.0, 4.2), (4.2, 20.0)]
+    cases = [
+        (say(0.0, 4.0, "why?"), say(5.0, 8.0), none, none, none, "question-answer-flow"),
+        (say(0.0, 4.0, "why?"), say(5.0, 8.0), none, none, cut, None),  # a scene boundary between
+        (say(0.0, 4.0, "why?"), say(5.2, 8.0), none, [(0.0, 3.7), (5.1, 8.0)], none, None),  # a break of 1.4 s between consecutive turns
+        (say(0.0, 4.0), say(4.9, 8.0), none, none, none, "monologue-continuity"),
+        (say(0.0, 4.0), say(5.0, 8.0), none, none, none, None),
+        (say(0.0, 4.0), say(5.0, 8.0), none, [(0.0, 9.0)], none, "turn-continuity"),  # one turn over both
+        (see(0.0, 4.0), see(5.0, 8.0, "audio-peak"), none, [(0.0, 4.2), (4.7, 8.0)], none, "turn-continuity"),  # consecutive turns, .5 s apart
+        (see(0.0, 4.0), see(5.0, 8.0), none, [(0.0, 4.2), (4.9, 8.0)], none, None),  # .7 s apart
+        (see(0.0, 4.0), see(5.0, 8.0), [(0.0, 3.9), (4.7, 6.0)], none, none, "transcript-continuity"),
+        (see(0.0, 4.0), see(5.0, 8.0), [(0.0, 3.9), (4.9, 6.0)], none, none, None),
+        (see(0.0, 4.0), see(4.3, 7.5), none, none, none, "structural-continuity"),
+        (see(0.0, 4.0), see(4.3, 7.6), none, none, none, None),  # over 7.5 s together
+        (see(0.0, 7.6), see(4.3, 5.0), none, none, none, None),  # the left one ends last
+        (say(0.0, 4.0, "why?"), see(4.3, 7.0, "audio-peak"), none, none, none, "structural-continuity"),  # either speaks
+        (say(0.0, 4.0, source="x"), say(4.0, 8.0, source="x"), none, none, none, None),  # parts of one split
+        (say(0.0, 4.0, source="x"), say(4.0, 8.0, source="y"), none, none, none, "monologue-continuity"),
+        (see(0.0, 4.0), see(5.3, 6.0), [(0.0, 3.9), (4.0, 6.0)], [(0.0, 9.0)], none, None),  # over 1.25 s
+    ]
+    assert chain_rules(spark, [c[:5] for c in cases]) == [c[5] for c in cases]
+
+
+def test_assembled(spark):
+    """Split at a turn break; the second part joins its neighbour; a question is answered; ids are new."""
+    seg = spark.createDataFrame([(1, "a", 0.0, 9.0, ["scene"], "scene-snap", 0.9), (1, "b", 9.2, 11.0, ["audio-peak"], "audio-snap", 0.74), (1, "c", 20.0, 22.0, ["scene"], "scene-snap", 0.62)], "asset_id int, segment_id string, start_sec double, end_sec double, seed_sources array<string>, boundary_strategy string, boundary_confidence double")
+    spans = spark.createDataFrame([(1, 0.5, 3.0, "so it is"), (1, 5.5, 8.0, "and why"), (1, 8.5, 11.0, "because")], SPAN)
+    scenes = spark.createDataFrame([], SCENE)
+
+    def describe(rows):
+        said = intervals.overlapping_ranges(rows.select("asset_id", "segment_id", "start_sec", "end_sec"), spans.select("asset_id", F.col("start_sec").alias("a"), F.col("end_sec").alias("b"), "text"), ["asset_id"], ("start_sec", "end_sec"), ("a", "b"), None)
+        said = said.groupBy("asset_id", "segment_id").agg(speech.ordered_text("a", "b").alias("transcript_excerpt"))
+        out = rows.join(said, ["asset_id", "segment_id"], "left").withColumn("transcript_excerpt", F.coalesce("transcript_excerpt", F.lit("")))
+        return out.withColumn("analysis_mode", F.when(F.col("transcript_excerpt") != "", "speech").otherwise("visual"))
+
+    got = assembly.assembled(seg, spans, speech.turns(spans), scenes, describe).orderBy("start_sec").collect()
+    assert [(r.segment_id, r.start_sec, r.end_sec, r.operation, r.boundary_strategy, r.boundary_confidence, r.source_ids, r.seed_sources) for r in got] == [
+        ("1-segment-01", 0.0, 4.25, "split", "assembly-split:turn-break", 0.828, ["a"], ["scene"]),
+        ("1-segment-02", 4.25, 11.0, "merge", "assembly-merge:monologue-continuity", 0.784, ["a-split-2", "b"], ["scene", "audio-peak"]),
+        ("1-segment-03", 20.0, 22.0, "", "scene-snap", 0.62, ["c"], ["scene"]),
+    ]
+    assert [r.transcript_excerpt for r in got] == ["so it is", "and why because", ""]
+
+
 def test_validated(spark):
     seg = spark.createDataFrame([(1, "x", 0.0, 8.0, 20.0), (1, "y", 9.0, 12.0, 20.0)], "asset_id int, segment_id string, start_sec double, end_sec double, duration_sec double")
     results = spark.createDataFrame([("x", "split", None, None, 4.0, True), ("y", "extend", 2.0, 12.5, None, False)], "segment_id string, decision string, new_start double, new_end double, split_at double, supported boolean")
