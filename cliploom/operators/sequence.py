@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -71,57 +72,48 @@ def story_kind(items: DataFrame, scope: str) -> DataFrame:
     return items.groupBy(scope).agg(F.when(F.bool_and(~speech), "visual-led").when(F.bool_and(speech), "dialogue-led").otherwise("mixed").alias("kind"))
 
 
-def _opener(t: dict) -> float:
-    s = t["score_total"] + t["prompt"]
-    if t["mode"] == "visual":
-        return s + 0.09 + (0.04 if t["novelty"] >= 0.7 else 0) + (0.03 if t["hook"] >= 0.7 else 0) + (0.02 if t["prompt"] > 0 else 0)
-    return s + 0.03 - (0.03 if t["blank"] else 0) + (0.03 if t["hook"] >= 0.7 else 0)
+#: A ten-thousandth, in which scores are whole numbers: they are compared after rounding to four places.
+UNIT = 10_000
 
 
-def _release(t: dict) -> float:
-    s = t["score_total"] + min(0.05, t["prompt"]) + (0.03 if t["story"] >= 0.7 else 0)
-    if t["mode"] == "visual":
-        return s + 0.08 + (0.04 if t["motion"] <= 0.55 else 0)
-    return s + (0.03 if t["turn"] >= 0.85 else 0)
+def _units(x: np.ndarray) -> np.ndarray:
+    return np.floor(x * UNIT + 0.5).astype(np.int64)
 
 
-def _transition(t: dict, path: list[dict]) -> float:
-    last, recent = path[-1], path[-2:]
-    s = t["score_total"] + min(0.06, t["prompt"])
-    s += (0.08 + (0.04 if t["mode"] == "speech" else 0.05)) if t["mode"] != last["mode"] else -0.04
-    s += 0.04 if t["role"] != last["role"] else -0.03
-    s += 0.02 if t["mode"] == "speech" and t["turn"] >= 0.85 else 0
-    s += 0.01 if t["score_total"] >= 0.75 and last["score_total"] >= 0.75 else 0
-    s -= 0.05 if all(p["mode"] == t["mode"] for p in recent) else 0
-    s -= 0.04 if all(p["role"] == t["role"] for p in recent) else 0
-    return s
+def story_order(takes: dict[str, np.ndarray]) -> list[tuple[int, int]]:
+    """(place, score in ten-thousandths) in sequence: best opener, best follower each time, and a reserved release of three or more.
 
-
-def story_order(takes: list[dict]) -> list[tuple[int, float]]:
-    """(place in `takes`, score) in sequence: best opener, best follower each time, and a reserved release of three or more.
-
-    The first of equals wins.
+    `takes` holds columns: total, prompt, visual, role, novelty, hook, motion, story, turn, blank.  The first of equals wins.
+    A single take keeps its own score.
     """
-    if not takes:
-        return []
-    left = list(range(len(takes)))
-    pick = lambda score, among: max(among, key=lambda i: (score(takes[i]), -i))
-    first = pick(_opener, left)
-    out = [(first, _opener(takes[first]))]
-    left.remove(first)
-    reserved = None
-    if len(takes) >= 3:
-        visual = [i for i in left if takes[i]["mode"] == "visual"]
-        reserved = pick(_release, visual or left)
-        left.remove(reserved)
-    path = [takes[first]]
-    while left:
-        following = pick(lambda t: _transition(t, path), left)
-        out.append((following, _transition(takes[following], path)))
-        left.remove(following)
-        path.append(takes[following])
-    if reserved is not None:
-        out.append((reserved, _release(takes[reserved])))
+    total, prompt, visual, role = takes["total"], takes["prompt"], takes["visual"], takes["role"]
+    n = len(total)
+    if n <= 1:
+        return [(0, int(_units(total)[0]))] if n else []
+    hook = 0.03 * (takes["hook"] >= 0.7)
+    opener = _units(total + prompt + hook + np.where(visual, 0.09 + 0.04 * (takes["novelty"] >= 0.7) + 0.02 * (prompt > 0), 0.03 - 0.03 * takes["blank"]))
+    release = _units(total + np.minimum(0.05, prompt) + 0.03 * (takes["story"] >= 0.7) + np.where(visual, 0.08 + 0.04 * (takes["motion"] <= 0.55), 0.03 * (takes["turn"] >= 0.85)))
+    follow = _units(total + np.minimum(0.06, prompt) + np.where(~visual & (takes["turn"] >= 0.85), 0.02, 0))
+    strong = total >= 0.75
+    left = np.ones(n, bool)
+    best = lambda score, among: int(np.argmax(np.where(among, score, np.iinfo(np.int64).min)))
+
+    at = best(opener, left)
+    out = [(at, int(opener[at]))]
+    left[at] = False
+    last = None
+    if n >= 3:
+        last = best(release, left & visual if (left & visual).any() else left)
+        left[last] = False
+    while left.any():
+        now, before = out[-1][0], out[-2][0] if len(out) > 1 else out[-1][0]
+        score = follow + np.where(visual != visual[now], np.where(visual, 1300, 1200), -400) + np.where(role != role[now], 400, -300)
+        score += 100 * (strong & strong[now]) - 500 * ((visual == visual[now]) & (visual == visual[before])) - 400 * ((role == role[now]) & (role == role[before]))
+        at = best(score, left)
+        out.append((at, int(score[at])))
+        left[at] = False
+    if last is not None:
+        out.append((last, int(release[last])))
     return out
 
 
@@ -129,17 +121,18 @@ def story_sequence(takes: DataFrame, scope: str) -> DataFrame:
     """scope, take_id, order_index, sequence_score: the greedy sequence of each scope (a project).
 
     Takes need pos, score_total, analysis_mode, story_role, prompt_fit, visual_novelty, hook_strength, motion_energy, story_alignment,
-    turn_completeness and transcript_excerpt.  Scopes run in parallel; within one the path is greedy, of n takes n squared steps.
+    turn_completeness and transcript_excerpt.  Scopes run in parallel; within one the path is greedy, of n takes n steps over
+    arrays of n.
     """
 
     def run(batch: pd.DataFrame) -> pd.DataFrame:
         batch = batch.sort_values("pos").reset_index(drop=True)
-        rows = [
-            {"score_total": r.score_total, "mode": r.analysis_mode, "role": r.story_role, "prompt": r.prompt_fit, "novelty": r.visual_novelty, "hook": r.hook_strength, "motion": r.motion_energy, "story": r.story_alignment, "turn": r.turn_completeness, "blank": not (r.transcript_excerpt or "").strip()}
-            for r in batch.itertuples()
-        ]
+        number = lambda c: batch[c].to_numpy(float)
+        columns = {"total": "score_total", "prompt": "prompt_fit", "novelty": "visual_novelty", "hook": "hook_strength", "motion": "motion_energy", "story": "story_alignment", "turn": "turn_completeness"}
+        rows = {k: number(c) for k, c in columns.items()}
+        rows |= {"visual": (batch["analysis_mode"] == "visual").to_numpy(), "role": pd.factorize(batch["story_role"])[0], "blank": (batch["transcript_excerpt"].fillna("").str.strip() == "").to_numpy()}
         path = story_order(rows)
-        return pd.DataFrame({scope: [batch[scope][0]] * len(path), "take_id": [batch["take_id"][i] for i, _ in path], "order_index": range(len(path)), "sequence_score": [int(s * 1e4 + 0.5) / 1e4 for _, s in path]})
+        return pd.DataFrame({scope: [batch[scope][0]] * len(path), "take_id": [batch["take_id"][i] for i, _ in path], "order_index": range(len(path)), "sequence_score": [s / UNIT for _, s in path]})
 
     kinds = dict(takes.dtypes)
     needed = takes.select(scope, "take_id", "pos", "score_total", "analysis_mode", "story_role", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("prompt_fit", "visual_novelty", "hook_strength", "motion_energy", "story_alignment", "turn_completeness")), "transcript_excerpt")

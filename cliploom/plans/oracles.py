@@ -286,3 +286,70 @@ SELECT run_id, {r('v - b', 3)} AS delta, {r('(v - b) * 100 / b', 1)} AS delta_pc
 ORACLES["last_match"] = "SELECT o_orderkey AS run_id, o_orderpriority AS dataset_fingerprint, o_totalprice AS total_runtime_sec FROM orders WHERE o_orderpriority = '2-HIGH' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1"
 ORACLES["timecodes"] = """WITH e AS (SELECT event_id, strftime(ts, '%H:%M:%S') AS c, extract('hour' FROM ts) * 3600e0 + extract('minute' FROM ts) * 60 + floor(extract('second' FROM ts)) AS s, floor(value * 20)::BIGINT AS k FROM events)
 SELECT event_id, c || ':00' AS timecode, s AS seconds, CASE WHEN k < 3600 THEN '' ELSE lpad((k // 3600)::VARCHAR, 2, '0') || ':' END || lpad((k % 3600 // 60)::VARCHAR, 2, '0') || ':' || lpad((k % 60)::VARCHAR, 2, '0') AS clock FROM e"""
+
+
+# Greedy folds, one row after the other.
+def _kept(p: str, src: str, most: float, limit: int | None = None) -> str:
+    """{p}kept: asset_id, k (place among the kept), i, s, e of the rows of src (asset_id, i from 1, s, e) that keep apart."""
+    over = "least(x.e, q.e) - greatest(x.s, q.s)"
+    clash = f"len(list_filter(f.kept, lambda x: CASE WHEN {over} > 0 THEN coalesce(({over}) / nullif(least(x.e - x.s, q.e - q.s), 0e0), 0e0) ELSE 0e0 END >= {d(most)})) > 0"
+    full = f"len(f.kept) >= {limit} OR " if limit else ""
+    return f"""{p}f AS (SELECT asset_id, 0::BIGINT AS i, []::STRUCT(i BIGINT, s DOUBLE, e DOUBLE)[] AS kept FROM (SELECT DISTINCT asset_id FROM {src})
+  UNION ALL SELECT f.asset_id, q.i, CASE WHEN {full}{clash} THEN f.kept ELSE list_append(f.kept, {{'i': q.i, 's': q.s, 'e': q.e}}) END FROM {p}f f JOIN {src} q ON q.asset_id = f.asset_id AND q.i = f.i + 1),
+{p}kept AS (SELECT asset_id, x.i AS i, x.s AS s, x.e AS e, (k - 1)::INT AS k FROM (SELECT asset_id, unnest(kept) AS x, unnest(range(1, len(kept) + 1)) AS k FROM (SELECT asset_id, arg_max(kept, i) AS kept FROM {p}f GROUP BY asset_id)))"""
+
+
+ORACLES["peak_windows"] = f"""WITH RECURSIVE {AUDIO}, p0 AS (SELECT asset_id, rms, {r('t / 60000', 3)} AS t FROM audio WHERE NOT silent AND rms >= {d(0.05)}),
+p1 AS (SELECT *, greatest(0e0, t - 5.4e0 / 2) AS a0 FROM p0), p2 AS (SELECT asset_id, rms, t, {r('a0', 3)} AS s, {r('least(43.2e0, a0 + 5.4e0)', 3)} AS e FROM p1),
+p3 AS (SELECT asset_id, s, e, row_number() OVER (PARTITION BY asset_id ORDER BY rms DESC, t, s, e) AS i FROM p2 WHERE e - s >= 1.5e0), {_kept('p', 'p3', 0.7, 3)}
+SELECT asset_id, k AS pos, s AS start_sec, e AS end_sec FROM pkept"""
+ORACLES["seed_dedupe"] = f"""WITH RECURSIVE {SPANS_E}, d0 AS (SELECT asset_id, {r('s / 60000', 3)} AS s, {r('s / 60000 + 1 + event_id % 5', 3)} AS e FROM es),
+d1 AS (SELECT asset_id, {r('greatest(0e0, s)', 3)} AS s, {r('least(e, 43.2e0)', 3)} AS e FROM d0), d2 AS (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY {r('e - s', 3)}, s, e) AS i FROM d1 WHERE e - s >= 1), {_kept('d', 'd2', 0.9)}
+SELECT asset_id, s AS start_sec, e AS end_sec FROM dkept"""
+
+_ACLIP = "ac AS (SELECT asset_id, event_id % 40 + 0.5e0 AS t, max(rms) AS rms, bool_and(silent) AS silent FROM audio GROUP BY ALL)"
+_SEED_LEN = "greatest(1.5e0, least(6e0, e - s))"
+ORACLES["seed_refinement"] = f"""WITH RECURSIVE {ASSETS}, {SCENES('assets', 'asset_id', 'duration_sec')}, {AUDIO}, {_ACLIP}, {CONV},
+sd AS (SELECT asset_id, duration_sec AS dur, i::INT AS seed, i * 3e0 AS s, least(i * 3e0 + 4, duration_sec) AS e, (i * 3e0 + least(i * 3e0 + 4, duration_sec)) / 2 AS c FROM assets, range(0, 4) x(i) WHERE i * 3e0 < least(i * 3e0 + 4, duration_sec)),
+x0 AS (SELECT *, CASE WHEN s - lag(e) OVER (PARTITION BY asset_id ORDER BY s, e) <= {d(0.9)} THEN 0 ELSE 1 END AS o FROM sp WHERE asset_id % 3 = 0), x1 AS (SELECT *, sum(o) OVER (PARTITION BY asset_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM x0),
+x2 AS (SELECT asset_id, k, min(s) AS a, max(e) AS b, string_agg(trim(text), ' ' ORDER BY s, e, trim(text)) AS text FROM x1 GROUP BY ALL), x3 AS (SELECT *, {_ASK} AS q FROM x2),
+x4 AS (SELECT *, lead(a) OVER w AS na, lead(b) OVER w AS nb, coalesce(lead(q) OVER w, false) AS nq FROM x3 WINDOW w AS (PARTITION BY asset_id ORDER BY a, b)),
+x5 AS (SELECT sd.asset_id, seed, min(a) AS a, max(b) AS b, count(*) AS n, max({{'a': a, 'b': b, 'q': q, 'na': na, 'nb': nb, 'nq': nq}}) AS l FROM sd JOIN x4 ON x4.asset_id = sd.asset_id AND b >= s - 0.75e0 AND a <= e + 0.75e0 GROUP BY ALL),
+tr AS (SELECT asset_id, seed, a, CASE WHEN coalesce((l.q AND NOT l.nq AND l.na - l.b <= 1.6e0) OR (n = 1 AND NOT l.q AND NOT l.nq AND l.na - l.b <= {d(0.95)}), false) THEN greatest(b, l.nb) ELSE b END AS b FROM x5),
+y0 AS (SELECT *, NOT silent AND rms >= {d(0.05)} AS loud FROM ac WHERE asset_id % 3 <> 1 AND t >= 3), y1 AS (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY t) - row_number() OVER (PARTITION BY asset_id, loud ORDER BY t) AS run, t - lag(t) OVER (PARTITION BY asset_id ORDER BY t) AS g FROM y0),
+y2 AS (SELECT asset_id, coalesce(avg(g), 1e0) AS step FROM y1 GROUP BY ALL), y3 AS (SELECT asset_id, run, min(t) AS a, max(t) AS b FROM y1 WHERE loud GROUP BY ALL),
+y4 AS (SELECT sd.*, greatest(0e0, a - step / 2) AS a, least(dur, b + step / 2) AS b FROM sd JOIN y2 USING (asset_id) JOIN y3 USING (asset_id) QUALIFY row_number() OVER (PARTITION BY asset_id, seed ORDER BY greatest(a - c, c - b, 0e0), a) = 1),
+au AS (SELECT asset_id, seed, {r('a', 3)} AS a, {r('b', 3)} AS b FROM y4 WHERE b - a >= 1 AND abs((a + b) / 2 - c) <= 2),
+z0 AS (SELECT sd.*, a, b, (a <= c AND c <= b)::INT AS holds, greatest(0e0, least(e, b) - greatest(s, a)) AS lap, pos FROM sd JOIN scenes USING (asset_id)),
+sc AS (SELECT * FROM (SELECT * FROM z0 QUALIFY row_number() OVER (PARTITION BY asset_id, seed ORDER BY holds DESC, CASE WHEN holds = 1 THEN 0e0 ELSE -lap END, pos) = 1) WHERE holds = 1 OR lap > 0),
+du AS (SELECT asset_id, seed, {r(f'greatest(0e0, c - {_SEED_LEN} / 2)', 3)} AS a, {r(f'least(dur, c + {_SEED_LEN} / 2)', 3)} AS b FROM sd),
+fine AS (SELECT du.asset_id, du.seed, CASE WHEN tr.b - tr.a >= 1 THEN {{'a': tr.a, 'b': tr.b, 'st': 'turn-snap', 'cf': {d(0.93)}}} WHEN au.seed IS NOT NULL THEN {{'a': au.a, 'b': au.b, 'st': 'audio-snap', 'cf': {d(0.74)}}}
+  WHEN sc.seed IS NOT NULL AND sc.b - sc.a <= 8 THEN {{'a': sc.a, 'b': sc.b, 'st': 'scene-snap', 'cf': {d(0.62)}}} ELSE {{'a': du.a, 'b': du.b, 'st': CASE WHEN sc.seed IS NOT NULL THEN 'scene-duration' ELSE 'duration-rule' END, 'cf': {d(0.48)}}} END AS x
+  FROM du LEFT JOIN tr USING (asset_id, seed) LEFT JOIN au USING (asset_id, seed) LEFT JOIN sc USING (asset_id, seed)),
+ro AS (SELECT asset_id, seed, x.a AS s, x.b AS e, x.st AS st, x.cf AS cf, row_number() OVER (PARTITION BY asset_id ORDER BY -x.cf, -(x.b - x.a), seed) AS i FROM fine), {_kept('r', 'ro', 0.9)}
+SELECT ro.asset_id, ro.seed AS seed_id, ro.s AS start_sec, ro.e AS end_sec, st AS boundary_strategy, cf AS boundary_confidence FROM ro JOIN rkept USING (asset_id, i)"""
+
+ORACLES["leader_dedup"] = f"""WITH RECURSIVE {BINS}, mass AS (SELECT asset_id, seg, sum(weight) AS m FROM bins GROUP BY ALL), sim AS (SELECT x.asset_id, x.seg AS a, y.seg AS b, sum(least(x.weight, y.weight)) AS c FROM bins x JOIN bins y ON x.asset_id = y.asset_id AND x.bin = y.bin AND x.seg <> y.seg GROUP BY ALL),
+near AS (SELECT sim.asset_id, a, b FROM sim JOIN mass ON mass.asset_id = sim.asset_id AND mass.seg = sim.a WHERE {r('c::DOUBLE / m', 6)} >= {d(0.35)}),
+pl AS (SELECT asset_id, seg, row_number() OVER (PARTITION BY asset_id ORDER BY m DESC, seg) AS i FROM mass),
+bf AS (SELECT pl.asset_id, pl.seg, pl.i, list_sort(list(q.i) FILTER (q.i < pl.i)) AS before FROM pl LEFT JOIN near ON near.asset_id = pl.asset_id AND near.b = pl.seg LEFT JOIN pl q ON q.asset_id = near.asset_id AND q.seg = near.a GROUP BY ALL),
+ld AS (SELECT asset_id, 0::BIGINT AS i, []::BIGINT[] AS lead, 0::BIGINT AS leader FROM (SELECT DISTINCT asset_id FROM pl)
+  UNION ALL SELECT ld.asset_id, bf.i, CASE WHEN len(list_filter(coalesce(before, []), lambda x: list_contains(lead, x))) > 0 THEN lead ELSE list_append(lead, bf.i) END, coalesce(list_filter(coalesce(before, []), lambda x: list_contains(lead, x))[1], bf.i) FROM ld JOIN bf ON bf.asset_id = ld.asset_id AND bf.i = ld.i + 1)
+SELECT ld.asset_id, bf.seg AS segment_id, q.seg AS leader, (dense_rank() OVER (PARTITION BY ld.asset_id ORDER BY ld.leader) - 1)::INT AS dedup_group, bf.seg <> q.seg AS deduplicated FROM ld JOIN bf USING (asset_id, i) JOIN pl q ON q.asset_id = ld.asset_id AND q.i = ld.leader"""
+
+_unit = lambda x: f"floor(({x}) * 1e4 + 0.5e0)::BIGINT"
+_if = lambda test, x: f"CASE WHEN {test} THEN {x} ELSE 0e0 END"
+_SPEECH_TURN = f"coalesce(speech_ratio, 0e0) >= {d(0.85)}"
+ORACLES["story_sequence"] = f"""WITH RECURSIVE {TAKES},
+b0 AS (SELECT *, asset_id % 50 AS scope, row_number() OVER (PARTITION BY asset_id % 50 ORDER BY asset_id, within_asset_rank) AS pos2, (segment_id % 5) * {d(0.02)} AS fit, {_z('visual_novelty')} AS nov, {_z('motion_energy')} AS mot, {_z('subject_clarity')} AS cla, count(*) OVER (PARTITION BY asset_id % 50) AS n FROM takes WHERE is_selected),
+b1 AS (SELECT scope, pos2 AS p, take_id, n, NOT speech AS vis, score_total >= 0.75e0 AS strong, score_total AS tot, CASE WHEN speech THEN 'spoken beat' WHEN nov >= 0.8e0 AND mot >= 0.7e0 THEN 'dynamic' WHEN mot < 0.45e0 THEN 'calm' WHEN cla >= 0.8e0 THEN 'clear detail' ELSE 'transition-ready' END AS role,
+  {_unit(f"score_total + fit + {_if('coalesce(hook_strength, 0e0) >= 0.7e0', d(0.03))} + CASE WHEN NOT speech THEN {d(0.09)} + {_if('nov >= 0.7e0', d(0.04))} + {_if('fit > 0', d(0.02))} ELSE {d(0.03)} - {_if(chr(39) * 2 + ' = trim(transcript_excerpt)', d(0.03))} END")} AS os,
+  {_unit(f"score_total + least({d(0.05)}, fit) + {_if('coalesce(story_alignment, 0e0) >= 0.7e0', d(0.03))} + CASE WHEN NOT speech THEN {d(0.08)} + {_if('mot <= 0.55e0', d(0.04))} ELSE {_if(_SPEECH_TURN, d(0.03))} END")} AS rs,
+  {_unit(f"score_total + least({d(0.06)}, fit) + {_if('speech AND ' + _SPEECH_TURN, d(0.02))}")} AS fs FROM b0),
+op AS (SELECT scope, p, CASE WHEN n = 1 THEN {_unit('tot')} ELSE os END AS sc FROM b1 QUALIFY row_number() OVER (PARTITION BY scope ORDER BY os DESC, p) = 1),
+re AS (SELECT b1.scope, b1.p, rs AS sc, n FROM b1 JOIN op ON op.scope = b1.scope AND op.p <> b1.p WHERE n >= 3 QUALIFY row_number() OVER (PARTITION BY b1.scope ORDER BY vis DESC, rs DESC, b1.p) = 1),
+st AS (SELECT b1.scope, b1.p, op.sc, 0 AS i, vis AS v1, role AS r1, vis AS v2, role AS r2, strong AS s1, list_append([b1.p], coalesce(re.p, -1)) AS used FROM op JOIN b1 USING (scope, p) LEFT JOIN re ON re.scope = op.scope
+  UNION ALL (SELECT scope, p, sc, i, vis, role, v1, r1, strong, list_append(used, p) FROM (SELECT st.scope, b1.p, st.i + 1 AS i, vis, role, v1, r1, strong, used,
+    fs + CASE WHEN vis <> v1 THEN CASE WHEN vis THEN 1300 ELSE 1200 END ELSE -400 END + CASE WHEN role <> r1 THEN 400 ELSE -300 END + CASE WHEN strong AND s1 THEN 100 ELSE 0 END - CASE WHEN vis = v1 AND vis = v2 THEN 500 ELSE 0 END - CASE WHEN role = r1 AND role = r2 THEN 400 ELSE 0 END AS sc
+    FROM st JOIN b1 ON b1.scope = st.scope AND NOT list_contains(used, b1.p)) QUALIFY row_number() OVER (PARTITION BY scope ORDER BY sc DESC, p) = 1))
+SELECT scope, take_id, i::INT AS order_index, sc / 1e4 AS sequence_score FROM (SELECT scope, p, sc, i FROM st UNION ALL SELECT scope, p, sc, n - 1 FROM re) JOIN b1 USING (scope, p)"""

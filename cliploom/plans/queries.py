@@ -278,14 +278,21 @@ def seed_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.deduped_ranges(rows, "asset_id", "start_sec", "end_sec", "duration_sec")
 
 
+def _clip_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as audio rows within the first 40 seconds of the clips."""
+    rows = adapters.audio(spark, sf_dir).select("asset_id", (F.col("event_id") % 40 + 0.5).alias("t"), "rms_energy", "is_silent")
+    return rows.groupBy("asset_id", "t").agg(F.max("rms_energy").alias("rms_energy"), F.bool_and("is_silent").alias("is_silent"))
+
+
 @query
 def seed_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
     clips = adapters.assets(spark, sf_dir)
     scenes = intervals.fallback_scenes(clips, "asset_id", "duration_sec")
     seeds = clips.withColumn("seed_id", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumns({"start_sec": F.col("seed_id") * 3.0, "end_sec": F.least(F.col("seed_id") * 3.0 + 4.0, F.col("duration_sec"))}).where("start_sec < end_sec")
-    by_scene = intervals.refined_by_scene(seeds, scenes)
-    none = by_scene.where("false")
-    return intervals.refined(seeds, none, none, by_scene)
+    # Only some clips have a transcript or sound, so that every branch decides some.
+    spans = adapters.spans(spark, sf_dir).where("asset_id % 3 = 0")
+    audio = _clip_audio(spark, sf_dir).where("asset_id % 3 <> 1 and t >= 3")
+    return intervals.refined(seeds, intervals.refined_by_transcript(seeds, spans, speech.turns(spans)), intervals.refined_by_audio(seeds, audio), intervals.refined_by_scene(seeds, scenes))
 
 
 @query
@@ -464,7 +471,7 @@ def screened_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     clips = adapters.assets(spark, sf_dir)
     named = clips.select(F.col("asset_id").alias("id"), F.col("asset_name").alias("name"), F.col("asset_name").alias("source_path"), F.col("asset_name").alias("proxy_path"), F.col("asset_name").alias("interchange_reel_name"), "duration_sec")
-    audio = adapters.audio(spark, sf_dir).select("asset_id", (F.col("event_id") % 40 + 0.5).alias("t"), "rms_energy", "is_silent").groupBy("asset_id", "t").agg(F.max("rms_energy").alias("rms_energy"), F.bool_and("is_silent").alias("is_silent"))
+    audio = _clip_audio(spark, sf_dir)
     spans = adapters.spans(spark, sf_dir).select("asset_id", "start_sec", "end_sec", "text")
     given = screening.Inputs(clips, signals.seeded_signals(named), audio, spans)
     return screening.timeline(screening.takes(screening.segments(given)))
