@@ -80,20 +80,23 @@ def _units(x: np.ndarray) -> np.ndarray:
     return np.floor(x * UNIT + 0.5).astype(np.int64)
 
 
-def story_order(takes: dict[str, np.ndarray]) -> list[tuple[int, int]]:
+def story_order(takes: list[dict]) -> list[tuple[int, int]]:
     """(place, score in ten-thousandths) in sequence: best opener, best follower each time, and a reserved release of three or more.
 
-    `takes` holds columns: total, prompt, visual, role, novelty, hook, motion, story, turn, blank.  The first of equals wins.
-    A single take keeps its own score.
+    Takes hold score_total, mode, role, prompt, novelty, hook, motion, story, turn and blank.  The first of equals wins.  A
+    single take keeps its own score.
     """
-    total, prompt, visual, role = takes["total"], takes["prompt"], takes["visual"], takes["role"]
-    n = len(total)
+    n = len(takes)
+    column = lambda name: np.array([t[name] for t in takes], float)
+    total, prompt, turn = column("score_total"), column("prompt"), column("turn")
     if n <= 1:
         return [(0, int(_units(total)[0]))] if n else []
-    hook = 0.03 * (takes["hook"] >= 0.7)
-    opener = _units(total + prompt + hook + np.where(visual, 0.09 + 0.04 * (takes["novelty"] >= 0.7) + 0.02 * (prompt > 0), 0.03 - 0.03 * takes["blank"]))
-    release = _units(total + np.minimum(0.05, prompt) + 0.03 * (takes["story"] >= 0.7) + np.where(visual, 0.08 + 0.04 * (takes["motion"] <= 0.55), 0.03 * (takes["turn"] >= 0.85)))
-    follow = _units(total + np.minimum(0.06, prompt) + np.where(~visual & (takes["turn"] >= 0.85), 0.02, 0))
+    visual = np.array([t["mode"] == "visual" for t in takes])
+    role = pd.factorize(np.array([t["role"] for t in takes], object))[0]
+    hook = 0.03 * (column("hook") >= 0.7)
+    opener = _units(total + prompt + hook + np.where(visual, 0.09 + 0.04 * (column("novelty") >= 0.7) + 0.02 * (prompt > 0), 0.03 - 0.03 * column("blank")))
+    release = _units(total + np.minimum(0.05, prompt) + 0.03 * (column("story") >= 0.7) + np.where(visual, 0.08 + 0.04 * (column("motion") <= 0.55), 0.03 * (turn >= 0.85)))
+    follow = _units(total + np.minimum(0.06, prompt) + np.where(~visual & (turn >= 0.85), 0.02, 0))
     strong = total >= 0.75
     left = np.ones(n, bool)
     best = lambda score, among: int(np.argmax(np.where(among, score, np.iinfo(np.int64).min)))
@@ -127,10 +130,10 @@ def story_sequence(takes: DataFrame, scope: str) -> DataFrame:
 
     def run(batch: pd.DataFrame) -> pd.DataFrame:
         batch = batch.sort_values("pos").reset_index(drop=True)
-        number = lambda c: batch[c].to_numpy(float)
-        columns = {"total": "score_total", "prompt": "prompt_fit", "novelty": "visual_novelty", "hook": "hook_strength", "motion": "motion_energy", "story": "story_alignment", "turn": "turn_completeness"}
-        rows = {k: number(c) for k, c in columns.items()}
-        rows |= {"visual": (batch["analysis_mode"] == "visual").to_numpy(), "role": pd.factorize(batch["story_role"])[0], "blank": (batch["transcript_excerpt"].fillna("").str.strip() == "").to_numpy()}
+        rows = [
+            {"score_total": r.score_total, "mode": r.analysis_mode, "role": r.story_role, "prompt": r.prompt_fit, "novelty": r.visual_novelty, "hook": r.hook_strength, "motion": r.motion_energy, "story": r.story_alignment, "turn": r.turn_completeness, "blank": not (r.transcript_excerpt or "").strip()}
+            for r in batch.itertuples()
+        ]
         path = story_order(rows)
         return pd.DataFrame({scope: [batch[scope][0]] * len(path), "take_id": [batch["take_id"][i] for i, _ in path], "order_index": range(len(path)), "sequence_score": [s / UNIT for _, s in path]})
 
