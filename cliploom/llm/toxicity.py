@@ -1,18 +1,20 @@
 """Toxicity by multiple-instance learning: sentence scores joined by noisy-or, trained from document labels.
 
-A document is a bag of sentences.  A sentence scores p = sigmoid(bias + sum of its features' weights); the document
-scores 1 - prod(1 - p).  Weights are fitted on whole labelled texts by descent on the log loss of the document's
+A document is a bag of sentences.  A sentence scores p = sigmoid(bias + sum of its features' weights), 0 without a weighed
+feature; the document scores 1 - prod(1 - p) over its witnesses, the sentences with p of `WITNESS` or more, so that length
+adds nothing, however many sentences there are with slight or no evidence.  Weights are fitted on whole labelled texts by descent on the log loss of the document's
 label through the noisy-or, so blame falls on the sentences that explain the label; `offending` returns them with places.
 
 Features of a sentence are the words that it holds and their beginnings of 4 to 6 letters, so inflected and compounded
 forms share evidence.  Only features count that `min_docs` or more training texts hold and that toxic ones hold more
 often, by a log-likelihood ratio that about `chance` of all
 features would reach by chance.  Training uses at most `max_train`
-labelled texts, those with the smallest hash of the id; the bound keeps the driver's memory fixed.  All other texts are
-scored in a stream, each whole.
+labelled texts of `max_bytes` together, whole ones with the smallest hashes of the id; the bounds keep the driver's memory
+fixed.  All other texts are scored in a stream, each whole.
 
 Edge cases: null and empty texts are a bag without sentences and score 0; unlabelled rows are scored as well; with no labels
-or labels of one kind the bias alone is fitted, and it scores under 0.5; rows with equal texts score equally.
+or labels of one kind no feature has a weight and all score 0; rows with equal texts score equally; of a labelled id's
+several texts the one with the least hash is learnt, and of its several labels the largest.
 """
 
 from __future__ import annotations
@@ -23,15 +25,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SENTENCE = re.compile(r"[^.!?…。！？\n]+")
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
-MAX_TRAIN, MIN_DOCS, CHANCE, ROUNDS = 8_000, 4, 1.0, 120
-#: A bias so low that a thousand sentences without evidence stay clean.
-BIAS = -9.0
+MAX_TRAIN, MAX_BYTES, MIN_DOCS, CHANCE, ROUNDS = 8_000, 64_000_000, 4, 1.0, 120
+#: Evidence that a sentence needs to be a witness: much, as there are many sentences.
+BIAS, WITNESS = -9.0, 0.02
 #: Words whose evidence a worker remembers; when full it starts anew.
 REMEMBERED, REMEMBERED_TRAIN = 500_000, 100_000
 #: Hash slots, as a power of two, in which features are first counted.
@@ -77,7 +79,8 @@ class Model:
             return 0.0
         clean = 1.0
         for part in SENTENCE.findall(text):
-            clean *= 1 - self.sentence(part)
+            if (p := self.sentence(part)) >= WITNESS:
+                clean *= 1 - p
         return 1 - clean
 
 
@@ -141,9 +144,10 @@ def fit(texts: list[str | None], labels: list[int], min_docs: int = MIN_DOCS, ch
                     found = known[word] = tuple(number[f] for f in features(word) if f in number)
                 if found:
                     own.update(found)
-            cols.extend(own)
-            rows.extend([len(owner)] * len(own))
-            owner.append(d)
+            if own:
+                cols.extend(own)
+                rows.extend([len(owner)] * len(own))
+                owner.append(d)
     col, row, doc = np.array(cols, np.int32), np.array(rows, np.int32), np.array(owner, np.int32)
     w, m, v = np.zeros(len(names)), np.zeros(len(names)), np.zeros(len(names))
     share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum())) * len(y)
@@ -159,12 +163,15 @@ def fit(texts: list[str | None], labels: list[int], min_docs: int = MIN_DOCS, ch
     return Model({names[i]: float(w[i]) for i in np.flatnonzero(np.abs(w) > 0.05)}, BIAS)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, **options: object) -> Model:
-    """Fits on labelled rows that are not held out, at most `max_train` of them, chosen by hash of the id."""
+def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_bytes: int = MAX_BYTES, **options: object) -> Model:
+    """Fits on labelled rows that are not held out, at most `max_train` of them and `max_bytes` of text, chosen by hash of the id."""
     known = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64(F.col("doc_id").cast("string"))
     chosen = known.orderBy(order, "doc_id").limit(max_train)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").dropDuplicates(["doc_id"]).orderBy(order, "doc_id").toArrow()
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    # At most `max_train` rows: one window over them is small.
+    so_far = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.orderBy(order, "doc_id"))
+    rows = rows.withColumn("_tox_bytes", so_far).where(F.col("_tox_bytes") <= max_bytes).orderBy(order, "doc_id").select("text", "toxic").toArrow()
     return fit(rows.column("text").to_pylist(), [int(x) for x in rows.column("toxic").to_pylist()], **options)
 
 

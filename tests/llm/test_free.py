@@ -248,12 +248,41 @@ def test_toxicity_of_long_clean_texts():
     clean = "a calm line of words\n" * 20_000
     assert model.document(clean) == 0 and model.sentence("a calm line") == 0
     assert model.document(clean + "snarkful") == pytest.approx(model.sentence("snarkful")) and model.sentence("snarkful") > 0.9
+    # Slight evidence in every one of 100,000 sentences is no witness.
+    slight = toxicity.Model({"calm": 4.0, "snarkful": 14.0}, toxicity.BIAS)
+    assert slight.document("a calm line of words. " * 100_000) == 0 and slight.document("a calm line. " * 100_000 + "snarkful") > 0.9
+
+
+def test_toxicity_by_brute_force():
+    rnd = random.Random(9)
+    weights = {f: rnd.uniform(-2, 9) for f in ("abcd*", "abcde", "xy", "grumb*", "grumbly", "éclat", "snark*", "snar*")}
+    model = toxicity.Model(weights, toxicity.BIAS)
+    words = ["abcde", "abcd", "xy", "Grumbly", "grumbling", "Éclat", "snarkful", "plain", "word", "12", "a1b"]
+    for _ in range(300):
+        text = "".join(rnd.choice(words) + rnd.choice([" ", " ", ". ", "!", "\n", "? "]) for _ in range(rnd.randrange(40)))
+        clean = 1.0
+        for part in re.split(r"[.!?…。！？\n]", text.lower()):
+            found = set()
+            for w in re.findall(r"[^\W\d_]+", part):
+                found |= {w} | {w[:n] + "*" for n in (4, 5, 6) if len(w) >= n}
+            held = [weights[f] for f in found if f in weights]
+            p = 1 / (1 + math.exp(-(toxicity.BIAS + sum(held)))) if held else 0.0
+            clean *= 1 - p if p >= toxicity.WITNESS else 1
+        assert model.document(text) == pytest.approx(1 - clean)
+
+
+def test_toxicity_training_is_bounded_and_stable(spark, docs_of):
+    rows = [(i, f"{'snarkful' if i % 3 == 0 else 'calm'} text number {'x' * (i % 7)}") for i in range(200)] + [(i, "another text of the id") for i in range(50)] + [(300, None)]
+    marks = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(200)] + [(300, 1, 0)], "doc_id long, quality int, toxic int")
+    one, two = (toxicity.train(docs_of(r), marks) for r in (rows, rows[::-1]))
+    assert one.weights == two.weights and one.weights
+    assert toxicity.train(docs_of(rows), marks, max_bytes=0).weights == {}
 
 
 def test_toxicity_edges(spark, edges, empty):
     marks = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
     got = toxicity.digest(edges, marks).collect()
-    assert len(got) == len(EDGES) and not any(r.predicted for r in got if r.doc_id != 6)
+    assert len(got) == len(EDGES) and not any(r.predicted for r in got)
     assert toxicity.digest(empty, marks.where("false")).count() == 0
 
 
