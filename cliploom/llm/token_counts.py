@@ -1,22 +1,28 @@
-"""Token counts that survive edits: a segment tree over each text's pre-tokens.
+"""Token counts that survive edits: a segment tree over each text's pre-tokens, kept between calls.
 
-A text is cut into pre-tokens, each encoded by itself.  Leaves of the tree are blocks of pre-tokens; nodes hold the sums
-of code points and of tokens below.  An edit finds its place by descending the sums, cuts and encodes anew only from the
-pre-token that could see the edit (the pattern looks at most `AHEAD` characters past a match) to the first old boundary
-after it at which a new match ends, and updates the sums on the way up.  From there on matches depend on unchanged text only.
+A text is cut into pre-tokens, each encoded by itself.  Leaves of the tree are blocks of some pre-tokens; nodes hold the sums
+of code points and of tokens below, and the root is the text's count.  `grow` makes the trees; their leaves are stored as
+(chars, tokens, pieces) per block, some hundredths of the text.  `recount` takes stored trees and edits: it finds the block
+of an edit by descending the sums, cuts and encodes anew only from that block's start to the first old block boundary after
+the edit at which a new pre-token ends (the pattern looks at most `AHEAD` characters past a match), and updates the sums
+on the way up.  From there on pre-tokens depend on unchanged text only.  An edit costs a few blocks, however long the
+text is; without one, nothing is encoded again.
 
 The vocabulary is a tiktoken rank file; its path is a parameter, the driver reads it and executors get its bytes (a
 vocabulary has a fixed size).  Token counts of pre-tokens are remembered up to a fixed number per worker.
 
 Edge cases: null and empty texts have no tokens; an edit beyond the text's end is cut to it; edits of one text may touch but
-not overlap (overlaps raise ValueError); edits with a null place are left out; repeated rows each get their result; one
-very long text is one tree, whose memory is in proportion to its pre-tokens.
+not overlap (overlaps raise ValueError); edits with a null place are left out; repeated rows each get their result; a tree
+belongs to a doc_id and its text's hash; without a stored tree, rows with edits get one made and rows without edits get
+nulls; one very long text is one tree, whose
+memory is in proportion to its blocks.
 """
 
 from __future__ import annotations
 
 import base64
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import regex
@@ -24,6 +30,8 @@ import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .columns import checkpointed
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pre-token pattern of that vocabulary, a fixed value.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -58,22 +66,38 @@ class Counter:
 
 
 class Tree:
-    """A text, its blocks of (length, tokens) leaves and the sums over them."""
+    """A text in blocks of pre-tokens, and the sums of (characters, tokens) over them.
+
+    With `leaves`, the stored (chars, tokens, pieces) of the blocks, nothing is encoded.
+    """
 
-    def __init__(self, counter: Counter, text: str | None) -> None:
-        self.counter, self.text, self.encoded = counter, text or "", 0
-        leaves = [(len(p), counter.tokens(p)) for p in counter.pattern.findall(self.text)]
-        self.blocks = [leaves[i : i + BLOCK] for i in range(0, len(leaves), BLOCK)] or [[]]
-        self.width = 1 << (len(self.blocks) - 1).bit_length()
+    def __init__(self, counter: Counter, text: str | None, leaves: list[tuple[int, int, int]] | None = None) -> None:
+        self.counter, self.encoded, text = counter, 0, text or ""
+        if leaves is None:
+            self.parts, self.counts = self._cut([(p, counter.tokens(p)) for p in counter.pattern.findall(text)])
+        else:
+            self.counts = [(tokens, pieces) for _, tokens, pieces in leaves] or [(0, 0)]
+            ends = list(accumulate(chars for chars, _, _ in leaves))
+            self.parts = [text[a:b] for a, b in zip([0, *ends], ends)] or [""]
+        self._grow()
+
+    @staticmethod
+    def _cut(pieces: list[tuple[str, int]], blocks: int = 0) -> tuple[list[str], list[tuple[int, int]]]:
+        """Texts and (tokens, pieces) of the blocks that the pieces make, of `BLOCK` pieces or in a given number."""
+        step = -(-len(pieces) // blocks) if blocks else BLOCK
+        cut = [pieces[i : i + step] for i in range(0, len(pieces), max(step, 1))]
+        cut += [[]] * (max(blocks, 1) - len(cut))
+        return ["".join(p for p, _ in c) for c in cut], [(sum(t for _, t in c), len(c)) for c in cut]
+
+    def _grow(self) -> None:
+        n = len(self.parts)
+        self.width = 1 << (n - 1).bit_length()
         self.chars, self.tokens = [0] * (2 * self.width), [0] * (2 * self.width)
-        for i, block in enumerate(self.blocks):
-            self._leaf(i, block)
+        self.chars[self.width : self.width + n] = map(len, self.parts)
+        self.tokens[self.width : self.width + n] = (t for t, _ in self.counts)
         for node in range(self.width - 1, 0, -1):
             self._sum(node)
 
-    def _leaf(self, i: int, block: list[tuple[int, int]]) -> None:
-        self.chars[self.width + i], self.tokens[self.width + i] = sum(n for n, _ in block), sum(t for _, t in block)
-
     def _sum(self, node: int) -> None:
         for sums in (self.chars, self.tokens):
             sums[node] = sums[2 * node] + sums[2 * node + 1]
@@ -82,6 +106,18 @@ class Tree:
     def total(self) -> int:
         return self.tokens[1]
 
+    @property
+    def pieces(self) -> int:
+        return sum(p for _, p in self.counts)
+
+    @property
+    def text(self) -> str:
+        return "".join(self.parts)
+
+    @property
+    def leaves(self) -> list[tuple[int, int, int]]:
+        return [(len(p), t, n) for p, (t, n) in zip(self.parts, self.counts) if p]
+
     def _block_at(self, place: int) -> tuple[int, int]:
         """The block that holds the character and the characters before that block."""
         node, before = 1, 0
@@ -90,49 +126,46 @@ class Tree:
             if place >= before + self.chars[node] and self.chars[node + 1]:
                 before += self.chars[node]
                 node += 1
-        return min(node - self.width, len(self.blocks) - 1), before
+        return min(node - self.width, len(self.parts) - 1), before
 
     def edit(self, start: int, end: int, new: str) -> None:
         """Replaces text[start:end]."""
-        start, end = min(start, len(self.text)), min(max(start, end), len(self.text))
-        text = self.text[:start] + new + self.text[end:]
-        shift = len(text) - len(self.text)
+        start, end = min(start, self.chars[1]), min(max(start, end), self.chars[1])
         first, at = self._block_at(max(0, start - AHEAD))
-        # Within the first block, the pre-tokens that cannot see the edit stay.
-        stay = 0
-        for n, _ in self.blocks[first]:
-            if at + n + AHEAD > start:
-                break
-            at, stay = at + n, stay + 1
-        old_block, old_at, rest = first, at, stay  # the old boundary reached so far
-        fresh: list[tuple[int, int]] = []
-        place, done = at, False
-        # An old boundary at or after the edit's end that a new match ends on closes the region.
-        while not done:
-            match = self.counter.pattern.match(text, place) if place < len(text) else None
-            if match is not None:
-                place = match.end()
-                fresh.append((len(match[0]), self.counter.tokens(match[0])))
-                self.encoded += 1
-            while old_at + shift < place or old_at < end:
-                while rest >= len(self.blocks[old_block]):
-                    if old_block + 1 >= len(self.blocks):
-                        break
-                    old_block, rest = old_block + 1, 0
-                if rest >= len(self.blocks[old_block]):
+        last, last_at = self._block_at(max(start, end - 1))
+        # The text from the first block on, and the places in it at which an old block ends after the edit.
+        held = "".join(self.parts[first : last + 1])
+        held = held[: start - at] + new + held[end - at :]
+        ends, place, fresh = {len(held): last + 1}, 0, []
+        following = last + 1
+        while True:
+            match = self.counter.pattern.match(held, place) if place < len(held) else None
+            if following < len(self.parts) and (match.end() if match else place) + AHEAD > len(held):
+                held += self.parts[following]
+                following += 1
+                ends[len(held)] = following
+                if place in ends and place and match is None:
                     break
-                old_at, rest = old_at + self.blocks[old_block][rest][0], rest + 1
-            done = (old_at >= end and old_at + shift == place) or match is None
-        tail = self.blocks[old_block][rest:]
-        self.blocks[first] = self.blocks[first][:stay] + fresh + (tail if old_block == first else [])
-        for i in range(first + 1, old_block + 1):
-            self.blocks[i] = tail if i == old_block else []
-        self.text = text
+                continue
+            if match is None:
+                break
+            place = match.end()
+            fresh.append((match[0], self.counter.tokens(match[0])))
+            self.encoded += 1
+            if place in ends:
+                break
+        stop = ends.get(place, following)
+        blocks = stop - first
+        keep = len(fresh) <= 2 * BLOCK * blocks
+        parts, counts = self._cut(fresh, blocks if keep else 0)
+        self.parts[first:stop], self.counts[first:stop] = parts, counts
+        if not keep:
+            return self._grow()
         touched = set()
-        for i in range(first, old_block + 1):
-            self._leaf(i, self.blocks[i])
+        for i in range(first, stop):
+            self.chars[self.width + i], self.tokens[self.width + i] = len(self.parts[i]), self.counts[i][0]
             touched.add((self.width + i) // 2)
-        while touched and touched != {0}:
+        while touched - {0}:
             for node in touched:
                 if node:
                     self._sum(node)
@@ -141,50 +174,95 @@ class Tree:
 
 def apply_edits(tree: Tree, edits: list[tuple[int, int, str]]) -> None:
     """Edits in places of the text as it was; the last one first, so that places hold."""
-    reached = len(tree.text) + 1
+    length = tree.chars[1]
+    reached = length + 1
     for start, end, new in sorted(edits, key=lambda e: (e[0], e[1]), reverse=True):
-        if min(end, len(tree.text)) > reached:
+        if min(end, length) > reached:
             raise ValueError(f"edits overlap at {start}:{end}")
         tree.edit(start, end, new)
         reached = start
 
 
 EDITS = "array<struct<start:int,end:int,new:string>>"
+LEAVES = "array<struct<chars:int,tokens:int,pieces:int>>"
+_LEAVES = pa.list_(pa.struct([("chars", pa.int32()), ("tokens", pa.int32()), ("pieces", pa.int32())]))
 _FIELDS = ("n_tokens", "n_pretokens", "n_edits", "n_tokens_after", "n_reencoded")
 
 
-def _recount(ranks: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _ranks(docs: DataFrame, vocabulary: str) -> object:
+    with open(vocabulary, "rb") as f:
+        return docs.sparkSession.sparkContext.broadcast(f.read())
+
+
+def _column(trees: list[Tree | None]) -> pa.Array:
+    return pa.array([t and [dict(zip(("chars", "tokens", "pieces"), leaf)) for leaf in t.leaves] for t in trees], _LEAVES)
+
+
+def _growing(ranks: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = None
         for batch in batches:
             counter = counter or Counter(ranks.value)
-            rows = []
-            for text, edits in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                n, pieces = counter.count(text)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _column([Tree(counter, t) for t in batch.column(2).to_pylist()])], names=["doc_id", "text_hash", "tree"])
+
+    return run
+
+
+def _hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def grow(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """doc_id, text_hash and tree (its leaves) of every row; to be stored for later edits."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", _hash().alias("text_hash"), "text").mapInArrow(_growing(_ranks(docs, vocabulary)), f"doc_id {kind}, text_hash long, tree {LEAVES}")
+
+
+def _recounting(ranks: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = None
+        for batch in batches:
+            rows, after = [], []
+            for text, edits, leaves in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
                 own = [(e["start"], e["end"], e["new"] or "") for e in edits or [] if e and e["start"] is not None and e["end"] is not None]
-                if not own:
-                    rows.append((n, pieces, 0, n, 0))
+                stored = None if leaves is None else [(x["chars"], x["tokens"], x["pieces"]) for x in leaves]
+                if stored is not None and not own:
+                    n = sum(t for _, t, _ in stored)
+                    rows.append((n, sum(p for _, _, p in stored), 0, n, 0))
+                    after.append(leaves)
                     continue
-                tree = Tree(counter, text)
+                if stored is None and not own:
+                    rows.append((None,) * len(_FIELDS))
+                    after.append(None)
+                    continue
+                counter = counter or Counter(ranks.value)
+                tree = Tree(counter, text, stored)
+                n, pieces = tree.total, tree.pieces
                 apply_edits(tree, own)
                 rows.append((n, pieces, len(own), tree.total, tree.encoded))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(len(_FIELDS)))], names=["doc_id", *_FIELDS])
+                after.append([dict(zip(("chars", "tokens", "pieces"), leaf)) for leaf in tree.leaves])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(len(_FIELDS))), pa.array(after, _LEAVES)], names=["doc_id", *_FIELDS, "tree"])
 
     return run
 
 
-def recount(docs: DataFrame, edits: Column, vocabulary: str = VOCABULARY) -> DataFrame:
-    """doc_id, n_tokens, n_pretokens, n_edits, n_tokens_after and n_reencoded (pre-tokens) of every row.
+def recount(docs: DataFrame, trees: DataFrame, edits: Column, vocabulary: str = VOCABULARY) -> DataFrame:
+    """doc_id, n_tokens, n_pretokens, n_edits, n_tokens_after, n_reencoded (pre-tokens) and the tree after the edits, for every row.
 
-    `edits` is an expression over the input: an array of (start, end, new), places in code points.
+    `trees` are those of `grow`, or of an earlier `recount` with the hashes of its texts.  `edits` is an expression over
+    `docs`: an array of (start, end, new), places in code points.  Only texts with edits are read again.
     """
-    with open(vocabulary, "rb") as f:
-        ranks = docs.sparkSession.sparkContext.broadcast(f.read())
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text", edits.cast(EDITS).alias("edits"))
-    return rows.mapInArrow(_recount(ranks), f"doc_id {kind}, " + ", ".join(f"{f} long" for f in _FIELDS))
+    stored = trees.dropDuplicates(["doc_id", "text_hash"]).select(F.col("doc_id").alias("_tok_id"), F.col("text_hash").alias("_tok_h"), F.col("tree").alias("_tok_tree"))
+    rows = docs.select("doc_id", "text", _hash().alias("_tok_hash"), edits.cast(EDITS).alias("_tok_edits"))
+    # A text goes through the join only where it is needed.
+    rows = rows.withColumn("_tok_text", F.when(F.size("_tok_edits") > 0, F.col("text"))).drop("text")
+    rows = rows.join(stored, F.col("doc_id").eqNullSafe(F.col("_tok_id")) & (F.col("_tok_hash") == F.col("_tok_h")), "left")
+    return rows.select("doc_id", "_tok_text", "_tok_edits", "_tok_tree").mapInArrow(_recounting(_ranks(docs, vocabulary)), f"doc_id {kind}, " + ", ".join(f"{f} long" for f in _FIELDS) + f", tree {LEAVES}")
 
 
 def digest(docs: DataFrame, found: Column, new: str, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Counts before and after all `found` spans are replaced by `new`."""
-    return recount(docs, F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(new).alias("new"))), vocabulary)
+    """Counts before and after all `found` spans are replaced by `new`: the trees are made and stored, then edited."""
+    trees = checkpointed(grow(docs, vocabulary))
+    edits = F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(new).alias("new")))
+    return recount(docs, trees, edits, vocabulary).drop("tree")

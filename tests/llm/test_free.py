@@ -108,7 +108,17 @@ def test_token_counts_after_random_edits():
         for _ in range(5):
             a = rnd.randrange(0, len(tree.text) + 1)
             tree.edit(a, a + rnd.choice([0, 1, 40]), text_of_(rnd.choice([0, 1, 90])))
+            assert tree.total == len(counter.encoding.encode_ordinary(tree.text)) and tree.pieces == len(counter.pattern.findall(tree.text))
+            if rnd.random() < 0.3:  # stored and read again
+                tree = token_counts.Tree(counter, tree.text, tree.leaves)
+    # Blocks of one sort of characters, and edits at their borders.
+    for unit in ("a", " ", "\n ", "1,", "ab "):
+        tree = token_counts.Tree(counter, unit * 3_000)
+        for k in (0, 1, 64, 128, 2_999, 3_000):
+            tree.edit(k, k + 64, "x")
             assert tree.total == len(counter.encoding.encode_ordinary(tree.text))
+        tree.edit(0, 10**6, "")
+        assert (tree.total, tree.text, tree.leaves) == (0, "", [])
     long = token_counts.Tree(counter, text_of_(60_000))
     before = long.encoded
     long.edit(30_000, 30_005, "edited")
@@ -127,6 +137,18 @@ def test_token_counts_query(docs_of, edges, empty):
         plain, edited = (len(counter.encoding.encode_ordinary(x)) for x in (t or "", re.sub(r"[0-9]{6,}", "0", t or "")))
         assert (got[i].n_tokens, got[i].n_tokens_after) == (plain, edited)
     assert got[1].n_edits == 2 and 0 < got[1].n_reencoded
+    # Trees go on from call to call; nothing is encoded for texts without edits, and a missing tree gives nulls.
+    docs = docs_of(rows)
+    first = token_counts.recount(docs, token_counts.grow(docs), F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit("0").alias("new"))))
+    edited = docs_of([(i, re.sub(r"[0-9]{6,}", "0", t) if t else t) for i, t in rows])
+    trees = first.join(edited.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")), "doc_id").select("doc_id", "text_hash", "tree")
+    more = F.array(F.struct(F.lit(0).alias("start"), F.lit(2).alias("end"), F.lit("Say ").alias("new")))
+    second = {r.doc_id: r for r in token_counts.recount(edited, trees, F.when(F.col("doc_id") < 3, more)).collect()}
+    for i, t in rows:
+        plain = re.sub(r"[0-9]{6,}", "0", t or "")
+        after = "Say " + plain[2:] if i < 3 else plain
+        assert (second[i].n_tokens, second[i].n_tokens_after) == tuple(len(counter.encoding.encode_ordinary(x)) for x in (plain, after)) and (second[i].n_reencoded > 0) == (i < 3)
+    assert {r.n_tokens for r in token_counts.recount(docs, trees.where("false"), F.lit(None)).collect()} == {None}
     assert token_counts.digest(edges, found, "0").count() == len(EDGES) and token_counts.digest(empty, found, "0").count() == 0
 
 
