@@ -17,7 +17,9 @@ is cut into fragments and each fragment is worked on by itself:
    halves the pairs of a list's members in different components; what is left then is verified pair by pair.  Members
    of one component need no test, so a group of near copies costs in proportion to its size, and no link is lost that
    would join components.
-5. N-grams that the sketch gives to `hot_classes` classes or more are not gathered in a fragment: their lists are dealt by
+5. Before sets are made and shuffled, pairs are left out whose sets can't overlap enough: each set's n-grams are counted in
+   128 parts of the order, and in no part can a pair share more than the smaller count.
+6. N-grams that the sketch gives to `hot_classes` classes or more are not gathered in a fragment: their lists are dealt by
    class to many tasks, and joins on lists are dealt anew by Spark where they are skewed.
 
 Components are found by contraction within tasks and, where one task can't hold the links, star steps between them.  Each turn
@@ -60,6 +62,9 @@ FEW_PAIRS = 0.25
 HEADS = 16
 #: Classes that hold an n-gram, by the sketch, from which on its list is dealt to many tasks.
 HOT_CLASSES = 200_000
+#: Parts of the n-gram order in which a set's n-grams are counted, and a count that stands for itself and more.
+SET_PARTS, UNKNOWN = 128, 255
+PART_SHIFT = np.uint64(57)
 #: Bits of the fixed-size filter for the documents whose sets are made.
 FILTER_BITS = 21
 
@@ -69,17 +74,18 @@ def prefix_length(n: int, num: int = NUM, den: int = DEN) -> int:
 
 
 def _classes(k: int, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows of kind 0: doc_id, n, class; of kind 1: a part of this task's sketch."""
+    """Rows of kind 0: doc_id, n, class and n-grams by part; of kind 1: a part of this task's sketch."""
     schema = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("part", pa.int32()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, some = np.zeros(1 << bits, np.uint32), False
         for batch in batches:
-            ids, ns, names = batch.column(0).to_pylist(), [], []
+            ids, ns, names, parts = batch.column(0).to_pylist(), [], [], []
             held = []
             for tokens in shingle_sets(texts_of(batch), k):
                 ns.append(len(tokens))
                 names.append(set_id(tokens))
+                parts.append(np.minimum(np.bincount((tokens >> PART_SHIFT).astype(np.int64), minlength=SET_PARTS), UNKNOWN).astype(np.uint8).tobytes())
                 held.append((tokens >> np.uint64(64 - bits)).astype(np.int64))
                 if len(held) >= 256:
                     np.add.at(counts, np.concatenate(held), 1)
@@ -88,7 +94,7 @@ def _classes(k: int, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator
                 np.add.at(counts, np.concatenate(held), 1)
             some = some or bool(ids)
             n = len(ids)
-            yield pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int8()), pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(names, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int8()), pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(names, pa.int64()), pa.nulls(n, pa.int32()), pa.array(parts, pa.binary())], schema=schema)
         if some:
             parts = np.minimum(counts, 65_535).astype(np.uint16).reshape(SKETCH_PARTS, -1)
             m = SKETCH_PARTS
@@ -299,6 +305,26 @@ def _open_lists(placed: DataFrame, comps: DataFrame) -> tuple[DataFrame, int]:
     return out, left
 
 
+def _bound(num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs whose overlap may be large enough: in no part can they share more than the smaller count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(f"parts_{x}").to_pylist()), np.uint8).reshape(-1, SET_PARTS) for x in "ab")
+            size = batch.column("size_a").to_numpy().astype(np.int64) + batch.column("size_b").to_numpy()
+            most = np.where((np.minimum(a, b) == UNKNOWN).any(1), size, np.minimum(a, b).sum(1, dtype=np.int64))
+            yield batch.select(list(_PAIR)).filter(pa.array(most * den >= (size - most) * num))
+
+    return run
+
+
+def _promising(pairs: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs without those whose sets, counted by part, can't overlap enough."""
+    side = lambda x: members.select(F.col("class").alias(f"class_{x}"), F.col("parts").alias(f"parts_{x}"))
+    schema = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in _PAIR)
+    return pairs.join(side("a"), "class_a").join(side("b"), "class_b").mapInArrow(_bound(num, den), schema)
+
+
 def _verified(pairs: DataFrame, named: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs that link: overlaps counted by fragment, summed by pair.
 
@@ -322,12 +348,18 @@ def _filter_bytes(pairs: DataFrame) -> object:
     return pairs.sparkSession.sparkContext.broadcast(zlib.compress(np.packbits(flags).tobytes(), 1))
 
 
-def _connecting(placed: DataFrame, named: DataFrame, n_rows: int, k: int, num: int, den: int) -> list[DataFrame]:
+def _connecting(placed: DataFrame, members: DataFrame, named: DataFrame, n_rows: int, k: int, num: int, den: int) -> list[DataFrame]:
     """Links that have the components of all links, by turn."""
     links, tried, turn, before = [], [], 0, math.inf
+
+    def test(found: DataFrame) -> None:
+        tried.append(written(_untried(found, tried)))
+        pairs = written(_promising(tried[-1], members, num, den))
+        links.append(written(_verified(pairs, named, k, num, den)))
+        dropped(pairs)
+
     while True:
-        tried.append(written(_untried(_stars(placed, turn, num, den), tried)))
-        links.append(written(_verified(tried[-1], named, k, num, den)))
+        test(_stars(placed, turn, num, den))
         comps = connected(links[-1].select(F.col("component_a").alias("a"), F.col("component_b").alias("b")))
         after, left = _open_lists(placed, comps)
         dropped(placed, comps)
@@ -337,8 +369,7 @@ def _connecting(placed: DataFrame, named: DataFrame, n_rows: int, k: int, num: i
             break
         before = left
     if left:
-        tried.append(written(_untried(_all_pairs(placed, num, den), tried)))
-        links.append(written(_verified(tried[-1], named, k, num, den)))
+        test(_all_pairs(placed, num, den))
     dropped(placed, *tried)
     return links
 
@@ -350,8 +381,8 @@ def join(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN, sketch
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    first = checkpointed(texts.mapInArrow(_classes(k, sketch_bits), CLASS_SCHEMA))
-    rows = first.where("kind = 0").select("doc_id", "n", "class")
+    first = written(texts.mapInArrow(_classes(k, sketch_bits), CLASS_SCHEMA))
+    rows = checkpointed(first.where("kind = 0").select("doc_id", "n", "class"))
     sketch = spark.sparkContext.broadcast(_order(first, sketch_bits))
     n_rows, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     n_fragments = max(partitions(spark), math.ceil(total * (den - num) / den / FRAGMENT_NGRAMS), 1)
@@ -365,12 +396,16 @@ def join(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN, sketch
     lists = lists.groupBy("list", "class", "size").agg(F.max("bound").alias("bound"))
     degree = F.count(F.lit(1)).over(Window.partitionBy("class")).alias("degree")
     lists = written(lists.join(least, "class").select("list", "class", "size", "bound", "node", F.col("node").alias("component"), degree))
+    counted = first.where("kind = 0 and n > 0").select("class", F.col("doc_id").alias("node"), F.col("counts").alias("parts"))
+    members = written(counted.join(lists.select("class", "node").distinct(), ["class", "node"], "left_semi").dropDuplicates(["class"]))
+    dropped(first)
     if every_link:
-        pairs = written(_untried(_all_pairs(lists, num, den), []))
+        pairs = written(_promising(_untried(_all_pairs(lists, num, den), []), members, num, den))
         links = [written(_verified(pairs, named, k, num, den))]
         dropped(lists, pairs)
     else:
-        links = _connecting(lists, named, n_rows, k, num, den)
+        links = _connecting(lists, members, named, n_rows, k, num, den)
+    dropped(members)
 
     # Rows that share an id are one node.
     twice = with_words.select("doc_id", "class").distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("doc_id")
