@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import string
 from collections import Counter, defaultdict
 
 import pytest
@@ -59,10 +60,12 @@ def test_mixing_prefers_quality(docs_of):
     assert clean > 1.5 * dirty
 
 
-def test_line_dedup(docs_of):
+@pytest.mark.parametrize("share_rows", [line_dedup.SHARE_ROWS, 3])
+def test_line_dedup(docs_of, monkeypatch, share_rows):
+    monkeypatch.setattr(line_dedup, "SHARE_ROWS", share_rows)  # 3: common lines are hot
     rnd = random.Random(2)
     pool = ["Common Line", " common line\t", "menu", "", "  ", "É", "é", *(f"line {i}" for i in range(40))]
-    rows = [(i, "\n".join(rnd.choice(pool) for _ in range(rnd.randrange(0, 130)))) for i in range(40)] + [(99, None), (98, "")]
+    rows = [(i, "\n".join(rnd.choice(pool) for _ in range(rnd.randrange(0, 130)))) for i in range(40)] + [(99, None), (98, ""), (None, "menu\nonly here")]
     fold = lambda x: x.strip(" \t\n\r\x0b\x0c").translate({c: c + 32 for c in range(65, 91)})
     held = defaultdict(set)
     for i, t in rows:
@@ -84,6 +87,16 @@ def test_line_dedup_keeps_first(docs_of):
     assert got == {1: "a\nx", 2: "", 3: "y"}
 
 
+def test_line_hashes_stream(spark, docs_of):
+    """First occurrences need no shuffle or sort beside the range partitioning's."""
+    docs = docs_of([(i, "a\nb\na") for i in range(20)])
+    each = docs.select(*line_dedup._identity(docs), F.posexplode(line_dedup.lines_of(F.col("text"))).alias("pos", "line")).select(F.xxhash64("line").alias("h1"), line_dedup.DOC, line_dedup.TEXT, "pos")
+    keys = ["h1", line_dedup.DOC, line_dedup.TEXT]
+    firsts = line_dedup.first_places(each, keys, 4)
+    plan = firsts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and len(re.findall(r"\bSort \[", plan)) == 1 and firsts.count() == 40
+
+
 def brute_secrets(t):
     t, out = t or "", []
     for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.I | re.A):
@@ -98,15 +111,21 @@ def brute_entropy(t, base):
     out = []
     for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}", t or ""):
         c = m[0]
-        if sum(x.isdigit() for x in c) < 2 or any(re.search(p, c) for p in secret_scan.ALLOW) or any(s < m.end() and m.start() < e for s, _, _, e in base):
+        if re.search(secret_scan.UUID, c) or any(s < m.end() and m.start() < e for s, _, _, e in base):
             continue
         least = secret_scan.THRESHOLDS["hex" if re.fullmatch("[0-9a-fA-F]+", c) else "alnum" if c.isalnum() else "base64"]
         hot = [i for i in range(len(c) - 15) if math.log2(16) - sum(n * math.log2(n) for n in Counter(c[i : i + 16]).values()) / 16 >= least - 1e-9]
-        if hot:
+        span = c[hot[0] : hot[-1] + 16] if hot else ""
+        digits = sum(x in string.digits for x in span)
+        if (digits >= 2 or digits == 1 and span.upper() != span != span.lower() and re.search("[0-9][A-Za-z]", span)) and not any(re.search(p, span) for p in secret_scan.ALLOW):
             out.append((m.start() + hot[0], 3, "entropy", m.start() + hot[-1] + 16))
     return out
 
 
+def top_entropy(text):
+    return max(math.log2(min(16, len(text))) - sum(n * math.log2(n) for n in Counter(text[i : i + 16]).values()) / min(16, len(text)) for i in range(max(1, len(text) - 15)))
+
+
 def brute_pii(t):
     t, out = t or "", []
     digits = lambda x: re.sub("[^0-9]", "", x)
@@ -149,11 +168,25 @@ def test_secrets(tricky):
         told = ",".join(f"{k}:{s}:{e}" for s, _, k, e in base)
         assert r.base_sha256 == hashlib.sha256(told.encode()).hexdigest(), texts[r.doc_id]
         every = sorted(base + brute_entropy(texts[r.doc_id], base))
-        assert r.spans == ",".join(f"{k}:{s}:{e}" for s, _, k, e in every)
+        assert r.spans == ",".join(f"{k}:{s}:{e}" for s, _, k, e in every) and r.n_entropy == len(every) - len(base)
+        assert r.base_entropy == (pytest.approx(max(top_entropy(texts[r.doc_id][s:e]) for s, _, _, e in base), abs=1e-3) if base else None)
     kinds = {r.doc_id: r.spans for r in secret_scan.digest(docs.where("doc_id = 1008")).collect()}
     assert kinds[1008].count("entropy") == 2
 
 
+def test_secret_windows(docs_of):
+    """An allowed word elsewhere in a run, or one digit, does not hide a key; names, words and placeholders are left alone."""
+    key = "Zx9Kq2LmP0aVt7RbYc3W"
+    rows = [(1, f"/srv/example/{key}"), (2, "kXqZvBnMwPfTgRhJ7sLdCy"), (3, "kXqZvBnMwPfTgRhJsLdCyU"), (4, "getElementByIdFromDocument2"), (5, "abcdefgh0123456789abcdefgh"), (6, f"{key[:10]}example{key[10:]}")]
+    rnd = random.Random(10)
+    alphabet = string.ascii_letters + string.digits
+    rows += [(100 + i, "".join(rnd.choice(alphabet) for _ in range(20))) for i in range(400)]
+    got = {r.doc_id: r for r in secret_scan.digest(docs_of(rows)).collect()}
+    assert [got[i].n_entropy for i in range(1, 7)] == [1, 1, 0, 0, 0, 0]
+    assert got[1].spans.endswith(f":{len(rows[0][1])}")
+    assert sum(got[100 + i].n_entropy for i in range(400)) >= 0.9 * 400
+
+
 def test_pii(tricky):
     rows, docs = tricky
     texts = dict(rows)
