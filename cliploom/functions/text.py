@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from fractions import Fraction
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,8 +41,11 @@ def dedupe_labels(labels: Column) -> Column:
 
 
 def humanize_stem(stem: Column | str) -> Column:
-    """Separators become spaces, words are capitalised (letters after digits or apostrophes stay small)."""
-    return F.initcap(F.trim(F.regexp_replace(col(stem), "[_-]+", " ")))
+    """Separators become spaces, each run of letters is capitalised (also after digits and apostrophes); a blank one stays as it is."""
+    bare = F.trim(F.regexp_replace(col(stem), "[_-]+", " "))
+    runs = F.regexp_extract_all(bare, F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0))
+    titled = F.array_join(F.transform(runs, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substring(x, 2, 1 << 30)))), "")
+    return F.when(bare == "", col(stem)).otherwise(titled)
 
 
 def clip_key(stem: Column | str) -> Column:
@@ -79,6 +83,12 @@ def story_keywords(prompt: Column | str) -> Column:
     return F.array_sort(F.array_except(tokens, F.array(*map(F.lit, STORY_STOPWORDS))))
 
 
+def searchable(excerpt: Column, description: Column, roles: Column, subjects: Column, actions: Column, summary: Column) -> Column:
+    """What prompt keywords are looked for in: texts and lists of a segment, joined by spaces."""
+    parts = [excerpt, description, *(F.array_join(x, " ") for x in (roles, subjects, actions)), summary]
+    return F.concat_ws(" ", *(F.nullif(x, F.lit("")) for x in parts))
+
+
 def prompt_terms(keywords: Column, text: Column | str) -> Column:
     """Keywords that the text contains as substrings, sorted."""
     return F.array_sort(F.filter(keywords, lambda k: F.contains(F.lower(col(text)), k)))
@@ -142,13 +152,17 @@ def clock(seconds: Column | str) -> Column:
     return F.when(s < 3600, short).otherwise(F.concat_ws(":", two(F.floor(s / 3600)), two(F.floor(s % 3600 / 60)), two(s % 60)))
 
 
-@F.udf(T.StringType())
-def rational_time(seconds: float | None) -> str | None:
+@F.pandas_udf(T.StringType())
+def rational_time(seconds: pd.Series) -> pd.Series:
     """n/d with the denominator up to 24000, as the timeline format writes times; no built-in gives best rationals."""
-    if seconds is None:
-        return None
-    f = Fraction(max(seconds, 0.0)).limit_denominator(24000)
-    return f"{f.numerator}s" if f.denominator == 1 else f"{f.numerator}/{f.denominator}s"
+
+    def told(x: float) -> str | None:
+        if x != x:
+            return None
+        f = Fraction(max(x, 0.0)).limit_denominator(24000)
+        return f"{f.numerator}s" if f.denominator == 1 else f"{f.numerator}/{f.denominator}s"
+
+    return seconds.map(told)
 
 
 def rational_seconds(text: Column | str) -> Column:
@@ -156,9 +170,7 @@ def rational_seconds(text: Column | str) -> Column:
     return F.coalesce(F.try_divide(F.get(parts, 0).try_cast("double"), F.coalesce(F.get(parts, 1).try_cast("double"), F.lit(1.0))), F.lit(0.0))
 
 
-@F.udf(T.StringType())
-def repaired_json(raw: str | None) -> str | None:
-    """A JSON object out of model output: as it is, its outermost braces, cut at the last comma, or 'key: value' lines."""
+def _repaired(raw: str | None) -> str | None:
     text = (raw or "").strip()
     start = text.find("{")
     tries = [text, text[start : text.rfind("}") + 1] if start >= 0 else ""]
@@ -191,7 +203,25 @@ def repaired_json(raw: str | None) -> str | None:
     return json.dumps(pairs, sort_keys=True, ensure_ascii=False) if pairs else None
 
 
+@F.pandas_udf(T.StringType())
+def repaired_json(raw: pd.Series) -> pd.Series:
+    """A JSON object out of model output: as it is, its outermost braces, cut at the last comma, or 'key: value' lines."""
+    return raw.map(_repaired)
+
+
 def row_key(*columns: Column | str, method: str = "sha1") -> Column:
     """A hash of the columns as canonical JSON; stable within this engine."""
     text = F.to_json(F.struct(*(col(c) for c in columns)))
     return F.sha1(text) if method == "sha1" else F.md5(text)
+
+
+def runtime_text(seconds: Column) -> Column:
+    """A runtime as a clock and in seconds."""
+    some = F.greatest(seconds, F.lit(0.0))
+    return F.concat(clock(some), F.format_string(" (%.2fs)", some))
+
+
+def delta_text(delta: Column, pct: Column) -> Column:
+    """How a runtime compares with the one before."""
+    way = F.when(delta > 0, "slower").when(delta < 0, "faster").otherwise("unchanged")
+    return F.concat(F.format_string("%.2fs ", F.abs(delta)), F.when(pct.isNull(), "").otherwise(F.format_string("(%.1f%%) ", F.abs(pct))), way)

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..config import EngineConfig
 from ..functions.numeric import rounded
+from ..functions.text import runtime_text
+from .views import cache_activity, execution_context
 
 
 def scalar_checks(observed: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
@@ -60,3 +63,16 @@ def compared(runs: DataFrame, value: str, before: str) -> DataFrame:
 def differences(pairs: list[tuple[str, Column, Column]]) -> Column:
     """Names of the context fields that differ, in order."""
     return F.filter(F.array(*(F.when(~a.eqNullSafe(b), F.lit(n)) for n, a, b in pairs)), lambda x: x.isNotNull())
+
+
+def runtime_record(counters: DataFrame, timings: dict[str, float], config: EngineConfig, provider: str) -> DataFrame:
+    """A run's counters with its timings in seconds, its total, the seconds per asset and target, and how models ran."""
+    total = float(sum(timings.values()))
+    per = lambda n: rounded(F.try_divide(F.lit(total), F.col(n)), 3)
+    context = execution_context(provider, config.concurrency)
+    return counters.withColumns(
+        {f"{k}_sec": F.lit(float(v)) for k, v in timings.items()}
+        | {"total_runtime_sec": F.lit(total), "total_runtime": runtime_text(F.lit(total)), "sec_per_asset": per("asset_count"), "sec_per_target": per("vlm_target_count")}
+        | {k: F.lit(v) for k, v in context.items()}
+        | {"ai_cache_activity": cache_activity(F.lit(0), F.col("ai_live_segment_count")), "budget_pct": F.lit(config.budget_pct), "mode": F.lit(config.mode)}
+    )

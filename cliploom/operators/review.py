@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import human_join
+from ..functions.numeric import rounded
+from .scoring import transcript_status
 from .views import analysis_path, blocked_reason, strategy_label
 
 
@@ -71,6 +73,66 @@ def review_state(segments: DataFrame) -> DataFrame:
     return segments.withColumn("review", F.struct(*fields, "dedup_group", "clip_score", "boundary_confidence", strategy_label(F.col("boundary_strategy")).alias("boundary"), path.alias("path"), blocked_reason().alias("blocked_reason")))
 
 
+def transcript_text(status: Column, turn_count: Column, source: Column, mode: Column) -> Column:
+    """What is known of a segment's transcript."""
+    return (
+        F.when((status == "excerpt-available") & (F.coalesce(turn_count, F.lit(0)) > 0), F.concat(F.lit("Transcript on "), _plural(turn_count, "turn")))
+        .when(status == "excerpt-available", "Transcript")
+        .when(status == "selective-skip", "Transcription skipped for faint speech")
+        .when(status == "fallback-no-transcript", F.concat(F.lit("Speech without transcript ("), F.coalesce(F.nullif(source, F.lit("")), F.lit("speech-signal-fallback")), F.lit(")")))
+        .when(status.startswith("provider-"), F.concat(F.lit("No text from the transcriber ("), status, F.lit(")")))
+        .when(mode == "speech", "Speech scored without transcript")
+        .otherwise("No transcript needed")
+    )
+
+
+def structure_text(label: Column, cues: Column) -> Column:
+    """How speech is built, with up to three cues."""
+    some = F.when(F.size(cues) > 0, F.concat(F.lit(" ("), human_join(F.transform(F.slice(cues, 1, 3), _words)), F.lit(")"))).otherwise("")
+    return F.when(F.coalesce(label, F.lit("")) == "", "").otherwise(F.concat(F.lit("Speech reads as "), _words(label), some))
+
+
+def review_record() -> Column:
+    """The review of a segment, of 23 fields.
+
+    From the columns shortlisted, filtered_before_vlm, clip_score, clip_gated, deduplicated, dedup_group_id, vlm_budget_capped,
+    provider (of the understanding, or null), keyframe_count, boundary_strategy, boundary_confidence, operation, rule_family,
+    source_ids, seed_ids, seed_sources, validation_status, validation_decision, validation_confidence, validation_reason,
+    skip_reason, has_speech, transcript_excerpt, transcript_runtime, looked_up, mode_source, analysis_mode, turn_count,
+    turn_alignment, structure_label and structure_cues; nulls count as false, 0 or nothing.
+    """
+    c = F.col
+    flag = lambda name: F.coalesce(c(name), F.lit(False))
+    modelled, ruled = F.coalesce(c("provider") != "deterministic", F.lit(False)), F.coalesce(c("provider") == "deterministic", F.lit(False))
+    frames = F.coalesce("keyframe_count", F.lit(0))
+    path = analysis_path([(~flag("shortlisted"), "screened locally"), (flag("shortlisted"), "shortlisted"), (c("clip_score").isNotNull(), "vector scored"), (flag("deduplicated"), "deduplicated"), (frames > 0, "evidence"), (modelled, "model"), (ruled, "rules"), (c("validation_status") == "validated", "validated")])
+    status = transcript_status(c("has_speech"), F.trim("transcript_excerpt") != "", c("transcript_runtime"), c("looked_up"))
+    blocked = F.coalesce(F.when(flag("deduplicated"), "duplicate"), F.when(flag("clip_gated"), "clip_gate"), F.when(flag("vlm_budget_capped"), "budget_cap"), F.when(~flag("shortlisted"), "shortlist_filter"), F.lit(""))
+    return F.struct(
+        *(flag(n).alias(n) for n in ("shortlisted", "filtered_before_vlm")),
+        c("clip_score").isNotNull().alias("clip_scored"),
+        rounded("clip_score", 4).alias("clip_score"),
+        *(flag(n).alias(n) for n in ("clip_gated", "deduplicated")),
+        "dedup_group_id",
+        flag("vlm_budget_capped").alias("vlm_budget_capped"),
+        modelled.alias("model_analyzed"),
+        ruled.alias("deterministic_fallback"),
+        frames.alias("evidence_keyframe_count"),
+        path.alias("analysis_path_summary"),
+        blocked.alias("blocked_reason"),
+        strategy_label(c("boundary_strategy")).alias("boundary_strategy_label"),
+        rounded("boundary_confidence", 4).alias("boundary_confidence"),
+        lineage(c("operation"), c("rule_family"), c("source_ids"), c("seed_ids"), c("seed_sources")).alias("lineage_summary"),
+        F.coalesce("validation_status", F.lit("")).alias("semantic_validation_status"),
+        F.coalesce(validation_text(c("validation_status"), c("validation_decision"), c("validation_confidence"), c("validation_reason"), c("skip_reason")), F.lit("")).alias("semantic_validation_summary"),
+        status.alias("transcript_status"),
+        transcript_text(status, c("turn_count"), c("mode_source"), c("analysis_mode")).alias("transcript_summary"),
+        c("mode_source").alias("speech_mode_source"),
+        turn_text(c("turn_count"), F.coalesce("rule_family", F.lit("")), c("turn_alignment")).alias("turn_summary"),
+        structure_text(c("structure_label"), c("structure_cues")).alias("speech_structure_summary"),
+    )
+
+
 def gathered(rows: DataFrame, keys: list[str], lists: list[str], order: str, own: str) -> DataFrame:
     """keys and each list column united over the group in order, distinct; an empty union gives the `own` values."""
 

@@ -237,3 +237,8 @@ def transcript_status(has_speech: Column, has_excerpt: Column, runtime: Column,
         .when(runtime.isin("disabled", "unavailable", "partial"), F.concat(F.lit("provider-"), runtime))
         .otherwise("no-transcript-match")
     )
+
+
+def clip_score(snapshot: Column) -> Column:
+    """The vector score out of a segment's map of screening metrics; null without the map or the key."""
+    return F.try_element_at(snapshot, F.lit("clip_score"))

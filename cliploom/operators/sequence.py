@@ -23,7 +23,7 @@ def suggested_duration() -> Column:
     most = (
         F.when(F.col("analysis_mode") == "speech", 7.5)
         .when(F.col("boundary_strategy").isNull(), 5.0)
-        .when(F.coalesce("operation", F.lit("")) == "merge", 7.0)
+        .when((F.coalesce("operation", F.lit("")) == "merge") | strategy.startswith("assembly-merge:"), 7.0)
         .when(strategy.isin("scene-snap", "audio-snap", "transcript-snap") | (F.coalesce("boundary_confidence", F.lit(0.0)) >= 0.6), 6.5)
         .otherwise(5.0)
     )

@@ -90,6 +90,57 @@ def cache_activity(hits: Column, misses: Column) -> Column:
     return F.when((hits > 0) & (misses > 0), "mixed").when(hits > 0, "warm").when(misses > 0, "cold").otherwise("inactive")
 
 
+def execution_context(provider: str, concurrency: int) -> dict[str, object]:
+    """How many model requests run at once, by provider."""
+    asked = max(1, concurrency)
+    effective, context = {"mlx-vlm-local": (1, "serialized-local-model"), "lmstudio": (asked, "configured-parallel-requests")}.get(provider, (0, "deterministic-fallback"))
+    return {"ai_concurrency": asked, "ai_effective_concurrency": effective, "ai_execution_context": context}
+
+
+def run_counters(rows: DataFrame, budget_pct: float = 100.0) -> DataFrame:
+    """One row of counters and modes of a run over its segments, which carry their review record as `r`."""
+    r, n = (lambda name: F.col(f"r.{name}")), F.count(F.lit(1))
+    status = lambda s: F.count_if(r("semantic_validation_status") == s)
+    structure = lambda label: F.count_if(F.coalesce(F.col("structure_label") == label, F.lit(False)))
+    target = r("shortlisted") & (r("blocked_reason") == "")
+    counted = rows.agg(
+        F.countDistinct("asset_id").alias("asset_count"),
+        n.alias("candidate_segment_count"),
+        F.count_if(r("deduplicated")).alias("dedup_eliminated_count"),
+        F.countDistinct(F.when(r("dedup_group_id").isNotNull(), F.struct("asset_id", r("dedup_group_id")))).alias("dedup_group_count"),
+        F.count_if(r("shortlisted")).alias("prefilter_shortlisted_count"),
+        F.count_if(target).alias("vlm_target_count"),
+        F.count_if(r("filtered_before_vlm")).alias("filtered_before_vlm_count"),
+        F.countDistinct(F.when(F.coalesce("audio_energy", F.lit(0.0)) > 0, F.col("asset_id"))).alias("audio_signal_asset_count"),
+        F.count_if(r("transcript_status") == "excerpt-available").alias("transcript_excerpt_segment_count"),
+        F.countDistinct(F.when(r("transcript_status") == "selective-skip", F.col("asset_id"))).alias("transcript_skipped_asset_count"),
+        F.count_if(r("speech_mode_source") == "speech-signal-fallback").alias("speech_fallback_segment_count"),
+        F.count_if(r("clip_scored")).alias("clip_scored_count"),
+        F.count_if(r("clip_gated")).alias("clip_gated_count"),
+        F.count_if(r("semantic_validation_status") != "").alias("semantic_boundary_eligible_count"),
+        *(status(s).alias(f"semantic_boundary_{s}_count") for s in ("validated", "skipped", "fallback")),
+        F.count_if(r("model_analyzed")).alias("ai_live_segment_count"),
+        F.count_if(r("deterministic_fallback")).alias("ai_fallback_segment_count"),
+        F.sum(r("evidence_keyframe_count")).alias("keyframe_count"),
+        F.count_if(F.coalesce("structure_label", F.lit("")) != "").alias("speech_structure_segment_count"),
+        structure("question-answer-flow").alias("speech_structure_question_answer_count"),
+        structure("monologue-continuity").alias("speech_structure_monologue_count"),
+        *(F.count_if(r("blocked_reason") == b).alias(f"blocked_{b}_count") for b in ("duplicate", "clip_gate", "budget_cap", "shortlist_filter")),
+    )
+    c = F.col
+    return counted.withColumns(
+        {
+            "semantic_boundary_dormant": c("semantic_boundary_validated_count") == 0,
+            "vlm_budget_cap_pct": F.lit(float(budget_pct)),
+            "vlm_budget_was_binding": c("vlm_target_count") < c("prefilter_shortlisted_count") * budget_pct / 100,
+            "vlm_target_pct_of_candidates": rounded(F.coalesce(F.try_divide(c("vlm_target_count") * 100.0, c("candidate_segment_count")), F.lit(0.0)), 4),
+            "ai_runtime_mode": runtime_status(c("ai_live_segment_count") > 0, F.lit(False), c("ai_fallback_segment_count"), c("filtered_before_vlm_count")),
+            "semantic_boundary_runtime_mode": runtime_status(c("semantic_boundary_eligible_count") > 0, F.lit(False), c("semantic_boundary_fallback_count"), c("semantic_boundary_skipped_count")),
+            "semantic_boundary_targeting_mode": F.when(c("semantic_boundary_validated_count") > 0, "active").otherwise("inactive"),
+        }
+    )
+
+
 def run_summary(segments: DataFrame, takes: DataFrame) -> DataFrame:
     """One row of counters over segments and takes."""
     a = segments.agg(

@@ -252,7 +252,7 @@ comp AS (SELECT node, min(other) AS component FROM reach GROUP BY node)
 SELECT node AS vec_id, component, (dense_rank() OVER (ORDER BY component))::INT AS vector_group, row_number() OVER (PARTITION BY component ORDER BY label DESC, node) > 1 AS deduplicated FROM comp JOIN embeddings ON vec_id = node"""
 
 # Text, names, media.
-ORACLES["prompt_fit"] = f"""WITH k AS (SELECT unnest(['erthing', 'moves', 'ntion', 'reblen', 'thand']) AS w), t AS (SELECT doc_id, list_sort(list(w) FILTER (contains(lower(text), w))) AS terms FROM documents, k GROUP BY doc_id, text)
+ORACLES["prompt_fit"] = f"""WITH k AS (SELECT unnest(['erthing', 'moves', 'ntion', 'reblen', 'src1', 'thand']) AS w), t AS (SELECT doc_id, list_sort(list(w) FILTER (contains(lower(concat_ws(' ', text, source, lang, CASE WHEN doc_id % 3 = 0 THEN 'moves waits' END)), w))) AS terms FROM documents, k GROUP BY doc_id, text, source, lang)
 SELECT doc_id, coalesce(len(terms), 0)::INT AS n_terms, {r(f'least({d(0.08)}, {d(0.02)} * coalesce(len(terms), 0))')} AS score, coalesce(array_to_string(terms[1:3], '|'), '') AS first_terms FROM t"""
 ORACLES["parsed_fields"] = f"""WITH e AS (SELECT event_id, json_extract_string(props, '$.k') AS k FROM events)
 SELECT event_id, {r("k::DOUBLE / nullif(event_id % 4, 0)", 6)} AS ratio, CASE WHEN event_id % 7 > 1 THEN {r("k::DOUBLE", 6)} END AS number, {r(clamp("('0.0' || k)::DOUBLE"))} AS metric FROM e"""
@@ -265,7 +265,7 @@ MEDIA = """md AS (SELECT p_partkey, p_size, CASE WHEN p_partkey % 2 = 0 THEN '/m
   ELSE '/media/Proxy/' || p_partkey || '/' || replace(p_name, ' ', '_') || '_' || replace(p_brand, '#', '-') || '_proxy.mp4' END AS path FROM part),
 mn AS (SELECT *, CASE WHEN p_partkey % 2 = 0 THEN 'source' ELSE 'proxy' END AS role, split_part(split_part(path, '/', 5), '.', 1) AS stem, split_part(path, '.', 2) AS ext FROM md),
 mk AS (SELECT *, upper(regexp_replace(regexp_replace(stem, '_proxy$', ''), '[^A-Za-z0-9]+', '', 'g')) AS clip_key, p_size::DOUBLE AS dur, CASE WHEN p_size % 5 <> 0 THEN p_size % 4 + 22e0 END AS fps FROM mn)"""
-ORACLES["media_names"] = f"""WITH {MEDIA} SELECT p_partkey, role, clip_key, array_to_string(list_transform(string_split(regexp_replace(stem, '[_-]+', ' ', 'g'), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS title,
+ORACLES["media_names"] = f"""WITH {MEDIA} SELECT p_partkey, role, clip_key, array_to_string(list_transform(regexp_extract_all(trim(regexp_replace(stem, '[_-]+', ' ', 'g')), '[A-Za-z]+|[^A-Za-z]+'), lambda w: upper(w[1]) || lower(w[2:])), '') AS title,
 trim(regexp_replace(lower(stem), '[^a-z0-9]+', '-', 'g'), '-') AS slug, ext, true AS is_video FROM mk"""
 ORACLES["proxy_match"] = f"""WITH {MEDIA}, p AS (SELECT s.path AS sp, x.path AS pp, least(1e0, {d(0.4)} + {d(0.35)} + CASE WHEN contains(lower(x.stem), lower(s.stem)) OR contains(lower(s.stem), lower(x.stem)) THEN {d(0.1)} ELSE 0e0 END + CASE WHEN s.ext = x.ext THEN {d(0.05)} ELSE 0e0 END
   + CASE WHEN abs(s.dur - x.dur) < 0.2e0 THEN {d(0.1)} ELSE 0e0 END + CASE WHEN abs(s.fps - x.fps) < 0.2e0 THEN {d(0.05)} ELSE 0e0 END) AS score FROM mk s JOIN mk x ON s.clip_key = x.clip_key AND s.role = 'source' AND x.role = 'proxy'),
@@ -353,3 +353,6 @@ st AS (SELECT b1.scope, b1.p, op.sc, 0 AS i, vis AS v1, role AS r1, vis AS v2, r
     fs + CASE WHEN vis <> v1 THEN CASE WHEN vis THEN 1300 ELSE 1200 END ELSE -400 END + CASE WHEN role <> r1 THEN 400 ELSE -300 END + CASE WHEN strong AND s1 THEN 100 ELSE 0 END - CASE WHEN vis = v1 AND vis = v2 THEN 500 ELSE 0 END - CASE WHEN role = r1 AND role = r2 THEN 400 ELSE 0 END AS sc
     FROM st JOIN b1 ON b1.scope = st.scope AND NOT list_contains(used, b1.p)) QUALIFY row_number() OVER (PARTITION BY scope ORDER BY sc DESC, p) = 1))
 SELECT scope, take_id, i::INT AS order_index, sc / 1e4 AS sequence_score FROM (SELECT scope, p, sc, i FROM st UNION ALL SELECT scope, p, sc, n - 1 FROM re) JOIN b1 USING (scope, p)"""
+
+
+from . import field_oracles  # noqa: E402, F401  (adds the SQL of derived columns)

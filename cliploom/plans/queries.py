@@ -384,9 +384,13 @@ def vector_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def prompt_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = adapters.table(spark, sf_dir, "documents").select("doc_id", "text")
-    keywords = text.story_keywords(F.lit("Build a short story that moves through the erthing, ntion and reblen with thand"))
-    rows = docs.select("doc_id", text.prompt_terms(keywords, "text").alias("terms"))
+    """Documents as excerpts; source, language and a verb stand for description, roles and actions."""
+    docs = adapters.table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    keywords = text.story_keywords(F.lit("Build a short story that moves through the erthing, ntion and reblen of src1 with thand"))
+    none = F.array().cast("array<string>")
+    actions = F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("moves"), F.lit("waits"))).otherwise(none)
+    found = text.searchable(F.col("text"), F.col("source"), F.array("lang"), none, actions, F.lit(""))
+    rows = docs.select("doc_id", text.prompt_terms(keywords, found).alias("terms"))
     return rows.select("doc_id", F.size("terms").alias("n_terms"), numeric.rounded(text.prompt_score(F.col("terms")), 4).alias("score"), joined(F.slice("terms", 1, 3)).alias("first_terms"))
 
 
@@ -475,3 +479,6 @@ def screened_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = adapters.spans(spark, sf_dir).select("asset_id", "start_sec", "end_sec", "text")
     given = screening.Inputs(clips, signals.seeded_signals(named), audio, spans)
     return screening.timeline(screening.takes(screening.segments(given)))
+
+
+from . import field_queries  # noqa: E402, F401  (registers more queries)
