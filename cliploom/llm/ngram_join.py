@@ -26,7 +26,7 @@ Components are found by contraction within tasks and, where one task can't hold
 only adds links between the components of the turn before.  Rows of the turns are small tables in the shared folder,
 removed when the next turn has read them.
 
-Edge cases: null, empty and blank texts have no n-grams and are linked with nothing; a text of fewer words than `k` is one
+Edge cases: ids are integers, as the smallest one names a component; null, empty and blank texts have no n-grams and are linked with nothing; a text of fewer words than `k` is one
 n-gram; rows that share a doc_id are one node, so they are in one component; rows with a null doc_id get a null
 component and link with nothing; an empty table gives no rows.  Columns other than doc_id and text are not read by the
 join and pass through `keep_one`.

@@ -49,6 +49,9 @@ def test_decontamination(spark, docs_of):
     assert sorted(map(tuple, blocks)) == sorted(map(tuple, one.values()))
     kept = decontaminate.clean(docs, bench)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, r in one.items() if not r.contaminated}
+    assert sorted(map(repr, decontaminate.clean(docs, bench, block_chars=200).collect())) == sorted(map(repr, kept.collect()))
+    named = docs.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    assert {r.doc_id: r.n_hit for r in decontaminate.digest(named, bench).collect()} == {f"d{i}": r.n_hit for i, r in one.items()}
 
 
 def test_decontamination_edges(spark, edges, empty):
