@@ -4,9 +4,10 @@ Every document gets an exponential key -ln(u) / quality, u from a hash of its id
 spent on whole epochs (each takes every document once) and what is left on documents in key order: their sizes are
 prefix-summed and the document on the budget's edge is taken in part, so that a source takes its target to the word.
 
-Prefix sums are two-level, so that no task gets a whole source however large it is: keys are cut into `buckets`
-equal-probability ranges per source, bucket totals are prefix-summed (at most `buckets` rows per source), and rows
-are ordered only within one (source, bucket).
+Prefix sums are two-level, so that no task gets a whole source however large it is: keys are cut into ranges of their
+logarithm, bucket totals are prefix-summed (some ten thousand rows per source), and rows are ordered only within one
+(source, bucket).  A quality weight only shifts the logarithm, so no bucket holds more than some 0.15 % of the documents of
+one quality, whatever the qualities are.
 
 Edge cases: a null text has size 0; a null source is a source of its own, sorted last; an empty table gives no rows;
 rows with equal doc_id tie on the key and are ordered by size and text hash, so equal rows are interchangeable; a source
@@ -64,14 +65,14 @@ def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return per.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.0, most: float = 3.0, seed: int = 7, buckets: int = 4096, keep: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.0, most: float = 3.0, seed: int = 7, per_fold: int = 256, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, source, size, source_size, target, epochs (complete ones), taken (words, repeats counted), and `keep`."""
     text = text_of()
     sized = docs.select("doc_id", "source", *(F.col(c).alias(f"_mix_keep_{c}") for c in keep), F.xxhash64(text).alias("_mix_hash"), text.alias("_mix_text"))
     sized = sized.withColumn("size", word_count(F.col("_mix_text"))).withColumn("_mix_quality", quality_weight(F.col("_mix_text"), F.col("size"))).drop("_mix_text")
     key = -F.log(uniform(F.col("doc_id"), seed)) / F.col("_mix_quality")
     sized = sized.withColumn("_mix_key", key)
-    sized = sized.withColumn("_mix_bucket", F.least(F.floor((F.lit(1.0) - F.exp(-F.col("_mix_key"))) * buckets), F.lit(buckets - 1)).cast("int"))
+    sized = sized.withColumn("_mix_bucket", F.floor(F.log(F.col("_mix_key")) * per_fold).cast("int"))
     totals = sized.groupBy("source", "_mix_bucket").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("_mix_rows"))
     goal = targets(totals, weights, share, most)
     earlier = Window.partitionBy("source").orderBy("_mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
