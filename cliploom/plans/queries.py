@@ -468,17 +468,32 @@ def timecodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", code.alias("timecode"), text.timecode_seconds(code, F.lit(25.0)).alias("seconds"), text.clock(F.col("value") * 20).alias("clock"))
 
 
-@query
-def screened_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The plan from signals to timeline without assembly, dedup, gates and budgets, with customers as clips and hash-seeded frames."""
+def _screened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plan up to the review, with customers as clips, hash-seeded frames, and answers that trim or split what is doubtful."""
+    from ..config import EngineConfig
     from . import screening
 
     clips = adapters.assets(spark, sf_dir)
     named = clips.select(F.col("asset_id").alias("id"), F.col("asset_name").alias("name"), F.col("asset_name").alias("source_path"), F.col("asset_name").alias("proxy_path"), F.col("asset_name").alias("interchange_reel_name"), "duration_sec")
-    audio = _clip_audio(spark, sf_dir)
     spans = adapters.spans(spark, sf_dir).select("asset_id", "start_sec", "end_sec", "text")
-    given = screening.Inputs(clips, signals.seeded_signals(named), audio, spans)
-    return screening.timeline(screening.takes(screening.segments(given)))
+    answers = clips.select(F.concat(F.col("asset_id").cast("string"), F.lit("-segment-01")).alias("segment_id"), F.when(F.col("asset_id") % 2 == 0, "trim").otherwise("split").alias("decision"), F.lit(0.5).alias("new_start"), F.lit(None).cast("double").alias("new_end"), F.lit(2.5).alias("split_at"))
+    given = screening.Inputs(clips, signals.seeded_signals(named), _clip_audio(spark, sf_dir), spans, answers=answers)
+    config = EngineConfig(max_segments_per_asset=3, budget_pct=60.0, validation_budget_pct=50.0, validation_max=10**6)
+    return screening.reviewed(screening.flagged(screening.segments(given, config), given, config))
+
+
+@query
+def screened_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = ("start_sec", "end_sec", "analysis_mode", "boundary_strategy", "operation", "rule_family", "score_total", "ambiguity", "validation_status", "deduplicated", "dedup_group_id", "shortlisted", "stage")
+    return _screened(spark, sf_dir).select("asset_id", "segment_id", *kept, F.col("review.blocked_reason").alias("blocked_reason"), F.col("review.analysis_path_summary").alias("path"))
+
+
+@query
+def screened_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole plan, from signals to one sequence for every twenty clips."""
+    from . import screening
+
+    return screening.timeline(screening.takes(_screened(spark, sf_dir)), scope=F.floor(F.col("asset_id") / 20).cast("int"))
 
 
 from . import field_queries  # noqa: E402, F401  (registers more queries)
