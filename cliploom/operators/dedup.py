@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clamp, dot, rounded
 from .graph import connected
+from .views import numbered
 
 BINS = 256
 
@@ -60,27 +65,47 @@ def leaders(items: DataFrame, similar: DataFrame, group: str, item: str, score:
     return out.select(group, F.col("item").alias(item), F.col("leader_item").alias("leader"), F.col("dedup_group").cast("int").alias("dedup_group"), (F.col("item") != F.col("leader_item")).alias("deduplicated"))
 
 
-def vector_pairs(vectors: DataFrame, item: str, vector: str, threshold: float = 0.95, scope: str | None = None) -> DataFrame:
-    """(a, b, cosine) of unit vectors, a < b, with a cosine over the threshold.
+#: Vectors of a block.
+BLOCK_VECTORS = 2_000
+
+
+def _block_pairs(threshold: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Pairs of a cell of two blocks: a matrix product finds those near the threshold, which are then summed up in order."""
+
+    def run(cell: pd.DataFrame) -> pd.DataFrame:
+        one = cell[cell["block"] == cell["lo"]]
+        two = cell[cell["block"] == cell["hi"]]
+        left, right = (np.stack(x["v"].to_numpy()) if len(x) else np.zeros((0, 1)) for x in (one, two))
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": one["item"][:0], "b": two["item"][:0], "cosine": np.zeros(0)})
+        at, to = np.nonzero(left @ right.T >= threshold - 1e-5)
+        a, b = one["item"].to_numpy()[at], two["item"].to_numpy()[to]
+        # Within one block each pair comes twice; between blocks the smaller item goes first.
+        within = cell["lo"].iat[0] == cell["hi"].iat[0]
+        stay = a < b if within else np.ones(len(a), bool)
+        at, to, a, b = at[stay], to[stay], a[stay], b[stay]
+        cosine = np.concatenate([(left[at[k : k + 10_000]] * right[to[k : k + 10_000]]).cumsum(1)[:, -1] for k in range(0, max(len(at), 1), 10_000)])
+        return pd.DataFrame({"a": np.where(a < b, a, b), "b": np.where(a < b, b, a), "cosine": cosine})
+
+    return run
+
+
+def vector_pairs(vectors: DataFrame, item: str, vector: str, threshold: float = 0.95, scope: str | None = None, block_vectors: int = BLOCK_VECTORS) -> DataFrame:
+    """(a, b, cosine) of unit vectors, a < b, with a cosine of the threshold or more; with `scope` (an asset) within one only.
 
-    Within `scope` (an asset) lists are short and all are compared.  Over all items the vectors are dealt into blocks and
-    block meets block, so that no task holds more than two blocks and every pair is seen once.
+    Over all items the vectors are counted and dealt into blocks of about `block_vectors`; block meets block, so no task holds
+    more than two and every pair is seen once.  That is all pairs, by matrix products: quadratic in the number of vectors.
     """
-    blocks = 32
-    rows = vectors.select(item, F.col(vector).cast("array<double>").alias("v"), *([scope] if scope else []))
+    rows = vectors.select(F.col(item).alias("item"), F.col(vector).cast("array<double>").alias("v"), *([scope] if scope else []))
     if scope:
-        left, right, on = rows.select(scope, F.col(item).alias("a"), F.col("v").alias("va")), rows.select(scope, F.col(item).alias("b"), F.col("v").alias("vb")), [scope]
-    else:
-        dealt = rows.withColumn("_k", F.pmod(F.xxhash64(item), F.lit(blocks)).cast("int"))
-        mine = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        cell = [F.least("_k", "_other").alias("_lo"), F.greatest("_k", "_other").alias("_hi")]
-        left = mine.select(*cell, F.col("_k").alias("_ka"), F.col(item).alias("a"), F.col("v").alias("va"))
-        right = mine.select(*cell, F.col("_k").alias("_kb"), F.col(item).alias("b"), F.col("v").alias("vb"))
-        on = ["_lo", "_hi"]
-    pairs = left.join(right, on).where("a < b")
-    if not scope:
-        pairs = pairs.where("_ka <> _kb or _lo = _hi")
-    return pairs.select(*([scope] if scope else []), "a", "b", rounded(dot("va", "vb"), 6).alias("cosine")).where(F.col("cosine") >= threshold)
+        left, right = rows.select(scope, F.col("item").alias("a"), F.col("v").alias("va")), rows.select(scope, F.col("item").alias("b"), F.col("v").alias("vb"))
+        return left.join(right, scope).where("a < b").select(scope, "a", "b", rounded(dot("va", "vb"), 6).alias("cosine")).where(F.col("cosine") >= threshold)
+    blocks = max(1, -(-vectors.count() // block_vectors))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    cells = dealt.select("item", "v", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    kind = rows.schema["item"].dataType.simpleString()
+    pairs = cells.groupBy("lo", "hi").applyInPandas(_block_pairs(threshold), f"a {kind}, b {kind}, cosine double")
+    return pairs.select("a", "b", rounded("cosine", 6).alias("cosine")).where(F.col("cosine") >= threshold)
 
 
 def vector_groups(items: DataFrame, pairs: DataFrame, item: str, score: str) -> DataFrame:
@@ -91,7 +116,7 @@ def vector_groups(items: DataFrame, pairs: DataFrame, item: str, score: str) ->
     comps = connected(pairs.select("a", "b")).withColumnRenamed("node", item)
     order = Window.partitionBy("component").orderBy(F.desc(score), item)
     rows = items.join(comps, item).withColumn("_turn", F.row_number().over(order))
-    numbers = comps.select("component").distinct().withColumn("vector_group", F.row_number().over(Window.orderBy("component")))
+    numbers = numbered(comps.select("component").distinct(), [F.col("component")], "vector_group")
     return rows.join(numbers, "component").select(item, "component", F.col("vector_group").cast("int").alias("vector_group"), (F.col("_turn") > 1).alias("deduplicated"))
 
 

@@ -43,14 +43,23 @@ def overlapping_ranges(a: DataFrame, b: DataFrame, keys: Sequence[str], a_range:
 def inside_or_nearest(points: DataFrame, ranges: DataFrame, key: str, range_id: str, t: str, start: str, end: str, bin_width: float | None = None) -> DataFrame:
     """Each range with its points; a range without any takes the point nearest to its centre (the earlier on ties).
 
-    Adds `matched`: inside or nearest.
+    Adds `matched`: inside or nearest.  The nearest point is the last one up to the centre or the first one after it: both are
+    found in one order of points and centres, so an empty range never meets all points of its key.
     """
     inside = points_in_ranges(points, ranges, [key], t, start, end, bin_width).withColumn("matched", F.lit("inside"))
     empty = ranges.join(inside.select(key, range_id).distinct(), [key, range_id], "left_anti")
-    centre = (F.col(start) + F.col(end)) / 2
-    values = F.struct(F.abs(F.col(t) - centre).alias("_d"), *(F.col(c) for c in [t, *[c for c in points.columns if c not in (key, t)]]))
-    nearest = empty.join(points, key).groupBy(*empty.columns).agg(F.min(values).alias("_p"))
-    nearest = nearest.select(*empty.columns, *(F.col(f"_p.{c}").alias(c) for c in points.columns if c != key), F.lit("nearest").alias("matched"))
+    value = F.struct(*(F.col(c) for c in [t, *(c for c in points.columns if c not in (key, t))]))
+    own = F.struct(*(F.col(c) for c in empty.columns if c != key))
+    centres = empty.select(key, ((F.col(start) + F.col(end)) / 2).alias("_t"), own.alias("_range"))
+    both = points.select(key, F.col(t).cast("double").alias("_t"), value.alias("_p")).unionByName(centres, allowMissingColumns=True)
+    # Points at the centre come before it; of points at one time the least counts, on either side.
+    up_to = Window.partitionBy(key).orderBy("_t", F.col("_range").isNotNull(), F.desc("_p")).rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy(key).orderBy(F.desc("_t"), F.col("_range").isNull(), F.desc("_p")).rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("_before", F.last("_p", ignorenulls=True).over(up_to)).withColumn("_after", F.last("_p", ignorenulls=True).over(after))
+    away = lambda side: F.struct(F.abs(F.col(f"{side}.{t}") - F.col("_t")).alias("_d"), F.col(side).alias("_p"))
+    best = F.array_min(F.filter(F.array(away("_before"), away("_after")), lambda x: x["_p"].isNotNull()))["_p"]
+    found = both.where("_range is not null").withColumn("_p", best).where("_p is not null")
+    nearest = found.select(key, *(F.col(f"_range.{c}").alias(c) for c in empty.columns if c != key), *(F.col(f"_p.{c}").alias(c) for c in points.columns if c != key), F.lit("nearest").alias("matched"))
     return inside.unionByName(nearest.select(*inside.columns))
 
 

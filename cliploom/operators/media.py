@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import rounded
+from .views import numbered
 
 
 def match_media(media: DataFrame) -> DataFrame:
@@ -33,6 +34,6 @@ def match_media(media: DataFrame) -> DataFrame:
 
 
 def with_asset_ids(matched: DataFrame) -> DataFrame:
-    """asset-NNN in order of the source path (one row per clip; range-partitioned order is not needed at this size)."""
-    n = F.row_number().over(Window.orderBy("source_path"))
-    return matched.withColumn("asset_id", F.concat(F.lit("asset-"), F.lpad(n.cast("string"), 3, "0")))
+    """asset-NNN in order of the source path."""
+    rows = numbered(matched, [F.col("source_path")], "_n")
+    return rows.withColumn("asset_id", F.concat(F.lit("asset-"), F.lpad(F.col("_n").cast("string"), 3, "0"))).drop("_n")

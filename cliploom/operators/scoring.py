@@ -158,19 +158,26 @@ def with_scores(segments: DataFrame) -> DataFrame:
     return rows.withColumns(scores).select(*own, "analysis_mode", "mode_source", *scores)
 
 
-def contributions(segments: DataFrame, keys: tuple[str, ...] = ("asset_id", "segment_id")) -> DataFrame:
-    """keys, driver, contribution (6 places): shares of the blended total, added up over components."""
+def with_shares(segments: DataFrame) -> DataFrame:
+    """Adds shares: (driver, contribution) of each driver, in a fixed order; shares of the blended total, 6 places, added up over components."""
     rows = with_optional(segments)
     parts = components(F.col("analysis_mode"), F.trim(F.coalesce("transcript_excerpt", F.lit(""))) != "")
-    entries = []
+    of_driver: dict[str, list[Column]] = {}
     for name, drivers in parts.items():
         weights = F.lit(0.0)
         for _, _, w in drivers:
             weights = weights + F.coalesce(w, F.lit(0.0))
-        entries += [F.struct(F.lit(driver).alias("driver"), (clamp(v) * divided(F.coalesce(w, F.lit(0.0)), weights) * BLEND[name]).alias("share")) for driver, v, w in drivers]
-    each = rows.select(*keys, F.explode(F.array(*entries)).alias("e")).select(*keys, "e.driver", F.col("e.share").alias("share"))
+        for driver, v, w in drivers:
+            of_driver.setdefault(driver, []).append(clamp(v) * divided(F.coalesce(w, F.lit(0.0)), weights) * BLEND[name])
     # The small addend makes halves round up whatever the order of the sum.
-    return each.groupBy(*keys, "driver").agg(rounded(F.sum("share") + F.lit(1e-9), 6).alias("contribution"))
+    total = {driver: rounded(sum(own[1:], own[0]) + F.lit(1e-9), 6) for driver, own in of_driver.items()}
+    return rows.withColumn("shares", F.array(*(F.struct(F.lit(d).alias("driver"), x.alias("contribution")) for d, x in total.items()))).select(*segments.columns, "shares")
+
+
+def contributions(segments: DataFrame, keys: tuple[str, ...] = ("asset_id", "segment_id")) -> DataFrame:
+    """keys, driver, contribution, a row per driver."""
+    # The outer form, as there are always drivers: the optimiser would compute all shares once more to see that.
+    return with_shares(segments).select(*keys, F.inline_outer("shares"))
 
 
 def label_of(driver: Column) -> Column:
@@ -178,25 +185,24 @@ def label_of(driver: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*pairs), driver), F.regexp_replace(driver, "_", " "))
 
 
-def top_drivers(shares: DataFrame, keys: tuple[str, ...] = ("asset_id", "segment_id"), limit: int = 3) -> DataFrame:
-    """keys and labels: the drivers that contribute most, ties by label."""
-    named = shares.where("contribution > 0").withColumn("label", label_of(F.col("driver")))
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("contribution")).alias("rank"), "label")))
-    return named.groupBy(*keys).agg(F.transform(F.slice(ordered, 1, limit), lambda x: x["label"]).alias("labels"))
+def _first_labels(ranked: Column, limit: int) -> Column:
+    """Labels of the largest of (value, driver) structs over 0, ties by label."""
+    named = F.transform(F.filter(ranked, lambda x: x["value"] > 0), lambda x: F.struct((-x["value"]).alias("rank"), label_of(x["driver"]).alias("label")))
+    return F.transform(F.slice(F.array_sort(named), 1, limit), lambda x: x["label"])
 
 
-def limiting_factors(shares: DataFrame, winners: DataFrame, limit: int = 2) -> DataFrame:
-    """asset_id, segment_id and labels: where the asset's winner (asset_id, segment_id) contributes more than the segment.
+def top_drivers(rows: DataFrame, keys: tuple[str, ...] = ("asset_id", "segment_id"), limit: int = 3) -> DataFrame:
+    """keys and labels of rows with shares: the drivers that contribute most, ties by label; rows without any are left out."""
+    ranked = F.transform("shares", lambda x: F.struct(x["contribution"].alias("value"), x["driver"].alias("driver")))
+    return rows.select(*keys, _first_labels(ranked, limit).alias("labels")).where(F.size("labels") > 0)
 
-    A driver that one side lacks counts as 0 there.
-    """
-    best = shares.join(winners.select("asset_id", "segment_id"), ["asset_id", "segment_id"]).select("asset_id", "driver", F.col("contribution").alias("of_winner"))
-    all_of = shares.select("asset_id", "segment_id").distinct()
-    wide = all_of.join(best, "asset_id").join(shares, ["asset_id", "segment_id", "driver"], "left")
-    delta = rounded(F.col("of_winner") - F.coalesce("contribution", F.lit(0.0)), 6)
-    gaps = wide.select("asset_id", "segment_id", delta.alias("delta"), label_of(F.col("driver")).alias("label")).where("delta > 0")
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("delta")).alias("rank"), "label")))
-    return gaps.groupBy("asset_id", "segment_id").agg(F.transform(F.slice(ordered, 1, limit), lambda x: x["label"]).alias("labels"))
+
+def limiting_factors(rows: DataFrame, winners: DataFrame, limit: int = 2) -> DataFrame:
+    """asset_id, segment_id and labels of rows with shares: where the asset's winner (asset_id, shares) contributes more."""
+    best = winners.select("asset_id", F.col("shares").alias("_best"))
+    gap = lambda b, x: F.struct(rounded(b["contribution"] - x["contribution"], 6).alias("value"), x["driver"].alias("driver"))
+    found = rows.join(best, "asset_id").select("asset_id", "segment_id", _first_labels(F.zip_with("_best", "shares", gap), limit).alias("labels"))
+    return found.where(F.size("labels") > 0)
 
 
 def understanding() -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import rounded
+from ..sources.scratch import checkpointed
 
 
 def segment_views(segments: DataFrame, assets: DataFrame, takes: DataFrame, items: DataFrame) -> DataFrame:
@@ -14,11 +15,25 @@ def segment_views(segments: DataFrame, assets: DataFrame, takes: DataFrame, item
     return rows.join(items, "take_id", "left")
 
 
+def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Adds the place of each row in a total order, from 1, without gathering the rows in one task.
+
+    Rows are range-partitioned, written, numbered within their partition, and the partitions' counts are added up before.
+    """
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    dealt = checkpointed(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    counts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    found = dealt.withColumn("_place", place).join(F.broadcast(before), "_part")
+    return found.withColumn(name, (F.col("_before") + F.col("_place")).cast("int")).drop("_part", "_place", "_before")
+
+
 def ranked_view(views: DataFrame) -> DataFrame:
     """Adds view_rank: score (else prefilter score) descending, taken ones first, then asset name, start and id."""
-    score = F.coalesce("score_total", "prefilter_score", F.lit(0.0))
-    order = Window.orderBy(score.desc(), F.col("take_id").isNull(), "asset_name", "start_sec", "segment_id")
-    return views.withColumn("view_rank", F.row_number().over(order))
+    rows = views.withColumns({"_score": F.coalesce("score_total", "prefilter_score", F.lit(0.0)), "_free": F.col("take_id").isNull()})
+    order = [F.desc("_score"), F.col("_free"), F.col("asset_name"), F.col("start_sec"), F.col("segment_id")]
+    return numbered(rows, order, "view_rank").drop("_score", "_free")
 
 
 def clip_view(views: DataFrame) -> DataFrame:

@@ -10,7 +10,8 @@ from ..operators import assembly, evaluate, intervals, model, review, scoring, s
 from . import adapters
 from .queries import _clips_of, _doubtful, _takes, joined, query
 
-ID = F.col("segment_id")
+def _id() -> Column:
+    return F.col("segment_id")
 
 
 def _one_of(n: Column, *values: str | None) -> Column:
@@ -22,30 +23,30 @@ def _reviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Doubtful segments with all that a review record tells of."""
     rows = _doubtful(spark, sf_dir)
     no = F.array().cast("array<string>")
-    duplicate = ID % 13 == 0
+    duplicate = _id() % 13 == 0
     return rows.withColumns(
         {
-            "shortlisted": ID % 7 != 0,
-            "filtered_before_vlm": ID % 7 == 0,
-            "clip_score": F.when(ID % 5 != 0, F.col("visual_novelty")),
-            "clip_gated": ID % 11 == 0,
+            "shortlisted": _id() % 7 != 0,
+            "filtered_before_vlm": _id() % 7 == 0,
+            "clip_score": F.when(_id() % 5 != 0, F.col("visual_novelty")),
+            "clip_gated": _id() % 11 == 0,
             "deduplicated": duplicate,
-            "dedup_group_id": F.when(duplicate, (ID % 10).cast("int")),
-            "vlm_budget_capped": ID % 17 == 0,
-            "provider": _one_of(ID, None, "deterministic", "local"),
-            "keyframe_count": F.when(ID % 3 > 0, (ID % 2 + 3).cast("int")),
-            "source_ids": F.when(F.col("operation") == "", no).otherwise(F.array(F.concat(F.lit("s"), ID.cast("string")), F.lit("t"))),
-            "seed_ids": F.when(ID % 4 == 1, no).otherwise(F.array(F.lit("a"), F.lit("b"))),
+            "dedup_group_id": F.when(duplicate, (_id() % 10).cast("int")),
+            "vlm_budget_capped": _id() % 17 == 0,
+            "provider": _one_of(_id(), None, "deterministic", "local"),
+            "keyframe_count": F.when(_id() % 3 > 0, (_id() % 2 + 3).cast("int")),
+            "source_ids": F.when(F.col("operation") == "", no).otherwise(F.array(F.concat(F.lit("s"), _id().cast("string")), F.lit("t"))),
+            "seed_ids": F.when(_id() % 4 == 1, no).otherwise(F.array(F.lit("a"), F.lit("b"))),
             "seed_sources": F.array(F.lit("scene"), F.lit("audio-peak")),
-            "validation_status": _one_of(ID, "validated", "fallback", "skipped", None),
-            "validation_decision": _one_of(ID, "keep", "trim", "split"),
+            "validation_status": _one_of(_id(), "validated", "fallback", "skipped", None),
+            "validation_decision": _one_of(_id(), "keep", "trim", "split"),
             "validation_confidence": F.col("stability"),
             "validation_reason": F.lit("Cut Inside"),
-            "skip_reason": F.when(ID % 8 == 2, "over_budget"),
-            "transcript_runtime": _one_of(ID, "ready", "fallback", "disabled", "partial"),
-            "looked_up": ID % 5 != 0,
-            "structure_label": _one_of(ID, "question-answer-flow", "monologue-continuity", ""),
-            "structure_cues": F.when(ID % 2 == 0, F.array(F.lit("asks_first"), F.lit("short_pause"), F.lit("one_voice"), F.lit("more"))).otherwise(no),
+            "skip_reason": F.when(_id() % 8 == 2, "over_budget"),
+            "transcript_runtime": _one_of(_id(), "ready", "fallback", "disabled", "partial"),
+            "looked_up": _id() % 5 != 0,
+            "structure_label": _one_of(_id(), "question-answer-flow", "monologue-continuity", ""),
+            "structure_cues": F.when(_id() % 2 == 0, F.array(F.lit("asks_first"), F.lit("short_pause"), F.lit("one_voice"), F.lit("more"))).otherwise(no),
         }
     )
 
@@ -63,21 +64,21 @@ def segment_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def take_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _takes(spark, sf_dir).withColumns({"drivers": _one_of(ID, "sharpness", "stability and duration fit"), "limiting": _one_of(ID, "", "motion energy", "")})
+    rows = _takes(spark, sf_dir).withColumns({"drivers": _one_of(_id(), "sharpness", "stability and duration fit"), "limiting": _one_of(_id(), "", "motion energy", "")})
     return rows.select("segment_id", selection.reason(F.col("drivers"), F.col("limiting")).alias("reason"))
 
 
 @query
 def sequence_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _doubtful(spark, sf_dir).withColumn("story_roles", F.when(ID % 5 == 0, F.array(F.lit("opener"), F.lit("bridge"))).otherwise(F.array().cast("array<string>")))
+    rows = _doubtful(spark, sf_dir).withColumn("story_roles", F.when(_id() % 5 == 0, F.array(F.lit("opener"), F.lit("bridge"))).otherwise(F.array().cast("array<string>")))
     role = scoring.visual_role(F.col("visual_novelty"), F.col("motion_energy"), F.col("subject_clarity"))
-    return rows.select("segment_id", role.alias("visual_role"), sequence.story_role().alias("story_role"), numeric.rounded(sequence.suggested_duration(), 4).alias("duration"), numeric.rounded(numeric.divided(F.col("end_sec") - F.col("start_sec"), ID % 3), 4).alias("part"))
+    return rows.select("segment_id", role.alias("visual_role"), sequence.story_role().alias("story_role"), numeric.rounded(sequence.suggested_duration(), 4).alias("duration"), numeric.rounded(numeric.divided(F.col("end_sec") - F.col("start_sec"), _id() % 3), 4).alias("part"))
 
 
 @query
 def clip_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _doubtful(spark, sf_dir)
-    entries = F.when(ID % 5 == 0, F.create_map(F.lit("score"), F.col("sharpness"))).when(ID % 5 < 4, F.create_map(F.lit("score"), F.col("sharpness"), F.lit("clip_score"), F.col("visual_novelty")))
+    entries = F.when(_id() % 5 == 0, F.create_map(F.lit("score"), F.col("sharpness"))).when(_id() % 5 < 4, F.create_map(F.lit("score"), F.col("sharpness"), F.lit("clip_score"), F.col("visual_novelty")))
     return rows.select("segment_id", scoring.clip_score(entries).alias("clip_score"))
 
 
@@ -85,16 +86,16 @@ def clip_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def validation_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _doubtful(spark, sf_dir)
     s, e = F.col("start_sec"), F.col("end_sec")
-    seeds = F.array(F.struct((s - 1.0).alias("start"), (e + 0.5).alias("end")), F.struct((s + 2.0).alias("start"), (s + 2.0 + (ID % 3).cast("double")).alias("end")))
+    seeds = F.array(F.struct((s - 1.0).alias("start"), (e + 0.5).alias("end")), F.struct((s + 2.0).alias("start"), (s + 2.0 + (_id() % 3).cast("double")).alias("end")))
     first = F.col("targeted_x")
-    rows = rows.withColumns({"targeted": ID % 3 == 0}).withColumn("targeted_x", selection.initial_validation(True, True)).withColumn("unavailable_x", selection.initial_validation(True, False))
+    rows = rows.withColumns({"targeted": _id() % 3 == 0}).withColumn("targeted_x", selection.initial_validation(True, True)).withColumn("unavailable_x", selection.initial_validation(True, False))
     return rows.select(
         "segment_id",
         numeric.rounded(selection.seed_drift(s, e, seeds), 4).alias("drift"),
         first["status"].alias("status"),
         F.col("unavailable_x")["status"].alias("status_without_model"),
         F.col("unavailable_x")["skip_reason"].alias("skip_without_model"),
-        selection.clamped_range_value(s + (ID % 9 - 4).cast("double"), s, F.lit(0.0), F.col("duration_sec")).alias("moved_start"),
+        selection.clamped_range_value(s + (_id() % 9 - 4).cast("double"), s, F.lit(0.0), F.col("duration_sec")).alias("moved_start"),
         F.coalesce(selection.split_supported(), F.lit(False)).alias("split_supported"),
     )
 
@@ -168,8 +169,8 @@ def runtime_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def boundary_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _doubtful(spark, sf_dir)
-    given = F.when(ID % 2 == 0, F.col("start_sec") + 0.3)
-    x = model.normalised_boundary(_one_of(ID, "keep", "TRIM", "extend", "split", "odd"), F.col("stability") + 0.1, F.col("start_sec"), F.col("end_sec"), given, F.lit(None).cast("double"), F.lit(None).cast("double"))
+    given = F.when(_id() % 2 == 0, F.col("start_sec") + 0.3)
+    x = model.normalised_boundary(_one_of(_id(), "keep", "TRIM", "extend", "split", "odd"), F.col("stability") + 0.1, F.col("start_sec"), F.col("end_sec"), given, F.lit(None).cast("double"), F.lit(None).cast("double"))
     return rows.withColumn("x", x).select("segment_id", "x.*")
 
 
@@ -177,7 +178,7 @@ def boundary_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _doubtful(spark, sf_dir).withColumn("rules", scoring.understanding())
     good = F.concat(F.lit('{"shot_type": " wide ", "camera_motion": "short label", "mood": "calm", "story_roles": ["opener", "item 1"], "quality_findings": [], "keep_label": "KEEP", "confidence": "1.5", "risk_flags": ["n/a"]}'))
-    raw = F.when(ID % 3 == 0, good).when(ID % 3 == 1, F.concat(F.lit("Sure: "), good)).otherwise("nothing")
+    raw = F.when(_id() % 3 == 0, good).when(_id() % 3 == 1, F.concat(F.lit("Sure: "), good)).otherwise("nothing")
     x = rows.withColumn("x", model.normalised(raw, F.col("rules")))
     return x.select("segment_id", "x.shot_type", "x.camera_motion", "x.mood", "x.keep_label", "x.confidence", *(joined(F.col(f"x.{c}")).alias(c) for c in ("story_roles", "quality_findings", "risk_flags")))
 
@@ -185,9 +186,9 @@ def model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def task_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counters of cached, live and fallback results by asset."""
-    tasks = adapters.segments(spark, sf_dir).select("asset_id", ID.cast("string").alias("cache_key"), "segment_id")
+    tasks = adapters.segments(spark, sf_dir).select("asset_id", _id().cast("string").alias("cache_key"), "segment_id")
     result = lambda rows, label: rows.select("cache_key", F.concat(F.lit(label), F.col("cache_key")).alias("result"))
-    done = model.resolved(tasks, result(tasks.where(ID % 3 == 0), "c"), result(tasks.where(ID % 3 <= 1), "l"), result(tasks, "f"))
+    done = model.resolved(tasks, result(tasks.where(_id() % 3 == 0), "c"), result(tasks.where(_id() % 3 <= 1), "l"), result(tasks, "f"))
     one = model.run_stats(done).select(F.lit(-1).cast("long").alias("asset_id"), F.col("live_count").alias("live"), F.col("cached_count").alias("cached"), F.col("fallback_count").alias("fallback"), "requests", F.lit("").alias("first"))
     each = done.groupBy("asset_id").agg(*(F.count_if(F.col("status") == s).alias(s) for s in ("live", "cached", "fallback")), F.count(F.lit(1)).alias("requests"), F.min("result").alias("first"))
     return each.unionByName(one)
@@ -196,7 +197,7 @@ def task_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def evidence_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = adapters.segments(spark, sf_dir).select("asset_id", "segment_id", "pos", "start_sec", "end_sec", "prefilter_score")
-    before = rows.where(ID % 4 != 0).select("segment_id", F.when(ID % 3 == 0, F.col("start_sec") + 1).otherwise(F.col("start_sec")).alias("start_sec"), "prefilter_score")
+    before = rows.where(_id() % 4 != 0).select("segment_id", F.when(_id() % 3 == 0, F.col("start_sec") + 1).otherwise(F.col("start_sec")).alias("start_sec"), "prefilter_score")
     return review.evidence(rows, before, ["start_sec", "prefilter_score"]).select("segment_id", "context_start", "context_end", "reused")
 
 
@@ -204,14 +205,14 @@ def evidence_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gathered_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = adapters.segments(spark, sf_dir).select("asset_id", "segment_id", "pos", F.floor(F.col("pos") / 3).alias("chain"))
     no = F.array().cast("array<string>")
-    rows = rows.withColumns({"seeds": F.when(F.col("pos") % 2 == 0, F.array(_one_of(ID, "scene", "audio-peak"), F.lit("clip"))).otherwise(no), "sources": F.when(F.col("chain") % 2 == 0, F.array(_one_of(ID, "x", "y", "z"))).otherwise(no)})
+    rows = rows.withColumns({"seeds": F.when(F.col("pos") % 2 == 0, F.array(_one_of(_id(), "scene", "audio-peak"), F.lit("clip"))).otherwise(no), "sources": F.when(F.col("chain") % 2 == 0, F.array(_one_of(_id(), "x", "y", "z"))).otherwise(no)})
     found = review.gathered(rows, ["asset_id", "chain"], ["seeds", "sources"], "pos", "segment_id")
     return found.select("asset_id", "chain", joined(F.col("seeds")).alias("seeds"), joined(F.col("sources")).alias("sources"))
 
 
 @query
 def set_expectations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = adapters.segments(spark, sf_dir).where("start_sec < 6").groupBy("asset_id").agg(F.collect_set(_one_of(ID, "opener", "bridge", "payoff", "detail")).alias("seen"))
+    seen = adapters.segments(spark, sf_dir).where("start_sec < 6").groupBy("asset_id").agg(F.collect_set(_one_of(_id(), "opener", "bridge", "payoff", "detail")).alias("seen"))
     x = evaluate.set_checks(F.array(F.lit("opener"), F.lit("bridge")), F.when(F.col("asset_id") % 2 == 0, F.array(F.lit("payoff"), F.lit("odd"))).otherwise(F.array().cast("array<string>")), F.col("seen"))
     return seen.withColumn("x", x).select("asset_id", joined(F.col("x.missing")).alias("missing"), joined(F.col("x.unwanted")).alias("unwanted"), "x.passed")
 
@@ -220,13 +221,13 @@ def set_expectations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def validated_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = adapters.segments(spark, sf_dir).where("prefilter_score is not null and end_sec > start_sec").select("asset_id", "segment_id", "start_sec", "end_sec", "duration_sec")
     s, e = F.col("start_sec"), F.col("end_sec")
-    answers = rows.where(ID % 6 != 0).select(
+    answers = rows.where(_id() % 6 != 0).select(
         "segment_id",
-        _one_of(ID, "keep", "trim", "extend", "split").alias("decision"),
-        (s + (ID % 5 - 2).cast("double") * 0.75).alias("new_start"),
-        F.when(ID % 7 != 0, e + (ID % 3 - 1).cast("double") * 2).alias("new_end"),
+        _one_of(_id(), "keep", "trim", "extend", "split").alias("decision"),
+        (s + (_id() % 5 - 2).cast("double") * 0.75).alias("new_start"),
+        F.when(_id() % 7 != 0, e + (_id() % 3 - 1).cast("double") * 2).alias("new_end"),
         ((s + e) / 2).alias("split_at"),
-        (ID % 8 != 3).alias("supported"),
+        (_id() % 8 != 3).alias("supported"),
     )
     return assembly.validated(rows, answers).select("asset_id", "segment_id", "start_sec", numeric.rounded("end_sec", 3).alias("end_sec"), "applied")
 
@@ -245,7 +246,7 @@ def segment_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frame means of windows of four seconds; empty ones take the nearest frame."""
     clips = adapters.assets(spark, sf_dir)
     named = clips.select(F.col("asset_id").alias("id"), F.col("asset_name").alias("name"), F.col("asset_name").alias("source_path"), F.col("asset_name").alias("proxy_path"), F.col("asset_name").alias("interchange_reel_name"), "duration_sec")
-    windows = clips.select("asset_id", F.explode(F.sequence(F.lit(0), F.floor(F.col("duration_sec") / 4).cast("int"))).alias("segment_id")).withColumns({"start_sec": ID * 4.0, "end_sec": ID * 4.0 + 3.0})
+    windows = clips.select("asset_id", F.explode(F.sequence(F.lit(0), F.floor(F.col("duration_sec") / 4).cast("int"))).alias("segment_id")).withColumns({"start_sec": _id() * 4.0, "end_sec": _id() * 4.0 + 3.0})
     matched = intervals.inside_or_nearest(signals.seeded_signals(named), windows, "asset_id", "segment_id", "timestamp_sec", "start_sec", "end_sec")
     found = signals.frame_aggregates(matched, ["asset_id", "segment_id"])
     return found.select("asset_id", "segment_id", "mean_score", "mean_sharpness", "mean_distinctiveness", "mean_motion_energy", "mean_brightness", "mean_contrast", "subject_clarity", "stability", F.size("sampled_sec").alias("n"), F.get("top_sec", 0).alias("best_sec"))

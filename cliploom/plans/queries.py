@@ -54,13 +54,13 @@ def score_drivers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def top_driver_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.top_drivers(scoring.contributions(_scored(spark, sf_dir))).select("asset_id", "segment_id", joined(F.col("labels")).alias("labels"))
+    return scoring.top_drivers(scoring.with_shares(_scored(spark, sf_dir))).select("asset_id", "segment_id", joined(F.col("labels")).alias("labels"))
 
 
 @query
 def limiting_factor_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    takes = _takes(spark, sf_dir)
-    found = scoring.limiting_factors(scoring.contributions(takes), takes.where("within_asset_rank = 1"))
+    takes = scoring.with_shares(_takes(spark, sf_dir))
+    found = scoring.limiting_factors(takes, takes.where("within_asset_rank = 1"))
     return found.select("asset_id", "segment_id", joined(F.col("labels")).alias("labels"))
 
 
