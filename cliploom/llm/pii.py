@@ -15,11 +15,12 @@ in any document; `sanitise` generalises the entities to their kind and removes o
 A term's documents are counted over the corpus only where they can matter.  p(entity | term) must reach
 p(entity) ** (1 - threshold), and a term stands in no fewer documents than in those with entities.  So terms that stand in
 too many of the documents with entities go before terms and entities meet, and pairs that fall short on these counts go
-before the corpus is read for the terms of the rest.  No term that discloses is lost by it.
+before the corpus is read for the terms of the rest.  When it is, the `COMMON_TERMS` most frequent of the terms that were
+ruled out are left out by a broadcast of that size, which spares most of the shuffle.  No term that discloses is lost by it.
 
 Rows meet by (term, entity) and by term, always as counts that were pre-aggregated before the shuffle.  Entities that stand
 in one text only have the same counts there, so one of them stands for all.  Spans are only cut from documents that hold a
-revealing term; lists of at most `BROADCAST_ROWS` rows are broadcast, longer ones are shuffled.
+revealing term: where a document holds few, by a pattern of its own terms, else by a join of its words with them.
 
 Edge cases: a null text is empty and gives no spans; repeated rows and rows that share a doc_id are told apart by their
 text's hash and all get their result; overlapping spans are all reported; the work columns' names start with `_pii`.
@@ -34,8 +35,10 @@ from pyspark.sql import functions as F
 from .columns import HYPHEN_MARK, NAMED, SPACE_MARK, checkpointed, joined, named, segments, spans, text_of, unmarked
 
 KINDS = ("email", "ip", "card", "phone", "term")
-#: Terms or documents that are broadcast at most.
-BROADCAST_ROWS = 200_000
+#: Ruled-out terms, and documents with revealing terms, that are broadcast at most.
+COMMON_TERMS, BROADCAST_ROWS = 50_000, 100_000
+#: Revealing terms of a document up to which one pattern finds them.
+PATTERN_TERMS = 500
 
 
 def _email_segments(text: Column) -> Column:
@@ -147,10 +150,10 @@ def _disclosure(pair_docs: Column, term_docs: Column, entity_docs: Column, conte
     return F.when(p_entity < 1, F.log2(p_given / p_entity) / -F.log2(p_entity)).otherwise(F.lit(0.0))
 
 
-def candidate_pairs(mentions: DataFrame, n: int, threshold: float) -> DataFrame:
-    """term, entity, entity_docs, pair_docs, contexts: counts of documents, and of different texts, over whole documents.
-
-    All pairs that can disclose, and some that term counts over the corpus will show not to.
+def candidate_pairs(mentions: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(pairs, ruled_out): term, entity, entity_docs, pair_docs, contexts - counts of documents, and of different texts, over
+    whole documents - of all pairs that can disclose, and some that term counts over the corpus will show not to; and the
+    most frequent terms of the documents with entities that can disclose nothing.
     """
     texts = mentions.where(F.size("values") > 0).groupBy("_pii_hash").agg(F.count(F.lit(1)).alias("copies"), F.first("values").alias("values"), F.first("terms").alias("terms"))
     texts = checkpointed(texts)
@@ -164,12 +167,16 @@ def candidate_pairs(mentions: DataFrame, n: int, threshold: float) -> DataFrame:
     stand = checkpointed(stand.withColumn("most", most))
 
     each = texts.select("_pii_hash", "copies", F.explode("terms").alias("term"))
-    seen = each.groupBy("term").agg(F.sum("copies").alias("seen_docs"))
+    seen = checkpointed(each.groupBy("term").agg(F.sum("copies").alias("seen_docs")))
+    most_of_all = stand.agg(F.max("most")).first()[0] or 0.0
+    # Which of equals are in the list changes what is shuffled, not what is found.
+    ruled_out = seen.where(F.col("seen_docs") > most_of_all).orderBy(F.desc("seen_docs")).limit(COMMON_TERMS).select("term")
     most_of_text = stand.groupBy("_pii_hash").agg(F.max("most").alias("text_most"))
-    rare = each.join(most_of_text, "_pii_hash").join(seen.where(F.col("seen_docs") <= F.lit(stand.agg(F.max("most")).first()[0] or 0.0)), "term").where("seen_docs <= text_most")
+    rare = each.join(most_of_text, "_pii_hash").join(seen.where(F.col("seen_docs") <= most_of_all), "term").where("seen_docs <= text_most")
     pairs = rare.select("_pii_hash", "copies", "term", "seen_docs").join(stand, "_pii_hash").where("seen_docs <= most")
     pairs = pairs.groupBy("term", "entity", "entity_docs", "seen_docs").agg(F.sum("copies").alias("pair_docs"), F.count(F.lit(1)).alias("contexts"))
-    return pairs.where(_disclosure(F.col("pair_docs"), F.col("seen_docs"), F.col("entity_docs"), F.col("contexts"), n) >= threshold - 1e-9).drop("seen_docs")
+    may = _disclosure(F.col("pair_docs"), F.col("seen_docs"), F.col("entity_docs"), F.col("contexts"), n) >= threshold - 1e-9
+    return pairs.where(may).drop("seen_docs"), ruled_out
 
 
 def _bounded(rows: DataFrame) -> DataFrame:
@@ -178,10 +185,10 @@ def _bounded(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
-def holders(docs: DataFrame, terms: DataFrame, min_letters: int) -> DataFrame:
+def holders(docs: DataFrame, terms: DataFrame, ruled_out: DataFrame, min_letters: int) -> DataFrame:
     """_pii_doc, _pii_h, term: each document, with its repeated rows, and the given terms that it holds."""
     each = docs.select(F.col("doc_id").alias("_pii_doc"), F.xxhash64(text_of()).alias("_pii_h"), F.explode(_terms(text_of(), min_letters)).alias("term"))
-    return each.join(_bounded(terms), "term", "left_semi")
+    return each.join(F.broadcast(ruled_out), "term", "left_anti").join(terms, "term", "left_semi")
 
 
 def disclosing_terms(pairs: DataFrame, held: DataFrame, n: int, threshold: float) -> DataFrame:
@@ -193,21 +200,33 @@ def disclosing_terms(pairs: DataFrame, held: DataFrame, n: int, threshold: float
 
 def _term_spans(docs: DataFrame, held: DataFrame, terms: DataFrame, min_letters: int) -> DataFrame:
     """_pii_doc, _pii_h, found: the spans of the given terms in every document that holds one."""
-    rows = docs.select(F.col("doc_id").alias("_pii_doc"), F.xxhash64(text_of()).alias("_pii_h"), "text")
-    terms = _bounded(terms)
-    holding = _bounded(held.join(terms, "term", "left_semi").select(F.col("_pii_doc").alias("d"), F.col("_pii_h").alias("h")).distinct())
-    rows = rows.join(holding, F.col("_pii_doc").eqNullSafe(F.col("d")) & (F.col("_pii_h") == F.col("h")), "left_semi")
-    words = rows.select("_pii_doc", "_pii_h", F.explode(spans(segments(_prose(text_of()), _terms_pattern(min_letters)))).alias("t"))
-    words = words.select("_pii_doc", "_pii_h", F.lower("t.text").alias("term"), "t.start", "t.end").join(terms, "term", "left_semi")
-    return words.groupBy("_pii_doc", "_pii_h").agg(F.collect_set(F.struct(F.lit(4).alias("kind_no"), F.lit(KINDS[4]).alias("kind"), "start", "end")).alias("found"))
+    own = checkpointed(held.join(terms, "term", "left_semi").distinct())
+    marks = own.groupBy(F.col("_pii_doc").alias("d"), F.col("_pii_h").alias("h")).agg(F.collect_set("term").alias("terms"))
+    rows = docs.select(F.col("doc_id").alias("_pii_doc"), F.xxhash64(text_of()).alias("_pii_h"), "text").join(_bounded(marks), F.col("_pii_doc").eqNullSafe(F.col("d")) & (F.col("_pii_h") == F.col("h")))
+    rows = rows.select("_pii_doc", "_pii_h", "terms", _prose(text_of()).alias("prose"))
+
+    few = rows.where(F.size("terms") <= PATTERN_TERMS)
+    words = F.array_distinct(F.regexp_extract_all("prose", F.lit(_terms_pattern(min_letters)), F.lit(0)))
+    few = few.withColumn("_spelled", F.filter(words, lambda w: F.array_contains(F.col("terms"), F.lower(w))))
+    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}_])(?:"), F.array_join("_spelled", "|"), F.lit(r")(?![\p{L}\p{N}_])"))
+    few = few.withColumn("_cut", segments(F.col("prose"), pattern)).select("_pii_doc", "_pii_h", F.explode(spans(F.col("_cut"))).alias("t"))
+
+    many = rows.where(F.size("terms") > PATTERN_TERMS).withColumn("_cut", segments(F.col("prose"), _terms_pattern(min_letters)))
+    many = many.select("_pii_doc", "_pii_h", F.explode(spans(F.col("_cut"))).alias("t")).withColumn("_term", F.lower("t.text"))
+    mine = own.select(F.col("_pii_doc").alias("d"), F.col("_pii_h").alias("h"), "term")
+    many = many.join(mine, F.col("_pii_doc").eqNullSafe(F.col("d")) & (F.col("_pii_h") == F.col("h")) & (F.col("_term") == F.col("term")), "left_semi").drop("_term")
+
+    found = F.struct(F.lit(4).alias("kind_no"), F.lit(KINDS[4]).alias("kind"), F.col("t.start").alias("start"), F.col("t.end").alias("end"))
+    return few.unionByName(many).groupBy("_pii_doc", "_pii_h").agg(F.collect_set(found).alias("found"))
 
 
 def disclosures(docs: DataFrame, min_letters: int = 1, threshold: float = 0.9) -> DataFrame:
     """doc_id, _pii_hash, base and private: all spans, as arrays of (kind_no, kind, start, end); one row per document."""
     mentions = checkpointed(_mentions(docs, min_letters))
     n = mentions.count()
-    pairs = checkpointed(candidate_pairs(mentions, n, threshold))
-    held = checkpointed(holders(docs, pairs.select("term").distinct(), min_letters))
+    pairs, ruled_out = candidate_pairs(mentions, n, threshold)
+    pairs = checkpointed(pairs)
+    held = checkpointed(holders(docs, pairs.select("term").distinct(), ruled_out, min_letters))
     revealing = disclosing_terms(pairs, held, n, threshold).select("term").distinct()
     hits = _term_spans(docs, held, revealing, min_letters)
     rows = mentions.join(hits, F.col("doc_id").eqNullSafe(F.col("_pii_doc")) & (F.col("_pii_hash") == F.col("_pii_h")), "left")

@@ -236,8 +236,9 @@ def brute_terms(rows, threshold):
     return {i: {(m.start(), m.end()) for m in word.finditer(t) if m[0].lower() in telling} for (i, _), t in zip(rows, plain)}, docs, telling
 
 
-@pytest.mark.parametrize("threshold", [0.9, 0.6])
-def test_terms_by_brute_force(docs_of, threshold):
+@pytest.mark.parametrize(("threshold", "pattern_terms"), [(0.9, pii.PATTERN_TERMS), (0.6, pii.PATTERN_TERMS), (0.6, 0)])
+def test_terms_by_brute_force(docs_of, monkeypatch, threshold, pattern_terms):
+    monkeypatch.setattr(pii, "PATTERN_TERMS", pattern_terms)  # 0: all by the join
     rnd = random.Random(8)
     common, names = [f"{a}{b}" for a in "abcdefgh" for b in "xyz"], [f"Name{c}" for c in "abcdefghijklmnop"]
     mails = [f"p{i}@corp.example.com" for i in range(9)] + ["10.0.0.1", "+49 30 1234567"]
