@@ -69,6 +69,12 @@ def hash_unit(token: Column) -> Column:
     return F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("double") / F.lit(4294967295.0)
 
 
+def padded(n: Column, width: int) -> Column:
+    """A whole number with leading zeros up to the width; longer ones keep all digits."""
+    text = n.cast("string")
+    return F.lpad(text, F.greatest(F.lit(width), F.length(text)), F.lit("0"))
+
+
 def fixed3(x: Column) -> Column:
     """A number as text with three decimals; callers round to 3 places first."""
     return F.format_string("%.3f", x)

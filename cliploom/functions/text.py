@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .numeric import col
+from .numeric import col, padded
 
 # Fixed values.
 VIDEO_EXTENSIONS = ("mp4", "mov", "mxf", "m4v", "avi", "mkv", "webm")
@@ -147,7 +147,7 @@ def timecode_seconds(code: Column | str, fps: Column | str) -> Column:
 def clock(seconds: Column | str) -> Column:
     """MM:SS, or HH:MM:SS from an hour on."""
     s = F.greatest(F.floor(col(seconds)), F.lit(0)).cast("long")
-    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    two = lambda x: padded(x, 2)
     short = F.concat_ws(":", two(F.floor(s / 60)), two(s % 60))
     return F.when(s < 3600, short).otherwise(F.concat_ws(":", two(F.floor(s / 3600)), two(F.floor(s % 3600 / 60)), two(s % 60)))
 

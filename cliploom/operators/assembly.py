@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import clamp, rounded
+from ..functions.numeric import clamp, padded, rounded
 from ..functions.text import is_question
 from .intervals import gap_stats, overlapping_ranges
 
@@ -187,7 +187,7 @@ def assembled(segments: DataFrame, spans: DataFrame, turns: DataFrame, scenes: D
 def renumbered(segments: DataFrame, key: str = "asset_id") -> DataFrame:
     """segment_id by start within the asset: <asset>-segment-NN."""
     n = F.row_number().over(Window.partitionBy(key).orderBy("start_sec", "end_sec", "segment_id"))
-    return segments.withColumn("segment_id", F.concat(F.col(key).cast("string"), F.lit("-segment-"), F.lpad(n.cast("string"), 2, "0")))
+    return segments.withColumn("segment_id", F.concat(F.col(key).cast("string"), F.lit("-segment-"), padded(n, 2)))
 
 
 def validated(segments: DataFrame, results: DataFrame, key: str = "asset_id", most: float = 1.5, shortest: float = 1.5) -> DataFrame:

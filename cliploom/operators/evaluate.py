@@ -46,8 +46,13 @@ def dataset_fingerprint(tokens: DataFrame, token: str, scope: str) -> DataFrame:
     return rows.select(scope, F.size("t").alias("n"), F.substring(F.md5(F.concat_ws("|", F.array_join("t", "|"), F.size("t").cast("string"))), 1, 12).alias("fingerprint"))
 
 
-def last_match(history: DataFrame, fingerprint: str, order: str, exclude: str | None = None, run: str = "run_id") -> DataFrame:
-    """The latest history row of the dataset (any, for an empty fingerprint), without the excluded run; a top-1, no full sort."""
+def last_match(history: DataFrame, fingerprint: str, order: str, exclude: str | None = None, run: str = "run_id", fixture_set: str | None = None) -> DataFrame:
+    """The latest history row of the dataset (any, for an empty fingerprint), without the excluded run; a top-1, no full sort.
+
+    With `fixture_set` only rows whose evaluation was made with that set (column fixture_set).
+    """
+    if fixture_set is not None:
+        history = history.where(F.col("fixture_set") == fixture_set)
     rows = history.where((F.lit(fingerprint) == "") | (F.col("dataset_fingerprint") == fingerprint))
     if exclude is not None:
         rows = rows.where(F.col(run) != exclude)

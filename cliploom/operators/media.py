@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import rounded
+from ..functions.numeric import padded, rounded
 from .views import numbered
 
 
@@ -36,4 +36,4 @@ def match_media(media: DataFrame) -> DataFrame:
 def with_asset_ids(matched: DataFrame) -> DataFrame:
     """asset-NNN in order of the source path."""
     rows = numbered(matched, [F.col("source_path")], "_n")
-    return rows.withColumn("asset_id", F.concat(F.lit("asset-"), F.lpad(F.col("_n").cast("string"), 3, "0"))).drop("_n")
+    return rows.withColumn("asset_id", F.concat(F.lit("asset-"), padded(F.col("_n"), 3))).drop("_n")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import clamp, rounded
+from ..functions.numeric import clamp, padded, rounded
 
 # Fixed values.
 MIN_SCORE, ALTERNATE_GAP, LONG_CLIP_SEC = 0.68, 0.08, 18.0
@@ -30,7 +30,7 @@ def ranked_takes(segments: DataFrame) -> DataFrame:
     rows = rows.withColumn("is_selected", chosen)
     rows = rows.withColumn("outcome", F.when(F.col("within_asset_rank") == 1, "best").when(F.col("is_selected"), "alternate").otherwise("backup"))
     number = F.row_number().over(Window.partitionBy("asset_id").orderBy("pos"))
-    return rows.withColumn("take_id", F.concat(F.col("asset_id").cast("string"), F.lit("-take-"), F.lpad(number.cast("string"), 2, "0")))
+    return rows.withColumn("take_id", F.concat(F.col("asset_id").cast("string"), F.lit("-take-"), padded(number, 2)))
 
 
 def reason(drivers: Column, limiting: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import clamp, divided, rounded
+from ..functions.numeric import clamp, divided, padded, rounded
 from ..functions.text import is_question
 from .intervals import islands, sessions
 
@@ -20,7 +20,7 @@ def turns(spans: DataFrame, key: str = "asset_id", gap: float = 0.9) -> DataFram
     """key, turn, turn_id, start_sec, end_sec, text, span_count: spans joined while the pause after the previous one is at most `gap`."""
     rows = sessions(spans, key, "start_sec", "end_sec", gap)
     out = rows.groupBy(key, F.col("session").alias("turn")).agg(F.min("start_sec").alias("start_sec"), F.max("end_sec").alias("end_sec"), ordered_text().alias("text"), F.count(F.lit(1)).alias("span_count"))
-    return out.withColumn("turn_id", F.concat(F.lit("turn-"), F.lpad(F.col("turn").cast("string"), 2, "0")))
+    return out.withColumn("turn_id", F.concat(F.lit("turn-"), padded(F.col("turn"), 2)))
 
 
 def turn_alignment(overlapping: DataFrame, keys: list[str], tolerance: float = 0.45) -> DataFrame:

@@ -84,7 +84,7 @@ ORACLES["validated_segments"] = f"""WITH {o.SEGMENTS}, v AS (SELECT asset_id, {_
 m AS (SELECT *, {r(_move('CASE WHEN has THEN ns END', 's'), 3)} AS a, {r(_move('CASE WHEN has THEN ne END', 'e'), 3)} AS b FROM v),
 k AS (SELECT *, has AND dc IN ('trim', 'extend') AND b - a >= 1.5e0 AS moved, has AND dc = 'split' AND {_ID} % 8 <> 3 AND (e - s) / 2 >= 1.5e0 AS cut FROM m),
 f AS (SELECT asset_id, {_ID}, CASE WHEN moved THEN a ELSE s END AS s, CASE WHEN moved THEN b WHEN cut THEN (s + e) / 2 ELSE e END AS e, moved OR cut AS applied FROM k UNION ALL SELECT asset_id, {_ID}, (s + e) / 2, e, true FROM k WHERE cut AND NOT moved)
-SELECT asset_id, asset_id || '-segment-' || lpad(row_number() OVER (PARTITION BY asset_id ORDER BY s, e, {_ID})::VARCHAR, 2, '0') AS segment_id, s AS start_sec, {r('e', 3)} AS end_sec, applied FROM f"""
+SELECT asset_id, asset_id || '-segment-' || {o.padded(f'row_number() OVER (PARTITION BY asset_id ORDER BY s, e, {_ID})', 2)} AS segment_id, s AS start_sec, {r('e', 3)} AS end_sec, applied FROM f"""
 ORACLES["seed_regions"] = f"""WITH RECURSIVE {o.ASSETS}, few AS (SELECT * FROM assets WHERE asset_id % 4 <> 0), {o.SCENES('few', 'asset_id', 'duration_sec')},
 ev AS (SELECT asset_id, a AS s0, b AS e0, 'scene' AS source, {d(0.55)} AS conf FROM scenes UNION ALL SELECT asset_id, asset_id % 5, asset_id % 5 + 3e0, 'visual-peak', {d(0.72)} FROM assets WHERE asset_id % 3 = 0
   UNION ALL SELECT asset_id, asset_id % 5, asset_id % 5 + 0.5e0, 'audio-peak', {d(0.68)} FROM assets WHERE asset_id % 3 = 1 UNION ALL SELECT asset_id, asset_id % 5, asset_id % 5 + 3.25e0, 'audio-peak', {d(0.68)} FROM assets WHERE asset_id % 3 = 0),
@@ -120,3 +120,9 @@ ORACLES["runtime_record"] = f"""WITH {COUNTERS} SELECT *, 1195e0 AS per_asset_an
 ORACLES["runtime_texts"] = f"""WITH {o.CONV}, {o._CLIPS}, j AS (SELECT a.asset_id, a.dur, b.dur AS before, {r('a.dur - b.dur', 3)} AS delta, {r('(a.dur - b.dur) * 100 / nullif(b.dur, 0)', 1)} AS pct, floor(a.dur * 60)::BIGINT AS s FROM clips a JOIN clips b ON b.asset_id + 1 = a.asset_id)
 SELECT asset_id, CASE WHEN s < 3600 THEN printf('%02d:%02d', s // 60, s % 60) ELSE printf('%02d:%02d:%02d', s // 3600, s % 3600 // 60, s % 60) END || printf(' (%.2fs)', dur * 60) AS runtime,
 printf('%.2fs ', abs(delta)) || CASE WHEN asset_id % 2 = 0 AND pct IS NOT NULL THEN printf('(%.1f%%) ', abs(pct)) ELSE '' END || CASE WHEN delta > 0 THEN 'slower' WHEN delta < 0 THEN 'faster' ELSE 'unchanged' END AS told FROM j"""
+ORACLES["cached_results"] = f"""WITH {o.SEGMENTS} SELECT {_ID}, asset_id || '-' || substr(md5(asset_name), 1, 10) AS asset_key, prefilter_score, CASE WHEN {_ID} % 3 = 1 THEN 'second ' ELSE 'first ' END || {_ID} AS answer FROM seg WHERE {_ID} % 3 <> 0 AND {_ID} % 2 = 0"""
+ORACLES["screening_artifacts"] = f"""WITH {o.AUDIO}, a AS (SELECT *, bool_or(event_id % 701 = 0) OVER (PARTITION BY asset_id) AS bad FROM audio WHERE event_id % 50 <> 0 AND event_id % 40 <> 1)
+SELECT asset_id, event_id, {r('t / 7', 3)} AS timestamp_sec, {r('rms / 3')} AS rms_energy FROM a WHERE NOT bad"""
+ORACLES["last_runs"] = """WITH a AS (SELECT 'last' AS what, o_orderkey AS run_id, o_orderpriority AS dataset_fingerprint, o_orderstatus AS fixture_set FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1),
+b AS (SELECT 'evaluated', o_orderkey, o_orderpriority, o_orderstatus FROM orders WHERE o_orderpriority = '2-HIGH' AND o_orderstatus = 'P' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1) SELECT * FROM a UNION ALL SELECT * FROM b"""
+ORACLES["asset_ids"] = f"WITH {o.MEDIA} SELECT path AS source_path, 'asset-' || {o.padded('row_number() OVER (ORDER BY path)', 3)} AS asset_id FROM md"

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numeric, text
-from ..operators import assembly, evaluate, intervals, model, review, scoring, selection, sequence, signals, views
+from ..operators import assembly, evaluate, intervals, media, model, review, scoring, selection, sequence, signals, views
+from ..sources import artifacts
+from ..sources.scratch import shared_folder
 from . import adapters
 from .queries import _clips_of, _doubtful, _takes, joined, query
 
@@ -273,3 +277,41 @@ def runtime_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = rows.select((F.col("asset_id") + 1).alias("asset_id"), F.col("duration_sec").alias("before"))
     rows = evaluate.compared(rows.join(before, "asset_id"), "duration_sec", "before")
     return rows.select("asset_id", text.runtime_text(F.col("duration_sec") * 60).alias("runtime"), text.delta_text(F.col("delta"), F.when(F.col("asset_id") % 2 == 0, F.col("delta_pct"))).alias("told"))
+
+
+@query
+def cached_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of two runs stored in a cache table and looked up: the later run's count, keys that no run wrote are missing."""
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    rows = adapters.segments(spark, sf_dir).select("segment_id", artifacts.artifact_key(F.col("asset_id"), F.col("asset_name")).alias("asset_key"), "prefilter_score")
+    rows = rows.withColumn(artifacts.KEY, F.concat_ws("|", "asset_key", _id().cast("string")))
+    artifacts.store(rows.where(_id() % 3 != 0).withColumn("answer", F.concat(F.lit("first "), _id().cast("string"))), path, 1)
+    artifacts.store(rows.where(_id() % 3 == 1).withColumn("answer", F.concat(F.lit("second "), _id().cast("string"))), path, 2)
+    found = artifacts.looked_up(spark, path, rows.where(_id() % 2 == 0))
+    return found.select("segment_id", "asset_key", "prefilter_score", "answer")
+
+
+@query
+def screening_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frame rows as an artifact: of the right version and key, without assets that have a malformed row, rounded again."""
+    rows = adapters.audio(spark, sf_dir).select("asset_id", "event_id", (F.col("t") / 7).alias("timestamp_sec"), "rms_energy")
+    n = F.col("event_id")
+    rows = rows.withColumns({"schema_version": F.when(n % 50 == 0, 2).otherwise(1), "compatibility_key": F.when(n % 40 == 1, "old").otherwise("now"), "rms_energy": F.when(n % 701 == 0, None).otherwise(F.col("rms_energy") / 3)})
+    return artifacts.screening_rows(rows, "now", ["rms_energy"]).select("asset_id", "event_id", "timestamp_sec", "rms_energy")
+
+
+@query
+def last_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest run of all, and the latest of a dataset that a fixture set was evaluated on."""
+    o = adapters.table(spark, sf_dir, "orders")
+    rows = o.select(F.col("o_orderkey").alias("run_id"), F.col("o_orderdate").alias("completed_at"), F.col("o_orderpriority").alias("dataset_fingerprint"), F.col("o_orderstatus").alias("fixture_set"))
+    every = artifacts.last_row(rows, "completed_at")
+    own = evaluate.last_match(rows, "2-HIGH", "completed_at", fixture_set="P")
+    return every.withColumn("what", F.lit("last")).unionByName(own.withColumn("what", F.lit("evaluated"))).select("what", "run_id", "dataset_fingerprint", "fixture_set")
+
+
+@query
+def asset_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Asset ids in order of their source path."""
+    m = adapters.media(spark, sf_dir).select(F.col("path").alias("source_path"))
+    return media.with_asset_ids(m)

@@ -14,6 +14,10 @@ def r(x: str, places: int = 4) -> str:
     return f"(floor(({x}) * 1e{places} + 0.5e0) / 1e{places})"
 
 
+def padded(x: str, width: int) -> str:
+    return f"lpad(({x})::VARCHAR, greatest({width}, length(({x})::VARCHAR))::INT, '0')"
+
+
 def clamp(x: str) -> str:
     return f"greatest(0e0, least(1e0, coalesce(({x})::DOUBLE, 0e0)))"
 
@@ -59,7 +63,7 @@ TAKES = f"""{SCORED},
 t1 AS (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY score_total DESC, pos) AS within_asset_rank, max(score_total) OVER (PARTITION BY asset_id) AS winner FROM scored),
 t2 AS (SELECT *, {r("greatest(0e0, winner - score_total)")} AS score_gap, row_number() OVER (PARTITION BY asset_id ORDER BY pos) AS take_no,
   (score_total >= 0.68e0 AND score_total >= winner - 0.08e0 AND within_asset_rank <= CASE WHEN duration_sec >= 18 THEN 2 ELSE 1 END) OR (winner < 0.68e0 AND within_asset_rank = 1) AS is_selected FROM t1),
-takes AS (SELECT *, CASE WHEN within_asset_rank = 1 THEN 'best' WHEN is_selected THEN 'alternate' ELSE 'backup' END AS outcome, asset_id || '-take-' || lpad(take_no::VARCHAR, 2, '0') AS take_id FROM t2)"""
+takes AS (SELECT *, CASE WHEN within_asset_rank = 1 THEN 'best' WHEN is_selected THEN 'alternate' ELSE 'backup' END AS outcome, asset_id || '-take-' || {padded('take_no', 2)} AS take_id FROM t2)"""
 
 ORACLES["score_segments"] = f"WITH {SCORED} SELECT asset_id, segment_id, analysis_mode, mode_source, score_technical, score_semantic, score_story, score_total FROM scored"
 ORACLES["take_rank"] = f"WITH {TAKES} SELECT asset_id, asset_name, segment_id, take_id, analysis_mode, score_total, within_asset_rank, score_gap, outcome, is_selected FROM takes"
@@ -234,7 +238,7 @@ ch AS (SELECT asset_id, chain, min(s) AS s, arg_max(e, pos) AS e, count(*) AS n,
 cc AS (SELECT asset_id, ids[1] AS id, s, e, CASE WHEN n = 1 THEN st ELSE 'assembly-merge:' || fam END AS st, CASE WHEN n = 1 THEN conf ELSE mean END AS conf, CASE WHEN n > 1 THEN 'merge' WHEN source IS NOT NULL THEN 'split' ELSE '' END AS op, CASE WHEN n = 1 THEN prule ELSE fam END AS fam,
   CASE WHEN n = 1 AND source IS NOT NULL THEN source ELSE array_to_string(ids, '|') END AS source_ids, array_to_string(list_filter(srcs, lambda x, i: list_position(srcs, x) = i), '|') AS seed_sources FROM ch),
 cs AS ({_SAID('cc')})
-SELECT asset_id, asset_id || '-segment-' || lpad(row_number() OVER (PARTITION BY asset_id ORDER BY s, e, id)::VARCHAR, 2, '0') AS segment_id, s AS start_sec, e AS end_sec, st AS boundary_strategy, conf AS boundary_confidence, op AS operation, fam AS rule_family, source_ids, seed_sources,
+SELECT asset_id, asset_id || '-segment-' || {padded('row_number() OVER (PARTITION BY asset_id ORDER BY s, e, id)', 2)} AS segment_id, s AS start_sec, e AS end_sec, st AS boundary_strategy, conf AS boundary_confidence, op AS operation, fam AS rule_family, source_ids, seed_sources,
 CASE WHEN coalesce(txt, '') <> '' THEN 'speech' ELSE 'visual' END AS analysis_mode, length(coalesce(txt, ''))::INT AS excerpt_chars FROM cc LEFT JOIN cs USING (asset_id, id)"""
 ORACLES["scene_windows"] = f"WITH {ASSETS}, {SCENES('assets', 'asset_id', 'duration_sec')} SELECT asset_id, pos, a AS start_sec, b AS end_sec FROM scenes"
 ORACLES["sample_grid"] = f"""WITH {ASSETS}, n AS (SELECT asset_id, greatest(duration_sec, 1e0) AS u, greatest(4, least(10, (ceil(greatest(duration_sec, 1e0) / 8) + 2)::INT)) AS n FROM assets)
