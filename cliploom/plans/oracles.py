@@ -166,11 +166,11 @@ ORACLES["question_answer_pairs"] = f"WITH {CONV}, n AS (SELECT *, lead(text) OVE
 ORACLES["spoken_structure"] = f"""WITH {CONV}, n AS (SELECT *, lead(s) OVER w - e AS gap, lead(q) OVER w AS nq FROM sp WINDOW w AS (PARTITION BY asset_id ORDER BY s, e)),
 g AS (SELECT asset_id, count(*) AS n_spans, coalesce(bool_or(q AND gap IS NOT NULL AND NOT nq AND gap <= 1.6e0), false) AS answered, coalesce(max(gap), 0e0) AS widest, count(*) FILTER (q) AS questions, bool_or(q AND gap IS NULL) AS ends FROM n GROUP BY ALL)
 SELECT asset_id, n_spans, questions, CASE WHEN answered THEN {d(0.9)} ELSE 0e0 END AS question_answer_flow, CASE WHEN answered OR n_spans < 2 OR widest > 0.95e0 THEN 0e0 WHEN questions = 0 THEN {d(0.82)} WHEN questions = 1 AND NOT ends THEN {d(0.68)} ELSE 0e0 END AS monologue_continuity FROM g"""
-ORACLES["overlap_excerpt"] = f"""WITH {CONV}, w AS (SELECT asset_id, i::INT AS segment_id, i * 10e0 AS ws, i * 10e0 + 8e0 AS we FROM (SELECT DISTINCT asset_id FROM sp), range(0, 3) x(i))
+ORACLES["overlap_excerpt"] = f"""WITH {CONV}, w AS (SELECT asset_id, i::INT AS segment_id, i * 10e0 AS ws, i * 10e0 + 8e0 AS we FROM (SELECT asset_id, max(e) AS dur FROM sp GROUP BY ALL), range(0, 10000) x(i) WHERE i <= floor(dur / 10))
 SELECT w.asset_id, segment_id, string_agg(trim(text), ' ' ORDER BY s, e, trim(text)) AS excerpt, count(*) AS n FROM w JOIN sp ON sp.asset_id = w.asset_id AND e >= ws AND s <= we GROUP BY ALL"""
 _CTURNS = lambda gap: f"""tf AS (SELECT *, CASE WHEN s - lag(e) OVER (PARTITION BY asset_id ORDER BY s, e) <= {gap} THEN 0 ELSE 1 END AS o FROM sp), tg AS (SELECT *, sum(o) OVER (PARTITION BY asset_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM tf),
 turns AS (SELECT asset_id, k, min(s) AS a, max(e) AS b FROM tg GROUP BY ALL)"""
-ORACLES["turn_alignment"] = f"""WITH {CONV}, {_CTURNS('1e0')}, w AS (SELECT asset_id, i::INT AS segment_id, i * 10e0 + 0.25e0 AS s, i * 10e0 + 8e0 AS e FROM (SELECT DISTINCT asset_id FROM sp), range(0, 3) x(i)),
+ORACLES["turn_alignment"] = f"""WITH {CONV}, {_CTURNS('1e0')}, w AS (SELECT asset_id, i::INT AS segment_id, i * 10e0 + 0.25e0 AS s, i * 10e0 + 8e0 AS e FROM (SELECT asset_id, max(e) AS dur FROM sp GROUP BY ALL), range(0, 10000) x(i) WHERE i <= floor(dur / 10)),
 g AS (SELECT w.asset_id, segment_id, min(w.s) AS s, max(w.e) AS e, min(a) AS a, max(b) AS b, count(*) AS turn_count FROM w JOIN turns t ON t.asset_id = w.asset_id AND b >= w.s AND a <= w.e GROUP BY ALL),
 h AS (SELECT *, {clamp('coalesce(greatest(0e0, least(e, b) - greatest(s, a)) / nullif(b - a, 0e0), 0e0)')} AS cov, {clamp(f'1e0 - greatest(0e0, s - a) / {d(0.45)}')} AS le, {clamp(f'1e0 - greatest(0e0, b - e) / {d(0.45)}')} AS re FROM g)
 SELECT asset_id, segment_id, turn_count, {r(clamp(f'{d(0.55)} * cov + {d(0.45)} * (le + re) / 2e0'))} AS turn_completeness, CASE WHEN le >= 0.85e0 AND re >= 0.85e0 THEN 'turn-aligned' WHEN cov >= 0.8e0 THEN 'mostly-complete' ELSE 'partial-turn' END AS turn_alignment FROM h"""

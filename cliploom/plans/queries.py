@@ -242,7 +242,7 @@ def spoken_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def overlap_excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = adapters.spans(spark, sf_dir)
-    windows = rows.groupBy("asset_id").agg(F.max("end_sec").alias("_end")).withColumn("segment_id", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    windows = rows.groupBy("asset_id").agg(F.max("end_sec").alias("_end")).withColumn("segment_id", F.explode(F.sequence(F.lit(0), F.floor(F.col("_end") / 10).cast("int"))))
     windows = windows.select("asset_id", "segment_id", (F.col("segment_id") * 10.0).alias("start_sec"), (F.col("segment_id") * 10.0 + 8.0).alias("end_sec"))
     found = intervals.overlapping_ranges(windows, rows.select("asset_id", F.col("start_sec").alias("a"), F.col("end_sec").alias("b"), "text"), ["asset_id"], ("start_sec", "end_sec"), ("a", "b"), 10.0)
     return found.groupBy("asset_id", "segment_id").agg(speech.ordered_text("a", "b").alias("excerpt"), F.count(F.lit(1)).alias("n"))
@@ -251,8 +251,9 @@ def overlap_excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def turn_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = speech.turns(adapters.spans(spark, sf_dir), gap=1.0).select("asset_id", F.col("start_sec").alias("t_start"), F.col("end_sec").alias("t_end"))
-    windows = rows.select("asset_id").distinct().select("asset_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("segment_id")).withColumns({"start_sec": F.col("segment_id") * 10.0 + 0.25, "end_sec": F.col("segment_id") * 10.0 + 8.0})
-    found = intervals.overlapping_ranges(windows, rows, ["asset_id"], ("start_sec", "end_sec"), ("t_start", "t_end"), None)
+    ends = rows.groupBy("asset_id").agg(F.max("t_end").alias("_end"))
+    windows = ends.select("asset_id", F.explode(F.sequence(F.lit(0), F.floor(F.col("_end") / 10).cast("int"))).alias("segment_id")).withColumns({"start_sec": F.col("segment_id") * 10.0 + 0.25, "end_sec": F.col("segment_id") * 10.0 + 8.0})
+    found = intervals.overlapping_ranges(windows, rows, ["asset_id"], ("start_sec", "end_sec"), ("t_start", "t_end"), 10.0)
     return speech.turn_alignment(found, ["asset_id", "segment_id"])
 
 
