@@ -1,7 +1,8 @@
 """A training corpus from `documents`: quality rules, line dedup, near duplicates, decontamination, mixing.
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns the columns of documents; the
-last one adds what the mix takes of each document.
+last one adds what the mix takes of each document.  Stages keep extra columns of `docs` out of the way of their own, give no
+rows for an empty table, and take repeated rows, rows that share an id, and very long texts as they come.
 """
 
 from __future__ import annotations
@@ -19,28 +20,37 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass, without their failing lines."""
+    """Documents that pass, without their failing lines.  Null, empty and blank texts fail; equal rows get equal verdicts."""
     return quality.clean(docs)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that ten or more of them hold."""
+    """All documents, without lines that ten or more of them hold.
+
+    A null text stays null, with n_chars null; rows with the same id and text are one document; a text may become empty.
+    """
     rows = line_dedup.apply(docs, line_dedup.line_bitmaps(docs), counts=False)
     return rows.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of linked ones."""
+    """The first document of each group of linked ones; ids are integers.
+
+    Null and empty texts link with nothing and stay; of rows that share an id one stays; rows with a null id all stay.
+    """
     return ngram_join.keep_one(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of the benchmark."""
+    """Documents without a window of the benchmark.  Null and empty texts are clean; an empty benchmark keeps all."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with size, source_size, target, epochs and taken."""
+    """The documents that the mix takes, with size, source_size, target, epochs and taken.
+
+    Texts without words take nothing and go; a null source is a source of its own; ties of the key go by id, size and text.
+    """
     return mixing.mix(docs, keep=("text", "lang", "n_chars")).where("taken > 0")
 
 
