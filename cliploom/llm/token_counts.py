@@ -65,6 +65,13 @@ class Counter:
         return total, len(pieces)
 
 
+def leaves_of(counter: Counter, text: str | None) -> list[tuple[int, int, int]]:
+    """(chars, tokens, pieces) of the blocks of a text, without the tree above."""
+    pieces = counter.pattern.findall(text or "")
+    tokens = [counter.known.get(p) or counter.tokens(p) for p in pieces]
+    return [(sum(map(len, pieces[i : i + BLOCK])), sum(tokens[i : i + BLOCK]), min(BLOCK, len(pieces) - i)) for i in range(0, len(pieces), BLOCK)]
+
+
 class Tree:
     """A text in blocks of pre-tokens, and the sums of (characters, tokens) over them.
 
@@ -194,8 +201,12 @@ def _ranks(docs: DataFrame, vocabulary: str) -> object:
         return docs.sparkSession.sparkContext.broadcast(f.read())
 
 
-def _column(trees: list[Tree | None]) -> pa.Array:
-    return pa.array([t and [dict(zip(("chars", "tokens", "pieces"), leaf)) for leaf in t.leaves] for t in trees], _LEAVES)
+def _column(trees: list[list[tuple[int, int, int]] | None]) -> pa.Array:
+    """Lists of leaves as an Arrow column."""
+    offsets = pa.array([0, *accumulate(len(t or ()) for t in trees)], pa.int32())
+    flat = [leaf for t in trees for leaf in t or ()]
+    leaves = pa.StructArray.from_arrays([pa.array([x[i] for x in flat], pa.int32()) for i in range(3)], fields=list(_LEAVES.value_type))
+    return pa.ListArray.from_arrays(offsets, leaves, mask=pa.array([t is None for t in trees], pa.bool_()))
 
 
 def _growing(ranks: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -203,7 +214,8 @@ def _growing(ranks: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
         counter = None
         for batch in batches:
             counter = counter or Counter(ranks.value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _column([Tree(counter, t) for t in batch.column(2).to_pylist()])], names=["doc_id", "text_hash", "tree"])
+            trees = _column([leaves_of(counter, t) for t in batch.column(2).to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), trees, *batch.columns[3:]], names=["doc_id", "text_hash", "tree", *batch.schema.names[3:]])
 
     return run
 
@@ -212,10 +224,11 @@ def _hash() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
-def grow(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """doc_id, text_hash and tree (its leaves) of every row; to be stored for later edits."""
+def grow(docs: DataFrame, vocabulary: str = VOCABULARY, **flags: Column) -> DataFrame:
+    """doc_id, text_hash and tree (its leaves) of every row, and boolean columns of the given names; to be stored for later edits."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", _hash().alias("text_hash"), "text").mapInArrow(_growing(_ranks(docs, vocabulary)), f"doc_id {kind}, text_hash long, tree {LEAVES}")
+    schema = f"doc_id {kind}, text_hash long, tree {LEAVES}" + "".join(f", {name} boolean" for name in flags)
+    return docs.select("doc_id", _hash().alias("text_hash"), "text", *(x.alias(name) for name, x in flags.items())).mapInArrow(_growing(_ranks(docs, vocabulary)), schema)
 
 
 def _recounting(ranks: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -229,7 +242,7 @@ def _recounting(ranks: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
                 if stored is not None and not own:
                     n = sum(t for _, t, _ in stored)
                     rows.append((n, sum(p for _, _, p in stored), 0, n, 0))
-                    after.append(leaves)
+                    after.append(stored)
                     continue
                 if stored is None and not own:
                     rows.append((None,) * len(_FIELDS))
@@ -240,8 +253,8 @@ def _recounting(ranks: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
                 n, pieces = tree.total, tree.pieces
                 apply_edits(tree, own)
                 rows.append((n, pieces, len(own), tree.total, tree.encoded))
-                after.append([dict(zip(("chars", "tokens", "pieces"), leaf)) for leaf in tree.leaves])
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(len(_FIELDS))), pa.array(after, _LEAVES)], names=["doc_id", *_FIELDS, "tree"])
+                after.append(tree.leaves)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(len(_FIELDS))), _column(after)], names=["doc_id", *_FIELDS, "tree"])
 
     return run
 
@@ -261,8 +274,21 @@ def recount(docs: DataFrame, trees: DataFrame, edits: Column, vocabulary: str =
     return rows.select("doc_id", "_tok_text", "_tok_edits", "_tok_tree").mapInArrow(_recounting(_ranks(docs, vocabulary)), f"doc_id {kind}, " + ", ".join(f"{f} long" for f in _FIELDS) + f", tree {LEAVES}")
 
 
+def counts(trees: DataFrame) -> DataFrame:
+    """The columns of `recount` for rows without edits, from their stored trees alone."""
+    total = lambda field: F.aggregate(F.col(f"tree.{field}"), F.lit(0).cast("long"), lambda s, x: s + x)
+    n = total("tokens")
+    zero = F.lit(0).cast("long")
+    return trees.select("doc_id", n.alias("n_tokens"), total("pieces").alias("n_pretokens"), zero.alias("n_edits"), n.alias("n_tokens_after"), zero.alias("n_reencoded"), "tree")
+
+
 def digest(docs: DataFrame, found: Column, new: str, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Counts before and after all `found` spans are replaced by `new`: the trees are made and stored, then edited."""
-    trees = checkpointed(grow(docs, vocabulary))
+    """Counts before and after all `found` spans are replaced by `new`: the trees are made and stored, and those with edits edited.
+
+    Rows without edits are counted from their trees alone; only texts with edits are read again and joined with theirs.
+    """
+    some = F.size(found) > 0
+    trees = checkpointed(grow(docs, vocabulary, _tok_edited=some))
     edits = F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(new).alias("new")))
-    return recount(docs, trees, edits, vocabulary).drop("tree")
+    edited = recount(docs.where(some), trees.where("_tok_edited"), edits, vocabulary)
+    return counts(trees.where("not _tok_edited")).unionByName(edited).drop("tree")
