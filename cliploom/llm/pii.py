@@ -36,7 +36,7 @@ from .columns import HYPHEN_MARK, NAMED, SPACE_MARK, checkpointed, joined, named
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Ruled-out terms, and documents with revealing terms, that are broadcast at most.
-COMMON_TERMS, BROADCAST_ROWS = 50_000, 100_000
+COMMON_TERMS, BROADCAST_ROWS = 100_000, 100_000
 #: Revealing terms of a document up to which one pattern finds them.
 PATTERN_TERMS = 500
 
@@ -186,8 +186,8 @@ def _bounded(rows: DataFrame) -> DataFrame:
 
 
 def holders(docs: DataFrame, terms: DataFrame, ruled_out: DataFrame, min_letters: int) -> DataFrame:
-    """_pii_doc, _pii_h, term: each document, with its repeated rows, and the given terms that it holds."""
-    each = docs.select(F.col("doc_id").alias("_pii_doc"), F.xxhash64(text_of()).alias("_pii_h"), F.explode(_terms(text_of(), min_letters)).alias("term"))
+    """_pii_h, term: for each document, copies as well, its text's hash and the given terms that it holds."""
+    each = docs.select(F.xxhash64(text_of()).alias("_pii_h"), F.explode(_terms(text_of(), min_letters)).alias("term"))
     return each.join(F.broadcast(ruled_out), "term", "left_anti").join(terms, "term", "left_semi")
 
 
@@ -199,10 +199,14 @@ def disclosing_terms(pairs: DataFrame, held: DataFrame, n: int, threshold: float
 
 
 def _term_spans(docs: DataFrame, held: DataFrame, terms: DataFrame, min_letters: int) -> DataFrame:
-    """_pii_doc, _pii_h, found: the spans of the given terms in every document that holds one."""
+    """_pii_doc, _pii_h, found: the spans of the given terms in every document that holds one.
+
+    A text is known by its hash here: texts that share one would share their lists of terms, and only those are marked that
+    stand in the text.
+    """
     own = checkpointed(held.join(terms, "term", "left_semi").distinct())
-    marks = own.groupBy(F.col("_pii_doc").alias("d"), F.col("_pii_h").alias("h")).agg(F.collect_set("term").alias("terms"))
-    rows = docs.select(F.col("doc_id").alias("_pii_doc"), F.xxhash64(text_of()).alias("_pii_h"), "text").join(_bounded(marks), F.col("_pii_doc").eqNullSafe(F.col("d")) & (F.col("_pii_h") == F.col("h")))
+    marks = own.groupBy(F.col("_pii_h").alias("h")).agg(F.collect_set("term").alias("terms"))
+    rows = docs.select(F.col("doc_id").alias("_pii_doc"), F.xxhash64(text_of()).alias("_pii_h"), "text").join(_bounded(marks), F.col("_pii_h") == F.col("h"))
     rows = rows.select("_pii_doc", "_pii_h", "terms", _prose(text_of()).alias("prose"))
 
     few = rows.where(F.size("terms") <= PATTERN_TERMS)
@@ -213,8 +217,8 @@ def _term_spans(docs: DataFrame, held: DataFrame, terms: DataFrame, min_letters:
 
     many = rows.where(F.size("terms") > PATTERN_TERMS).withColumn("_cut", segments(F.col("prose"), _terms_pattern(min_letters)))
     many = many.select("_pii_doc", "_pii_h", F.explode(spans(F.col("_cut"))).alias("t")).withColumn("_term", F.lower("t.text"))
-    mine = own.select(F.col("_pii_doc").alias("d"), F.col("_pii_h").alias("h"), "term")
-    many = many.join(mine, F.col("_pii_doc").eqNullSafe(F.col("d")) & (F.col("_pii_h") == F.col("h")) & (F.col("_term") == F.col("term")), "left_semi").drop("_term")
+    mine = own.select(F.col("_pii_h").alias("h"), "term")
+    many = many.join(mine, (F.col("_pii_h") == F.col("h")) & (F.col("_term") == F.col("term")), "left_semi").drop("_term")
 
     found = F.struct(F.lit(4).alias("kind_no"), F.lit(KINDS[4]).alias("kind"), F.col("t.start").alias("start"), F.col("t.end").alias("end"))
     return few.unionByName(many).groupBy("_pii_doc", "_pii_h").agg(F.collect_set(found).alias("found"))
