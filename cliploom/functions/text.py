@@ -127,6 +127,16 @@ def model_matches(asked: Column | str, offered: Column | str) -> Column:
     return (a == b) | F.contains(b, a) | F.contains(a, b)
 
 
+def model_slug(model_id: Column | str) -> Column:
+    """A model id as a folder name."""
+    return F.replace(F.replace(F.trim(col(model_id)), F.lit("/"), F.lit("--")), F.lit(":"), F.lit("-"))
+
+
+def model_key(model_id: Column | str, revision: Column | str) -> Column:
+    """The name of a prepared model: its folder name and revision."""
+    return F.concat(model_slug(model_id), F.lit("@"), F.coalesce(F.nullif(col(revision), F.lit("")), F.lit("default")))
+
+
 def timecode_of(text: Column | str) -> Column:
     """The clock part of an ISO or EXIF date-time as HH:MM:SS:00, in its own offset."""
     clock = F.regexp_extract(col(text), r"^\d{4}[-:]\d{2}[-:]\d{2}[T ](\d{2}:\d{2}:\d{2})", 1)

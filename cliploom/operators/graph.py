@@ -97,3 +97,30 @@ def acyclic(edges: DataFrame, most_rounds: int = 1000) -> tuple[bool, DataFrame]
             return False, rest
         left, count = rest, n
     raise RuntimeError(f"peeling did not end in {most_rounds} rounds")
+
+
+def change_errors(changes: DataFrame) -> DataFrame:
+    """(name, error, about) of a frame of changes (name, kind, parent, phase, depends_on): what is wrong with them, cycles aside.
+
+    Errors are kind (not umbrella or implementation), parent_of_umbrella, parent (unknown), dependency (unknown) and
+    phase (not after a dependency's).
+    """
+    c = F.col
+    known = changes.select(c("name").alias("_known"), c("phase").alias("_phase"))
+    error = lambda rows, what, about: rows.select("name", F.lit(what).alias("error"), F.coalesce(about, F.lit("")).alias("about"))
+    umbrella = F.coalesce(c("kind") == "umbrella", F.lit(False))
+    implementation = F.coalesce(c("kind") == "implementation", F.lit(False))
+    kinds = error(changes.where(~umbrella & ~implementation), "kind", c("kind"))
+    childish = error(changes.where(umbrella & (F.coalesce("parent", F.lit("")) != "")), "parent_of_umbrella", c("parent"))
+    orphans = error(changes.where(implementation & (F.coalesce("parent", F.lit("")) != "")).join(known, c("parent") == c("_known"), "left_anti"), "parent", c("parent"))
+    needs = changes.select("name", "phase", F.explode("depends_on").alias("dependency")).join(known, c("dependency") == c("_known"), "left")
+    dangling = error(needs.where("_known is null"), "dependency", c("dependency"))
+    early = error(needs.where("_known is not null and phase <= _phase"), "phase", c("dependency"))
+    return kinds.unionByName(childish).unionByName(orphans).unionByName(dangling).unionByName(early)
+
+
+def blocked_by(changes: DataFrame) -> DataFrame:
+    """(name, blocks): the changes that depend on a known change, sorted."""
+    needs = changes.select("name", F.explode("depends_on").alias("dependency"))
+    held = needs.join(changes.select(F.col("name").alias("dependency")), "dependency", "left_semi")
+    return held.groupBy(F.col("dependency").alias("name")).agg(F.array_sort(F.collect_list("name")).alias("blocks"))

@@ -26,7 +26,7 @@ def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
     before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     place = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     found = dealt.withColumn("_place", place).join(F.broadcast(before), "_part")
-    return found.withColumn(name, (F.col("_before") + F.col("_place")).cast("int")).drop("_part", "_place", "_before")
+    return found.withColumn(name, F.col("_before") + F.col("_place")).drop("_part", "_place", "_before")
 
 
 def ranked_view(views: DataFrame) -> DataFrame:

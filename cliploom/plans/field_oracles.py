@@ -126,3 +126,9 @@ SELECT asset_id, event_id, {r('t / 7', 3)} AS timestamp_sec, {r('rms / 3')} AS r
 ORACLES["last_runs"] = """WITH a AS (SELECT 'last' AS what, o_orderkey AS run_id, o_orderpriority AS dataset_fingerprint, o_orderstatus AS fixture_set FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1),
 b AS (SELECT 'evaluated', o_orderkey, o_orderpriority, o_orderstatus FROM orders WHERE o_orderpriority = '2-HIGH' AND o_orderstatus = 'P' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1) SELECT * FROM a UNION ALL SELECT * FROM b"""
 ORACLES["asset_ids"] = f"WITH {o.MEDIA} SELECT path AS source_path, 'asset-' || {o.padded('row_number() OVER (ORDER BY path)', 3)} AS asset_id FROM md"
+ORACLES["model_ids"] = """WITH n AS (SELECT *, 'org--' || p_name || '-' || p_size AS slug FROM part) SELECT p_partkey, slug, slug || '@' || CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE 'default' END AS key FROM n"""
+_CHANGES = f"""ch AS (SELECT 'c' || p_partkey AS name, {_one('p_partkey', 'umbrella', 'implementation', 'implementation', 'odd')} AS kind, CASE WHEN p_partkey % 3 = 0 THEN 'c' || (p_partkey * 2) END AS parent, (p_size % 7)::INT AS phase, ['c' || (p_partkey + 1), 'c' || (p_partkey + p_size * 9)] AS deps FROM part),
+nd AS (SELECT ch.name, ch.phase, dep, k.name AS known, k.phase AS kphase FROM (SELECT name, phase, unnest(deps) AS dep FROM ch) ch LEFT JOIN ch k ON k.name = dep)"""
+ORACLES["change_checks"] = f"""WITH {_CHANGES} SELECT name, 'kind' AS error, kind AS about FROM ch WHERE kind = 'odd' UNION ALL SELECT name, 'parent_of_umbrella', parent FROM ch WHERE kind = 'umbrella' AND parent IS NOT NULL
+UNION ALL SELECT name, 'parent', parent FROM ch WHERE kind = 'implementation' AND parent IS NOT NULL AND parent NOT IN (SELECT name FROM ch) UNION ALL SELECT name, 'dependency', dep FROM nd WHERE known IS NULL UNION ALL SELECT name, 'phase', dep FROM nd WHERE known IS NOT NULL AND phase <= kphase"""
+ORACLES["change_blocks"] = f"WITH {_CHANGES} SELECT dep AS name, string_agg(name, '|' ORDER BY name) AS blocks FROM nd WHERE known IS NOT NULL GROUP BY dep"

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numeric, text
-from ..operators import assembly, evaluate, intervals, media, model, review, scoring, selection, sequence, signals, views
+from ..operators import assembly, evaluate, graph, intervals, media, model, review, scoring, selection, sequence, signals, views
 from ..sources import artifacts
 from ..sources.scratch import shared_folder
 from . import adapters
@@ -315,3 +315,33 @@ def asset_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Asset ids in order of their source path."""
     m = adapters.media(spark, sf_dir).select(F.col("path").alias("source_path"))
     return media.with_asset_ids(m)
+
+
+@query
+def model_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = adapters.table(spark, sf_dir, "part")
+    name = F.concat(F.lit(" org/"), F.col("p_name"), F.lit(":"), F.col("p_size").cast("string"), F.lit(" "))
+    return p.select("p_partkey", text.model_slug(name).alias("slug"), text.model_key(name, F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")).otherwise("")).alias("key"))
+
+
+def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as changes that depend on one a little later, and on one far on that may not be there."""
+    n = F.col("p_partkey")
+    name = lambda x: F.concat(F.lit("c"), x.cast("string"))
+    return adapters.table(spark, sf_dir, "part").select(
+        name(n).alias("name"),
+        _one_of(n, "umbrella", "implementation", "implementation", "odd").alias("kind"),
+        F.when(n % 3 == 0, name(n * 2)).alias("parent"),
+        (F.col("p_size") % 7).cast("int").alias("phase"),
+        F.array(name(n + 1), name(n + F.col("p_size") * 9)).alias("depends_on"),
+    )
+
+
+@query
+def change_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.change_errors(_changes(spark, sf_dir))
+
+
+@query
+def change_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.blocked_by(_changes(spark, sf_dir)).select("name", joined(F.col("blocks")).alias("blocks"))
