@@ -140,3 +140,42 @@ def story_sequence(takes: DataFrame, scope: str) -> DataFrame:
     kinds = dict(takes.dtypes)
     needed = takes.select(scope, "take_id", "pos", "score_total", "analysis_mode", "story_role", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("prompt_fit", "visual_novelty", "hook_strength", "motion_energy", "story_alignment", "turn_completeness")), "transcript_excerpt")
     return needed.groupBy(scope).applyInPandas(run, f"{scope} {kinds[scope]}, take_id {kinds['take_id']}, order_index int, sequence_score double")
+
+
+def labelled(items: DataFrame, scope: str) -> DataFrame:
+    """Adds drivers and tradeoffs: why an item stands at its place (order_index) of the sequence, and what that cost.
+
+    Items hold analysis_mode, story_role, score_total, prompt_fit, visual_novelty, hook_strength, motion_energy, story_alignment
+    and turn_completeness; missing numbers are 0.
+    """
+    order = Window.partitionBy(scope).orderBy("order_index")
+    n = F.count(F.lit(1)).over(Window.partitionBy(scope))
+    two = {f"_{c}{k}": F.lag(c, k).over(order) for c in ("analysis_mode", "story_role", "score_total") for k in (1, 2)}
+    rows = items.withColumns({"_n": n} | two)
+    number = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    visual, fits = F.col("analysis_mode") == "visual", number("prompt_fit") > 0
+    whole = ~visual & (number("turn_completeness") >= 0.85)
+    changed = {c: F.col(c) != F.col(f"_{c}1") for c in ("analysis_mode", "story_role")}
+    # Of one item before, that one counts for both.
+    third = {c: (F.col(c) == F.col(f"_{c}1")) & (F.col(c) == F.coalesce(f"_{c}2", f"_{c}1")) for c in changed}
+    strong = (F.col("score_total") >= 0.75) & (F.col("_score_total1") >= 0.75)
+    told = lambda pairs: F.filter(F.array(*(F.when(test, F.lit(label)) for label, test in pairs)), lambda x: x.isNotNull())
+    always = ("local_strength", F.lit(True))
+    opener = told([always, ("opener_fit", visual), ("visual_novelty", visual & (number("visual_novelty") >= 0.7)), ("hook_strength", number("hook_strength") >= 0.7), ("prompt_fit", fits), ("prompt_led_opener", visual & fits)])
+    release = told([always, ("release_fit", F.lit(True)), ("calm_release", visual & (number("motion_energy") <= 0.55)), ("complete_turn", whole), ("story_alignment", number("story_alignment") >= 0.7), ("prompt_fit", fits)])
+    follow = told(
+        [always, ("mode_variety", changed["analysis_mode"]), ("repetition_control", changed["analysis_mode"] | changed["story_role"]), ("spoken_progression", changed["analysis_mode"] & ~visual), ("release_transition", changed["analysis_mode"] & visual),
+         ("role_variety", changed["story_role"]), ("complete_turn", whole), ("paired_strength", strong), ("prompt_fit", fits)]
+    )
+    cost = told([("same_mode_repeat", ~changed["analysis_mode"]), ("same_role_repeat", ~changed["story_role"]), ("third_same_mode_avoided", third["analysis_mode"]), ("third_same_role_avoided", third["story_role"])])
+    none = F.array().cast("array<string>")
+    i, last = F.col("order_index"), (F.col("order_index") == F.col("_n") - 1) & (F.col("_n") >= 3)
+    drivers = F.when(F.col("_n") == 1, told([always])).when(i == 0, opener).when(last, release).otherwise(follow)
+    tradeoffs = F.when((F.col("_n") > 1) & (i == 0), told([("preferred_for_prompt_fit", fits & (F.col("score_total") < 0.78))])).when((i == 0) | last, none).otherwise(cost)
+    return rows.withColumns({"drivers": drivers, "tradeoffs": tradeoffs}).select(*items.columns, "drivers", "tradeoffs")
+
+
+def label_counts(items: DataFrame, scope: str) -> DataFrame:
+    """scope, n_items, transitions, and how many items have prompt_fit or repetition_control as a driver, or a tradeoff."""
+    has = lambda label: F.count_if(F.array_contains("drivers", label))
+    return items.groupBy(scope).agg(F.count(F.lit(1)).alias("n_items"), (F.count(F.lit(1)) - 1).alias("transitions"), has("prompt_fit").alias("prompt_fit_count"), has("repetition_control").alias("repetition_control_count"), F.count_if(F.size("tradeoffs") > 0).alias("tradeoff_count"))

@@ -132,3 +132,17 @@ nd AS (SELECT ch.name, ch.phase, dep, k.name AS known, k.phase AS kphase FROM (S
 ORACLES["change_checks"] = f"""WITH {_CHANGES} SELECT name, 'kind' AS error, kind AS about FROM ch WHERE kind = 'odd' UNION ALL SELECT name, 'parent_of_umbrella', parent FROM ch WHERE kind = 'umbrella' AND parent IS NOT NULL
 UNION ALL SELECT name, 'parent', parent FROM ch WHERE kind = 'implementation' AND parent IS NOT NULL AND parent NOT IN (SELECT name FROM ch) UNION ALL SELECT name, 'dependency', dep FROM nd WHERE known IS NULL UNION ALL SELECT name, 'phase', dep FROM nd WHERE known IS NOT NULL AND phase <= kphase"""
 ORACLES["change_blocks"] = f"WITH {_CHANGES} SELECT dep AS name, string_agg(name, '|' ORDER BY name) AS blocks FROM nd WHERE known IS NOT NULL GROUP BY dep"
+_told = lambda pairs: f"concat_ws('|', {', '.join(f'CASE WHEN {test} THEN {label!r} END' for label, test in pairs)})"
+_V, _P, _WHOLE = "vis", "fit > 0", f"NOT vis AND {o._SPEECH_TURN}"
+_MC, _RC = "vis <> v1", "role <> r1"
+LABELLED = f"""path AS ({ORACLES['story_sequence']}), {o.TAKES},
+f0 AS (SELECT take_id, asset_id % 50 AS scope, NOT speech AS vis, {_ROLE.replace('CASE WHEN', "CASE WHEN speech THEN 'spoken beat' WHEN", 1)} AS role, score_total AS tot, (segment_id % 5) * {d(0.02)} AS fit, {o._z('visual_novelty')} AS nov, {o._z('hook_strength')} AS hook, {o._z('motion_energy')} AS mot, {o._z('story_alignment')} AS sto, speech_ratio FROM takes WHERE is_selected),
+f1 AS (SELECT f0.*, order_index AS i, count(*) OVER (PARTITION BY f0.scope) AS n, lag(vis) OVER w AS v1, lag(role) OVER w AS r1, lag(tot) OVER w AS t1, coalesce(lag(vis, 2) OVER w, lag(vis) OVER w) AS v2, coalesce(lag(role, 2) OVER w, lag(role) OVER w) AS r2 FROM f0 JOIN path USING (take_id) WINDOW w AS (PARTITION BY f0.scope ORDER BY order_index)),
+lb AS (SELECT scope, i AS order_index, take_id, CASE WHEN n = 1 THEN 'local_strength'
+  WHEN i = 0 THEN {_told([('local_strength', 'true'), ('opener_fit', _V), ('visual_novelty', f'vis AND nov >= {d(0.7)}'), ('hook_strength', f'hook >= {d(0.7)}'), ('prompt_fit', _P), ('prompt_led_opener', f'vis AND {_P}')])}
+  WHEN i = n - 1 AND n >= 3 THEN {_told([('local_strength', 'true'), ('release_fit', 'true'), ('calm_release', f'vis AND mot <= {d(0.55)}'), ('complete_turn', _WHOLE), ('story_alignment', f'sto >= {d(0.7)}'), ('prompt_fit', _P)])}
+  ELSE {_told([('local_strength', 'true'), ('mode_variety', _MC), ('repetition_control', f'{_MC} OR {_RC}'), ('spoken_progression', f'{_MC} AND NOT vis'), ('release_transition', f'{_MC} AND vis'), ('role_variety', _RC), ('complete_turn', _WHOLE), ('paired_strength', 'tot >= 0.75e0 AND t1 >= 0.75e0'), ('prompt_fit', _P)])} END AS drivers,
+  CASE WHEN n = 1 THEN '' WHEN i = 0 THEN {_told([('preferred_for_prompt_fit', f'{_P} AND tot < {d(0.78)}')])} WHEN i = n - 1 AND n >= 3 THEN '' ELSE {_told([('same_mode_repeat', 'vis = v1'), ('same_role_repeat', 'role = r1'), ('third_same_mode_avoided', 'vis = v1 AND vis = v2'), ('third_same_role_avoided', 'role = r1 AND role = r2')])} END AS tradeoffs FROM f1)"""
+ORACLES["sequence_labels"] = f"WITH {LABELLED} SELECT * FROM lb"
+_has = lambda label: f"count(*) FILTER (list_contains(string_split(drivers, '|'), {label!r}))"
+ORACLES["sequence_counters"] = f"WITH {LABELLED} SELECT scope, count(*) AS n_items, count(*) - 1 AS transitions, {_has('prompt_fit')} AS prompt_fit_count, {_has('repetition_control')} AS repetition_control_count, count(*) FILTER (tradeoffs <> '') AS tradeoff_count FROM lb GROUP BY scope"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric, text
 from ..operators import assembly, dedup, evaluate, intervals, media, scoring, selection, sequence, signals, speech, views
+from ..sources.scratch import checkpointed as saved
 from . import adapters
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -178,12 +179,31 @@ def timeline_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("scope", "item_count", *(joined(F.col(c)).alias(c) for c in ("reels", "roles", "groups")), "opener_reel", "closing_reel")
 
 
-@query
-def story_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _story_takes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _takes(spark, sf_dir).where("is_selected").withColumns({"scope": F.col("asset_id") % 50, "story_roles": F.array().cast("array<string>"), "turn_completeness": F.col("speech_ratio")})
     rows = rows.withColumns({"story_role": sequence.story_role(), "prompt_fit": (F.col("segment_id") % 5) * 0.02})
-    rows = rows.withColumn("pos", F.row_number().over(Window.partitionBy("scope").orderBy("asset_id", "within_asset_rank")))
-    return sequence.story_sequence(rows, "scope")
+    return rows.withColumn("pos", F.row_number().over(Window.partitionBy("scope").orderBy("asset_id", "within_asset_rank")))
+
+
+@query
+def story_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequence.story_sequence(_story_takes(spark, sf_dir), "scope")
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = saved(_story_takes(spark, sf_dir))
+    path = sequence.story_sequence(rows, "scope").select("take_id", "order_index")
+    return sequence.labelled(rows.join(path, "take_id"), "scope")
+
+
+@query
+def sequence_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _labelled(spark, sf_dir).select("scope", "order_index", "take_id", joined(F.col("drivers")).alias("drivers"), joined(F.col("tradeoffs")).alias("tradeoffs"))
+
+
+@query
+def sequence_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequence.label_counts(_labelled(spark, sf_dir), "scope")
 
 
 @query
