@@ -15,8 +15,8 @@ in any document; `sanitise` generalises the entities to their kind and removes o
 A term's documents are counted over the corpus only where they can matter.  p(entity | term) must reach
 p(entity) ** (1 - threshold), and a term stands in no fewer documents than in those with entities.  So terms that stand in
 too many of the documents with entities go before terms and entities meet, and pairs that fall short on these counts go
-before the corpus is read for the terms of the rest.  When it is, the `COMMON_TERMS` most frequent of the terms that were
-ruled out are left out by a broadcast of that size, which spares most of the shuffle.  No term that discloses is lost by it.
+before the corpus is read for the terms of the rest.  When it is, the `COMMON_TERMS` most frequent of the terms that are in no
+pair left are left out by a broadcast of that size, which spares most of the shuffle.  No term that discloses is lost by it.
 
 Rows meet by (term, entity) and by term, always as counts that were pre-aggregated before the shuffle.  Entities that stand
 in one text only have the same counts there, so one of them stands for all.  Spans are only cut from documents that hold a
@@ -151,9 +151,9 @@ def _disclosure(pair_docs: Column, term_docs: Column, entity_docs: Column, conte
 
 
 def candidate_pairs(mentions: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(pairs, ruled_out): term, entity, entity_docs, pair_docs, contexts - counts of documents, and of different texts, over
-    whole documents - of all pairs that can disclose, and some that term counts over the corpus will show not to; and the
-    most frequent terms of the documents with entities that can disclose nothing.
+    """(pairs, seen): term, entity, entity_docs, pair_docs, contexts - counts of documents, and of different texts, over
+    whole documents - of all pairs that can disclose, and some that term counts over the corpus will show not to; and
+    term, seen_docs of all terms of the documents with entities.
     """
     texts = mentions.where(F.size("values") > 0).groupBy("_pii_hash").agg(F.count(F.lit(1)).alias("copies"), F.first("values").alias("values"), F.first("terms").alias("terms"))
     texts = checkpointed(texts)
@@ -169,14 +169,12 @@ def candidate_pairs(mentions: DataFrame, n: int, threshold: float) -> tuple[Data
     each = texts.select("_pii_hash", "copies", F.explode("terms").alias("term"))
     seen = checkpointed(each.groupBy("term").agg(F.sum("copies").alias("seen_docs")))
     most_of_all = stand.agg(F.max("most")).first()[0] or 0.0
-    # Which of equals are in the list changes what is shuffled, not what is found.
-    ruled_out = seen.where(F.col("seen_docs") > most_of_all).orderBy(F.desc("seen_docs")).limit(COMMON_TERMS).select("term")
     most_of_text = stand.groupBy("_pii_hash").agg(F.max("most").alias("text_most"))
     rare = each.join(most_of_text, "_pii_hash").join(seen.where(F.col("seen_docs") <= most_of_all), "term").where("seen_docs <= text_most")
     pairs = rare.select("_pii_hash", "copies", "term", "seen_docs").join(stand, "_pii_hash").where("seen_docs <= most")
     pairs = pairs.groupBy("term", "entity", "entity_docs", "seen_docs").agg(F.sum("copies").alias("pair_docs"), F.count(F.lit(1)).alias("contexts"))
     may = _disclosure(F.col("pair_docs"), F.col("seen_docs"), F.col("entity_docs"), F.col("contexts"), n) >= threshold - 1e-9
-    return pairs.where(may).drop("seen_docs"), ruled_out
+    return pairs.where(may).drop("seen_docs"), seen
 
 
 def _bounded(rows: DataFrame) -> DataFrame:
@@ -228,9 +226,12 @@ def disclosures(docs: DataFrame, min_letters: int = 1, threshold: float = 0.9) -
     """doc_id, _pii_hash, base and private: all spans, as arrays of (kind_no, kind, start, end); one row per document."""
     mentions = checkpointed(_mentions(docs, min_letters))
     n = mentions.count()
-    pairs, ruled_out = candidate_pairs(mentions, n, threshold)
+    pairs, seen = candidate_pairs(mentions, n, threshold)
     pairs = checkpointed(pairs)
-    held = checkpointed(holders(docs, pairs.select("term").distinct(), ruled_out, min_letters))
+    terms = checkpointed(pairs.select("term").distinct())
+    # Which of equals are in the list changes what is shuffled, not what is found.
+    ruled_out = seen.join(terms, "term", "left_anti").orderBy(F.desc("seen_docs")).limit(COMMON_TERMS).select("term")
+    held = checkpointed(holders(docs, terms, ruled_out, min_letters))
     revealing = disclosing_terms(pairs, held, n, threshold).select("term").distinct()
     hits = _term_spans(docs, held, revealing, min_letters)
     rows = mentions.join(hits, F.col("doc_id").eqNullSafe(F.col("_pii_doc")) & (F.col("_pii_hash") == F.col("_pii_h")), "left")
