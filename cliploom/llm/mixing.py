@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .columns import text_of, word_count
+from .columns import checkpointed, text_of, word_count
 
 #: Weights dealt to sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -72,7 +72,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     sized = sized.withColumn("size", word_count(F.col("_mix_text"))).withColumn("_mix_quality", quality_weight(F.col("_mix_text"), F.col("size"))).drop("_mix_text")
     key = -F.log(uniform(F.col("doc_id"), seed)) / F.col("_mix_quality")
     sized = sized.withColumn("_mix_key", key)
-    sized = sized.withColumn("_mix_bucket", F.floor(F.log(F.col("_mix_key")) * per_fold).cast("int"))
+    # A key is over 0, so its logarithm is never null; a bucket that could be null would be computed once more to filter it.
+    sized = sized.withColumn("_mix_bucket", F.coalesce(F.floor(F.log(F.col("_mix_key")) * per_fold).cast("int"), F.lit(0)))
+    if not keep:
+        # Read by the totals and by the rows: without texts it is small enough to be written once.
+        sized = checkpointed(sized)
     totals = sized.groupBy("source", "_mix_bucket").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("_mix_rows"))
     goal = targets(totals, weights, share, most)
     earlier = Window.partitionBy("source").orderBy("_mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
