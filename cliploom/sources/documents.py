@@ -77,15 +77,23 @@ def span_cache_key(path: Column, modified: Column, size: Column, model: Column)
 def overrides(spark: SparkSession, path: str, project_id: str, segment_ids: DataFrame) -> DataFrame:
     """asset_id, override_segment of an override file; empty unless it is for this project and this very list of segments."""
     doc = spark.read.schema("project_id string, candidate_segment_ids array<string>, best_takes map<string,string>").option("multiLine", True).json(path)
-    ids = segment_ids.agg(F.array_sort(F.collect_list(segment_ids.columns[0])).alias("_ids"))
-    good = doc.join(F.broadcast(ids)).where((F.col("project_id") == project_id) & (F.array_sort("candidate_segment_ids") == F.col("_ids")))
+    # Lists are compared by their length and two sums of hashes, so the segments' ids meet in no task.
+    hashes = [lambda x: F.xxhash64(x).cast("decimal(38,0)"), lambda x: F.xxhash64(F.lit(1), x).cast("decimal(38,0)")]
+    own = F.col(segment_ids.columns[0]).cast("string")
+    there = segment_ids.agg(F.count(F.lit(1)).alias("_n"), *(F.coalesce(F.sum(h(own)), F.lit(0)).cast("decimal(38,0)").alias(f"_h{i}") for i, h in enumerate(hashes)))
+    listed = lambda h: F.aggregate("candidate_segment_ids", F.lit(0).cast("decimal(38,0)"), lambda s, x: (s + h(x)).cast("decimal(38,0)"))
+    same = F.size("candidate_segment_ids") == F.col("_n")
+    for i, h in enumerate(hashes):
+        same = same & (listed(h) == F.col(f"_h{i}"))
+    good = doc.join(F.broadcast(there)).where((F.col("project_id") == project_id) & same)
     return good.select(F.explode("best_takes").alias("asset_id", "override_segment")).where("asset_id is not null")
 
 
 def fixture_set(spark: SparkSession, path: str, name: str) -> DataFrame:
     """Asset expectations of a named set as (name, category, expectations JSON); an unknown name raises with those there are."""
-    with open(path) as f:
-        sets = {s["name"]: s for s in json.load(f)["fixture_sets"]}
+    # Read by Spark, as the path may be in a store that only Spark reaches.
+    text = spark.read.option("wholetext", True).text(path).first()[0]
+    sets = {s["name"]: s for s in json.loads(text)["fixture_sets"]}
     if name not in sets:
         raise ValueError(f"no fixture set {name}; there are {', '.join(sorted(sets))}")
     rows = [(a.get("name"), a.get("category"), json.dumps(a.get("expectations", {}), sort_keys=True)) for a in sets[name].get("asset_expectations", [])]
@@ -94,7 +102,9 @@ def fixture_set(spark: SparkSession, path: str, name: str) -> DataFrame:
 
 def history(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of a run history, one JSON object a line; blank and broken lines are dropped."""
-    return spark.read.schema(f"{schema}, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path).cache().where("_corrupt is null").drop("_corrupt")
+    parsed = F.from_json("value", f"{schema}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
+    rows = spark.read.text(path).where(F.trim("value") != "").select(parsed.alias("x"))
+    return rows.where("x is not null and x._corrupt is null").select("x.*").drop("_corrupt")
 
 
 def append_history(rows: DataFrame, path: str) -> None:

@@ -82,6 +82,8 @@ def test_cache_history_overrides(spark, tmp_path):
     ids = spark.createDataFrame([("s1",), ("s2",)], "id string")
     assert [tuple(r) for r in documents.overrides(spark, str(o), "p", ids).collect()] == [("a1", "s2")]
     assert documents.overrides(spark, str(o), "other", ids).count() == 0
+    # Another list of segments, of the same length or not, is not the one that was edited.
+    assert documents.overrides(spark, str(o), "p", ids.limit(1)).count() == 0 and documents.overrides(spark, str(o), "p", ids.selectExpr(f"concat({ids.columns[0]}, 'x')")).count() == 0
 
 
 def test_windowed_energy(spark, sf_dir, tmp_path):
