@@ -188,21 +188,25 @@ def label_of(driver: Column) -> Column:
 def _first_labels(ranked: Column, limit: int) -> Column:
     """Labels of the largest of (value, driver) structs over 0, ties by label."""
     named = F.transform(F.filter(ranked, lambda x: x["value"] > 0), lambda x: F.struct((-x["value"]).alias("rank"), label_of(x["driver"]).alias("label")))
-    return F.transform(F.slice(F.array_sort(named), 1, limit), lambda x: x["label"])
+    return F.transform(F.slice(F.sort_array(named), 1, limit), lambda x: x["label"])
+
+
+def _with_some(rows: DataFrame, keys: tuple[str, ...], labels: Column) -> DataFrame:
+    """keys and labels, where there are any.  The generator keeps the test above it, which would else compute the labels again."""
+    return rows.select(*keys, F.explode_outer(F.array(labels)).alias("labels")).where(F.size("labels") > 0)
 
 
 def top_drivers(rows: DataFrame, keys: tuple[str, ...] = ("asset_id", "segment_id"), limit: int = 3) -> DataFrame:
     """keys and labels of rows with shares: the drivers that contribute most, ties by label; rows without any are left out."""
     ranked = F.transform("shares", lambda x: F.struct(x["contribution"].alias("value"), x["driver"].alias("driver")))
-    return rows.select(*keys, _first_labels(ranked, limit).alias("labels")).where(F.size("labels") > 0)
+    return _with_some(rows, keys, _first_labels(ranked, limit))
 
 
 def limiting_factors(rows: DataFrame, winners: DataFrame, limit: int = 2) -> DataFrame:
     """asset_id, segment_id and labels of rows with shares: where the asset's winner (asset_id, shares) contributes more."""
     best = winners.select("asset_id", F.col("shares").alias("_best"))
     gap = lambda b, x: F.struct(rounded(b["contribution"] - x["contribution"], 6).alias("value"), x["driver"].alias("driver"))
-    found = rows.join(best, "asset_id").select("asset_id", "segment_id", _first_labels(F.zip_with("_best", "shares", gap), limit).alias("labels"))
-    return found.where(F.size("labels") > 0)
+    return _with_some(rows.join(best, "asset_id"), ("asset_id", "segment_id"), _first_labels(F.zip_with("_best", "shares", gap), limit))
 
 
 def understanding() -> Column:
