@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import string
 
+from . import sharding as sharding_rules
 from .quality import MAX_BOILERPLATE, MAX_LOST, MAX_REPEATED, MIN_UNPUNCTUATED, MIN_WORDS
 
 _WORDS = r"regexp_extract_all(coalesce({0}, ''), '[^\x20\x09-\x0D]+')"
@@ -86,12 +87,51 @@ def mixing(src: str, p: str, seed: int = 7) -> str:
 {p}mix AS (SELECT doc_id, source, size, source_size, target, epochs, (epochs * size + greatest(0, least(size, floor(target + 0.5e0) - epochs * source_size - ahead)))::BIGINT AS taken FROM {p}o)"""
 
 
+def _crc_entry(i: int) -> int:
+    for _ in range(8):
+        i = i >> 1 ^ (0xEDB88320 if i & 1 else 0)
+    return i
+
+
+def crc32(src: str, p: str) -> str:
+    """{p}crc: doc_id, text, text_crc32, by a fold over the bytes."""
+    return f"""{p}table AS (SELECT [{",".join(str(_crc_entry(i)) for i in range(256))}]::UBIGINT[] AS entries),
+{p}bytes AS (SELECT doc_id, text, list_prepend(4294967295::UBIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::UBIGINT)) AS bytes FROM {src}),
+{p}crc AS (SELECT doc_id, text, xor(list_reduce(bytes, lambda a, x: xor(a >> 8::UBIGINT, entries[xor(a & 255::UBIGINT, x)::BIGINT + 1])), 4294967295::UBIGINT)::BIGINT AS text_crc32 FROM {p}bytes, {p}table)"""
+
+
+def sharding(src: str, p: str) -> str:
+    """{p}dealt: doc_id, size, text_crc32, place of every row; ids are taken to be unique."""
+    one, two = sharding_rules.MULTIPLIERS
+    word = "4294967296::UBIGINT"
+
+    def network(value: str) -> tuple[str, str]:
+        """Aliases that lead from a value to the network's output, and the output."""
+        steps = [f"({value} // m) AS l0, ({value} % m) AS r0"]
+        for i, key in enumerate(sharding_rules.round_keys(sharding_rules.SEED)):
+            a, b, c = f"a{i}", f"b{i}", f"c{i}"
+            steps.append(
+                f"((r{i} + {key}::UBIGINT) % {word} * {one}::UBIGINT % {word}) AS {a}, (xor({a}, {a} >> 15::UBIGINT) * {two}::UBIGINT % {word}) AS {b}, (xor({b}, {b} >> 13::UBIGINT) % m) AS {c}, r{i} AS l{i + 1}, xor(l{i}, {c}) AS r{i + 1}"
+            )
+        n = sharding_rules.ROUNDS
+        return ", ".join(steps), f"(l{n} * m + r{n})"
+
+    first, out = network("x")
+    return f"""{crc32(src, p)},
+{p}n AS (SELECT count(*)::UBIGINT AS n, (1::UBIGINT << greatest(1, (ceil(log2(count(*))) + 1)::BIGINT // 2)::UBIGINT) AS m FROM {src}),
+{p}rows AS (SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT + 1 AS size, text_crc32, (row_number() OVER (ORDER BY doc_id NULLS FIRST) - 1)::UBIGINT AS x FROM {p}crc),
+{p}walk AS (SELECT doc_id, {out} AS x FROM (SELECT doc_id, m, {first} FROM {p}rows, {p}n)
+  UNION ALL SELECT doc_id, {out} FROM (SELECT w.doc_id, m, {first} FROM {p}walk w, {p}n WHERE x >= n)),
+{p}dealt AS (SELECT r.doc_id, size, text_crc32, w.x AS place FROM {p}rows r JOIN {p}walk w USING (doc_id), {p}n WHERE w.x < n)"""
+
+
 ORACLES: dict[str, str] = {
     "op1_source_mixing": f"WITH {mixing('documents', 'm_')} SELECT doc_id, size, source_size, target, taken, source FROM m_mix",
     "op4_decontamination": f"WITH {decontamination('documents', 'd_')} SELECT * FROM d_hit",
     "op6_ngram_join": f"WITH RECURSIVE {ngram_join('documents', 'j_')} SELECT * FROM j_joined",
     "op7_quality_rules": f"WITH {quality('documents', 'q_')} SELECT * FROM q_judged",
     "op8_line_dedup": f"WITH {line_dedup('documents', 'l_')} SELECT doc_id, n_lines, n_dropped, sha256(text) AS kept_sha256 FROM l_lines",
+    "op13_sharding": f"WITH RECURSIVE {sharding('documents', 's_')} SELECT doc_id, size, text_crc32, 'rows' AS law, (place % {sharding_rules.SHARDS})::INT AS shard, (place // {sharding_rules.SHARDS})::BIGINT AS slot, NULL::INT AS grown_shard FROM s_dealt",
 }
 
 #: The pipeline: rows of corpus_pipeline.run.
