@@ -87,6 +87,24 @@ def mixing(src: str, p: str, seed: int = 7) -> str:
 {p}mix AS (SELECT doc_id, source, size, source_size, target, epochs, (epochs * size + greatest(0, least(size, floor(target + 0.5e0) - epochs * source_size - ahead)))::BIGINT AS taken FROM {p}o)"""
 
 
+def divergence(src: str, p: str) -> str:
+    """{p}audit: lang, source, part, item, value, rank."""
+    terms = r"regexp_extract_all({0}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')"
+    share = "1 + 1000000000::HUGEINT * ({0} + 2)::HUGEINT // ({1} + 2 * v)"
+    return f"""{p}d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {terms.format(_LOWER.format('text'))} AS ws FROM {src}),
+{p}w AS (SELECT id, lang, source, unnest(ws) AS term FROM {p}d),
+{p}k AS (SELECT lang, term FROM {p}w GROUP BY ALL HAVING count(DISTINCT id) >= 10),
+{p}v AS (SELECT g.lang, count(term) AS v FROM (SELECT DISTINCT lang FROM {p}d) g LEFT JOIN {p}k k ON k.lang = g.lang GROUP BY g.lang),
+{p}c AS (SELECT lang, source, term, count(*) AS c FROM {p}w JOIN {p}k USING (lang, term) GROUP BY ALL),
+{p}n AS (SELECT g.lang, g.source, coalesce(sum(c), 0) AS n FROM (SELECT DISTINCT lang, source FROM {p}d) g LEFT JOIN {p}c c ON c.lang = g.lang AND c.source = g.source GROUP BY ALL),
+{p}q AS (SELECT lang, term, {share.format("c", "n")} AS q FROM (SELECT lang, term, sum(c) AS c FROM {p}c GROUP BY ALL) JOIN (SELECT lang, sum(n) AS n FROM {p}n GROUP BY lang) USING (lang) JOIN {p}v USING (lang)),
+{p}p AS (SELECT n.lang, n.source, k.term, coalesce(c, 0) AS c, {share.format("coalesce(c, 0)", "n")} AS p FROM {p}n n JOIN {p}k k USING (lang) JOIN {p}v v USING (lang) LEFT JOIN {p}c c ON c.lang = n.lang AND c.source = n.source AND c.term = k.term),
+{p}f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM {p}p a JOIN {p}p b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY ALL),
+{p}pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM {p}n a JOIN {p}n b ON b.lang = a.lang AND b.source <> a.source LEFT JOIN {p}f f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+{p}term AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // (p + q))::BIGINT AS value FROM {p}p JOIN {p}q USING (lang, term) WHERE c > 0 AND p > q),
+{p}audit AS (SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM (SELECT * FROM {p}pair UNION ALL SELECT * FROM {p}term) QUALIFY part = 'pair' OR rank <= 10)"""
+
+
 def _crc_entry(i: int) -> int:
     for _ in range(8):
         i = i >> 1 ^ (0xEDB88320 if i & 1 else 0)
@@ -131,6 +149,7 @@ ORACLES: dict[str, str] = {
     "op6_ngram_join": f"WITH RECURSIVE {ngram_join('documents', 'j_')} SELECT * FROM j_joined",
     "op7_quality_rules": f"WITH {quality('documents', 'q_')} SELECT * FROM q_judged",
     "op8_line_dedup": f"WITH {line_dedup('documents', 'l_')} SELECT doc_id, n_lines, n_dropped, sha256(text) AS kept_sha256 FROM l_lines",
+    "op12_source_divergence": f"WITH {divergence('documents', 'v_')} SELECT * FROM v_audit",
     "op13_sharding": f"WITH RECURSIVE {sharding('documents', 's_')} SELECT doc_id, size, text_crc32, 'rows' AS law, (place % {sharding_rules.SHARDS})::INT AS shard, (place // {sharding_rules.SHARDS})::BIGINT AS slot, NULL::INT AS grown_shard FROM s_dealt",
 }
 
