@@ -87,6 +87,22 @@ def mixing(src: str, p: str, seed: int = 7) -> str:
 {p}mix AS (SELECT doc_id, source, size, source_size, target, epochs, (epochs * size + greatest(0, least(size, floor(target + 0.5e0) - epochs * source_size - ahead)))::BIGINT AS taken FROM {p}o)"""
 
 
+def collocations(src: str, p: str) -> str:
+    """{p}mined: lang, rank, phrase, a, l, r, n, score."""
+    gram = "array_to_string(ws[i:i + k - 1], ' ')"
+    return f"""{p}t AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER.format('text')}, '[.,;:!?\n\x0B\x0C\r]')) AS piece FROM {src}),
+{p}w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM {p}t),
+{p}g AS (SELECT lang, k, {gram} AS phrase, count(*) AS f FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM {p}w, range(1, 5) r(k)) GROUP BY ALL),
+{p}n AS (SELECT lang, sum(f) AS n FROM {p}g WHERE k = 1 GROUP BY lang),
+{p}f AS (SELECT *, string_split(phrase, ' ') AS ws FROM {p}g WHERE f >= 30),
+{p}c AS (SELECT lang, phrase, k, f AS a, array_to_string(ws[1:c], ' ') AS one, array_to_string(ws[c + 1:k], ' ') AS two, c FROM (SELECT *, unnest(range(1, k)) AS c FROM {p}f)),
+{p}s AS (SELECT c.lang, c.phrase, a, x.f AS l, y.f AS r, c, (2000000::HUGEINT * a // (x.f + y.f))::BIGINT AS score FROM {p}c c JOIN {p}f x ON x.lang = c.lang AND x.phrase = one JOIN {p}f y ON y.lang = c.lang AND y.phrase = two
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, c) = 1),
+{p}sub AS (SELECT DISTINCT lang, {gram} AS phrase, f FROM (SELECT lang, ws, f, m AS k, unnest(range(1, {p}f.k - m + 2)) AS i FROM {p}f, range(2, 4) r(m) WHERE m < {p}f.k)),
+{p}left AS (SELECT * FROM {p}s s WHERE NOT EXISTS (SELECT 1 FROM {p}sub u WHERE u.lang = s.lang AND u.phrase = s.phrase AND 100 * u.f >= 80 * s.a)),
+{p}mined AS (SELECT lang, (row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase))::INT AS rank, phrase, a, l, r, n::BIGINT AS n, score FROM {p}left JOIN {p}n USING (lang) QUALIFY rank <= 2000)"""
+
+
 def divergence(src: str, p: str) -> str:
     """{p}audit: lang, source, part, item, value, rank."""
     terms = r"regexp_extract_all({0}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')"
@@ -149,6 +165,7 @@ ORACLES: dict[str, str] = {
     "op6_ngram_join": f"WITH RECURSIVE {ngram_join('documents', 'j_')} SELECT * FROM j_joined",
     "op7_quality_rules": f"WITH {quality('documents', 'q_')} SELECT * FROM q_judged",
     "op8_line_dedup": f"WITH {line_dedup('documents', 'l_')} SELECT doc_id, n_lines, n_dropped, sha256(text) AS kept_sha256 FROM l_lines",
+    "op11_collocations": f"WITH {collocations('documents', 'c_')} SELECT * REPLACE (rank::BIGINT AS rank) FROM c_mined",
     "op12_source_divergence": f"WITH {divergence('documents', 'v_')} SELECT * FROM v_audit",
     "op13_sharding": f"WITH RECURSIVE {sharding('documents', 's_')} SELECT doc_id, size, text_crc32, 'rows' AS law, (place % {sharding_rules.SHARDS})::INT AS shard, (place // {sharding_rules.SHARDS})::BIGINT AS slot, NULL::INT AS grown_shard FROM s_dealt",
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, divergence, html_extract, line_dedup, mixing, ngram_join, pii, quality, secret_scan, sharding, token_counts, toxicity
+from . import collocations, decontaminate, divergence, html_extract, line_dedup, mixing, ngram_join, pii, quality, secret_scan, sharding, token_counts, toxicity
 from .columns import segments, spans, table, text_of, unmarked
 
 #: Edits of the token-count query: runs of six or more digits become one 0.
@@ -56,6 +56,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mined(table(spark, sf_dir, "documents"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -66,5 +70,5 @@ def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_source_mixing, op2_toxicity, op3_html_extraction, op4_decontamination, op5_token_counts, op6_ngram_join, op7_quality_rules, op8_line_dedup, op9_secret_scan, op10_pii, op12_source_divergence, op13_sharding)
+    for f in (op1_source_mixing, op2_toxicity, op3_html_extraction, op4_decontamination, op5_token_counts, op6_ngram_join, op7_quality_rules, op8_line_dedup, op9_secret_scan, op10_pii, op11_collocations, op12_source_divergence, op13_sharding)
 }
