@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clamp, dot, rounded
+from ..sources.scratch import checkpointed, dropped, written
 from .graph import connected
+from .greedy import settled
 from .views import numbered
 
 BINS = 256
@@ -38,31 +40,23 @@ def leaders(items: DataFrame, similar: DataFrame, group: str, item: str, score:
     """group, item, leader, dedup_group, deduplicated: by score descending each unvisited item leads and absorbs what is similar to it.
 
     `similar` has (group, a, b, similarity) seen from a; groups are numbered from 0 in order of leaders, singletons too.
-    An item's candidates are the items before it that would absorb it; it leads unless one of them leads.
+    An item's candidates are the items before it that would absorb it; it leads unless one of them leads.  Places, leaders and
+    numbers come from range partitions and edges, so a group of any size spreads over tasks.
     """
-    order = Window.partitionBy(group).orderBy(F.desc(score), item)
-    ranked = items.select(group, item, F.row_number().over(order).alias("place"))
-    edges = similar.where(F.col("similarity") >= threshold)
-    a = ranked.select(group, F.col(item).alias("a"), F.col("place").alias("pa"))
-    b = ranked.select(group, F.col(item).alias("b"), F.col("place").alias("pb"))
-    before = edges.join(a, [group, "a"]).join(b, [group, "b"]).where("pa < pb").groupBy(group, "pb").agg(F.array_sort(F.collect_set("pa")).alias("before"))
-    rows = ranked.join(before, (ranked[group] == before[group]) & (ranked["place"] == before["pb"]), "left").select(ranked[group], item, "place", F.coalesce("before", F.array().cast("array<int>")).alias("before"))
-    packed = F.array_sort(F.collect_list(F.struct("place", F.col(item).alias("item"), "before")))
-
-    def step(acc: Column, x: Column) -> Column:
-        # The earliest leader that absorbs the item, or the item itself.
-        leader = F.coalesce(F.get(F.filter(x["before"], lambda p: F.array_contains(acc["leaders"], p)), 0), x["place"])
-        found = F.struct(x["item"].alias("item"), x["place"].alias("place"), leader.alias("leader"))
-        return F.struct(F.when(leader == x["place"], F.concat(acc["leaders"], F.array(x["place"]))).otherwise(acc["leaders"]).alias("leaders"), F.concat(acc["out"], F.array(found)).alias("out"))
-
-    kind = f"array<struct<item:{dict(items.dtypes)[item]},place:int,leader:int>>"
-    start = F.struct(F.array().cast("array<int>").alias("leaders"), F.array().cast(kind).alias("out"))
-    folded = rows.groupBy(group).agg(packed.alias("_all")).select(group, F.aggregate("_all", start, step, lambda acc: acc["out"]).alias("out"))
-    placed = folded.select(group, F.explode("out").alias("x")).select(group, "x.item", "x.place", "x.leader")
-    number = F.dense_rank().over(Window.partitionBy(group).orderBy("leader")) - 1
-    names = placed.select(group, F.col("place").alias("leader"), F.col("item").alias("leader_item"))
-    out = placed.withColumn("dedup_group", number).join(names, [group, "leader"])
-    return out.select(group, F.col("item").alias(item), F.col("leader_item").alias("leader"), F.col("dedup_group").cast("int").alias("dedup_group"), (F.col("item") != F.col("leader_item")).alias("deduplicated"))
+    ranked = numbered(items.select(group, item, score), [F.col(group), F.desc(score), F.col(item)], "place").select(group, item, "place")
+    a = ranked.select(group, F.col(item).alias("a"), F.col("place").alias("before"))
+    b = ranked.select(group, F.col(item).alias("b"), F.col("place").alias("after"))
+    edges = similar.where(F.col("similarity") >= threshold).join(a, [group, "a"]).join(b, [group, "b"]).where("before < after")
+    edges = written(edges.select(F.col(group).alias("group"), "before", "after"))
+    gone = settled(edges)
+    # The earliest leader that absorbs an item, or the item itself.
+    led = edges.join(gone.select("group", F.col("place").alias("before")), ["group", "before"], "left_anti").groupBy(F.col("after").alias("place")).agg(F.min("before").alias("_leader"))
+    placed = checkpointed(ranked.join(led, "place", "left").withColumn("leader", F.coalesce("_leader", "place")).select(group, item, "place", "leader"))
+    dropped(edges)
+    heads = numbered(placed.where("leader = place").select(group, F.col(item).alias("_head"), "leader"), [F.col(group), F.col("leader")], "_n")
+    first = heads.groupBy(group).agg(F.min("_n").alias("_first"))
+    out = placed.join(heads, [group, "leader"]).join(first, group)
+    return out.select(group, item, F.col("_head").alias("leader"), (F.col("_n") - F.col("_first")).cast("int").alias("dedup_group"), (F.col(item) != F.col("_head")).alias("deduplicated"))
 
 
 #: Vectors of a block.

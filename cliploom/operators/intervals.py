@@ -1,8 +1,7 @@
 """Range joins, nearest matches, islands, sessions and suppression on time ranges.  J03-J09, W02, W03, G01-G08, S17.
 
-Range joins are equi-joins on (key, bin) followed by the exact predicate, so they neither nest loops nor broadcast; series
-that fit a key without bins pass bin_width=None.  Folds over one key's ranges (an asset's few windows) use aggregate()
-on a sorted array.
+Range joins (`ranges`) are equi-joins on (key, bin) followed by the exact predicate, so they neither nest loops nor broadcast;
+series that fit a key without bins pass bin_width=None.  Suppression of overlapping ranges is `greedy.kept_apart`.
 """
 
 from __future__ import annotations
@@ -12,32 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import overlap_ratio, rounded
-
-RANGE = "struct<start:double,end:double>"
-
-
-def points_in_ranges(points: DataFrame, ranges: DataFrame, keys: Sequence[str], t: str, start: str, end: str, bin_width: float | None) -> DataFrame:
-    """Pairs of a point and a range of the same key with start <= t <= end."""
-    within = (F.col(t) >= F.col(start)) & (F.col(t) <= F.col(end))
-    if bin_width is None:
-        return points.join(ranges, list(keys)).where(within)
-    bin_of = lambda x: F.floor(F.col(x) / bin_width)
-    left = points.withColumn("_bin", bin_of(t))
-    right = ranges.withColumn("_bin", F.explode(F.sequence(bin_of(start), bin_of(end))))
-    return left.join(right, [*keys, "_bin"]).where(within).drop("_bin")
-
-
-def overlapping_ranges(a: DataFrame, b: DataFrame, keys: Sequence[str], a_range: tuple[str, str], b_range: tuple[str, str], bin_width: float | None, margin: float = 0.0) -> DataFrame:
-    """Pairs of ranges of the same key that overlap, touching included, each pair once; a's ranges are widened by margin."""
-    (s1, e1), (s2, e2) = a_range, b_range
-    meets = (F.col(e2) >= F.col(s1) - margin) & (F.col(s2) <= F.col(e1) + margin)
-    if bin_width is None:
-        return a.join(b, list(keys)).where(meets)
-    floor = lambda x: F.floor(x / bin_width)
-    left = a.withColumn("_lo", floor(F.col(s1) - margin)).withColumn("_bin", F.explode(F.sequence("_lo", floor(F.col(e1) + margin))))
-    right = b.withColumn("_lo2", floor(F.col(s2))).withColumn("_bin", F.explode(F.sequence("_lo2", floor(F.col(e2)))))
-    return left.join(right, [*keys, "_bin"]).where(meets & (F.col("_bin") == F.greatest("_lo", "_lo2"))).drop("_bin", "_lo", "_lo2")
+from ..functions.numeric import rounded
+from .greedy import kept_apart
+from .ranges import overlapping_ranges, points_in_ranges
 
 
 def inside_or_nearest(points: DataFrame, ranges: DataFrame, key: str, range_id: str, t: str, start: str, end: str, bin_width: float | None = None) -> DataFrame:
@@ -82,38 +58,25 @@ def islands(rows: DataFrame, key: str, start: str, end: str, slack: float) -> Da
     return marked.groupBy(key, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("n")).drop("_island")
 
 
-def kept_apart(ranges: Column, most: float, limit: int | None = None) -> Column:
-    """From an ordered array of structs with start and end, those that overlap no earlier kept one by the ratio `most`."""
-    kind = "array<" + RANGE + ">"
-
-    def step(acc: Column, x: Column) -> Column:
-        clash = F.exists(acc, lambda k: overlap_ratio(k["start"], k["end"], x["start"], x["end"]) >= most)
-        if limit is not None:
-            clash = clash | (F.size(acc) >= limit)
-        return F.when(clash, acc).otherwise(F.concat(acc, F.array(F.struct(x["start"].alias("start"), x["end"].alias("end")))))
-
-    return F.aggregate(ranges, F.array().cast(kind), step)
-
-
 def deduped_ranges(rows: DataFrame, key: str, start: str, end: str, duration: str, least: float = 1.0, most: float = 0.9) -> DataFrame:
     """key, start, end: the shortest ranges win (then the earliest); clamped to the clip, under `least` seconds dropped."""
     a, b = F.greatest(F.lit(0.0), F.col(start)), F.least(F.col(end), F.col(duration))
-    cut = rows.select(key, rounded(a, 3).alias("start"), rounded(b, 3).alias("end")).where(F.col("end") - F.col("start") >= least)
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct(rounded(F.col("end") - F.col("start"), 3).alias("len"), "start", "end"))), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
-    folded = cut.groupBy(key).agg(ordered.alias("_all")).select(key, F.explode(kept_apart(F.col("_all"), most)).alias("r"))
-    return folded.select(key, F.col("r.start").alias(start), F.col("r.end").alias(end))
+    cut = rows.select(key, rounded(a, 3).alias(start), rounded(b, 3).alias(end)).where(F.col(end) - F.col(start) >= least).distinct()
+    cut = cut.withColumn("_length", rounded(F.col(end) - F.col(start), 3))
+    return kept_apart(cut, key, ["_length", start, end], start, end, most).drop("_length")
 
 
 def peak_windows(signals: DataFrame, key: str, t: str, rank: Sequence[str], duration: str, limit: int, most: float = 0.7) -> DataFrame:
-    """key, start, end: windows of clamp(duration / 8, 2.5, 5.5) around the strongest points that keep apart, in rank order."""
+    """key, pos, start_sec, end_sec: windows of clamp(duration / 8, 2.5, 5.5) around the strongest points that keep apart, in rank order."""
     width = F.greatest(F.lit(2.5), F.least(F.lit(5.5), F.col(duration) / 8))
     a = F.greatest(F.lit(0.0), F.col(t) - width / 2)
     b = F.least(F.col(duration), a + width)
-    cut = signals.withColumn("_a", rounded(a, 3)).withColumn("_b", rounded(b, 3)).where(F.col("_b") - F.col("_a") >= 1.5)
-    keyed = F.struct(*((-F.col(c)).alias(f"r{i}") for i, c in enumerate(rank)), F.col(t).alias("t"), F.col("_a").alias("start"), F.col("_b").alias("end"))
-    ordered = F.transform(F.array_sort(F.collect_list(keyed)), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
-    folded = cut.groupBy(key).agg(ordered.alias("_all")).select(key, F.posexplode(kept_apart(F.col("_all"), most, limit)).alias("pos", "r"))
-    return folded.select(key, "pos", F.col("r.start").alias("start_sec"), F.col("r.end").alias("end_sec"))
+    order = [f"_r{i}" for i in range(len(rank))] + ["_t"]
+    cut = signals.select(key, *((-F.col(c)).alias(n) for c, n in zip(rank, order, strict=False)), F.col(t).alias("_t"), rounded(a, 3).alias("start_sec"), rounded(b, 3).alias("end_sec")).where(F.col("end_sec") - F.col("start_sec") >= 1.5)
+    # Of equal points the order is the windows'; equal rows are one.
+    kept = kept_apart(cut.distinct(), key, [*order, "start_sec", "end_sec"], "start_sec", "end_sec", most, limit)
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*order, "start_sec", "end_sec")) - 1
+    return kept.select(key, place.alias("pos"), "start_sec", "end_sec")
 
 
 def fallback_scenes(assets: DataFrame, key: str, duration: str) -> DataFrame:
@@ -133,17 +96,28 @@ def fallback_scenes(assets: DataFrame, key: str, duration: str) -> DataFrame:
     return rows.select(key, "pos", F.col("r.start").alias("start_sec"), F.col("r.end").alias("end_sec"))
 
 
-def seed_regions(scenes: DataFrame, visual_peaks: DataFrame, audio_peaks: DataFrame, assets: DataFrame, key: str = "asset_id") -> DataFrame:
-    """Seeds of all sources with their confidence, the shortest of much-overlapping ones kept; whole clip where none is left."""
-    source = lambda df, name, conf: df.select(key, "start_sec", "end_sec", F.lit(name).alias("source"), F.lit(conf).alias("confidence"))
-    every = source(scenes, "scene", 0.55).unionByName(source(visual_peaks, "visual-peak", 0.72)).unionByName(source(audio_peaks, "audio-peak", 0.68))
-    every = every.join(assets.select(key, "duration_sec"), key)
-    kept = deduped_ranges(every, key, "start_sec", "end_sec", "duration_sec")
-    cut = every.select(key, rounded(F.greatest(F.lit(0.0), F.col("start_sec")), 3).alias("start_sec"), rounded(F.least("end_sec", "duration_sec"), 3).alias("end_sec"), "source", "confidence")
-    named = cut.join(kept, [key, "start_sec", "end_sec"], "left_semi").groupBy(key, "start_sec", "end_sec").agg(F.max(F.struct("confidence", "source")).alias("_s"))
-    named = named.select(key, "start_sec", "end_sec", F.col("_s.source").alias("source"), F.col("_s.confidence").alias("confidence"))
-    rest = assets.join(named.select(key).distinct(), key, "left_anti").select(key, F.lit(0.0).alias("start_sec"), F.col("duration_sec").alias("end_sec"), F.lit("clip").alias("source"), F.lit(0.30).alias("confidence"))
-    return named.unionByName(rest)
+def seed_regions(scenes: DataFrame, visual_peaks: DataFrame, audio_peaks: DataFrame, assets: DataFrame, key: str = "asset_id", framed: DataFrame | None = None) -> DataFrame:
+    """Seeds of all sources with their confidence, the shortest of much-overlapping ones kept; whole clip where there is none.
+
+    Scenes (key, pos, start_sec, end_sec) are normalised first: clamped to the clip, those under a second left out, of much
+    overlapping ones the shortest kept.  Peaks only lose what is empty.  Of equal ranges the first stays, in the order scene,
+    visual peak, audio peak and by place within each.  `framed` has the clips with frame signals (all, if not given): a clip
+    without any has its scenes only, neither peaks nor a fallback.
+    """
+    framed = (assets if framed is None else framed).select(key).distinct()
+    clips = assets.select(key, "duration_sec")
+    own = deduped_ranges(scenes.join(clips, key), key, "start_sec", "end_sec", "duration_sec")
+    by_start = F.row_number().over(Window.partitionBy(key).orderBy("start_sec", "end_sec"))
+    source = lambda df, n, name, conf: df.select(key, F.lit(n).alias("_source"), F.col("_place"), "start_sec", "end_sec", F.lit(name).alias("source"), F.lit(conf).alias("confidence"))
+    peaks = lambda df: df.join(framed, key, "left_semi").withColumn("_place", F.col("pos") if "pos" in df.columns else by_start)
+    every = source(own.withColumn("_place", by_start), 0, "scene", 0.55).unionByName(source(peaks(visual_peaks), 1, "visual-peak", 0.72)).unionByName(source(peaks(audio_peaks), 2, "audio-peak", 0.68))
+    rest = clips.join(framed, key, "left_semi").join(every.select(key).distinct(), key, "left_anti")
+    whole = rest.select(key, F.lit(3).alias("_source"), F.lit(1).alias("_place"), F.lit(0.0).alias("start_sec"), rounded(F.greatest("duration_sec", F.lit(1.0)), 3).alias("end_sec"), F.lit("fallback").alias("source"), F.lit(0.30).alias("confidence"))
+    cut = every.unionByName(whole).where("end_sec > start_sec").join(clips, key)
+    cut = cut.withColumns({"start_sec": F.greatest(F.lit(0.0), F.col("start_sec")), "end_sec": F.least("end_sec", "duration_sec")})
+    cut = cut.withColumn("_length", F.col("end_sec") - F.col("start_sec")).drop("duration_sec")
+    kept = kept_apart(cut, key, ["_length", "start_sec", "_source", "_place"], "start_sec", "end_sec", 0.9)
+    return kept.select(key, rounded("start_sec", 3).alias("start_sec"), rounded("end_sec", 3).alias("end_sec"), "source", "confidence")
 
 
 def refined_by_duration(start: Column, end: Column, duration: Column) -> Column:
@@ -176,7 +150,7 @@ def refined_by_audio(seeds: DataFrame, audio: DataFrame, key: str = "asset_id",
     """
     order = Window.partitionBy(key).orderBy("t")
     loud = (~F.col("is_silent")) & (F.col("rms_energy") >= least)
-    rows = audio.withColumn("_loud", loud).withColumn("_step", F.avg(F.col("t")).over(Window.partitionBy(key)))
+    rows = audio.withColumn("_loud", loud)
     rows = rows.withColumn("_run", F.row_number().over(order) - F.row_number().over(Window.partitionBy(key, "_loud").orderBy("t")))
     steps = audio.withColumn("_gap", F.col("t") - F.lag("t").over(order)).groupBy(key).agg(F.coalesce(F.avg("_gap"), F.lit(1.0)).alias("_step"))
     runs = rows.where("_loud").groupBy(key, "_run").agg(F.min("t").alias("_a"), F.max("t").alias("_b"))
@@ -197,15 +171,9 @@ def refined(seeds: DataFrame, by_transcript: DataFrame, by_audio: DataFrame, by_
         rows = rows.join(found.withColumnRenamed("refined", f"_r{i}"), [key, seed_id], "left")
     best = F.coalesce("_r0", "_r1", "_r2", refined_by_duration(F.col("start_sec"), F.col("end_sec"), F.col("duration_sec")))
     rows = rows.select(key, seed_id, best.alias("r")).select(key, seed_id, "r.*")
-    packed = F.struct((-F.col("confidence")).alias("c"), (-(F.col("end") - F.col("start"))).alias("l"), seed_id, "start", "end", "strategy", "confidence")
-    kind = f"array<struct<{seed_id}:{dict(seeds.dtypes)[seed_id]},start:double,end:double,strategy:string,confidence:double>>"
-
-    def step(acc: Column, x: Column) -> Column:
-        clash = F.exists(acc, lambda k: overlap_ratio(k["start"], k["end"], x["start"], x["end"]) >= most)
-        return F.when(clash, acc).otherwise(F.concat(acc, F.array(F.struct(*(x[c].alias(c) for c in (seed_id, "start", "end", "strategy", "confidence"))))))
-
-    folded = rows.groupBy(key).agg(F.array_sort(F.collect_list(packed)).alias("_all")).select(key, F.explode(F.aggregate("_all", F.array().cast(kind), step)).alias("r"))
-    return folded.select(key, F.col(f"r.{seed_id}").alias(seed_id), F.col("r.start").alias("start_sec"), F.col("r.end").alias("end_sec"), F.col("r.strategy").alias("boundary_strategy"), F.col("r.confidence").alias("boundary_confidence"))
+    ordered = rows.withColumns({"_confidence": -F.col("confidence"), "_length": -(F.col("end") - F.col("start"))})
+    kept = kept_apart(ordered, key, ["_confidence", "_length", seed_id], "start", "end", most)
+    return kept.select(key, seed_id, F.col("start").alias("start_sec"), F.col("end").alias("end_sec"), F.col("strategy").alias("boundary_strategy"), F.col("confidence").alias("boundary_confidence"))
 
 
 def refined_by_transcript(seeds: DataFrame, spans: DataFrame, turns: DataFrame, key: str = "asset_id", seed_id: str = "seed_id", margin: float = 0.75) -> DataFrame:

@@ -85,13 +85,16 @@ m AS (SELECT *, {r(_move('CASE WHEN has THEN ns END', 's'), 3)} AS a, {r(_move('
 k AS (SELECT *, has AND dc IN ('trim', 'extend') AND b - a >= 1.5e0 AS moved, has AND dc = 'split' AND {_ID} % 8 <> 3 AND (e - s) / 2 >= 1.5e0 AS cut FROM m),
 f AS (SELECT asset_id, {_ID}, CASE WHEN moved THEN a ELSE s END AS s, CASE WHEN moved THEN b WHEN cut THEN (s + e) / 2 ELSE e END AS e, moved OR cut AS applied FROM k UNION ALL SELECT asset_id, {_ID}, (s + e) / 2, e, true FROM k WHERE cut AND NOT moved)
 SELECT asset_id, asset_id || '-segment-' || {o.padded(f'row_number() OVER (PARTITION BY asset_id ORDER BY s, e, {_ID})', 2)} AS segment_id, s AS start_sec, {r('e', 3)} AS end_sec, applied FROM f"""
-ORACLES["seed_regions"] = f"""WITH RECURSIVE {o.ASSETS}, few AS (SELECT * FROM assets WHERE asset_id % 4 <> 0), {o.SCENES('few', 'asset_id', 'duration_sec')},
-ev AS (SELECT asset_id, a AS s0, b AS e0, 'scene' AS source, {d(0.55)} AS conf FROM scenes UNION ALL SELECT asset_id, asset_id % 5, asset_id % 5 + 3e0, 'visual-peak', {d(0.72)} FROM assets WHERE asset_id % 3 = 0
-  UNION ALL SELECT asset_id, asset_id % 5, asset_id % 5 + 0.5e0, 'audio-peak', {d(0.68)} FROM assets WHERE asset_id % 3 = 1 UNION ALL SELECT asset_id, asset_id % 5, asset_id % 5 + 3.25e0, 'audio-peak', {d(0.68)} FROM assets WHERE asset_id % 3 = 0),
-cu AS (SELECT asset_id, {r('greatest(0e0, s0)', 3)} AS s, {r('least(e0, duration_sec)', 3)} AS e, source, conf, duration_sec FROM ev JOIN assets USING (asset_id)),
-od AS (SELECT asset_id, s, e, row_number() OVER (PARTITION BY asset_id ORDER BY {r('e - s', 3)}, s, e) AS i FROM cu WHERE e - s >= 1), {o._kept('z', 'od', 0.9)},
-nm AS (SELECT c.asset_id, c.s, c.e, arg_max(source, conf) AS source, max(conf) AS conf FROM cu c SEMI JOIN zkept k ON k.asset_id = c.asset_id AND k.s = c.s AND k.e = c.e GROUP BY ALL)
-SELECT asset_id, s AS start_sec, e AS end_sec, source, conf AS confidence FROM nm UNION ALL SELECT asset_id, 0e0, duration_sec, 'clip', {d(0.3)} FROM assets a WHERE NOT EXISTS (SELECT 1 FROM nm WHERE nm.asset_id = a.asset_id)"""
+ORACLES["seed_regions"] = f"""WITH RECURSIVE {o.ASSETS}, {o.SCENES('assets', 'asset_id', 'duration_sec')},
+sh AS (SELECT asset_id, duration_sec AS d, a + CASE WHEN asset_id % 4 = 0 THEN duration_sec ELSE 0e0 END AS a, b + CASE WHEN asset_id % 4 = 0 THEN duration_sec ELSE 0e0 END AS b FROM scenes JOIN assets USING (asset_id)),
+no AS (SELECT asset_id, least(a, d) AS s, least(b, d) AS e FROM sh), nq AS (SELECT asset_id, s, e, row_number() OVER (PARTITION BY asset_id ORDER BY e - s, s) AS i FROM no WHERE e - s >= 1), {o._kept('n', 'nq', 0.9)},
+ev AS (SELECT asset_id, 0 AS src, s, e, 'scene' AS source, {d(0.55)} AS conf FROM nkept
+  UNION ALL SELECT asset_id, 1, CASE WHEN asset_id % 3 = 0 THEN 0e0 ELSE asset_id % 5 END, CASE WHEN asset_id % 3 = 0 THEN 5.5e0 ELSE asset_id % 5 + 3e0 END, 'visual-peak', {d(0.72)} FROM assets WHERE asset_id % 3 < 2 AND asset_id % 7 <> 0
+  UNION ALL SELECT asset_id, 2, asset_id % 5, asset_id % 5 + CASE WHEN asset_id % 3 = 1 THEN 0.5e0 ELSE 3.25e0 END, 'audio-peak', {d(0.68)} FROM assets WHERE asset_id % 3 < 2 AND asset_id % 7 <> 0
+  UNION ALL SELECT asset_id, 2, asset_id % 40, asset_id % 40 + 8e0, 'audio-peak', {d(0.68)} FROM assets WHERE asset_id % 15 = 2 AND asset_id % 7 <> 0),
+al AS (SELECT * FROM ev UNION ALL SELECT asset_id, 3, 0e0, greatest(duration_sec, 1e0), 'fallback', {d(0.3)} FROM assets WHERE asset_id % 7 <> 0 AND asset_id NOT IN (SELECT asset_id FROM ev)),
+zq AS (SELECT al.asset_id, greatest(0e0, s) AS s, least(e, duration_sec) AS e, source, conf, row_number() OVER (PARTITION BY al.asset_id ORDER BY least(e, duration_sec) - greatest(0e0, s), greatest(0e0, s), src) AS i FROM al JOIN assets USING (asset_id) WHERE e > s), {o._kept('z', 'zq', 0.9)}
+SELECT k.asset_id, k.s AS start_sec, k.e AS end_sec, source, conf AS confidence FROM zkept k JOIN zq q ON q.asset_id = k.asset_id AND q.i = k.i"""
 
 _u = lambda key, label: f"(('0x' || substr(md5({key}::VARCHAR || ':' || printf('%.3f', t) || ':{label}'), 1, 8))::BIGINT / 4294967295e0)"
 _FR = {"sharpness": ("id", "sharpness", 0.48, 0.42), "contrast": ("nm", "contrast", 0.42, 0.42), "brightness": ("nm", "brightness", 0.38, 0.36), "motion_energy": ("nm", "motion", 0.25, 0.55), "distinctiveness": ("nm", "distinctive", 0.28, 0.58), "center_focus": ("id", "center", 0.4, 0.42)}

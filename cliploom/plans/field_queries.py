@@ -238,11 +238,17 @@ def validated_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def seed_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scenes of a quarter of the clips lie beyond their end, and a seventh of the clips has no frames."""
     clips = adapters.assets(spark, sf_dir)
     n = F.col("asset_id")
-    peaks = lambda offset, width: clips.where(n % 3 == offset).select("asset_id", (n % 5).cast("double").alias("start_sec"), ((n % 5).cast("double") + width).alias("end_sec"))
-    scenes = intervals.fallback_scenes(clips.where(n % 4 != 0), "asset_id", "duration_sec")
-    return intervals.seed_regions(scenes, peaks(0, 3.0), peaks(1, 0.5).unionByName(peaks(0, 3.25)), clips)
+    peaks = lambda test, start, width: clips.where(test).select("asset_id", start.cast("double").alias("start_sec"), (start.cast("double") + width).alias("end_sec"))
+    scenes = intervals.fallback_scenes(clips, "asset_id", "duration_sec").join(clips.select("asset_id", "duration_sec"), "asset_id")
+    shift = F.when(n % 4 == 0, F.col("duration_sec")).otherwise(F.lit(0.0))
+    scenes = scenes.select("asset_id", "pos", (F.col("start_sec") + shift).alias("start_sec"), (F.col("end_sec") + shift).alias("end_sec"))
+    # Equal to the first scene of long clips; under a second; much and little overlap; beyond the end.
+    seen = peaks(n % 3 == 0, F.lit(0), 5.5).unionByName(peaks(n % 3 == 1, n % 5, 3.0))
+    heard = peaks(n % 3 == 1, n % 5, 0.5).unionByName(peaks(n % 3 == 0, n % 5, 3.25)).unionByName(peaks(n % 15 == 2, n % 40, 8.0))
+    return intervals.seed_regions(scenes, seen, heard, clips, framed=clips.where(n % 7 != 0))
 
 
 @query

@@ -44,6 +44,11 @@ def written(df: DataFrame) -> DataFrame:
     return out
 
 
+def is_written(df: DataFrame) -> bool:
+    """Whether `written` made the frame."""
+    return getattr(df, _PATH, None) is not None
+
+
 def dropped(*frames: DataFrame | None) -> None:
     """Removes what `written` wrote for the frames; nothing may read them any more."""
     for df in frames:

@@ -1,6 +1,8 @@
 """Operators against plain Python twins and the numeric cases of the survey."""
 
+import math
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -217,6 +219,56 @@ def test_validated(spark):
     assert [(r.segment_id, r.start_sec, r.end_sec, r.applied) for r in rows] == [("1-segment-01", 0.0, 4.0, True), ("1-segment-02", 4.0, 8.0, True), ("1-segment-03", 7.5, 12.5, True)]
 
 
+def slow_story_order(takes):
+    """The sequence by comparing all takes that are left at each step."""
+    units = lambda x: math.floor(x * 10000 + 0.5)
+    n, visual, role = len(takes), [t["mode"] == "visual" for t in takes], [t["role"] for t in takes]
+    full = [not v and t["turn"] >= 0.85 for v, t in zip(visual, takes, strict=True)]
+    opener = [units(t["score_total"] + t["prompt"] + 0.03 * (t["hook"] >= 0.7) + (0.09 + 0.04 * (t["novelty"] >= 0.7) + 0.02 * (t["prompt"] > 0) if v else 0.03 - 0.03 * t["blank"])) for t, v in zip(takes, visual, strict=True)]
+    release = [units(t["score_total"] + min(0.05, t["prompt"]) + 0.03 * (t["story"] >= 0.7) + (0.08 + 0.04 * (t["motion"] <= 0.55) if v else 0.03 * (t["turn"] >= 0.85))) for t, v in zip(takes, visual, strict=True)]
+    follow = [units(t["score_total"] + min(0.06, t["prompt"]) + (0.02 if f else 0)) for t, f in zip(takes, full, strict=True)]
+    left = list(range(n))
+    out = [max(left, key=lambda i: (opener[i], -i))]
+    left.remove(out[0])
+    last = max([i for i in left if visual[i]] or left, key=lambda i: (release[i], -i)) if n >= 3 else None
+    if last is not None:
+        left.remove(last)
+    scores = [opener[out[0]]]
+    while left:
+        a, b = out[-1], out[-2] if len(out) > 1 else out[-1]
+
+        def score(i, a=a, b=b):
+            s = follow[i] + ((1300 if visual[i] else 1200) if visual[i] != visual[a] else -400) + (400 if role[i] != role[a] else -300)
+            s += 100 * (takes[i]["score_total"] >= 0.75 and takes[a]["score_total"] >= 0.75)
+            return s - 500 * (visual[i] == visual[a] == visual[b]) - 400 * (role[i] == role[a] == role[b])
+
+        best = max(left, key=lambda i: (score(i), -i))
+        scores.append(score(best))
+        out.append(best)
+        left.remove(best)
+    if last is not None:
+        out.append(last)
+        scores.append(release[last])
+    return list(zip(out, scores, strict=True))
+
+
+def test_story_order_by_classes():
+    rnd = random.Random(12)
+    for n in (2, 3, 4, 7, 40, 150):
+        for roles in (1, 2, 9, 60):
+            pick = lambda *x: rnd.choice(x)
+            takes = [{"score_total": pick(0.5, 0.7, 0.74, 0.75, 0.8, round(rnd.random(), 4)), "mode": pick("visual", "speech"), "role": f"r{rnd.randrange(roles)}", "prompt": pick(0.0, 0.02, 0.08), "novelty": rnd.random(), "hook": rnd.random(), "motion": rnd.random(), "story": rnd.random(), "turn": rnd.random(), "blank": rnd.random() < 0.5} for _ in range(n)]
+            assert sequence.story_order(takes) == slow_story_order(takes)
+
+
+def test_long_story_order():
+    rnd = random.Random(2)
+    takes = [{"score_total": round(rnd.random(), 4), "mode": "visual" if i % 3 else "speech", "role": f"r{i % 50}", "prompt": 0.0, "novelty": 0.0, "hook": 0.0, "motion": 0.5, "story": 0.0, "turn": 0.9, "blank": False} for i in range(100_000)]
+    start = time.time()
+    order = sequence.story_order(takes)
+    assert len({i for i, _ in order}) == 100_000 and time.time() - start < 30
+
+
 def test_story_order():
     take = lambda mode, score, **x: {"score_total": score, "mode": mode, "role": x.get("role", mode), "prompt": 0.0, "novelty": 0.5, "hook": 0.5, "motion": x.get("motion", 0.6), "story": 0.5, "turn": 0.5, "blank": False}
     takes = [take("speech", 0.8), take("visual", 0.75), take("visual", 0.7, motion=0.4), take("speech", 0.7)]
