@@ -1,8 +1,8 @@
 """Source divergence audit: mergeable radix tries of terms with counters per source, merged by prefix range.
 
-Every task counts the terms of its documents in byte tries, one per language: a leaf holds the documents that have the term
-and a counter per source.  A trie that reaches `TRIE_COUNTERS` counters is emptied as leaf rows in UTF-8 order; as tries can
-be merged, how often that happens does not matter.  Leaf rows are written once and dealt by ranges of (language, term), that
+Every task counts the terms of its documents in byte tries, one per language: a leaf has a counter per source and one for
+documents, which lie in number columns.  A trie that reaches `TRIE_LEAVES` leaves or half of `TRIE_COUNTERS` counters is
+emptied as leaf rows in UTF-8 order; as tries can be merged, how often that happens does not matter.  Leaf rows are written once and dealt by ranges of (language, term), that
 is by prefix, as balanced as Spark's range partitioning makes them whatever the prefixes are.  A range's rows stream in order
 into a trie that sums them and is emptied, again in UTF-8 order, into blocks of kept terms.
 
@@ -19,7 +19,7 @@ documents of their own; ties of the value go by UTF-8 order of the item.  Other
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,132 +33,171 @@ from .columns import checkpointed, dropped, partitions, written
 
 #: Documents of a language that a kept term is in at least, and terms listed per source.
 MIN_DOCS, TOP_TERMS = 10, 10
-#: Counters of a trie at most, text counted between two visits to the trie, terms of a block, sources of a tile.
-TRIE_COUNTERS, TEXT_BYTES, BLOCK_TERMS, TILE = 1_000_000, 16_000_000, 20_000, 64
-#: Key of a leaf's number of documents, beside its sources.
-DOCS = None
+#: Leaves and counters of a trie at most, bytes of text counted between two visits to it, terms of a block, sources of a tile.
+TRIE_LEAVES, TRIE_COUNTERS, TEXT_BYTES, BLOCK_TERMS, TILE = 400_000, 6_000_000, 24_000_000, 20_000, 64
 
 _LETTERS = bytes(c | 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _LEAF = "lang string, term binary, docs long, sources array<string>, counts array<long>"
 _FOUND = "lang string, part string, source string, item string, value long"
+_ROWS = 10_000
 
 
-def terms(text: str | None) -> list[bytes]:
+def terms(text: bytes | None) -> list[bytes]:
     """The terms of a text in UTF-8, A-Z in lower case."""
-    return (text or "").encode().translate(_LETTERS).split()
+    return (text or b"").translate(_LETTERS).split()
 
 
 class Trie:
-    """A radix trie over byte strings: nodes are [label, children by first byte, leaf], a leaf maps sources to counts."""
+    """A radix trie over byte strings: nodes are [label, children by first byte, number of the leaf or None].
+
+    A leaf's counters, one per source and one (source number 0) for documents, lie in columns of (leaf, source, count).
+    """
 
     def __init__(self) -> None:
         self.root: list = [b"", {}, None]
+        self.size = 0
+        self.sources: dict[str | None, int] = {None: 0}
+        self.columns: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.counters = 0
 
-    def leaf(self, term: bytes) -> dict:
-        """The leaf of a term, made if it is new."""
+    def leaf(self, term: bytes) -> int:
+        """The number of a term's leaf, made if it is new."""
         node, at, end = self.root, 0, len(term)
         while at < end:
             children = node[1]
-            child = children.get(term[at])
-            if child is None:
-                child = children[term[at]] = [term[at:], {}, {}]
-                return child[2]
-            label = child[0]
-            if not term.startswith(label, at):
-                same = 1
-                while at + same < end and same < len(label) and label[same] == term[at + same]:
-                    same += 1
-                upper = children[term[at]] = [label[:same], {label[same]: child}, None]
-                child[0] = label[same:]
-                child = upper
-                label = upper[0]
-            node, at = child, at + len(label)
+            if children is None:
+                children = node[1] = {}
+            first = term[at]
+            node = children.get(first)
+            if node is None:
+                node = children[first] = [term[at:], None, None]
+                break
+            label = node[0]
+            if term.startswith(label, at):
+                at += len(label)
+                continue
+            same = 1
+            while at + same < end and same < len(label) and label[same] == term[at + same]:
+                same += 1
+            node[0] = label[same:]
+            node = children[first] = [label[:same], {label[same]: node}, None]
+            at += same
         if node[2] is None:
-            node[2] = {}
+            node[2] = self.size
+            self.size += 1
         return node[2]
 
-    def add(self, term: bytes, key: str | None, n: int) -> None:
-        leaf = self.leaf(term)
-        if key in leaf:
-            leaf[key] += n
-        else:
-            leaf[key] = n
-            self.counters += 1
+    def add(self, leaves: np.ndarray, sources: np.ndarray, counts: np.ndarray) -> None:
+        """Adds to counters given by leaf and source numbers."""
+        self.columns.append((leaves.astype(np.int32), sources.astype(np.int32), counts.astype(np.int64)))
+        self.counters += len(leaves)
+
+    def source(self, name: str | None) -> int:
+        return self.sources.setdefault(name, len(self.sources))
+
+    def full(self) -> bool:
+        if self.counters >= TRIE_COUNTERS:
+            self.summed()
+        return self.size >= TRIE_LEAVES or self.counters >= TRIE_COUNTERS // 2
+
+    def summed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The counters, each once, by leaf and then source."""
+        if not self.columns:
+            return (np.zeros(0, np.int64),) * 3
+        leaf, source, count = (np.concatenate(c) for c in zip(*self.columns, strict=True))
+        key = leaf.astype(np.int64) * len(self.sources) + source
+        order = np.argsort(key, kind="stable")
+        first = np.flatnonzero(np.diff(key[order], prepend=-1))
+        self.columns = [(leaf[order][first], source[order][first], np.add.reduceat(count[order], first))]
+        self.counters = len(first)
+        return self.columns[0]
 
     def merge(self, other: Trie) -> None:
-        for term, leaf in other.leaves():
-            for key, n in leaf.items():
-                self.add(term, key, n)
-
-    def leaves(self) -> Iterator[tuple[bytes, dict]]:
-        """Terms with their leaves, in UTF-8 order."""
+        leaves = np.zeros(other.size, np.int64)
+        for term, number in other.leaves():
+            leaves[number] = self.leaf(term)
+        sources = np.array([self.source(name) for name in other.sources])
+        leaf, source, count = other.summed()
+        self.add(leaves[leaf], sources[source], count)
+
+    def leaves(self) -> Iterator[tuple[bytes, int]]:
+        """Terms with the numbers of their leaves, in UTF-8 order."""
         stack = [(b"", self.root)]
         while stack:
-            prefix, (label, children, leaf) = stack.pop()
+            prefix, (label, children, number) = stack.pop()
             prefix += label
-            if leaf is not None:
-                yield prefix, leaf
-            stack.extend((prefix, children[first]) for first in sorted(children, reverse=True))
-
-
-def _leaf_rows(lang: str, trie: Trie, extra: int | None = None) -> Iterator[pa.RecordBatch]:
-    """The leaves as rows; with `extra`, the least number of documents, only such leaves and without the documents' key."""
-    rows: list[tuple] = []
-
-    def batch() -> pa.RecordBatch:
-        names, docs, sources, counts = zip(*rows, strict=True)
-        arrays = [pa.array([lang] * len(rows), pa.string()), pa.array(names, pa.binary()), pa.array(docs, pa.int64()), pa.array(sources, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays(arrays, names=["lang", "term", "docs", "sources", "counts"])
-
-    for term, leaf in trie.leaves():
-        docs = leaf.pop(DOCS, 0)
-        if extra is None or docs >= extra:
-            rows.append((term, docs, list(leaf), list(leaf.values())))
-            if len(rows) == 10_000:
-                yield batch()
-                rows.clear()
-    if rows:
-        yield batch()
+            if number is not None:
+                yield prefix, number
+            if children:
+                stack.extend((prefix, children[first]) for first in sorted(children, reverse=True))
+
+    def rows(self, lang: str, least: int = 0) -> Iterator[pa.RecordBatch]:
+        """Leaf rows in UTF-8 order, of leaves with `least` documents or more."""
+        leaf, source, count = self.summed()
+        docs = np.zeros(self.size, np.int64)
+        docs[leaf[source == 0]] = count[source == 0]
+        leaf, source, count = (c[source > 0] for c in (leaf, source, count))
+        starts = np.searchsorted(leaf, np.arange(self.size + 1))
+        names = pa.array([n or "" for n in self.sources], pa.string())
+        found = [(term, number) for term, number in self.leaves() if docs[number] >= least]
+        for i in range(0, len(found), _ROWS):
+            some = found[i : i + _ROWS]
+            number = np.array([n for _, n in some])
+            sizes = starts[number + 1] - starts[number]
+            offsets = np.concatenate([[0], np.cumsum(sizes)])
+            at = np.repeat(starts[number] - offsets[:-1], sizes) + np.arange(offsets[-1])
+            lists = (names.take(pa.array(source[at])), pa.array(count[at], pa.int64()))
+            arrays = [pa.array([lang] * len(some), pa.string()), pa.array([t for t, _ in some], pa.binary()), pa.array(docs[number]), *(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), x) for x in lists)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["lang", "term", "docs", "sources", "counts"])
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys in order, each once, and how often they come."""
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[first], np.diff(first, append=len(keys))
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents to leaf rows of this task's tries."""
     tries: dict[str, Trie] = defaultdict(Trie)
-    words: dict[tuple[str, str], Counter] = defaultdict(Counter)
-    docs: dict[str, Counter] = defaultdict(Counter)
+    waiting: dict[str, list[tuple[str, bytes]]] = defaultdict(list)
     size = 0
 
     def visit() -> None:
-        for (lang, source), found in words.items():
-            add = tries[lang].add
-            for term, n in found.items():
-                add(term, source, n)
-        for lang, found in docs.items():
-            add = tries[lang].add
-            for term, n in found.items():
-                add(term, DOCS, n)
-        words.clear()
-        docs.clear()
-
-    def emptied() -> Iterator[pa.RecordBatch]:
-        for lang, trie in tries.items():
-            yield from _leaf_rows(lang, trie)
-        tries.clear()
+        """Counts the documents since the last visit and takes the sums to the leaves, one walk per term."""
+        for lang, docs in waiting.items():
+            trie = tries[lang]
+            words = [pa.array(terms(text), pa.binary()) for _, text in docs]
+            lengths = list(map(len, words))
+            coded = pa.concat_arrays(words).dictionary_encode()
+            code, known = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+            place = dict(zip(known, range(len(known)), strict=True))
+            leaf = np.zeros(len(known), np.int64)
+            # In order, neighbours share most of their walk.
+            for term in sorted(known):
+                leaf[place[term]] = trie.leaf(term)
+            source = np.array([trie.source(name) for name, _ in docs], np.int64)
+            # Each document with the term counts once.
+            pairs, _ = _distinct(np.repeat(np.arange(len(docs)), lengths) * len(known) + code)
+            trie.add(leaf, np.zeros(len(leaf)), np.bincount(pairs % max(1, len(known)), minlength=len(known)))
+            key, count = _distinct(np.repeat(source, lengths) * len(known) + code)
+            of, term = np.divmod(key, max(1, len(known)))
+            trie.add(leaf[term], of, count)
+        waiting.clear()
 
     for b in batches:
-        for lang, source, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-            found = terms(text)
-            words[lang, source].update(found)
-            docs[lang].update(set(found))
-            size += len(text or "")
+        for lang, source, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), strict=True):
+            waiting[lang].append((source, text or b""))
+            size += len(text or b"")
             if size >= TEXT_BYTES:
                 visit()
                 size = 0
-                if sum(t.counters for t in tries.values()) >= TRIE_COUNTERS:
-                    yield from emptied()
+                for name in [n for n, t in tries.items() if t.full()]:
+                    yield from tries.pop(name).rows(name)
     visit()
-    yield from emptied()
+    for name, trie in tries.items():
+        yield from trie.rows(name)
 
 
 def _merged(min_docs: int):  # noqa: ANN202
@@ -167,28 +206,44 @@ def _merged(min_docs: int):  # noqa: ANN202
         trie, lang, last = Trie(), None, None
         block, held = TaskContext.get().partitionId() << 32, 0
 
+        def absorbed(b: pa.RecordBatch) -> None:
+            nonlocal last
+            coded = b.column(1).dictionary_encode()
+            numbers = np.array([trie.leaf(t) for t in coded.dictionary.to_pylist()], np.int64)[coded.indices.to_numpy()]
+            trie.add(numbers, np.zeros(b.num_rows), b.column(2).to_numpy())
+            names = b.column(3).flatten().dictionary_encode()
+            sources = np.array([trie.source(s) for s in names.dictionary.to_pylist()], np.int64)[names.indices.to_numpy()] if len(names) else np.zeros(0)
+            trie.add(np.repeat(numbers, b.column(3).value_lengths().to_numpy()), sources, b.column(4).flatten().to_numpy())
+            last = b.column(1)[-1]
+
         def emptied() -> Iterator[pa.RecordBatch]:
-            nonlocal block, held
-            for b in _leaf_rows(lang, trie, min_docs):
+            nonlocal trie, block, held
+            for b in trie.rows(lang, min_docs):
                 if held + b.num_rows > BLOCK_TERMS:
                     block, held = block + 1, 0
                 held += b.num_rows
                 yield b.append_column("block", pa.array(np.full(b.num_rows, block), pa.int64()))
+            trie = Trie()
 
         for b in batches:
-            sources, counts = (b.column(i).flatten().to_pylist() for i in (3, 4))
-            at = 0
-            for name, term, docs, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).value_lengths().to_pylist(), strict=True):
-                if name != lang or (trie.counters >= TRIE_COUNTERS and term != last):
+            runs = b.column(0).dictionary_encode()
+            starts = np.flatnonzero(np.diff(runs.indices.to_numpy(), prepend=-1)).tolist() if b.num_rows else []
+            for start, end in zip(starts, [*starts[1:], b.num_rows], strict=True):
+                some = b.slice(start, end - start)
+                if (name := some.column(0)[0].as_py()) != lang:
                     yield from emptied()
-                    if name != lang:
-                        block, held = block + 1, 0
-                    trie, lang = Trie(), name
-                last = term
-                trie.add(term, DOCS, docs)
-                for i in range(at, at + n):
-                    trie.add(term, sources[i], counts[i])
-                at += n
+                    block, held, lang = block + 1, 0, name
+                elif trie.full():
+                    # Rows of the last term may go on.
+                    same = pc.equal(some.column(1), last).to_numpy(zero_copy_only=False)
+                    head = len(same) if same.all() else int(np.argmin(same))
+                    if head:
+                        absorbed(some.slice(0, head))
+                    if head < len(same):
+                        yield from emptied()
+                    some = some.slice(head)
+                if some.num_rows:
+                    absorbed(some)
         yield from emptied()
 
     return run

@@ -16,17 +16,18 @@ def test_trie():
     rnd = random.Random(5)
     words = ["".join(rnd.choice("abé") for _ in range(rnd.randrange(1, 7))).encode() for _ in range(3000)]
     whole, one, two = divergence.Trie(), divergence.Trie(), divergence.Trie()
-    for i, w in enumerate(words):
-        whole.add(w, f"s{i % 3}", 1)
-        (one, two)[i % 2].add(w, f"s{i % 3}", 1)
-    one.merge(two)
     want = defaultdict(Counter)
     for i, w in enumerate(words):
+        for trie in (whole, (one, two)[i % 2]):
+            trie.add(np.array([trie.leaf(w)] * 2), np.array([trie.source(f"s{i % 3}"), 0]), np.array([1, 1]))
         want[w][f"s{i % 3}"] += 1
+    one.merge(two)
     for trie in (whole, one):
-        got = list(trie.leaves())
-        assert [t for t, _ in got] == sorted(want) and all(leaf == want[t] for t, leaf in got)
-        assert trie.counters == sum(map(len, want.values()))
+        assert [t for t, _ in trie.leaves()] == sorted(want) and trie.size == len(want)
+        got = [r for b in trie.rows("x") for r in b.to_pylist()]
+        assert [r["term"] for r in got] == sorted(want) and trie.counters == sum(len(c) + 1 for c in want.values())
+        assert all(dict(zip(r["sources"], r["counts"], strict=True)) == want[r["term"]] and r["docs"] == want[r["term"]].total() for r in got)
+        assert {r["term"] for b in trie.rows("x", 3) for r in b.to_pylist()} == {w for w, c in want.items() if c.total() >= 3}
 
 
 def test_shares():
@@ -71,7 +72,7 @@ def rows():
     return [*out, ("xx", "one", "rare words only"), ("xx", "two", None), ("yy", "alone", "nothing"), *[("en", "hot", "same copy of text")] * 50]
 
 
-@pytest.mark.parametrize("limits", [{}, {"TRIE_COUNTERS": 20, "TEXT_BYTES": 300, "BLOCK_TERMS": 7}])
+@pytest.mark.parametrize("limits", [{}, {"TRIE_COUNTERS": 40, "TRIE_LEAVES": 9, "TEXT_BYTES": 300, "BLOCK_TERMS": 7, "_ROWS": 3}])
 def test_brute(spark, monkeypatch, rows, limits):
     for name, value in limits.items():
         monkeypatch.setattr(divergence, name, value)
@@ -85,4 +86,4 @@ def test_edges(edges, empty):
     assert divergence.audit(edges).count() == 0  # one source, no term in ten documents
     got = {r.item: r for r in divergence.audit(edges, min_docs=1).collect()}
     assert not any(r.part == "pair" for r in got.values()) and not got  # of one source every p equals its language's
-    assert max(map(len, divergence.terms(LONG))) >= 1 and divergence.terms(None) == [] and len(EDGES) == 9
+    assert max(map(len, divergence.terms(LONG.encode()))) >= 1 and divergence.terms(None) == [] and len(EDGES) == 9
