@@ -34,7 +34,7 @@ from .columns import checkpointed, dropped, partitions, written
 #: Documents of a language that a kept term is in at least, and terms listed per source.
 MIN_DOCS, TOP_TERMS = 10, 10
 #: Leaves and counters of a trie at most, bytes of text counted between two visits to it, terms of a block, sources of a tile.
-TRIE_LEAVES, TRIE_COUNTERS, TEXT_BYTES, BLOCK_TERMS, TILE = 400_000, 6_000_000, 24_000_000, 20_000, 64
+TRIE_LEAVES, TRIE_COUNTERS, TEXT_BYTES, BLOCK_TERMS, TILE = 400_000, 4_000_000, 8_000_000, 20_000, 64
 
 _LETTERS = bytes(c | 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _LEAF = "lang string, term binary, docs long, sources array<string>, counts array<long>"
