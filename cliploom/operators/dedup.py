@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,13 +28,37 @@ def histograms(signals: DataFrame, keys: list[str]) -> DataFrame:
     return per.select(*keys, "bin", F.floor(F.col("w") * BINS * F.col("n") / F.col("total")).cast("long").alias("weight"))
 
 
-def intersections(bins: DataFrame, group: str, item: str) -> DataFrame:
-    """group, a, b, similarity for items of one group that share a bin: sum of minima over a's mass (so not symmetric)."""
-    mass = bins.groupBy(group, item).agg(F.sum("weight").alias("mass")).withColumnRenamed(item, "a")
-    left = bins.select(group, F.col(item).alias("a"), "bin", F.col("weight").alias("wa"))
-    right = bins.select(group, F.col(item).alias("b"), "bin", F.col("weight").alias("wb"))
-    shared = left.join(right, [group, "bin"]).where("a <> b").groupBy(group, "a", "b").agg(F.sum(F.least("wa", "wb")).alias("common"))
-    return shared.join(mass, [group, "a"]).select(group, "a", "b", rounded(F.col("common") / F.col("mass"), 6).alias("similarity"))
+def intersections(bins: DataFrame, group: str, item: str, threshold: float | None = None) -> DataFrame:
+    """group, a, b, similarity for items of one group that share a bin: sum of minima over a's mass (so not symmetric).
+
+    With a threshold over 0, pairs that reach it only, and no others are made on the way but a few: an item's bins are put
+    into the order of how many items of the group hold them, rarest first.  What can be common lies in the bins up to the
+    first shared one and the mass after it, so a pair needs a shared bin among a's first ones, those before a's remaining
+    mass falls under threshold x mass; and at that bin both must still have so much mass ahead.  A bin that all items share
+    comes last and makes pairs only where it alone holds enough.  The pairs left are summed over their bins.
+    """
+    mass = Window.partitionBy(group, item)
+    if threshold is None or threshold <= 0:
+        totals = bins.groupBy(group, item).agg(F.sum("weight").alias("mass")).withColumnRenamed(item, "a")
+        left = bins.select(group, F.col(item).alias("a"), "bin", F.col("weight").alias("wa"))
+        right = bins.select(group, F.col(item).alias("b"), "bin", F.col("weight").alias("wb"))
+        shared = left.join(right, [group, "bin"]).where("a <> b").groupBy(group, "a", "b").agg(F.sum(F.least("wa", "wb")).alias("common"))
+        return shared.join(totals, [group, "a"]).select(group, "a", "b", rounded(F.col("common") / F.col("mass"), 6).alias("similarity"))
+    # A rounded similarity reaches the threshold from half a millionth under it.
+    least = threshold - 1e-6
+    held = bins.where("weight > 0").groupBy(group, "bin").agg(F.count(F.lit(1)).alias("_items"))
+    rare = mass.orderBy("_items", "bin")
+    ranked = bins.where("weight > 0").join(held, [group, "bin"]).withColumns({"_mass": F.sum("weight").over(mass), "_ahead": F.sum("weight").over(rare.rowsBetween(Window.currentRow, Window.unboundedFollowing))})
+    ranked = checkpointed(ranked.select(group, item, "bin", "weight", "_mass", "_ahead"))
+    left = ranked.where(F.col("_ahead") >= F.col("_mass") * least).select(group, "bin", F.col(item).alias("a"), F.col("_mass").alias("mass"), F.col("_ahead").alias("_a"))
+    right = ranked.select(group, "bin", F.col(item).alias("b"), F.col("_mass").alias("_mb"), F.col("_ahead").alias("_b"))
+    need = F.col("mass") * least
+    met = left.join(right, [group, "bin"]).where((F.col("a") != F.col("b")) & (F.col("_mb") >= need) & (F.least("_a", "_b") >= need))
+    pairs = met.select(group, "a", "b", "mass").distinct()
+    one = ranked.select(group, F.col(item).alias("a"), "bin", F.col("weight").alias("wa"))
+    two = ranked.select(group, F.col(item).alias("b"), "bin", F.col("weight").alias("wb"))
+    common = pairs.join(one, [group, "a"]).join(two, [group, "b", "bin"]).groupBy(group, "a", "b", "mass").agg(F.sum(F.least("wa", "wb")).alias("common"))
+    return common.select(group, "a", "b", rounded(F.col("common") / F.col("mass"), 6).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
 def leaders(items: DataFrame, similar: DataFrame, group: str, item: str, score: str, threshold: float = 0.85) -> DataFrame:
@@ -59,46 +84,125 @@ def leaders(items: DataFrame, similar: DataFrame, group: str, item: str, score:
     return out.select(group, item, F.col("_head").alias("leader"), (F.col("_n") - F.col("_first")).cast("int").alias("dedup_group"), (F.col(item) != F.col("_head")).alias("deduplicated"))
 
 
-#: Vectors of a block.
-BLOCK_VECTORS = 2_000
+#: Vectors per cell, about; cells at most (their centres go through the driver); vectors of a block within a cell.
+CELL_VECTORS, MOST_CELLS, BLOCK_VECTORS = 1_000, 1_024, 4_000
+
+
+def unit(vector: Column) -> Column:
+    """The vector over its length as doubles; null where it has none."""
+    v = vector.cast("array<double>")
+    length = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    return F.when(length > 0, F.transform(v, lambda x: x / length))
+
+
+def _angles(vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(vectors @ centres.T, -1, 1))
+
+
+def _stacked(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(len(column), -1)
+
 
+def _celled(centres: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Adds the nearest centre and the angle to it."""
+        for b in batches:
+            if b.num_rows:
+                angles = _angles(_stacked(b.column(1)), centres)
+                cell = angles.argmin(1)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell.astype(np.int32)), pa.array(angles[np.arange(len(cell)), cell])], names=["item", "v", "cell", "angle"])
+
+    return run
 
-def _block_pairs(threshold: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Pairs of a cell of two blocks: a matrix product finds those near the threshold, which are then summed up in order."""
 
-    def run(cell: pd.DataFrame) -> pd.DataFrame:
-        one = cell[cell["block"] == cell["lo"]]
-        two = cell[cell["block"] == cell["hi"]]
-        left, right = (np.stack(x["v"].to_numpy()) if len(x) else np.zeros((0, 1)) for x in (one, two))
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": one["item"][:0], "b": two["item"][:0], "cosine": np.zeros(0)})
-        at, to = np.nonzero(left @ right.T >= threshold - 1e-5)
-        a, b = one["item"].to_numpy()[at], two["item"].to_numpy()[to]
-        # Within one block each pair comes twice; between blocks the smaller item goes first.
-        within = cell["lo"].iat[0] == cell["hi"].iat[0]
-        stay = a < b if within else np.ones(len(a), bool)
-        at, to, a, b = at[stay], to[stay], a[stay], b[stay]
-        cosine = np.concatenate([(left[at[k : k + 10_000]] * right[to[k : k + 10_000]]).cumsum(1)[:, -1] for k in range(0, max(len(at), 1), 10_000)])
-        return pd.DataFrame({"a": np.where(a < b, a, b), "b": np.where(a < b, b, a), "cosine": cosine})
+def _guests(centres: np.ndarray, radii: np.ndarray, most: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Copies of a vector for the earlier cells that may hold a partner, by two triangle bounds."""
+        for b in batches:
+            if b.num_rows:
+                own = b.column(2).to_numpy()
+                angles = _angles(_stacked(b.column(1)), centres)
+                # A partner u of cell c has angle(u, c) <= radius, and is no nearer to this vector's centre than to its own.
+                away = (angles <= radii + most) & (angles - b.column(3).to_numpy()[:, None] <= 2 * most)
+                away &= np.arange(len(centres)) < own[:, None]
+                row, cell = np.nonzero(away)
+                if len(row):
+                    copies = b.select(["item", "v"]).take(pa.array(row))
+                    yield pa.RecordBatch.from_arrays([*copies.columns, pa.array(cell.astype(np.int32))], names=["item", "v", "cell"])
 
     return run
 
 
-def vector_pairs(vectors: DataFrame, item: str, vector: str, threshold: float = 0.95, scope: str | None = None, block_vectors: int = BLOCK_VECTORS) -> DataFrame:
-    """(a, b, cosine) of unit vectors, a < b, with a cosine of the threshold or more; with `scope` (an asset) within one only.
+def _block_pairs(threshold: float) -> Callable[[pa.Table], pa.Table]:
+    """Pairs of two blocks of a cell: a matrix product finds those near the threshold, which are then summed up in order."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        lo, hi = table["lo"][0].as_py(), table["hi"][0].as_py()
+        sides = [table.filter(pc.equal(table["block"], k)) for k in (lo, hi)]
+        left, right = (_stacked(t["v"].combine_chunks()) if t.num_rows else np.zeros((0, 1)) for t in sides)
+        a, b = (t["item"].combine_chunks() for t in sides)
+        at = to = np.zeros(0, np.int64)
+        cosine = np.zeros(0)
+        if len(left) and len(right):
+            at, to = np.nonzero(left @ right.T >= threshold - 1e-5)
+            if lo == hi:
+                # Within one block each pair comes twice.
+                at, to = at[at < to], to[at < to]
+            cosine = np.concatenate([(left[at[k : k + 10_000]] * right[to[k : k + 10_000]]).cumsum(1)[:, -1] for k in range(0, max(len(at), 1), 10_000)])
+        a, b = a.take(pa.array(at)), b.take(pa.array(to))
+        first = pc.less(a, b)
+        return pa.table({"a": pc.if_else(first, a, b), "b": pc.if_else(first, b, a), "cosine": cosine})
+
+    return run
+
 
-    Over all items the vectors are counted and dealt into blocks of about `block_vectors`; block meets block, so no task holds
-    more than two and every pair is seen once.  That is all pairs, by matrix products: quadratic in the number of vectors.
+def vector_cells(vectors: DataFrame, item: str, vector: str, threshold: float, cell_vectors: int = CELL_VECTORS) -> tuple[DataFrame, DataFrame]:
+    """(item, v, cell) of every vector, and (item, v, cell) of its copies for earlier cells that may hold a partner.
+
+    Centres are vectors themselves, the first in the order of a hash.  With few enough vectors there is one cell and no copy.
+    """
+    rows = checkpointed(vectors.select(F.col(item).alias("item"), unit(F.col(vector)).alias("v")).where("v is not null"))
+    cells = min(MOST_CELLS, max(1, -(-rows.count() // cell_vectors)))
+    kind = rows.schema["item"].dataType.simpleString()
+    centres = np.array([r.v for r in rows.orderBy(F.xxhash64("item"), "item").limit(cells).select("v").collect()])
+    if not len(centres):
+        own = rows.withColumns({"cell": F.lit(0), "angle": F.lit(0.0)})
+        return own.drop("angle"), own.drop("angle").where("false")
+    own = checkpointed(rows.mapInArrow(_celled(centres), f"item {kind}, v array<double>, cell int, angle double"))
+    radii = np.full(len(centres), -np.inf)
+    for cell, radius in own.groupBy("cell").agg(F.max("angle")).collect():
+        radii[cell] = radius
+    # The slack covers what the rounding of an angle can hide.
+    most = float(np.arccos(np.clip(threshold - 1e-5, -1, 1))) + 1e-6
+    return own.drop("angle"), own.mapInArrow(_guests(centres, radii, most), f"item {kind}, v array<double>, cell int")
+
+
+def vector_pairs(vectors: DataFrame, item: str, vector: str, threshold: float = 0.95, scope: str | None = None, cell_vectors: int = CELL_VECTORS, block_vectors: int = BLOCK_VECTORS) -> DataFrame:
+    """(a, b, cosine), a < b, of vectors with a cosine of the threshold or more; with `scope` (an asset) within one only.
+
+    Vectors are made unit vectors first; those of length 0 have no pairs.  Over all items each vector belongs to the cell of
+    its nearest centre.  Two vectors within the threshold's angle lie in one cell or in cells that the triangle inequality
+    leaves: the later cell's vector goes to the earlier cell as a guest, so every pair meets once, exactly, and cells that are
+    far apart never meet.  A cell's residents and guests are cut into blocks that meet as matrices, so no task holds more than
+    two blocks however many vectors a cell has.  How much is pruned depends on the threshold: at wide angles all cells meet.
     """
-    rows = vectors.select(F.col(item).alias("item"), F.col(vector).cast("array<double>").alias("v"), *([scope] if scope else []))
     if scope:
+        rows = vectors.select(F.col(item).alias("item"), unit(F.col(vector)).alias("v"), scope).where("v is not null")
         left, right = rows.select(scope, F.col("item").alias("a"), F.col("v").alias("va")), rows.select(scope, F.col("item").alias("b"), F.col("v").alias("vb"))
         return left.join(right, scope).where("a < b").select(scope, "a", "b", rounded(dot("va", "vb"), 6).alias("cosine")).where(F.col("cosine") >= threshold)
-    blocks = max(1, -(-vectors.count() // block_vectors))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    cells = dealt.select("item", "v", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-    kind = rows.schema["item"].dataType.simpleString()
-    pairs = cells.groupBy("lo", "hi").applyInPandas(_block_pairs(threshold), f"a {kind}, b {kind}, cosine double")
+    own, guests = vector_cells(vectors, item, vector, threshold, cell_vectors)
+    every = checkpointed(own.withColumn("guest", F.lit(False)).unionByName(guests.withColumn("guest", F.lit(True))))
+    counts = every.groupBy("cell").agg(F.count_if(~F.col("guest")).alias("n"), F.count_if("guest").alias("g"))
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / block_vectors)).cast("int")
+    # Residents' blocks are 0 to n - 1, guests' n to n + g - 1; a block meets itself and later ones, guests never each other.
+    counts = counts.select("cell", blocks("n").alias("n"), F.when(F.col("g") > 0, blocks("g")).otherwise(0).alias("g"))
+    dealt = every.join(F.broadcast(counts), "cell")
+    dealt = dealt.withColumn("block", F.when(F.col("guest"), F.col("n") + F.pmod(F.xxhash64("item"), F.greatest("g", F.lit(1)))).otherwise(F.pmod(F.xxhash64("item"), F.col("n"))).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("guest"), F.col("n") - 1).otherwise(F.col("n") + F.col("g") - 1))))
+    cells = dealt.select("item", "v", "cell", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    kind = own.schema["item"].dataType.simpleString()
+    pairs = cells.groupBy("cell", "lo", "hi").applyInArrow(_block_pairs(threshold), f"a {kind}, b {kind}, cosine double")
     return pairs.select("a", "b", rounded("cosine", 6).alias("cosine")).where(F.col("cosine") >= threshold)
 
 

@@ -149,3 +149,16 @@ lb AS (SELECT scope, i AS order_index, take_id, CASE WHEN n = 1 THEN 'local_stre
 ORACLES["sequence_labels"] = f"WITH {LABELLED} SELECT * FROM lb"
 _has = lambda label: f"count(*) FILTER (list_contains(string_split(drivers, '|'), {label!r}))"
 ORACLES["sequence_counters"] = f"WITH {LABELLED} SELECT scope, count(*) AS n_items, count(*) - 1 AS transitions, {_has('prompt_fit')} AS prompt_fit_count, {_has('repetition_control')} AS repetition_control_count, count(*) FILTER (tradeoffs <> '') AS tradeoff_count FROM lb GROUP BY scope"
+
+_DEPENDENCIES = """pp AS (SELECT p_partkey AS p, p_partkey // 10 AS t FROM part),
+ne AS (SELECT p AS after, p - 1 AS before FROM pp WHERE p % 10 <> 0 UNION SELECT p, p + 4 FROM pp WHERE p % 10 = 0 AND t % 7 = 0 UNION SELECT p, p + 2 FROM pp WHERE p % 10 = 0 AND t % 11 = 0
+  UNION SELECT p, p + 3 FROM pp WHERE p % 10 = 6 AND t % 11 = 0 UNION SELECT p, p FROM pp WHERE p % 10 = 5 AND t % 13 = 0 UNION SELECT p, p - 10 FROM pp WHERE p % 100 = 10),
+dp AS (SELECT * FROM ne WHERE before IN (SELECT p FROM pp)),
+re AS (SELECT before AS a, after AS b FROM dp UNION SELECT re.a, dp.after FROM re JOIN dp ON dp.before = re.b),
+cy AS (SELECT a AS node FROM re WHERE a = b)"""
+ORACLES["change_cycles"] = f"""WITH RECURSIVE {_DEPENDENCIES},
+sc AS (SELECT x.a AS node, min(x.b) AS component, count(*) AS size FROM re x JOIN re y ON y.a = x.b AND y.b = x.a GROUP BY x.a),
+nx AS (SELECT s.node, min(after) AS next_node FROM sc s JOIN dp ON dp.before = s.node JOIN sc o ON o.node = after AND o.component = s.component GROUP BY s.node),
+fo AS (SELECT node AS a, next_node AS b FROM nx UNION SELECT fo.a, nx.next_node FROM fo JOIN nx ON nx.node = fo.b)
+SELECT s.node, component, size, next_node, EXISTS (SELECT 1 FROM fo WHERE fo.a = s.node AND fo.b = s.node) AS on_cycle FROM sc s JOIN nx ON nx.node = s.node"""
+ORACLES["changes_held_up"] = f"WITH RECURSIVE {_DEPENDENCIES} SELECT DISTINCT node FROM (SELECT node FROM cy UNION ALL SELECT re.b FROM re JOIN cy ON cy.node = re.a)"

@@ -351,3 +351,32 @@ def change_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def change_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.blocked_by(_changes(spark, sf_dir)).select("name", joined(F.col("blocks")).alias("blocks"))
+
+
+def _dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as changes: chains of ten, some of them bent back into cycles, some joined."""
+    p = F.col("p_partkey")
+    tens, first = F.floor(p / 10), p % 10 == 0
+    needs = {
+        "chain": (p % 10 != 0, p - 1),
+        "ring": (first & (tens % 7 == 0), p + 4),
+        "knot": (first & (tens % 11 == 0), p + 2),
+        "second ring": ((p % 10 == 6) & (tens % 11 == 0), p + 3),
+        "loop": ((p % 10 == 5) & (tens % 13 == 0), p),
+        "joined": (p % 100 == 10, p - 10),
+    }
+    rows = adapters.table(spark, sf_dir, "part")
+    every = F.array(*(F.when(test, other) for test, other in needs.values()))
+    edges = rows.select(p.alias("after"), F.explode(F.array_compact(every)).alias("before"))
+    return edges.join(rows.select(p.alias("before")), "before", "left_semi").select("before", "after")
+
+
+@query
+def change_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes on cycles, with a successor on their cycle."""
+    return graph.cycles(_dependencies(spark, sf_dir))
+
+
+@query
+def changes_held_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.held_up(_dependencies(spark, sf_dir))

@@ -247,9 +247,11 @@ SELECT asset_id, (i - 1)::INT AS pos, {r('i * (u / (n + 1))', 3)} AS t FROM n, r
 # Near duplicates.
 BINS = f"""{AUDIO}, h0 AS (SELECT asset_id, floor(t / 216000)::INT AS seg, least(floor(rms * 256), 255)::INT AS bin, greatest(1, floor(rms * 10))::BIGINT AS w FROM audio),
 tot AS (SELECT asset_id, seg, sum(w)::BIGINT AS total, count(*) AS n FROM h0 GROUP BY ALL), bins AS (SELECT asset_id, seg, bin, floor((sum(w)::BIGINT * 256 * any_value(n))::DOUBLE / any_value(total))::BIGINT AS weight FROM h0 JOIN tot USING (asset_id, seg) GROUP BY ALL)"""
+ORACLES["histogram_join"] = f"""WITH {BINS}, mass AS (SELECT asset_id, seg, sum(weight) AS m FROM bins GROUP BY ALL), p AS (SELECT x.asset_id, x.seg AS a, y.seg AS b, sum(least(x.weight, y.weight)) AS c FROM bins x JOIN bins y ON x.asset_id = y.asset_id AND x.bin = y.bin AND x.seg <> y.seg GROUP BY ALL),
+z AS (SELECT p.asset_id, a, b, {r('c::DOUBLE / m', 6)} AS similarity FROM p JOIN mass ON mass.asset_id = p.asset_id AND mass.seg = p.a) SELECT * FROM z WHERE similarity >= 0.35e0"""
 ORACLES["histogram_similarity"] = f"""WITH {BINS}, mass AS (SELECT asset_id, seg, sum(weight) AS m FROM bins GROUP BY ALL), p AS (SELECT x.asset_id, x.seg AS a, y.seg AS b, sum(least(x.weight, y.weight)) AS c FROM bins x JOIN bins y ON x.asset_id = y.asset_id AND x.bin = y.bin AND x.seg <> y.seg GROUP BY ALL)
 SELECT p.asset_id, a, b, {r('c::DOUBLE / m', 6)} AS similarity FROM p JOIN mass ON mass.asset_id = p.asset_id AND mass.seg = p.a"""
-VPAIRS = f"vp AS (SELECT x.vec_id AS a, y.vec_id AS b, {r('list_dot_product(x.embedding::DOUBLE[], y.embedding::DOUBLE[])', 6)} AS cosine FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id), pairs AS (SELECT * FROM vp WHERE cosine >= 0.4e0)"
+VPAIRS = f"un AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS embedding FROM embeddings), vp AS (SELECT x.vec_id AS a, y.vec_id AS b, {r('list_dot_product(x.embedding, y.embedding)', 6)} AS cosine FROM un x JOIN un y ON x.vec_id < y.vec_id), pairs AS (SELECT * FROM vp WHERE cosine >= 0.4e0)"
 ORACLES["vector_pairs"] = f"WITH {VPAIRS} SELECT a, b, {r('cosine')} AS cosine FROM pairs"
 ORACLES["vector_components"] = f"""WITH RECURSIVE {VPAIRS}, ed AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs), reach AS (SELECT DISTINCT a AS node, a AS other FROM ed UNION SELECT reach.node, ed.b FROM reach JOIN ed ON ed.a = reach.other),
 comp AS (SELECT node, min(other) AS component FROM reach GROUP BY node)

@@ -385,11 +385,17 @@ def histogram_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.intersections(_bins(spark, sf_dir), "asset_id", "segment_id")
 
 
+@query
+def histogram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of 35 % or more, the others pruned by mass and place."""
+    return dedup.intersections(_bins(spark, sf_dir), "asset_id", "segment_id", 0.35)
+
+
 @query
 def leader_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     bins = _bins(spark, sf_dir)
     items = bins.groupBy("asset_id", "segment_id").agg(F.sum("weight").alias("score"))
-    return dedup.leaders(items, dedup.intersections(bins, "asset_id", "segment_id"), "asset_id", "segment_id", "score", 0.35)
+    return dedup.leaders(items, dedup.intersections(bins, "asset_id", "segment_id", 0.35), "asset_id", "segment_id", "score", 0.35)
 
 
 @query

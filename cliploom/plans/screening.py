@@ -54,7 +54,7 @@ def seeds(given: Inputs, config: EngineConfig) -> DataFrame:
     seen = intervals.peak_windows(given.frames.join(clips, "asset_id"), "asset_id", "timestamp_sec", ["score", "distinctiveness"], "duration_sec", config.top_windows)
     loud = given.audio.where("not is_silent and rms_energy >= 0.05").join(clips, "asset_id")
     heard = intervals.peak_windows(loud, "asset_id", "t", ["rms_energy"], "duration_sec", config.top_windows)
-    found = intervals.seed_regions(scenes, seen, heard, clips)
+    found = intervals.seed_regions(scenes, seen, heard, clips, framed=given.frames)
     order = Window.partitionBy("asset_id").orderBy("start_sec", "end_sec")
     return found.withColumn("seed_id", F.row_number().over(order)).join(clips, "asset_id")
 
@@ -123,33 +123,59 @@ def measured(rows: DataFrame, given: Inputs, turns: DataFrame) -> DataFrame:
 
 
 def flagged(found: DataFrame, given: Inputs, config: EngineConfig = EngineConfig()) -> DataFrame:
-    """Adds deduplicated, dedup_group_id, shortlisted, filtered_before_vlm, clip_score, clip_gated, stage and vlm_budget_capped."""
+    """Adds deduplicated, dedup_group_id, shortlisted, filtered_before_vlm, clip_score, clip_gated, stage and vlm_budget_capped.
+
+    Near duplicates go in two stages.  By histogram before the shortlist, in assets of two segments or more: duplicates leave
+    room for others there.  By vectors over the shortlist alone: a duplicate found then leaves its place empty, as the
+    shortlist isn't drawn again.  The keeper of a vector group has the highest mean of prefilter score and vector score (0.5
+    where it has none), the first on ties.  Without vectors the second stage is the histogram's once more: leaders of the
+    first one stay leaders, so it only numbers the shortlisted ones anew.
+    """
     rows = found = saved(found)
     if config.dedup:
         own = found.select(*KEYS, *RANGE)
         bins = saved(dedup.histograms(intervals.inside_or_nearest(given.frames, own, "asset_id", "segment_id", "timestamp_sec", *RANGE, BIN), KEYS))
-        items = found.select(*KEYS, F.coalesce("prefilter_score", F.lit(0.0)).alias("score"))
-        alike = dedup.leaders(items, dedup.intersections(bins, "asset_id", "segment_id"), "asset_id", "segment_id", "score", config.dedup_threshold)
+        several = found.groupBy("asset_id").count().where(F.col("count") > 1).select("asset_id")
+        items = found.join(several, "asset_id", "left_semi").select(*KEYS, F.coalesce("prefilter_score", F.lit(0.0)).alias("score"))
+        alike = dedup.leaders(items, dedup.intersections(bins, "asset_id", "segment_id", config.dedup_threshold), "asset_id", "segment_id", "score", config.dedup_threshold)
         rows = rows.join(alike.select(*KEYS, "deduplicated", F.col("dedup_group").alias("dedup_group_id")), KEYS, "left")
     else:
         rows = rows.withColumns({"deduplicated": F.lit(False), "dedup_group_id": F.lit(None).cast("int")})
     rows = rows.withColumn("deduplicated", F.coalesce("deduplicated", F.lit(False)))
-    if config.dedup and given.vectors is not None:
-        # A second pass by vectors, over what the first one left.
-        left = given.vectors.join(rows.where("not deduplicated").select(*KEYS, F.coalesce("prefilter_score", F.lit(0.0)).alias("score")), KEYS)
-        groups = dedup.vector_groups(left, dedup.vector_pairs(left, "segment_id", "vector", scope="asset_id"), "segment_id", "score")
-        rows = rows.join(groups.select("segment_id", F.col("deduplicated").alias("_dup")), "segment_id", "left").withColumn("deduplicated", F.col("deduplicated") | F.coalesce("_dup", F.lit(False))).drop("_dup")
     short = selection.shortlist(rows.where("not deduplicated"), config.max_segments_per_asset, fast=config.mode == "fast").select("segment_id", F.lit(True).alias("shortlisted"))
     rows = rows.join(short, "segment_id", "left").withColumn("shortlisted", F.coalesce("shortlisted", F.lit(False))).withColumn("filtered_before_vlm", ~F.col("shortlisted"))
     scores = given.vector_scores.select("segment_id", "clip_score") if given.vector_scores is not None else rows.select("segment_id", F.lit(None).cast("double").alias("clip_score")).where("false")
-    rows = rows.join(scores, "segment_id", "left")
+    # Only what is shortlisted is looked at, so only that has a score.
+    rows = rows.join(scores, "segment_id", "left").withColumn("clip_score", F.when(F.col("shortlisted"), F.col("clip_score")))
     gated = F.col("clip_score").isNotNull() & (F.col("clip_score") < config.vector_min_score) if config.vector_gate else F.lit(False)
     rows = saved(rows.withColumn("clip_gated", gated))
+    if config.dedup:
+        rows = saved(_second_stage(rows, given))
     stages = selection.staged_targets(rows.withColumn("gated", F.col("clip_gated")), config.max_segments_per_asset, config.budget_pct).select("segment_id", "stage")
     rows = rows.join(stages, "segment_id", "left")
     return rows.withColumn("vlm_budget_capped", F.coalesce(F.col("stage") == "budget_capped", F.lit(False)))
 
 
+def _second_stage(rows: DataFrame, given: Inputs) -> DataFrame:
+    """Rows with deduplicated and dedup_group_id as the stage over the shortlist leaves them."""
+    mean = (F.coalesce("prefilter_score", F.lit(0.0)) + F.coalesce("clip_score", F.lit(0.5))) / 2
+    short = rows.where("shortlisted").select(*KEYS, "pos", F.coalesce("prefilter_score", F.lit(0.0)).alias("_prefilter"), mean.alias("score"))
+    if given.vectors is None:
+        alone = F.count(F.lit(1)).over(Window.partitionBy("asset_id")) < 2
+        again = short.withColumn("_alone", alone).where("not _alone")
+        place = F.row_number().over(Window.partitionBy("asset_id").orderBy(F.desc("_prefilter"), "pos")) - 1
+        anew = again.select("segment_id", F.lit(False).alias("_dup"), place.alias("_group"))
+    else:
+        left = given.vectors.join(short, KEYS)
+        groups = dedup.vector_groups(left.select("segment_id", "score"), dedup.vector_pairs(left, "segment_id", "vector", scope="asset_id"), "segment_id", "score")
+        # Groups are numbered within their asset, from 1, in the order of their first segments.
+        placed = groups.join(short.select("segment_id", "asset_id", "pos"), "segment_id")
+        placed = placed.withColumn("_first", F.min("pos").over(Window.partitionBy("asset_id", "component")))
+        anew = placed.select("segment_id", F.col("deduplicated").alias("_dup"), F.dense_rank().over(Window.partitionBy("asset_id").orderBy("_first")).alias("_group"))
+    rows = rows.join(anew, "segment_id", "left")
+    return rows.withColumns({"deduplicated": F.coalesce("_dup", "deduplicated"), "dedup_group_id": F.coalesce("_group", "dedup_group_id")}).drop("_dup", "_group")
+
+
 def reviewed(rows: DataFrame) -> DataFrame:
     """Adds understanding (rule-based, of segments that a model would be asked about) and the review record."""
     target = F.coalesce(F.col("stage") == "target", F.lit(False))
