@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator, Sequence
 from fractions import Fraction
 
 import pandas as pd
@@ -163,16 +164,31 @@ def clock(seconds: Column | str) -> Column:
 
 
 @F.pandas_udf(T.StringType())
-def rational_time(seconds: pd.Series) -> pd.Series:
-    """n/d with the denominator up to 24000, as the timeline format writes times; no built-in gives best rationals."""
+def _best_rational(micros: pd.Series) -> pd.Series:
+    """The fraction of seconds nearest to whole microseconds with a denominator up to 24000."""
 
     def told(x: float) -> str | None:
-        if x != x:
+        if x is None or x != x:
             return None
-        f = Fraction(max(x, 0.0)).limit_denominator(24000)
-        return f"{f.numerator}s" if f.denominator == 1 else f"{f.numerator}/{f.denominator}s"
+        f = Fraction(int(x), 1_000_000).limit_denominator(24000)
+        return f"{f.numerator}/{f.denominator}s"
 
-    return seconds.map(told)
+    return micros.map(told)
+
+
+def rational_time(seconds: Column | str) -> Column:
+    """n/ds with the denominator up to 24000, as the timeline format writes times; under 0 is 0.
+
+    Whole microseconds whose fraction is that short, such as all milliseconds, are told by division alone; only the others
+    reach Python, which finds the nearest one.
+    """
+    micros = F.floor(F.greatest(col(seconds), F.lit(0.0)) * 1e6 + 0.5).cast("long")
+    power = lambda base, most: F.greatest(*(F.when(micros % base**k == 0, F.lit(base**k)).otherwise(F.lit(1)) for k in range(1, most + 1)))
+    common = power(2, 6) * power(5, 6)
+    short = common >= F.lit(-(-1_000_000 // 24_000))
+    whole = F.concat(F.floor(micros / common).cast("long").cast("string"), F.lit("/"), F.floor(F.lit(1_000_000) / common).cast("long").cast("string"), F.lit("s"))
+    valid = col(seconds).isNotNull() & ~F.isnan(col(seconds).cast("double"))
+    return F.when(valid, F.coalesce(F.when(short, whole), _best_rational(F.when(~short & valid, micros))))
 
 
 def rational_seconds(text: Column | str) -> Column:
@@ -180,45 +196,90 @@ def rational_seconds(text: Column | str) -> Column:
     return F.coalesce(F.try_divide(F.get(parts, 0).try_cast("double"), F.coalesce(F.get(parts, 1).try_cast("double"), F.lit(1.0))), F.lit(0.0))
 
 
+def _cuts(text: str) -> list[tuple[int, str]]:
+    """Where a text can be cut, the last place first: each comma with what then closes the text before it."""
+    found, closers, quoted, skip = [], [], False, False
+    for i, c in enumerate(text):
+        if c == ",":
+            found.append((i, '"' * quoted + "".join(reversed(closers))))
+        if quoted:
+            skip, quoted = c == "\\" and not skip, skip or c != '"'
+        elif c == '"':
+            quoted = True
+        elif c in "{[":
+            closers.append("}" if c == "{" else "]")
+        elif closers and c == closers[-1]:
+            closers.pop()
+    return found[::-1]
+
+
 def _repaired(raw: str | None) -> str | None:
-    text = (raw or "").strip()
-    start = text.find("{")
-    tries = [text, text[start : text.rfind("}") + 1] if start >= 0 else ""]
-    if start >= 0:
-        cut = text[start:]
-        while "," in cut:
-            cut = cut[: cut.rfind(",")]
-            closers, quoted, skip = [], False, False
-            for c in cut:
-                if skip:
-                    skip = False
-                elif c == "\\":
-                    skip = quoted
-                elif c == '"':
-                    quoted = not quoted
-                elif not quoted and c in "{[":
-                    closers.append("}" if c == "{" else "]")
-                elif not quoted and c in "}]" and closers:
-                    closers.pop()
-            if not quoted:
-                tries.append(cut + "".join(reversed(closers)))
-                break
-    for candidate in tries:
+    """The first of these that is JSON decides, and is null unless it is an object: the text, its outermost braces (else what
+    follows the first brace), and that cut at each comma from the last on, with what is open closed."""
+    if raw is None:
+        return None
+    start, end = raw.find("{"), raw.rfind("}")
+    inner = "" if start < 0 else raw[start : end + 1] if end > start else raw[start:].rstrip()
+
+    def candidates() -> Iterator[str]:
+        yield raw
+        if inner:
+            yield inner
+            yield from (inner[:i].rstrip() + closing for i, closing in _cuts(inner))
+
+    for candidate in candidates():
         try:
-            if isinstance(found := json.loads(candidate), dict):
-                return json.dumps(found, sort_keys=True, ensure_ascii=False)
-        except ValueError:
+            found = json.loads(candidate)
+        except (ValueError, RecursionError):
             continue
-    pairs = dict((k.strip(), v.strip()) for k, s, v in (line.partition(":") for line in text.splitlines()) if s and k.strip() and v.strip())
-    return json.dumps(pairs, sort_keys=True, ensure_ascii=False) if pairs else None
+        return json.dumps(found, sort_keys=True, ensure_ascii=False) if isinstance(found, dict) else None
+    return None
 
 
 @F.pandas_udf(T.StringType())
-def repaired_json(raw: pd.Series) -> pd.Series:
-    """A JSON object out of model output: as it is, its outermost braces, cut at the last comma, or 'key: value' lines."""
+def _repaired_json(raw: pd.Series) -> pd.Series:
     return raw.map(_repaired)
 
 
+def whole_json(raw: Column | str) -> Column:
+    """`object` for a text that is a JSON object, `other` for other JSON, null for a text that is none."""
+    kind = F.schema_of_variant(F.try_parse_json(col(raw)))
+    return F.when(kind.startswith("OBJECT"), "object").when(kind.isNotNull(), "other")
+
+
+def repaired_json(raw: Column | str) -> Column:
+    """A JSON object out of model output (see `_repaired`); null where there is none.  Python sees only texts that aren't JSON.
+
+    Where many rows are whole, `operators.model.with_objects` keeps them out of Python's batches altogether.
+    """
+    kind = whole_json(raw)
+    return F.when(kind == "object", col(raw)).when(kind.isNull(), _repaired_json(F.when(kind.isNull(), col(raw))))
+
+
+_NUMBER = r"^[+-]?((\d[\d_]*\.?[\d_]*|\.\d+)([eE][+-]?\d+)?|(?i:nan|inf|infinity))$"
+
+
+def key_values(raw: Column | str, allowed: Sequence[str]) -> Column:
+    """A struct of the allowed keys out of 'key: value' lines, each (text, number), or null without any of them.
+
+    Keys are compared in lower case with underscores for blanks; of repeated ones the last counts.  A value in quotes is text
+    without them, `null` is nothing, a number is a number, anything else is text.
+    """
+    bare = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    lines = F.filter(F.split(F.coalesce(col(raw), F.lit("")), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), lambda x: F.contains(x, F.lit(":")))
+    pairs = F.transform(lines, lambda x: F.struct(F.replace(F.lower(bare(F.substring_index(x, ":", 1))), F.lit(" "), F.lit("_")).alias("key"), bare(F.substr(x, F.instr(x, ":") + 1)).alias("value")))
+
+    def read(key: str) -> Column:
+        value = F.element_at(F.transform(F.filter(pairs, lambda p: p["key"] == key), lambda p: p["value"]), -1)
+        quoted = value.startswith('"') & value.endswith('"') & (F.length(value) >= 2)
+        number = ~quoted & value.rlike(_NUMBER)
+        text = F.when(quoted, F.substr(value, F.lit(2), F.length(value) - 2)).when(~number & (F.lower(value) != "null"), value)
+        return F.struct(text.alias("text"), F.when(number, F.replace(value, F.lit("_"), F.lit("")).try_cast("double")).alias("number"))
+
+    some = F.exists(pairs, lambda p: p["key"].isin(*allowed))
+    return F.when(some, F.struct(*(read(k).alias(k) for k in allowed)))
+
+
 def row_key(*columns: Column | str, method: str = "sha1") -> Column:
     """A hash of the columns as canonical JSON; stable within this engine."""
     text = F.to_json(F.struct(*(col(c) for c in columns)))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clamp, rounded
-from ..functions.text import is_placeholder, repaired_json
+from ..functions.text import is_placeholder, key_values, repaired_json, whole_json
 
 Analyzer = Callable[[pd.DataFrame], pd.DataFrame]
 
@@ -53,12 +53,38 @@ def run_stats(resolved_rows: DataFrame) -> DataFrame:
 ANSWER = "summary string, subjects array<string>, actions array<string>, shot_type string, camera_motion string, mood string, story_roles array<string>, quality_findings array<string>, keep_label string, confidence string, rationale string, risk_flags array<string>"
 
 
+def with_objects(rows: DataFrame, raw: str, name: str) -> DataFrame:
+    """Adds the JSON object of each row's text, null where there is none.  Rows whose text is whole JSON never reach Python.
+
+    Both kinds of rows read the input, so rows that are dear to compute should be written before.
+    """
+    kind = whole_json(raw)
+    whole = rows.where(kind.isNotNull() | F.col(raw).isNull()).withColumn(name, F.when(kind == "object", F.col(raw)))
+    return whole.unionByName(rows.where(kind.isNull() & F.col(raw).isNotNull()).withColumn(name, repaired_json(raw)))
+
+
+BOUNDARY = "decision string, reason string, confidence double, suggested_start_sec double, suggested_end_sec double, split_point_sec double"
+
+
+def boundary_payload(raw: Column, found: Column) -> Column:
+    """The fields of a boundary answer out of its text's JSON object `found`, else out of the text's lines; null without either.
+
+    Lines tell decision, reason and confidence only, as local models write them; other answers are never read that way.
+    """
+    lines = key_values(raw, ("decision", "reason", "confidence"))
+    spoken = F.struct(
+        F.coalesce(lines["decision"]["text"], lines["decision"]["number"].cast("string")).alias("decision"), lines["reason"]["text"].alias("reason"), lines["confidence"]["number"].alias("confidence"),
+        *(F.lit(None).cast("double").alias(c) for c in ("suggested_start_sec", "suggested_end_sec", "split_point_sec")),
+    )
+    return F.when(found.isNotNull(), F.from_json(found, BOUNDARY)).when(lines.isNotNull(), spoken)
+
+
 def normalised(raw: Column, fallback: Column) -> Column:
     """A record from a model's text: its fields where they are usable, else those of the rule-based record.
 
     Placeholder texts, empty lists, unknown keep labels and numbers that do not parse are not usable.
     """
-    a = F.from_json(F.coalesce(F.when(F.from_json(raw, ANSWER).isNotNull() & F.trim(raw).startswith("{") & F.trim(raw).endswith("}"), raw), repaired_json(raw)), ANSWER)
+    a = F.from_json(repaired_json(raw), ANSWER)
     text = lambda name: F.coalesce(F.when(~is_placeholder(a[name]), F.trim(a[name])), fallback[name])
     listed = lambda name: F.coalesce(F.when(F.size(F.filter(a[name], lambda x: ~is_placeholder(x))) > 0, F.filter(a[name], lambda x: ~is_placeholder(x))), fallback[name])
     return F.struct(
@@ -69,22 +95,26 @@ def normalised(raw: Column, fallback: Column) -> Column:
     )
 
 
-def normalised_boundary(decision: Column, confidence: Column, start: Column, end: Column, new_start: Column, new_end: Column, split_at: Column, local: bool = True) -> Column:
+def normalised_boundary(decision: Column, confidence: Column, start: Column, end: Column, new_start: Column, new_end: Column, split_at: Column, local: bool = True, duration: Column | None = None) -> Column:
     """(decision, confidence, new_start, new_end, split_at) with defaults.
 
     Unknown decisions keep; a split of a local model under .85 keeps; trims and extensions without places move each end by
-    clamp(.12 * length, .25, .75); splits without a place cut in the middle.
+    clamp(.12 * length, .25, .75), a trim down to 1.5 seconds, an extension within the clip (the segment's end, if its
+    duration is not given); splits without a place cut in the middle.
     """
     sure = rounded(clamp(confidence), 4)
-    chosen = F.when(F.lower(decision).isin("keep", "trim", "extend", "split"), F.lower(decision)).otherwise("keep")
+    chosen = F.when(F.lower(F.trim(decision)).isin("keep", "trim", "extend", "split"), F.lower(F.trim(decision))).otherwise("keep")
     if local:
         chosen = F.when((chosen == "split") & (sure < 0.85), "keep").otherwise(chosen)
-    delta = F.greatest(F.lit(0.25), F.least(F.lit(0.75), 0.12 * (end - start)))
-    sign = F.when(chosen == "trim", 1.0).when(chosen == "extend", -1.0)
+    delta = rounded(F.greatest(F.lit(0.25), F.least(F.lit(0.75), 0.12 * F.greatest(F.lit(0.0), end - start))), 3)
+    trimmed = F.least(end - 1.5, start + delta)
+    own_start = F.when(chosen == "trim", trimmed).when(chosen == "extend", F.greatest(F.lit(0.0), start - delta))
+    own_end = F.when(chosen == "trim", F.greatest(trimmed + 1.5, end - delta)).when(chosen == "extend", F.least(end if duration is None else duration, end + delta))
+    moves = chosen.isin("trim", "extend")
     return F.struct(
         chosen.alias("decision"),
         sure.alias("confidence"),
-        rounded(F.when(sign.isNotNull(), F.coalesce(new_start, start + sign * delta)), 3).alias("new_start"),
-        rounded(F.when(sign.isNotNull(), F.coalesce(new_end, end - sign * delta)), 3).alias("new_end"),
+        rounded(F.when(moves, F.coalesce(new_start, own_start)), 3).alias("new_start"),
+        rounded(F.when(moves, F.coalesce(new_end, own_end)), 3).alias("new_end"),
         rounded(F.when(chosen == "split", F.coalesce(split_at, (start + end) / 2)), 3).alias("split_at"),
     )

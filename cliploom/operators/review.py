@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import human_join
-from ..functions.numeric import rounded
+from ..functions.numeric import keyframe_timestamps, rounded
 from .scoring import transcript_status
 from .views import analysis_path, blocked_reason, strategy_label
 
@@ -144,12 +144,32 @@ def gathered(rows: DataFrame, keys: list[str], lists: list[str], order: str, own
     return rows.groupBy(*keys).agg(*(F.when(F.size(united(c)) > 0, united(c)).otherwise(alone).alias(c) for c in lists))
 
 
-def evidence(segments: DataFrame, previous: DataFrame, compared: list[str], key: str = "segment_id") -> DataFrame:
-    """Segments with context_start, context_end and `reused`: whether the earlier evidence agrees in all compared columns (null-safe)."""
-    order = Window.partitionBy("asset_id").orderBy("start_sec", "pos")
-    rows = segments.withColumns({"context_start": F.coalesce(F.lag("start_sec").over(order), F.col("start_sec")), "context_end": F.coalesce(F.lead("end_sec").over(order), F.col("end_sec"))})
+#: What earlier evidence must agree in to be used again; fixed names.
+EVIDENCE = ("media_path", "transcript_excerpt", "story_prompt", "analysis_mode", "transcript_status", "speech_mode_source", "keyframe_sec", "context_start", "context_end", "metrics", "keyframe_max_width")
+
+
+def evidence(segments: DataFrame, keyframes: int | None = None, max_width: int = 640, images: bool = True) -> DataFrame:
+    """Segments with what their evidence would be: keyframe_sec, context_start, context_end and keyframe_max_width.
+
+    The context runs from the start of the segment before to the end of the one after, in the order of pos within the asset.
+    """
+    order = Window.partitionBy("asset_id").orderBy("pos")
+    context = {"context_start": F.coalesce(F.lag("start_sec").over(order), F.col("start_sec")), "context_end": F.coalesce(F.lead("end_sec").over(order), F.col("end_sec"))}
+    times = keyframe_timestamps(F.col("start_sec"), F.col("end_sec"), None if keyframes is None else F.lit(keyframes))
+    rows = segments.withColumns({k: rounded(v, 3) for k, v in context.items()})
+    return rows.withColumns({"keyframe_sec": times, "keyframe_max_width": F.lit(max_width if images else 0)})
+
+
+def evidence_reuse(wanted: DataFrame, previous: DataFrame, key: str = "segment_id", compared: tuple[str, ...] = EVIDENCE) -> DataFrame:
+    """Adds `reused`, whether the earlier evidence of the segment agrees in all compared fields (null-safe), and `differs`, those it doesn't.
+
+    Maps are compared by their entries, whatever their order.
+    """
+    entries = lambda c, kind: F.array_sort(F.map_entries(c)) if kind.startswith("map") else c
+    kinds = dict(wanted.dtypes)
     old = previous.select(key, *(F.col(c).alias(f"_old_{c}") for c in compared), F.lit(True).alias("_has"))
-    same = F.coalesce(F.col("_has"), F.lit(False))
-    for c in compared:
-        same = same & F.col(c).eqNullSafe(F.col(f"_old_{c}"))
-    return rows.join(old, key, "left").withColumn("reused", same).drop("_has", *(f"_old_{c}" for c in compared))
+    rows = wanted.join(old, key, "left")
+    same = {c: entries(F.col(c), kinds[c]).eqNullSafe(entries(F.col(f"_old_{c}"), kinds[c])) for c in compared}
+    differs = F.filter(F.array(*(F.when(F.col("_has") & ~s, F.lit(c)) for c, s in same.items())), lambda x: x.isNotNull())
+    rows = rows.withColumn("differs", differs).withColumn("reused", F.coalesce("_has", F.lit(False)) & (F.size("differs") == 0))
+    return rows.drop("_has", *(f"_old_{c}" for c in compared))

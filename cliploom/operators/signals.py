@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,30 +34,43 @@ def seeded_signals(assets: DataFrame) -> DataFrame:
     return rows.withColumns({"score": rounded(score, 4), "source": F.lit("fallback")})
 
 
-def measured_signals(frames: DataFrame) -> DataFrame:
-    """Pixel statistics of gray frames (asset_id, timestamp_sec, width, height, pixels binary), one asset per group.
+MEASURED = "timestamp_sec double, sharpness double, contrast double, brightness double, motion_energy double, distinctiveness double, center_focus double"
+
+
+def _measures(g: np.ndarray, before: np.ndarray | None) -> tuple[float, ...]:
+    """Values of a gray frame, out of whole sums; `before` is the frame before it, if of its size."""
+    h, w = g.shape
+    steps = int(np.abs(np.diff(g, axis=1)).sum() + np.abs(np.diff(g, axis=0)).sum())
+    spread = lambda x: math.sqrt(x.size * int((x * x).sum()) - int(x.sum()) ** 2) / (255 * x.size)
+    centre = g[h // 4 : max(h // 4 + 1, h - h // 4), w // 4 : max(w // 4 + 1, w - w // 4)]
+    moved = None if before is None else int(np.abs(g - before).sum()) / (255 * g.size)
+    values = (steps / (255 * max(h * (w - 1) + (h - 1) * w, 1)) * 3.2, spread(g) * 2.4, int(g.sum()) / (255 * g.size), 0.32 if moved is None else moved * 3.4, 0.32 if moved is None else moved * 3.0, spread(centre) * 2.0)
+    return tuple(math.floor(min(1.0, max(0.0, v)) * 10_000 + 0.5) / 10_000 for v in values)
 
-    The first frame of an asset, and one of another size than its predecessor, has motion and distinctiveness .32.
-    """
 
-    def measure(batch: pd.DataFrame) -> pd.DataFrame:
-        out, previous = [], None
-        for row in batch.sort_values("timestamp_sec").itertuples():
-            g = np.frombuffer(row.pixels, np.uint8)[: row.width * row.height].reshape(row.height, row.width) / 255.0
-            dx, dy = np.abs(np.diff(g, axis=1)), np.abs(np.diff(g, axis=0))
-            edge = (dx.sum() + dy.sum()) / max(dx.size + dy.size, 1)
-            h, w = g.shape
-            centre = g[h // 4 : max(h // 4 + 1, h - h // 4), w // 4 : max(w // 4 + 1, w - w // 4)]
-            moved = float(np.abs(g - previous).mean()) if previous is not None and previous.shape == g.shape else None
-            out.append((row.asset_id, row.timestamp_sec, edge * 3.2, g.std() * 2.4, g.mean(), 0.32 if moved is None else moved * 3.4, 0.32 if moved is None else moved * 3.0, centre.std() * 2.0))
-            previous = g
-        names = ["asset_id", "timestamp_sec", "sharpness", "contrast", "brightness", "motion_energy", "distinctiveness", "center_focus"]
-        frame = pd.DataFrame(out, columns=names)
-        frame[names[2:]] = frame[names[2:]].clip(0, 1).round(4)
-        return frame
+def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Frames by (asset, time) to their values; the last frame of a batch is the first one's predecessor in the next."""
+    asset = previous = None
+    for b in batches:
+        out = []
+        for name, t, w, h, pixels in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+            g = np.frombuffer(pixels, np.uint8)[: w * h].reshape(h, w).astype(np.int64)
+            before = previous if previous is not None and name == asset and previous.shape == g.shape else None
+            out.append((t, *_measures(g, before)))
+            asset, previous = name, g
+        if out:
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.float64()) for c in zip(*out, strict=True))], names=["asset_id", *(f.split()[0] for f in MEASURED.split(", "))])
 
+
+def measured_signals(frames: DataFrame) -> DataFrame:
+    """Pixel statistics of gray frames (asset_id, timestamp_sec, width, height, pixels binary).
+
+    The first frame of an asset, and one of another size than its predecessor, has motion and distinctiveness .32.  Frames
+    stream in order, so a task holds a batch and the frame before it, however long the asset is.
+    """
     kind = dict(frames.dtypes)["asset_id"]
-    rows = frames.groupBy("asset_id").applyInPandas(measure, f"asset_id {kind}, timestamp_sec double, sharpness double, contrast double, brightness double, motion_energy double, distinctiveness double, center_focus double")
+    ordered = frames.select("asset_id", F.col("timestamp_sec").cast("double").alias("timestamp_sec"), "width", "height", "pixels").repartition("asset_id").sortWithinPartitions("asset_id", "timestamp_sec")
+    rows = ordered.mapInArrow(_measured, f"asset_id {kind}, {MEASURED}")
     score = signal_score(F.col("sharpness"), F.col("contrast"), F.col("motion_energy"), F.col("distinctiveness"), F.col("center_focus"))
     return rows.withColumns({"score": rounded(score, 4), "source": F.lit("frames")})
 
@@ -88,13 +102,17 @@ def gray_frame(data: bytes | None) -> tuple[int, int, bytes] | None:
 def decoded_frames(images: DataFrame) -> DataFrame:
     """asset_id, timestamp_sec, width, height, pixels of the images (asset_id, timestamp_sec, content) that decode."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [(a, t, *f) for a, t, c in zip(batch["asset_id"], batch["timestamp_sec"], batch["content"]) if (f := gray_frame(c)) is not None]
-            yield pd.DataFrame(found, columns=["asset_id", "timestamp_sec", "width", "height", "pixels"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [gray_frame(c) for c in b.column(2).to_pylist()]
+            whole = [i for i, f in enumerate(found) if f is not None]
+            if whole:
+                parts = zip(*(found[i] for i in whole), strict=True)
+                arrays = [pa.array(c, k) for c, k in zip(parts, (pa.int32(), pa.int32(), pa.binary()), strict=True)]
+                yield pa.RecordBatch.from_arrays([*b.select([0, 1]).take(pa.array(whole)).columns, *arrays], names=["asset_id", "timestamp_sec", "width", "height", "pixels"])
 
     kind = dict(images.dtypes)["asset_id"]
-    return images.select("asset_id", "timestamp_sec", "content").mapInPandas(run, f"asset_id {kind}, timestamp_sec double, width int, height int, pixels binary")
+    return images.select("asset_id", F.col("timestamp_sec").cast("double").alias("timestamp_sec"), "content").mapInArrow(run, f"asset_id {kind}, timestamp_sec double, width int, height int, pixels binary")
 
 
 def frame_aggregates(matched: DataFrame, keys: list[str]) -> DataFrame:

@@ -51,9 +51,9 @@ i3 AS (SELECT *, labels[1:(p_partkey % 4)::INT] AS few FROM i2)
 SELECT p_partkey, CASE len(few) WHEN 0 THEN 'overall balance' WHEN 1 THEN few[1] WHEN 2 THEN few[1] || ' and ' || few[2] ELSE array_to_string(few[1:len(few) - 1], ', ') || ', and ' || few[len(few)] END AS told, array_to_string(labels, '|') AS labels, array_to_string(spellings, '|') AS spellings FROM i3"""
 ORACLES["text_gates"] = """SELECT doc_id, length(regexp_replace(coalesce(text, ''), '[^A-Za-zÀ-ÖØ-öø-ÿ]', '', 'g')) >= 8 AND len(regexp_split_to_array(trim(coalesce(text, '')), '[ \\t\\n\\x0B\\f\\r]+')) >= 2 AS has_text, doc_id % 6 <= 3 AS placeholder, true AS same_model, lower(source) = lower(lang) OR contains(lower(source), lower(lang)) OR contains(lower(lang), lower(source)) AS other_model FROM documents"""
 ORACLES["json_repairs"] = """WITH e AS (SELECT event_id, event_id % 6 AS n, json_extract_string(props, '$.k') AS k FROM events)
-SELECT event_id, CASE WHEN n <> 4 THEN k END AS k, CASE WHEN n IN (0, 1, 5) THEN '[1,2]' WHEN n = 2 THEN '[1]' END AS list, CASE WHEN n IN (0, 1) THEN 'a, b' END AS text FROM e"""
+SELECT event_id, CASE WHEN n NOT IN (3, 4) THEN k END AS k, CASE WHEN n IN (0, 1, 5) THEN '[1,2]' WHEN n = 2 THEN '[1]' END AS list, CASE WHEN n IN (0, 1) THEN 'a, b' END AS text FROM e"""
 ORACLES["rational_times"] = f"""WITH e AS (SELECT event_id, (event_id % 5000)::BIGINT AS n, gcd((event_id % 5000)::BIGINT, 48) AS g FROM events)
-SELECT event_id, CASE WHEN 48 // g = 1 THEN (n // g) || 's' ELSE (n // g) || '/' || (48 // g) || 's' END AS told, {r('n / 48e0', 6)} AS seconds FROM e"""
+SELECT event_id, (n // g) || '/' || (48 // g) || 's' AS told, {r('n / 48e0', 6)} AS seconds FROM e"""
 ORACLES["pause_stats"] = f"""WITH {o.CONV}, n AS (SELECT *, greatest(0e0, lead(s) OVER w - e) AS g, lead(s) OVER w IS NULL AS last FROM sp WINDOW w AS (PARTITION BY asset_id ORDER BY s, e))
 SELECT asset_id, {r('coalesce(max(g) FILTER (NOT last), 0e0)', 3)} AS largest, CASE WHEN count(*) > 1 THEN {r('sum(g) FILTER (NOT last) / (count(*) - 1)', 3)} ELSE 1e0 END AS mean, coalesce(string_agg(printf('%.3f', e), '|' ORDER BY s, e) FILTER (NOT last), '') AS boundaries FROM n GROUP BY ALL"""
 ORACLES["keyframes"] = f"""WITH {o.SEGMENTS}, k AS (SELECT *, greatest(end_sec - start_sec, 0e0) AS len FROM seg)
@@ -62,16 +62,16 @@ ORACLES["runtime_states"] = """WITH s AS (SELECT o_orderkey AS run_id, o_orderpr
 CASE WHEN o_orderkey % 3 > 0 AND o_orderkey % 4 > 0 THEN 'mixed' WHEN o_orderkey % 3 > 0 THEN 'warm' WHEN o_orderkey % 4 > 0 THEN 'cold' ELSE 'inactive' END AS cache FROM orders),
 w AS (SELECT p, ['unavailable', 'degraded', 'partial', 'active', 'inactive'][min(list_position(['unavailable', 'degraded', 'partial', 'active', 'inactive'], status))::INT] AS worst FROM s GROUP BY p)
 SELECT run_id, status, cache, worst FROM s JOIN w USING (p)"""
-ORACLES["boundary_answers"] = f"""WITH {o.DOUBT}, a AS (SELECT *, {r(clamp('stability + 0.1e0'))} AS sure, {_one(_ID, 'keep', 'trim', 'extend', 'split', 'keep')} AS dc, CASE WHEN {_ID} % 2 = 0 THEN start_sec + 0.3e0 END AS given, greatest(0.25e0, least(0.75e0, {d(0.12)} * (end_sec - start_sec))) AS delta FROM doubt),
-b AS (SELECT *, CASE WHEN dc = 'split' AND sure < {d(0.85)} THEN 'keep' ELSE dc END AS decision FROM a), c AS (SELECT *, CASE decision WHEN 'trim' THEN 1e0 WHEN 'extend' THEN -1e0 END AS sgn FROM b)
-SELECT {_ID}, decision, sure AS confidence, CASE WHEN sgn IS NOT NULL THEN {r('coalesce(given, start_sec + sgn * delta)', 3)} END AS new_start, CASE WHEN sgn IS NOT NULL THEN {r('end_sec - sgn * delta', 3)} END AS new_end, CASE WHEN decision = 'split' THEN {r('(start_sec + end_sec) / 2', 3)} END AS split_at FROM c"""
+ORACLES["boundary_answers"] = f"""WITH {o.DOUBT}, a AS (SELECT *, {r(clamp('stability + 0.1e0'))} AS sure, {_one(_ID, 'keep', 'trim', 'extend', 'split', 'keep')} AS dc, CASE WHEN {_ID} % 2 = 0 THEN start_sec + 0.3e0 END AS given, {r(f'greatest(0.25e0, least(0.75e0, {d(0.12)} * greatest(0e0, end_sec - start_sec)))', 3)} AS delta FROM doubt),
+b AS (SELECT *, CASE WHEN dc = 'split' AND sure < {d(0.85)} THEN 'keep' ELSE dc END AS decision, least(end_sec - 1.5e0, start_sec + delta) AS cut FROM a)
+SELECT {_ID}, decision, sure AS confidence, CASE decision WHEN 'trim' THEN {r('coalesce(given, cut)', 3)} WHEN 'extend' THEN {r('coalesce(given, greatest(0e0, start_sec - delta))', 3)} END AS new_start, CASE decision WHEN 'trim' THEN {r('greatest(cut + 1.5e0, end_sec - delta)', 3)} WHEN 'extend' THEN {r('least(end_sec, end_sec + delta)', 3)} END AS new_end, CASE WHEN decision = 'split' THEN {r('(start_sec + end_sec) / 2', 3)} END AS split_at FROM b"""
 _RULES = ORACLES["rule_understanding"]
 ORACLES["model_answers"] = f"""WITH rules AS ({_RULES}), t AS (SELECT *, {_ID} % 3 < 2 AS said FROM rules JOIN (WITH {o.DOUBT} SELECT {_ID} FROM doubt) USING ({_ID}))
 SELECT {_ID}, CASE WHEN said THEN 'wide' ELSE shot_type END AS shot_type, camera_motion, CASE WHEN said THEN 'calm' ELSE mood END AS mood, CASE WHEN said THEN 'keep' ELSE keep_label END AS keep_label, CASE WHEN said THEN 1e0 ELSE confidence END AS confidence, CASE WHEN said THEN 'opener' ELSE story_roles END AS story_roles, quality_findings, risk_flags FROM t"""
 ORACLES["task_results"] = f"""WITH {o.SEGMENTS}, t AS (SELECT asset_id, CASE {_ID} % 3 WHEN 0 THEN 'c' WHEN 1 THEN 'l' ELSE 'f' END AS s, CASE {_ID} % 3 WHEN 0 THEN 'c' WHEN 1 THEN 'l' ELSE 'f' END || {_ID} AS res FROM seg)
 SELECT asset_id, count(*) FILTER (s = 'l') AS live, count(*) FILTER (s = 'c') AS cached, count(*) FILTER (s = 'f') AS fallback, count(*) AS requests, min(res) AS first FROM t GROUP BY asset_id
 UNION ALL SELECT -1, count(*) FILTER (s = 'l'), count(*) FILTER (s = 'c'), count(*) FILTER (s = 'f'), count(*), '' FROM t"""
-ORACLES["evidence_reuse"] = f"""WITH {o.SEGMENTS} SELECT {_ID}, coalesce(lag(start_sec) OVER w, start_sec) AS context_start, coalesce(lead(end_sec) OVER w, end_sec) AS context_end, {_ID} % 4 <> 0 AND {_ID} % 3 <> 0 AS reused FROM seg WINDOW w AS (PARTITION BY asset_id ORDER BY start_sec, pos)"""
+ORACLES["evidence_reuse"] = f"""WITH {o.SEGMENTS} SELECT {_ID}, {r('coalesce(lag(start_sec) OVER w, start_sec)', 3)} AS context_start, {r('coalesce(lead(end_sec) OVER w, end_sec)', 3)} AS context_end, {_ID} % 4 <> 0 AND {_ID} % 3 <> 0 AS reused FROM seg WINDOW w AS (PARTITION BY asset_id ORDER BY start_sec, pos)"""
 _united = lambda c: f"CASE WHEN len(list_filter({c}, lambda x: x IS NOT NULL)) > 0 THEN array_to_string(list_filter({c}, lambda x, i: x IS NOT NULL AND list_position({c}, x) = i), '|') ELSE ids END"
 ORACLES["gathered_sources"] = f"""WITH {o.SEGMENTS}, g AS (SELECT asset_id, {_ID}, pos, floor(pos / 3)::BIGINT AS chain, CASE WHEN pos % 2 = 0 THEN [{_one(_ID, 'scene', 'audio-peak')}, 'clip'] ELSE []::VARCHAR[] END AS a, CASE WHEN floor(pos / 3)::BIGINT % 2 = 0 THEN [{_one(_ID, 'x', 'y', 'z')}] ELSE []::VARCHAR[] END AS b FROM seg),
 u AS (SELECT asset_id, chain, flatten(list(a ORDER BY pos)) AS a, flatten(list(b ORDER BY pos)) AS b, string_agg({_ID}::VARCHAR, '|' ORDER BY pos) AS ids FROM g GROUP BY ALL)

@@ -202,7 +202,7 @@ def task_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evidence_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = adapters.segments(spark, sf_dir).select("asset_id", "segment_id", "pos", "start_sec", "end_sec", "prefilter_score")
     before = rows.where(_id() % 4 != 0).select("segment_id", F.when(_id() % 3 == 0, F.col("start_sec") + 1).otherwise(F.col("start_sec")).alias("start_sec"), "prefilter_score")
-    return review.evidence(rows, before, ["start_sec", "prefilter_score"]).select("segment_id", "context_start", "context_end", "reused")
+    return review.evidence_reuse(review.evidence(rows), before, compared=("start_sec", "prefilter_score")).select("segment_id", "context_start", "context_end", "reused")
 
 
 @query

@@ -362,3 +362,4 @@ SELECT scope, take_id, i::INT AS order_index, sc / 1e4 AS sequence_score FROM (S
 
 
 from . import field_oracles  # noqa: E402, F401  (adds the SQL of derived columns)
+from . import source_oracles  # noqa: E402, F401

@@ -524,3 +524,4 @@ def screened_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 from . import field_queries  # noqa: E402, F401  (registers more queries)
+from . import source_queries  # noqa: E402, F401

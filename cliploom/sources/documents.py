@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ASSET = "struct<id:string,name:string,source_path:string,proxy_path:string,duration_sec:double,fps:double,width:int,height:int,has_speech:boolean,interchange_reel_name:string,source_timecode:string,has_proxy:boolean,proxy_match_confidence:double,proxy_match_reason:string>"
 PREFILTER = (
@@ -23,15 +24,54 @@ ITEM = "struct<id:string,take_recommendation_id:string,order_index:int,trim_in_s
 PROJECT = f"project struct<id:string,name:string,story_prompt:string,status:string,media_roots:array<string>>, assets array<{ASSET}>, candidate_segments array<{SEGMENT}>, take_recommendations array<{TAKE}>, timeline struct<id:string,version:int,story_summary:string,items:array<{ITEM}>>"
 
 
+_PARTS = {"assets": "assets", "segments": "candidate_segments", "takes": "take_recommendations"}
+_KINDS = {"assets": ASSET, "segments": SEGMENT, "takes": TAKE, "items": ITEM}
+
+
+def _frames(docs: DataFrame, keys: list[str]) -> dict[str, DataFrame]:
+    """Frames of documents parsed into the columns of PROJECT beside `keys`; missing optional values get their defaults."""
+    part = lambda array: docs.select(*keys, F.posexplode(array).alias("pos", "x")).select(*keys, "pos", "x.*")
+    assets = part("assets").withColumns({"source_timecode": F.coalesce("source_timecode", F.lit("00:00:00:00")), "has_proxy": F.coalesce("has_proxy", F.lit(True)), "proxy_match_confidence": F.coalesce("proxy_match_confidence", F.lit(1.0))})
+    return {"project": docs.select(*keys, "project.*", F.col("timeline.story_summary").alias("story_summary")), "assets": assets, "segments": part("candidate_segments"), "takes": part("take_recommendations"), "items": part("timeline.items")}
+
+
 def project(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Frames project, assets, segments, takes and items of project documents; missing optional values get their defaults.
 
     Every frame but `project` has pos, the place in its document, which breaks ties.
     """
-    doc = spark.read.schema(PROJECT).option("multiLine", True).json(path)
-    part = lambda array: doc.select(F.posexplode(array).alias("pos", "x")).select("pos", "x.*")
-    assets = part("assets").withColumns({"source_timecode": F.coalesce("source_timecode", F.lit("00:00:00:00")), "has_proxy": F.coalesce("has_proxy", F.lit(True)), "proxy_match_confidence": F.coalesce("proxy_match_confidence", F.lit(1.0))})
-    return {"project": doc.select("project.*", F.col("timeline.story_summary").alias("story_summary")), "assets": assets, "segments": part("candidate_segments"), "takes": part("take_recommendations"), "items": part("timeline.items")}
+    return _frames(spark.read.schema(PROJECT).option("multiLine", True).json(path), [])
+
+
+def projects(documents: DataFrame, key: str = "project_id", document: str = "document") -> dict[str, DataFrame]:
+    """The frames of many documents (key, text), each row with its key; a text that isn't a document has no rows but in `project`, of nulls."""
+    return _frames(documents.select(key, F.from_json(document, PROJECT).alias("_d")).select(key, "_d.*"), [key])
+
+
+def project_documents(frames: dict[str, DataFrame], key: str = "project_id") -> DataFrame:
+    """(key, document): the frames put together as one JSON text per project, all projects in parallel.
+
+    Frames have the key, those but `project` also pos, the order within the document.  Absent columns and null values are left
+    out, frames and rows that are absent give empty lists; a project without a row in `project` has no document.
+    """
+    head = frames["project"]
+    summary = F.coalesce("story_summary", F.lit("")) if "story_summary" in head.columns else F.lit("")
+    out = head.select(key, F.struct(*(c for c in head.columns if c not in (key, "story_summary"))).alias("project"), summary.alias("_summary"))
+    for name, kind in _KINDS.items():
+        if name in frames:
+            rows = frames[name]
+            known = T.DataType.fromDDL(kind).names
+            packed = F.struct("pos", F.struct(*(c for c in known if c in rows.columns)).alias("x"))
+            listed = rows.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct(packed["pos"].alias("pos"), F.to_json(packed["x"]).alias("x")))), lambda p: p["x"]).alias(f"_{name}"))
+            out = out.join(listed, key, "left")
+        else:
+            out = out.withColumn(f"_{name}", F.lit(None).cast("array<string>"))
+    texts = lambda name: F.concat(F.lit("["), F.array_join(F.coalesce(f"_{name}", F.array().cast("array<string>")), ","), F.lit("]"))
+    field = lambda name, value: F.concat(F.lit(f'"{name}":'), value)
+    shown = F.to_json(F.struct(F.concat(F.coalesce(F.col("project.id"), F.lit("")), F.lit("-timeline")).alias("id"), F.lit(1).alias("version"), F.col("_summary").alias("story_summary")))
+    timeline = F.concat(F.left(shown, F.length(shown) - 1), F.lit(","), field("items", texts("items")), F.lit("}"))
+    parts = [field("project", F.to_json("project")), *(field(full, texts(name)) for name, full in _PARTS.items()), field("timeline", timeline)]
+    return out.select(key, F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")).alias("document"))
 
 
 def flat_metrics(segments: DataFrame, names: tuple[str, ...]) -> DataFrame:
@@ -40,11 +80,9 @@ def flat_metrics(segments: DataFrame, names: tuple[str, ...]) -> DataFrame:
 
 
 def project_json(frames: dict[str, DataFrame]) -> str:
-    """The frames of one project as a document again; a project is small and is put together on the driver."""
-    rows = lambda name: [{k: v for k, v in json.loads(r).items() if k != "pos"} for r in frames[name].orderBy("pos").toJSON().collect()]
-    head = json.loads(frames["project"].toJSON().first())
-    summary = head.pop("story_summary", "")
-    return json.dumps({"project": head, "assets": rows("assets"), "candidate_segments": rows("segments"), "take_recommendations": rows("takes"), "timeline": {"id": f"{head.get('id')}-timeline", "version": 1, "story_summary": summary, "items": rows("items")}}, sort_keys=True)
+    """The frames of one project, without a key, as its document."""
+    one = {name: rows.withColumn("_project", F.lit(0)) for name, rows in frames.items()}
+    return project_documents(one, "_project").first()["document"]
 
 
 def cached(rows: DataFrame, cache: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
@@ -52,18 +90,6 @@ def cached(rows: DataFrame, cache: DataFrame, key: str) -> tuple[DataFrame, Data
     return rows.join(cache.dropDuplicates([key]), key), rows.join(cache.select(key).distinct(), key, "left_anti")
 
 
-def artifact_rows(cache: DataFrame, key: Column | str, schema_version: int = 1) -> DataFrame:
-    """Cached screening rows of the schema version and compatibility key; an asset with a malformed row is a miss as a whole.
-
-    Malformed is a row without a time.  Times are rounded to 3 places again.
-    """
-    from ..functions.numeric import rounded
-
-    rows = cache.where((F.col("schema_version") == schema_version) & (F.col("compatibility_key") == key))
-    whole = rows.withColumn("_bad", F.count_if(F.col("timestamp_sec").isNull()).over(Window.partitionBy("asset_id")))
-    return whole.where("_bad = 0").drop("_bad").withColumn("timestamp_sec", rounded("timestamp_sec", 3))
-
-
 def cached_spans(spark: SparkSession, path: str) -> DataFrame:
     """asset_id, start_sec, end_sec, text of cached transcripts, blank texts dropped."""
     doc = spark.read.schema("asset_id string, spans array<struct<start_sec:double,end_sec:double,text:string>>").option("multiLine", True).json(path)
@@ -107,19 +133,6 @@ def history(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return rows.where("x is not null and x._corrupt is null").select("x.*").drop("_corrupt")
 
 
-def append_history(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").json(path)
-
-
-def upserted(history_rows: DataFrame, evaluations: DataFrame, key: str = "run_id") -> DataFrame:
-    """History rows with the evaluation columns of the same run in place of their own."""
-    new = [c for c in evaluations.columns if c != key]
-    renamed = evaluations.select(key, *(F.col(c).alias(f"_new_{c}") for c in new), F.lit(True).alias("_has"))
-    rows = history_rows.join(renamed, key, "left")
-    value = lambda c: F.when(F.col("_has"), F.col(f"_new_{c}")).otherwise(F.col(c) if c in history_rows.columns else F.lit(None))
-    return rows.select(*(F.col(c) for c in history_rows.columns if c not in new), *(value(c).alias(c) for c in new))
-
-
 def summary_lines(row: dict[str, object]) -> list[str]:
     """key=value lines of a one-row summary, sorted; numbers with up to three decimals."""
     told = lambda v: f"{v:.3f}".rstrip("0").rstrip(".") if isinstance(v, float) else str(v).lower() if isinstance(v, bool) else "" if v is None else str(v)

@@ -1,58 +1,96 @@
-"""Timelines as interchange XML, written and read.  K05, S19 of the survey."""
+"""Timelines as interchange XML, written and read for all scopes at once.  K05, S19 of the survey.
 
-from __future__ import annotations
+A document is one row: Spark's XML functions write and read nested structs, so as many documents as there are scopes are made
+and parsed in parallel, and nothing goes through the driver.
+"""
 
-import xml.etree.ElementTree as ET
-from fractions import Fraction
-from urllib.parse import quote
+from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import timecode_seconds
+from ..functions.text import rational_seconds, rational_time, timecode_seconds
 from ..operators.sequence import offsets
 
-
-def _time(seconds: float) -> str:
-    f = Fraction(max(seconds, 0.0)).limit_denominator(24000)
-    return f"{f.numerator}s" if f.denominator == 1 else f"{f.numerator}/{f.denominator}s"
-
-
-def _seconds(text: str | None) -> float:
-    top, _, bottom = (text or "0s").rstrip("s").partition("/")
-    return float(Fraction(int(top), int(bottom or 1)))
+_ASSET = "struct<_id:string,_name:string,_uid:string,_src:string,_start:string,_duration:string,_hasVideo:string,_hasAudio:string,_audioSources:string,_audioChannels:string,_format:string>"
+_CLIP = "struct<_name:string,_ref:string,_offset:string,_start:string,_duration:string,_tcFormat:string,_enabled:string>"
+#: What is read of a document; other elements and attributes are passed over.
+_READ = f"resources struct<asset:array<{_ASSET}>>, library struct<event:struct<project:struct<sequence:struct<spine:struct<`asset-clip`:array<{_CLIP}>>>>>>"
 
 
 def clips(items: DataFrame, takes: DataFrame, segments: DataFrame, assets: DataFrame, scope: str = "scope") -> DataFrame:
     """Items in order with offset, length, asset and start in the source (time code + segment start + trim)."""
     rows = offsets(items, scope).join(takes.select("take_id", "segment_id"), "take_id").join(segments.select("segment_id", "asset_id", "start_sec"), "segment_id").join(assets, "asset_id")
     base = timecode_seconds("source_timecode", "fps")
-    return rows.withColumns({"length_sec": F.greatest(F.lit(0.0), F.col("trim_out_sec") - F.col("trim_in_sec")), "source_start": base + F.col("start_sec") + F.col("trim_in_sec")})
+    return rows.withColumns({"length_sec": F.greatest(F.lit(0.0), F.col("trim_out_sec") - F.col("trim_in_sec")), "asset_start": base, "source_start": base + F.col("start_sec") + F.col("trim_in_sec")})
+
+
+def file_uri(path: Column) -> Column:
+    """file:// and the path, with all but unreserved characters and slashes escaped."""
+    quoted = F.url_encode(path)
+    for shown, wanted in (("+", "%20"), ("%2F", "/"), ("*", "%2A"), ("%7E", "~")):
+        quoted = F.replace(quoted, F.lit(shown), F.lit(wanted))
+    return F.concat(F.lit("file://"), quoted)
+
+
+def exported(rows: DataFrame, name: Column | str, scope: str = "scope", order: str = "order_index") -> DataFrame:
+    """scope, xml: a format from the first clip's asset, one element per asset in the order of their first clips, clips in order.
+
+    Missing frame rates and sizes are 24, 1920 and 1080; an asset without a reel goes by its name.
+    """
+    fps = F.coalesce(F.when(F.col("fps") > 0, F.col("fps")), F.lit(24.0))
+    text = lambda c: F.col(c).cast("string")
+    spoken = F.coalesce(F.col("has_speech"), F.lit(False)) if "has_speech" in rows.columns else F.lit(False)
+    flag = lambda yes: F.when(spoken, yes).otherwise("0")
+    start = F.col("asset_start") if "asset_start" in rows.columns else F.lit(0.0)
+    frame = F.struct(
+        F.lit("r1").alias("_id"), F.concat(F.lit("FFVideoFormat"), F.coalesce(text("height"), F.lit("1080")), F.lit("p"), F.floor(fps + 0.5).cast("string")).alias("_name"),
+        rational_time(1 / fps).alias("_frameDuration"), F.coalesce(text("width"), F.lit("1920")).alias("_width"), F.coalesce(text("height"), F.lit("1080")).alias("_height"), F.lit("1-1-1 (Rec. 709)").alias("_colorSpace"),
+    )
+    element = F.struct(
+        F.col("name").alias("_name"), F.coalesce(F.nullif("interchange_reel_name", F.lit("")), F.col("name")).alias("_uid"), file_uri(F.col("source_path")).alias("_src"), rational_time(start).alias("_start"), rational_time("duration_sec").alias("_duration"),
+        F.lit("1").alias("_hasVideo"), flag("1").alias("_hasAudio"), flag("1").alias("_audioSources"), flag("2").alias("_audioChannels"), F.lit("r1").alias("_format"),
+    )
+    every = rows.withColumns({"_frame": frame, "_element": element})
+    assets = every.groupBy(scope, "asset_id").agg(F.min(order).alias("_first"), F.min_by("_element", order).alias("_element"))
+    listed = assets.groupBy(scope).agg(F.array_sort(F.collect_list(F.struct("_first", "asset_id", "_element"))).alias("_assets"))
+    clip = F.struct(F.col("label").alias("_name"), F.col("asset_id"), rational_time("offset_sec").alias("_offset"), rational_time("source_start").alias("_start"), rational_time("length_sec").alias("_duration"))
+    spine = every.groupBy(scope).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_place"), clip.alias("_clip")))).alias("_clips"), F.min_by("_frame", order).alias("_frame"), F.sum("length_sec").alias("_length"), F.first(F.lit(name) if isinstance(name, str) else name).alias("_title"))
+    docs = spine.join(listed, scope)
+    number = lambda i: F.concat(F.lit("r"), (i + 2).cast("string"))
+    ids = F.map_from_entries(F.transform("_assets", lambda a, i: F.struct(a["asset_id"], number(i))))
+    resources = F.struct(F.col("_frame").alias("format"), F.transform("_assets", lambda a, i: F.struct(number(i).alias("_id"), *(a["_element"][c].alias(c) for c in ("_name", "_uid", "_src", "_start", "_duration", "_hasVideo", "_hasAudio", "_audioSources", "_audioChannels", "_format")))).alias("asset"))
+    placed = F.transform("_clips", lambda c: F.struct(c["_clip"]["_name"].alias("_name"), F.col("_ids")[c["_clip"]["asset_id"]].alias("_ref"), *(c["_clip"][x].alias(x) for x in ("_offset", "_start", "_duration")), F.lit("NDF").alias("_tcFormat"), F.lit("1").alias("_enabled")))
+    sequence = F.struct(F.lit("r1").alias("_format"), rational_time("_length").alias("_duration"), F.lit("0s").alias("_tcStart"), F.lit("NDF").alias("_tcFormat"), F.lit("stereo").alias("_audioLayout"), F.lit("48k").alias("_audioRate"), F.struct(placed.alias("asset-clip")).alias("spine"))
+    project = F.struct(F.col("_title").alias("_name"), sequence.alias("sequence"))
+    library = F.struct(F.struct(F.col("_title").alias("_name"), project.alias("project")).alias("event"))
+    whole = F.to_xml(F.struct(F.lit("1.11").alias("_version"), resources.alias("resources"), library.alias("library")), {"rowTag": "fcpxml"})
+    head = F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<!DOCTYPE fcpxml>\n')
+    return docs.withColumn("_ids", ids).select(scope, F.concat(head, whole).alias("xml"))
+
+
+def parsed(documents: DataFrame, xml: str = "xml") -> DataFrame:
+    """The documents' other columns with pos, name, asset_uid, offset_sec, start_sec, duration_sec of each clip.
+
+    A clip's asset is known by its reference within its document; an unknown one has the uid ''.
+    """
+    bare = F.regexp_replace(F.col(xml), "<!DOCTYPE [^>]*>", "")
+    rows = documents.withColumn("_doc", F.from_xml(bare, _READ, {"rowTag": "fcpxml"}))
+    known = F.filter(F.coalesce("_doc.resources.asset", F.array()), lambda a: a["_id"].isNotNull())
+    rows = rows.withColumn("_uids", F.map_from_entries(F.array_distinct(F.transform(known, lambda a: F.struct(a["_id"], F.coalesce(a["_uid"], F.lit("")))))))
+    spine = F.col("_doc.library.event.project.sequence.spine").getField("asset-clip")
+    found = rows.select("*", F.posexplode(spine).alias("pos", "_clip"))
+    times = {new: rational_seconds(F.col(f"_clip.{old}")) for new, old in (("offset_sec", "_offset"), ("start_sec", "_start"), ("duration_sec", "_duration"))}
+    kept = [c for c in documents.columns if c != xml]
+    uid = F.coalesce(F.try_element_at("_uids", F.col("_clip._ref")), F.lit(""))
+    return found.select(*kept, "pos", F.col("_clip._name").alias("name"), uid.alias("asset_uid"), *(v.alias(k) for k, v in times.items()))
 
 
 def export(name: str, rows: DataFrame, order: str = "order_index") -> str:
-    """XML text of one timeline's clips: a format from the first clip, one asset element per asset, clips in order."""
-    found = rows.orderBy(order).collect()
-    root = ET.Element("fcpxml", version="1.10")
-    resources = ET.SubElement(root, "resources")
-    if found:
-        first = found[0]
-        ET.SubElement(resources, "format", id="r1", frameDuration=_time(1 / (first["fps"] or 24.0)), width=str(first["width"] or 1920), height=str(first["height"] or 1080))
-    ids: dict[str, str] = {}
-    for row in found:
-        if row["asset_id"] not in ids:
-            ids[row["asset_id"]] = f"r{len(ids) + 2}"
-            ET.SubElement(resources, "asset", id=ids[row["asset_id"]], name=row["name"], uid=row["interchange_reel_name"] or row["name"], src="file://" + quote(row["source_path"]), duration=_time(row["duration_sec"]), format="r1")
-    sequence = ET.SubElement(ET.SubElement(ET.SubElement(ET.SubElement(root, "library"), "event", name=name), "project", name=name), "sequence", format="r1")
-    spine = ET.SubElement(sequence, "spine")
-    for row in found:
-        ET.SubElement(spine, "asset-clip", name=row["label"], ref=ids[row["asset_id"]], offset=_time(row["offset_sec"]), start=_time(row["source_start"]), duration=_time(row["length_sec"]))
-    return ET.tostring(root, encoding="unicode")
+    """XML text of the one timeline that the rows are."""
+    return exported(rows.withColumn("_scope", F.lit(0)), name, "_scope", order).first()["xml"]
 
 
 def parse(spark: SparkSession, payload: str) -> DataFrame:
-    """name, asset_uid, offset_sec, start_sec, duration_sec of the clips; one document is read on the driver."""
-    root = ET.fromstring(payload)
-    uids = {a.get("id"): a.get("uid") for a in root.iter("asset")}
-    rows = [(c.get("name"), uids.get(c.get("ref")), _seconds(c.get("offset")), _seconds(c.get("start")), _seconds(c.get("duration"))) for c in root.iter("asset-clip")]
-    return spark.createDataFrame(rows, "name string, asset_uid string, offset_sec double, start_sec double, duration_sec double")
+    """name, asset_uid, offset_sec, start_sec, duration_sec of one document's clips."""
+    return parsed(spark.range(1).select(F.lit(payload).alias("xml"))).drop("pos")

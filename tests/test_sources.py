@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from cliploom.sources import documents, files, timeline_xml
+from cliploom.sources import documents, files, histories, timeline_xml
 from cliploom.streaming import screening
 
 PROJECT = {
@@ -75,7 +75,7 @@ def test_cache_history_overrides(spark, tmp_path):
     h.write_text('{"run_id": "a", "total": 1}\n\n{broken\n{"run_id": "b", "total": 2}\n')
     found = documents.history(spark, str(h), "run_id string, total int")
     assert sorted(r.run_id for r in found.collect()) == ["a", "b"]
-    up = documents.upserted(found, spark.createDataFrame([("b", "ok")], "run_id string, evaluation string"))
+    up = histories.upserted(found, spark.createDataFrame([("b", "ok")], "run_id string, evaluation string"))
     assert sorted((r.run_id, r.evaluation) for r in up.collect()) == [("a", None), ("b", "ok")]
     o = tmp_path / "o.json"
     o.write_text(json.dumps({"project_id": "p", "candidate_segment_ids": ["s2", "s1"], "best_takes": {"a1": "s2"}}))
