@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import oracles as o
-from .field_oracles import _one  # noqa: F401
+from .field_oracles import LABELLED, _cnt, _has, _one
 from .oracles import ORACLES, clamp, d, r
 
 ORACLES["scene_cuts"] = f"""WITH RECURSIVE {o.AUDIO}, cl AS (SELECT asset_id, floor(max(t)) + 7200e0 AS dur FROM audio GROUP BY asset_id),
@@ -46,3 +46,46 @@ ORACLES["boundary_payloads"] = f"""WITH {o.DOUBT}, a AS (SELECT segment_id, segm
 b AS (SELECT *, CASE WHEN n < 2 THEN 'trim' WHEN n = 2 THEN 'extend' WHEN n = 3 AND conf >= {d(0.85)} THEN 'split' ELSE 'keep' END AS dc FROM a)
 SELECT segment_id, CASE WHEN n = 4 THEN '1' END AS salvaged, n < 5 AS answered, CASE WHEN n < 2 THEN 'late start' WHEN n = 3 THEN 'two: parts' END AS reason, dc AS decision, {r('conf')} AS confidence,
 {r(_MOVED('1.5e0', 'greatest(0e0, s - dt)'), 3)} AS new_start, {r(_MOVED('greatest(least(e - 1.5e0, s + dt) + 1.5e0, e - dt)', 'least(dur, e + dt)'), 3)} AS new_end, CASE WHEN dc = 'split' THEN {r('(s + e) / 2', 3)} END AS split_at FROM b"""
+
+_N = "segment_id"
+_COUNTS = {
+    "candidate_segment_count": "true", "deduplicated_segment_count": f"{_N} % 13 = 0", "dedup_eliminated_count": f"{_N} % 13 = 0 AND {_N} % 7 <> 0", "prefilter_shortlisted_count": f"{_N} % 7 <> 0", "vlm_target_count": f"{_N} % 3 = 0 AND {_N} % 7 <> 0",
+    "filtered_before_vlm_count": f"{_N} % 7 = 0", "transcript_excerpt_segment_count": "trim(transcript_excerpt) <> ''", "speech_fallback_segment_count": "speech AND trim(transcript_excerpt) = ''", "clip_scored_count": f"{_N} % 5 <> 0 AND visual_novelty IS NOT NULL",
+    "clip_gated_count": f"{_N} % 11 = 0", "semantic_boundary_eligible_count": f"ambiguity >= {d(0.6)}", "semantic_boundary_request_count": f"{_N} % 4 < 2", "semantic_boundary_validated_count": f"{_N} % 4 = 0", "semantic_boundary_skipped_count": f"{_N} % 4 = 2",
+    "semantic_boundary_fallback_count": f"{_N} % 4 = 1", "semantic_boundary_threshold_targeted_count": f"{_N} % 4 = 0", "semantic_boundary_floor_targeted_count": f"{_N} % 4 = 1", "semantic_boundary_applied_count": f"{_N} % 8 = 0", "semantic_boundary_noop_count": f"{_N} % 8 = 4",
+    "ai_live_segment_count": f"{_N} % 3 = 0", "ai_cached_segment_count": f"{_N} % 3 = 1", "ai_fallback_segment_count": f"{_N} % 3 = 2", "speech_structure_segment_count": f"{_N} % 3 < 2", "speech_structure_question_answer_count": f"{_N} % 3 = 0", "speech_structure_monologue_count": f"{_N} % 3 = 1",
+}
+_ASSETS = {
+    "asset_count": "true", "audio_signal_asset_count": "asset_id % 3 <> 0", "audio_silent_asset_count": "asset_id % 3 = 0", "transcript_target_asset_count": "asset_id % 2 = 0", "transcript_skipped_asset_count": "asset_id % 5 = 1", "transcript_probed_asset_count": "asset_id % 4 = 0",
+    "transcript_probe_rejected_asset_count": "asset_id % 8 = 0", "transcribed_asset_count": "asset_id % 6 = 0", "transcript_failed_asset_count": "asset_id % 50 = 0", "transcript_cached_asset_count": "asset_id % 12 = 0", "transcript_runtime_probed_asset_count": "asset_id % 4 = 0",
+    "transcript_runtime_probe_rejected_asset_count": "asset_id % 8 = 0", "deterministic_preprocessing_cache_hit_asset_count": "asset_id % 7 <> 0", "deterministic_preprocessing_cache_rebuilt_asset_count": "asset_id % 7 = 0",
+}
+_many = lambda before, n, noun, after="": f"{before!r} || {n} || ' {noun}' || CASE WHEN {n} = 1 THEN '' ELSE 's' END || {after!r}"
+_mode = lambda fallbacks, skipped: f"CASE WHEN {fallbacks} > 0 THEN 'degraded' WHEN {skipped} > 0 THEN 'partial' ELSE 'active' END"
+_MODES = ("ai_runtime_mode", "transcript_runtime_mode", "semantic_boundary_runtime_mode", "cache_runtime_mode")
+_any = lambda status: " OR ".join(f"{m} = '{status}'" for m in _MODES)
+SUMMARY = f"""{LABELLED}, {o.DOUBT[len(o.SCORED) + 2 :]},
+c1 AS (SELECT {', '.join(f'{_cnt(t)} AS {n}' for n, t in _COUNTS.items())}, count(DISTINCT (asset_id, {_N} % 10)) FILTER ({_N} % 13 < 2 AND {_N} % 7 <> 0) AS dedup_group_count FROM doubt),
+c2 AS (SELECT {', '.join(f'{_cnt(t)} AS {n}' for n, t in _ASSETS.items())} FROM assets), c3 AS (SELECT count(*) AS prefilter_sample_count FROM events),
+it AS (SELECT lb.*, speech, lag(speech) OVER (ORDER BY lb.scope, lb.order_index) AS before FROM lb JOIN takes USING (take_id)),
+c4 AS (SELECT count(*) > 1 AS story_assembly_active, 'sequence-heuristic-v2' AS story_assembly_strategy, greatest(count(*) - 1, 0) AS story_assembly_transition_count, count(*) FILTER (speech <> before) AS story_assembly_mode_alternation_count,
+  count(DISTINCT order_index = 0) AS story_assembly_group_count, count(DISTINCT speech) AS story_assembly_role_count, {_has('prompt_fit')} AS story_assembly_prompt_fit_count, count(*) FILTER (tradeoffs <> '') AS story_assembly_tradeoff_count, {_has('repetition_control')} AS story_assembly_repetition_control_count FROM it),
+c5 AS (SELECT *, semantic_boundary_validated_count = 0 AS semantic_boundary_dormant, 40e0 AS vlm_budget_cap_pct, vlm_target_count < prefilter_shortlisted_count * 40e0 / 100 AS vlm_budget_was_binding, coalesce(vlm_target_count::DOUBLE / nullif(candidate_segment_count, 0) * 100, 0e0) AS vlm_target_pct_of_candidates,
+  'auto' AS transcript_provider_configured, 'local' AS transcript_provider_effective, 'ready' AS transcript_status, true AS transcript_available, true AS transcript_enabled, 'small' AS transcript_model_size, '' AS transcript_detail, 17::BIGINT AS ai_live_request_count,
+  1195e0 AS per_asset_analysis_sec, 4.25e0 AS take_selection_sec, 1.75e0 AS timeline_assembly_sec, {_mode('transcript_failed_asset_count', 'transcript_skipped_asset_count + transcript_runtime_probe_rejected_asset_count')} AS transcript_runtime_mode,
+  {_mode('semantic_boundary_fallback_count', 'semantic_boundary_skipped_count')} AS semantic_boundary_runtime_mode, CASE WHEN semantic_boundary_validated_count > 0 THEN 'active' ELSE 'inactive' END AS semantic_boundary_targeting_mode,
+  CASE WHEN ai_live_segment_count + ai_cached_segment_count = 0 THEN 'inactive' ELSE {_mode('ai_fallback_segment_count', '(filtered_before_vlm_count + ai_cached_segment_count)')} END AS ai_runtime_mode, CASE WHEN ai_cached_segment_count > 0 THEN 'active' ELSE 'partial' END AS cache_runtime_mode FROM c1, c2, c3, c4),
+sm AS (SELECT *, CASE WHEN {_any('unavailable')} THEN 'unavailable' WHEN {_any('degraded')} THEN 'degraded' WHEN {_any('partial')} THEN 'partial' WHEN {_any('active')} THEN 'active' ELSE 'inactive' END AS runtime_reliability_mode,
+  'AI ' || ai_runtime_mode || ', transcript ' || transcript_runtime_mode || ', semantic ' || semantic_boundary_runtime_mode || ', cache ' || cache_runtime_mode AS runtime_reliability_summary,
+  concat_ws('|', CASE WHEN transcript_failed_asset_count > 0 THEN {_many('transcript fallback on ', 'transcript_failed_asset_count', 'asset')} END, CASE WHEN semantic_boundary_fallback_count > 0 THEN {_many('semantic boundary fallback on ', 'semantic_boundary_fallback_count', 'segment')} END,
+    CASE WHEN ai_fallback_segment_count > 0 THEN {_many('deterministic AI fallback on ', 'ai_fallback_segment_count', 'segment')} END) AS runtime_degraded_reasons,
+  concat_ws('|', CASE WHEN transcript_skipped_asset_count + transcript_probe_rejected_asset_count > 0 THEN 'transcript targeting kept cost bounded: ' || concat_ws(', ', CASE WHEN transcript_skipped_asset_count > 0 THEN {_many('', 'transcript_skipped_asset_count', 'transcript-target skip')} END,
+    CASE WHEN transcript_probe_rejected_asset_count > 0 THEN {_many('', 'transcript_probe_rejected_asset_count', 'probe rejection')} END) END, CASE WHEN semantic_boundary_skipped_count > 0 THEN {_many('semantic boundary validation skipped ', 'semantic_boundary_skipped_count', 'segment')} END,
+    CASE WHEN filtered_before_vlm_count > 0 THEN {_many('AI analysis skipped ', 'filtered_before_vlm_count', 'segment', ' before live VLM')} END) AS runtime_intentional_skip_reasons FROM c5),
+su AS (SELECT *, runtime_reliability_mode NOT IN ('unavailable', 'inactive') AS runtime_ready FROM sm)"""
+ORACLES["analysis_summary"] = f"WITH RECURSIVE {SUMMARY} SELECT * FROM su"
+_activity = lambda hits, misses, what: f"CASE WHEN {hits} > 0 AND {misses} > 0 THEN 'mixed-{what}' WHEN {hits} > 0 THEN 'warm-{what}' WHEN {misses} > 0 THEN 'cold-{what}' ELSE 'inactive' END"
+ORACLES["stability_record"] = f"""WITH RECURSIVE {SUMMARY} SELECT {', '.join(n for n in [*_ASSETS, 'prefilter_sample_count', *(c for c in _COUNTS if not c.startswith('speech_structure')), 'dedup_group_count', 'ai_live_request_count'])}, runtime_reliability_mode AS overall_mode, runtime_ready AS ready, runtime_reliability_summary AS summary,
+ai_runtime_mode AS mode_ai, transcript_runtime_mode AS mode_transcript, semantic_boundary_runtime_mode AS mode_semantic_boundary, cache_runtime_mode AS mode_cache, runtime_degraded_reasons AS degraded_reasons, runtime_intentional_skip_reasons AS intentional_skip_reasons,
+semantic_boundary_targeting_mode AS semantic_targeting_mode, transcript_status, transcript_provider_effective, 'lmstudio' AS ai_provider_effective, 'configured-parallel-requests' AS ai_execution_context, 2 AS ai_effective_concurrency,
+{_activity('ai_cached_segment_count', 'ai_live_segment_count', 'cache')} AS ai_cache_activity, {_activity('deterministic_preprocessing_cache_hit_asset_count', 'deterministic_preprocessing_cache_rebuilt_asset_count', 'preprocessing')} AS deterministic_preprocessing_cache_activity FROM su"""

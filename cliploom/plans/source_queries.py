@@ -7,12 +7,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import numeric, text
-from ..operators import model, review, scenes, signals
+from ..config import EngineConfig
+from ..functions import numeric
+from ..operators import model, review, scenes, signals, summary
 from ..sources import documents, histories, timeline_xml
 from ..sources.scratch import checkpointed, shared_folder
 from . import adapters
-from .queries import _doubtful, _scored, _timeline, query
+from .queries import _doubtful, _labelled, _scored, _timeline, joined, query
 
 
 @query
@@ -128,3 +129,36 @@ def boundary_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = model.normalised_boundary(F.col("p.decision"), F.coalesce("p.confidence", F.lit(0.0)), F.col("start_sec"), F.col("end_sec"), F.col("p.suggested_start_sec"), F.col("p.suggested_end_sec"), F.col("p.split_point_sec"), duration=F.col("duration_sec"))
     rows = rows.withColumn("x", x)
     return rows.select("segment_id", F.get_json_object("found", "$.a").alias("salvaged"), F.col("p").isNotNull().alias("answered"), F.col("p.reason").alias("reason"), "x.*")
+
+
+def _run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, k = F.col("segment_id"), F.col("asset_id")
+    one_of = lambda *values: F.element_at(F.array(*map(F.lit, values)), (n % len(values) + 1).cast("int"))
+    segments = _doubtful(spark, sf_dir).select(
+        "asset_id", "segment_id", "analysis_mode", "transcript_excerpt", "ambiguity", (n % 13 == 0).alias("deduplicated"), F.when(n % 13 < 2, (n % 10).cast("int")).alias("dedup_group_id"), (n % 7 != 0).alias("shortlisted"),
+        (n % 7 == 0).alias("filtered_before_vlm"), ((n % 3 == 0) & (n % 7 != 0)).alias("targeted"), F.when(n % 5 != 0, F.col("visual_novelty")).alias("clip_score"), (n % 11 == 0).alias("clip_gated"),
+        one_of("threshold", "floor", "", None).alias("target_reason"), one_of("validated", "fallback", "skipped", None).alias("validation_status"), (n % 8 == 0).alias("validation_applied"),
+        one_of("live", "cached", "fallback").alias("ai_status"), one_of("question-answer-flow", "monologue-continuity", "").alias("structure_label"),
+    )
+    flags = {
+        "has_audio_signal": k % 3 != 0, "transcript_targeted": k % 2 == 0, "transcript_skipped": k % 5 == 1, "transcript_probed": k % 4 == 0, "transcript_probe_rejected": k % 8 == 0, "transcribed": k % 6 == 0,
+        "transcript_failed": k % 50 == 0, "transcript_cached": k % 12 == 0, "preprocessing_cached": k % 7 != 0,
+    }
+    assets = adapters.assets(spark, sf_dir).select("asset_id", *(v.alias(name) for name, v in flags.items()))
+    spoken = F.col("analysis_mode") == "speech"
+    items = _labelled(spark, sf_dir).select((F.col("scope") * 100_000 + F.col("order_index")).alias("order_index"), "analysis_mode", F.when(F.col("order_index") == 0, "setup").otherwise("development").alias("sequence_group"), F.when(spoken, "spoken beat").otherwise("visual bridge").alias("sequence_role"), "drivers", "tradeoffs")
+    facts = {"transcript_provider_configured": "auto", "transcript_provider_effective": "local", "transcript_status": "ready", "transcript_available": True, "transcript_enabled": True, "transcript_model_size": "small", "ai_live_request_count": 17}
+    return summary.analysis_summary(segments, assets, adapters.audio(spark, sf_dir), items, EngineConfig(budget_pct=40.0), facts, {"per_asset_analysis": 1195.0, "take_selection": 4.25, "timeline_assembly": 1.75})
+
+
+@query
+def analysis_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All figures of a run in one row."""
+    found = _run_summary(spark, sf_dir)
+    return found.withColumns({c: joined(F.col(c)) for c in ("runtime_degraded_reasons", "runtime_intentional_skip_reasons")})
+
+
+@query
+def stability_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = summary.stability_record(_run_summary(spark, sf_dir), "lmstudio", EngineConfig(budget_pct=40.0))
+    return found.withColumns({c: joined(F.col(c)) for c in ("degraded_reasons", "intentional_skip_reasons")})
