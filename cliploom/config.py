@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import importlib.util
+import shutil
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, fields
 
 from pyspark.sql import SparkSession
@@ -81,3 +83,18 @@ class EngineConfig:
     def from_session(cls, spark: SparkSession) -> EngineConfig:
         found = {f.name: spark.conf.get(f"spark.cliploom.{f.name}", None) for f in fields(cls)}
         return cls.of({k: v for k, v in found.items() if v is not None})
+
+
+#: Programs and modules that sources outside the engine need; fixed names.
+PROGRAMS, MODULES = ("ffprobe", "ffmpeg", "exiftool"), ("scenedetect", "faster_whisper", "fastapi")
+
+
+def capabilities(found: Callable[[str], object] = shutil.which, known: Callable[[str], object] = importlib.util.find_spec) -> dict[str, bool]:
+    """Which of the outside programs and modules are there, on the machine that asks."""
+    return {name: bool(found(name)) for name in PROGRAMS} | {name: known(name) is not None for name in MODULES}
+
+
+def probe_runner(able: Mapping[str, bool] | None = None) -> str | None:
+    """The program that reads media: the first of ffprobe and exiftool that is there."""
+    there = capabilities() if able is None else able
+    return next((name for name in ("ffprobe", "exiftool") if there.get(name)), None)

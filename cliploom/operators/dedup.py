@@ -222,3 +222,16 @@ def prompt_similarity(positive: Column, negative: Column) -> Column:
     """clip((mean positive - half mean negative + .5) / 2, 0, 1) of arrays of similarities; .5 without positives."""
     mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
     return F.when(F.size(positive) > 0, clamp((mean(positive) - 0.5 * F.when(F.size(negative) > 0, mean(negative)).otherwise(F.lit(0.0)) + 0.5) / 2)).otherwise(F.lit(0.5))
+
+
+def image_scores(images: DataFrame, vectors: DataFrame, positive: list[list[float]], negative: list[list[float]], image: str = "image") -> DataFrame:
+    """The rows of `images` with clip_score: how well their image fits the prompts' vectors, .5 without a vector of it.
+
+    An image is scored once however many rows show it.  Prompts are few and stand in the plan; `vectors` holds (image, vector),
+    of an image that comes twice the least vector counts.
+    """
+    known = images.select(image).distinct().join(vectors.groupBy(image).agg(F.min("vector").alias("vector")), image)
+    own = known.withColumn("_v", unit(F.col("vector")))
+    fits = lambda prompts: F.array(*(dot(F.col("_v"), unit(F.array(*map(F.lit, map(float, p))))) for p in prompts)) if prompts else F.array().cast("array<double>")
+    scored = own.where("_v is not null").select(image, rounded(prompt_similarity(fits(positive), fits(negative)), 4).alias("clip_score"))
+    return images.join(scored, image, "left").withColumn("clip_score", F.coalesce("clip_score", F.lit(0.5)))

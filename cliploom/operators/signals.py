@@ -146,10 +146,17 @@ def silence_share(windows: DataFrame, silences: DataFrame, key: str, bin_width:
 
 
 def audio_rows(samples: DataFrame, silences: DataFrame, times: DataFrame, key: str = "asset_id") -> DataFrame:
-    """key, t, rms_energy, peak_loudness, is_silent at given times: samples within half a step, and silence by `silence_share`."""
+    """key, t, rms_energy, peak_loudness, is_silent at given times: samples within half a step, and silence by `silence_share`.
+
+    Where `times` has duration_sec, windows end with the clip, and the step is the duration over one more than the times.
+    """
     order = Window.partitionBy(key).orderBy("t")
     half = F.coalesce((F.lead("t").over(order) - F.col("t")) / 2, (F.col("t") - F.lag("t").over(order)) / 2, F.lit(0.5))
-    windows = times.withColumns({"start_sec": F.greatest(F.lit(0.0), F.col("t") - half), "end_sec": F.col("t") + half, "window_id": F.col("t")})
+    end = F.col("t") + half
+    if "duration_sec" in times.columns:
+        half = F.col("duration_sec") / (F.count(F.lit(1)).over(Window.partitionBy(key)) + 1) / 2
+        end = F.least(F.col("duration_sec"), F.col("t") + half)
+    windows = times.withColumns({"start_sec": F.greatest(F.lit(0.0), F.col("t") - half), "end_sec": end, "window_id": F.col("t")})
     found = points_in_ranges(samples.select(key, F.col("t").alias("_t"), "rms"), windows, [key], "_t", "start_sec", "end_sec", None)
     energy = found.groupBy(key, "window_id").agg(rounded(clamp(F.avg("rms")), 4).alias("rms_energy"), rounded(clamp(F.max("rms")), 4).alias("peak_loudness"))
     rows = silence_share(windows, silences, key).join(energy, [key, "window_id"], "left")

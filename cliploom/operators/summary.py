@@ -183,3 +183,17 @@ def stability_record(summary: DataFrame, provider: str, config: EngineConfig = E
         _activity("ai_cached_segment_count", "ai_live_segment_count", "cache").alias("ai_cache_activity"),
         _activity("deterministic_preprocessing_cache_hit_asset_count", "deterministic_preprocessing_cache_rebuilt_asset_count", "preprocessing").alias("deterministic_preprocessing_cache_activity"),
     )
+
+
+def log_lines(record: DataFrame) -> DataFrame:
+    """(key, line) with a line key=value for every column of each row, whole numbers without and others with three decimals, lists joined."""
+    kinds = dict(record.dtypes)
+
+    def told(name: str) -> Column:
+        value, kind = F.col(name), kinds[name]
+        if kind.startswith("array"):
+            return F.array_join(value.cast("array<string>"), ",")
+        return F.format_string("%.3f", value) if kind in ("double", "float") else value.cast("string")
+
+    pairs = F.array(*(F.struct(F.lit(name).alias("key"), F.concat(F.lit(f"{name}="), F.coalesce(told(name), F.lit(""))).alias("line")) for name in record.columns))
+    return record.select(F.inline(pairs))

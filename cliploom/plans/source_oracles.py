@@ -89,3 +89,14 @@ ORACLES["stability_record"] = f"""WITH RECURSIVE {SUMMARY} SELECT {', '.join(n f
 ai_runtime_mode AS mode_ai, transcript_runtime_mode AS mode_transcript, semantic_boundary_runtime_mode AS mode_semantic_boundary, cache_runtime_mode AS mode_cache, runtime_degraded_reasons AS degraded_reasons, runtime_intentional_skip_reasons AS intentional_skip_reasons,
 semantic_boundary_targeting_mode AS semantic_targeting_mode, transcript_status, transcript_provider_effective, 'lmstudio' AS ai_provider_effective, 'configured-parallel-requests' AS ai_execution_context, 2 AS ai_effective_concurrency,
 {_activity('ai_cached_segment_count', 'ai_live_segment_count', 'cache')} AS ai_cache_activity, {_activity('deterministic_preprocessing_cache_hit_asset_count', 'deterministic_preprocessing_cache_rebuilt_asset_count', 'preprocessing')} AS deterministic_preprocessing_cache_activity FROM su"""
+ORACLES["run_log"] = f"WITH su AS ({ORACLES['stability_record']}) SELECT key, key || '=' || value AS line FROM (UNPIVOT (SELECT CAST(COLUMNS(*) AS VARCHAR) FROM su) ON COLUMNS(*) INTO NAME key VALUE value)"
+_prompt = lambda k: f"[CASE WHEN i % {k + 2} = 0 THEN 1e0 ELSE -0.5e0 END FOR i IN range(64)]"
+_fit = lambda k: f"list_dot_product(v, {_prompt(k)}) / sqrt(list_dot_product({_prompt(k)}, {_prompt(k)}))"
+ORACLES["image_scores"] = f"""WITH u AS (SELECT vec_id AS image, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM embeddings WHERE vec_id % 10 <> 3),
+s AS (SELECT image, {r(clamp(f"(({_fit(0)} + {_fit(1)} + {_fit(2)}) / 3 - 0.5e0 * (({_fit(3)} + {_fit(4)}) / 2) + 0.5e0) / 2"))} AS clip_score FROM u)
+SELECT doc_id, doc_id % 97 AS image, coalesce(clip_score, 0.5e0) AS clip_score FROM documents LEFT JOIN s ON s.image = doc_id % 97"""
+ORACLES["screened_sound"] = f"""WITH e AS (SELECT user_id AS asset_id, (event_id % 400) * 0.25e0 AS t, min(event_id) AS n FROM events WHERE event_id % 400 < 396 GROUP BY ALL),
+g AS (SELECT asset_id, i + 0.125e0 AS t, greatest(0e0, i + 0.125e0 - 3.5e0) AS a, i + 0.125e0 + 3.5e0 AS b FROM (SELECT DISTINCT asset_id FROM e), range(0, 99, 7) x(i)),
+m AS (SELECT g.asset_id, g.t, avg(CASE WHEN n % 17 = 0 THEN 0e0 ELSE pow(10e0, -(n % 60) / 20e0) END) AS av, max(CASE WHEN n % 17 = 0 THEN 0e0 ELSE pow(10e0, -(n % 60) / 20e0) END) AS mx FROM g JOIN e ON e.asset_id = g.asset_id AND e.t BETWEEN a AND b GROUP BY ALL),
+q AS (SELECT g.asset_id, g.t, sum(greatest(0e0, least(b, e.t + 0.75e0) - greatest(a, e.t))) AS quiet FROM g JOIN e ON e.asset_id = g.asset_id AND n % 5 = 0 AND e.t + 0.75e0 >= a AND e.t <= b GROUP BY ALL)
+SELECT g.asset_id, g.t, {r(clamp('coalesce(av, 0e0)'))} AS rms_energy, {r(clamp('coalesce(mx, 0e0)'))} AS peak_loudness, coalesce(quiet, 0e0) >= 0.5e0 * (b - a) AS is_silent FROM g LEFT JOIN m USING (asset_id, t) LEFT JOIN q USING (asset_id, t)"""

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..functions import numeric
-from ..operators import model, review, scenes, signals, summary
-from ..sources import documents, histories, timeline_xml
+from ..operators import dedup, model, review, scenes, signals, summary
+from ..sources import documents, files, histories, timeline_xml
 from ..sources.scratch import checkpointed, shared_folder
 from . import adapters
 from .queries import _doubtful, _labelled, _scored, _timeline, joined, query
@@ -162,3 +162,35 @@ def analysis_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stability_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = summary.stability_record(_run_summary(spark, sf_dir), "lmstudio", EngineConfig(budget_pct=40.0))
     return found.withColumns({c: joined(F.col(c)) for c in ("degraded_reasons", "intentional_skip_reasons")})
+
+
+@query
+def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stability record as lines of a log."""
+    return summary.log_lines(stability_record(spark, sf_dir))
+
+
+@query
+def image_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that show the image of a vector, most of them the same as others, scored against five prompts."""
+    vectors = adapters.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image"), F.col("embedding").cast("array<double>").alias("vector"))
+    shown = adapters.table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 97).alias("image"))
+    prompt = lambda k: [1.0 if i % (k + 2) == 0 else -0.5 for i in range(64)]
+    return dedup.image_scores(shown, vectors.where("image % 10 <> 3"), [prompt(k) for k in range(3)], [prompt(k) for k in range(3, 5)]).select("doc_id", "image", "clip_score")
+
+
+@query
+def screened_sound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as the lines of a sound log, read as samples and silences, at a grid of times."""
+    n = F.col("event_id")
+    t = F.round((n % 400) * 0.25, 2)
+    rows = adapters.audio(spark, sf_dir).where("event_id % 400 < 396")
+    # A user's log is in the order of time; of one time only the first event counts.
+    first = rows.groupBy("asset_id", t.alias("at")).agg(F.min("event_id").alias("event_id"))
+    level = F.when(n % 17 == 0, "-inf").otherwise((-(n % 60)).cast("string"))
+    silence = F.when(n % 5 == 0, F.array(F.concat(F.lit("silence_start: "), F.col("at").cast("string")), F.concat(F.lit("silence_end: "), (F.col("at") + 0.75).cast("string")))).otherwise(F.array().cast("array<string>"))
+    told = F.concat(silence, F.array(F.concat(F.lit("pts_time:"), F.col("at").cast("string")), F.concat(F.lit("RMS_level="), level)))
+    log = first.select("asset_id", "at", F.posexplode(told).alias("i", "line")).select("asset_id", (F.col("at") * 100 + F.col("i")).cast("long").alias("line_no"), "line")
+    silences, samples = files.silence_rows(checkpointed(log))
+    grid = first.select("asset_id").distinct().withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(98), F.lit(7)))).withColumn("t", F.col("t") + 0.125)
+    return signals.audio_rows(samples, silences, grid)

@@ -59,21 +59,24 @@ def tag_probed(captures: DataFrame, json: str = "json") -> DataFrame:
 def silence_rows(log: DataFrame, key: str = "asset_id", order: str = "line_no", line: str = "line") -> tuple[DataFrame, DataFrame]:
     """(silences, samples) out of a text log: silence intervals (an open one never ends) and (t, rms) pairs.
 
-    A level line belongs to the last time stamp before it.
+    Of two silence starts in a row the later one counts, an end without a start does not.  A level line belongs to the last
+    time stamp before it, and only the first one that is a number, inf or nan does; the latter two are silence.
     """
     from pyspark.sql import Window
 
     from ..operators.signals import linear_from_db
 
-    number = lambda pattern: F.nullif(F.regexp_extract(line, pattern, 1), F.lit("")).try_cast("double")
-    rows = log.withColumns({"_s": number(r"silence_start: (-?[0-9.]+)"), "_e": number(r"silence_end: (-?[0-9.]+)"), "_t": number(r"pts_time:(-?[0-9.]+)"), "_db": number(r"RMS_level=(-?[0-9.]+)")})
+    found = lambda pattern: F.nullif(F.regexp_extract(line, pattern, 1), F.lit(""))
+    number = lambda pattern: found(pattern).try_cast("double")
+    real = r"([-+0-9.eE]+)"
+    level = found(r"RMS_level=([-+0-9.eEinfa]+)")
+    none = level.contains("inf") | level.contains("nan")
+    rows = log.withColumns({"_s": number(rf"silence_start:\s*{real}"), "_e": number(rf"silence_end:\s*{real}"), "_t": number(rf"pts_time:{real}"), "_rms": F.when(none, F.lit(0.0)).when(level.try_cast("double").isNotNull(), linear_from_db(level.try_cast("double")))})
     w = Window.partitionBy(key).orderBy(order)
-    starts = rows.where("_s is not null or _e is not null").withColumn("_end", F.lead("_e").over(w)).where("_s is not null")
+    events = rows.where("_s is not null or _e is not null").withColumns({"_end": F.lead("_e").over(w), "_last": F.lead(F.lit(True)).over(w).isNull()})
+    starts = events.where("_s is not null and (_end is not null or _last)")
     silences = starts.select(key, F.col("_s").alias("start_sec"), F.coalesce("_end", F.lit(float("inf"))).alias("end_sec"))
-    timed = rows.withColumn("_at", F.last("_t", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("_db is not null and _at is not null")
-    return silences, timed.select(key, F.col("_at").alias("t"), linear_from_db(F.col("_db")).alias("rms"))
-
-
-def known(captured: Column, fallback: Column) -> Column:
-    """A captured value, or the fallback where nothing was captured."""
-    return F.coalesce(captured, fallback)
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    timed = rows.withColumns({"_at": F.last("_t", ignorenulls=True).over(so_far), "_stamp": F.count("_t").over(so_far)}).where("_rms is not null and _at is not null")
+    one = timed.withColumn("_turn", F.row_number().over(Window.partitionBy(key, "_stamp").orderBy(order))).where("_turn = 1")
+    return silences, one.select(key, F.col("_at").alias("t"), F.col("_rms").alias("rms"))

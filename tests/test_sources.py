@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from cliploom.config import capabilities, probe_runner
 from cliploom.sources import documents, files, histories, timeline_xml
 from cliploom.streaming import screening
 
@@ -64,7 +65,17 @@ def test_silence_log(spark):
     log = spark.createDataFrame([(1, i, x) for i, x in enumerate(lines)], "asset_id int, line_no int, line string")
     silences, samples = files.silence_rows(log)
     assert sorted((r.start_sec, r.end_sec) for r in silences.collect()) == [(1.5, 2.5), (9.0, float("inf"))]
-    assert [(r.t, round(r.rms, 6)) for r in samples.collect()] == [(0.5, 0.1)]
+    assert sorted((r.t, round(r.rms, 6)) for r in samples.collect()) == [(0.5, 0.1), (3.0, 0.0)]
+    # A start after a start takes its place, an end alone is none, a stamp has one level.
+    lines = ["silence_end: 0.5", "silence_start: 1", "silence_start: 2", "silence_end: 3", "RMS_level=-6", "pts_time:1", "RMS_level=odd", "RMS_level=-20", "RMS_level=-40"]
+    silences, samples = files.silence_rows(spark.createDataFrame([(1, i, x) for i, x in enumerate(lines)], "asset_id int, line_no int, line string"))
+    assert [(r.start_sec, r.end_sec) for r in silences.collect()] == [(2.0, 3.0)] and [(r.t, round(r.rms, 6)) for r in samples.collect()] == [(1.0, 0.1)]
+
+
+def test_capabilities():
+    able = capabilities(lambda name: name == "exiftool" and "/bin/exiftool", lambda name: None if name == "fastapi" else name)
+    assert able == {"ffprobe": False, "ffmpeg": False, "exiftool": True, "scenedetect": True, "faster_whisper": True, "fastapi": False}
+    assert probe_runner(able) == "exiftool" and probe_runner({"ffprobe": True, "exiftool": True}) == "ffprobe" and probe_runner({}) is None
 
 
 def test_cache_history_overrides(spark, tmp_path):
