@@ -164,13 +164,17 @@ def fit(texts: list[str | None], labels: list[int], min_docs: int = MIN_DOCS, ch
 
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_bytes: int = MAX_BYTES, **options: object) -> Model:
-    """Fits on labelled rows that are not held out, at most `max_train` of them and `max_bytes` of text, chosen by hash of the id."""
+    """Fits on labelled rows that are not held out, at most `max_train` of them and `max_bytes` of text, chosen by hash of the id.
+
+    A text over a sixteenth of `max_bytes` is passed over, so no single one can use up the bound.
+    """
     known = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64(F.col("doc_id").cast("string"))
     chosen = known.orderBy(order, "doc_id").limit(max_train)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    rows = rows.withColumn("_tox_size", F.coalesce(F.octet_length("text"), F.lit(0))).where(F.col("_tox_size") <= max_bytes // 16)
     # At most `max_train` rows: one window over them is small.
-    so_far = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.orderBy(order, "doc_id"))
+    so_far = F.sum("_tox_size").over(Window.orderBy(order, "doc_id"))
     rows = rows.withColumn("_tox_bytes", so_far).where(F.col("_tox_bytes") <= max_bytes).orderBy(order, "doc_id").select("text", "toxic").toArrow()
     return fit(rows.column("text").to_pylist(), [int(x) for x in rows.column("toxic").to_pylist()], **options)
 

@@ -302,6 +302,10 @@ def test_toxicity_training_is_bounded_and_stable(spark, docs_of):
     one, two = (toxicity.train(docs_of(r), marks) for r in (rows, rows[::-1]))
     assert one.weights == two.weights and one.weights
     assert toxicity.train(docs_of(rows), marks, max_bytes=0).weights == {}
+    # Labelled texts too long for the bound are passed over, wherever they stand in the order.
+    long = [(i, "snarkful and calm " * 2000) for i in range(400, 410)]
+    more = marks.union(spark.createDataFrame([(i, 1, 1) for i, _ in long], "doc_id long, quality int, toxic int"))
+    assert toxicity.train(docs_of(long + rows), more, max_bytes=200_000).weights == one.weights
 
 
 def test_toxicity_edges(spark, edges, empty):
