@@ -44,8 +44,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.graph import connected
+from ..operators.views import numbered
 from .columns import checkpointed, dropped, partitions, written
 from .shingles import mixed, set_id, shingle_sets, texts_of
 
@@ -418,9 +420,21 @@ def join(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN, sketch
     return out, every.select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
 
 
+def joined(docs: DataFrame, **options: object) -> tuple[DataFrame, DataFrame]:
+    """`join` for ids of any type: ids that are not whole numbers are numbered in their order, so the least stays the least."""
+    kind = docs.schema["doc_id"].dataType
+    if isinstance(kind, T.IntegralType):
+        return join(docs, **options)
+    ids = checkpointed(numbered(docs.select("doc_id").where("doc_id is not null").distinct(), [F.col("doc_id")], "_join_no"))
+    rows, links = join(docs.select("doc_id", "text").join(ids, "doc_id", "left").select(F.col("_join_no").alias("doc_id"), "text"), **options)
+    of = lambda name: ids.select(F.col("_join_no").alias(f"_{name}"), F.col("doc_id").alias(name))
+    rows = rows.withColumnsRenamed({"doc_id": "_doc_id", "component_id": "_component_id"}).join(of("doc_id"), "_doc_id", "left").join(of("component_id"), "_component_id", "left")
+    return rows.select("doc_id", "n_shingles", "class", "component_id"), links
+
+
 def digest(docs: DataFrame, **options: object) -> DataFrame:
     """doc_id, n_shingles, component_id."""
-    return join(docs, every_link=False, **options)[0].select("doc_id", "n_shingles", "component_id")
+    return joined(docs, every_link=False, **options)[0].select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one(docs: DataFrame, **options: object) -> DataFrame:
@@ -428,9 +442,9 @@ def keep_one(docs: DataFrame, **options: object) -> DataFrame:
 
     Rows with a null doc_id stay.
     """
-    rows = join(docs, every_link=False, **options)[0]
+    rows = joined(docs, every_link=False, **options)[0]
     stays = rows.where("doc_id = component_id").select(F.col("doc_id").alias("_join_id")).distinct()
-    ids = F.col("doc_id").cast("long")
+    ids = F.col("doc_id").cast("long") if isinstance(docs.schema["doc_id"].dataType, T.IntegralType) else F.col("doc_id")
     kept = docs.join(stays, ids == F.col("_join_id"), "left_semi")
     turn = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(F.coalesce("text", F.lit("")))))
     kept = kept.withColumn("_join_turn", turn).where("_join_turn = 1").drop("_join_turn")

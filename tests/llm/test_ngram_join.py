@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from cliploom.llm import ngram_join
 from cliploom.llm.shingles import shingle_sets
@@ -118,3 +119,15 @@ def test_shingle_sets_are_stable():
     one = [s.tolist() for s in shingle_sets(texts, 5)]
     assert one[0] == one[1] and len(one[0]) == 2 and one[2] == one[4] == [] and len(one[3]) == 1 and len(one[5]) == 1
     assert one == [s.tolist() for t in texts for s in shingle_sets([t], 5)]
+
+
+def test_ids_of_any_type(spark, docs_of):
+    texts = [" ".join(f"w{(i // 3) * 100 + j}" for j in range(40)) + (" more" if i % 3 == 2 else "") for i in range(12)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(20, None), (None, texts[0])]
+    plain = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.digest(docs_of(rows)).collect()}
+    name = lambda i: None if i is None else f"d{i:02d}"
+    named = docs_of(rows).withColumn("doc_id", F.when(F.col("doc_id").isNotNull(), F.format_string("d%02d", "doc_id")))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.digest(named).collect()}
+    assert got == {name(i): (n, name(c)) for i, (n, c) in plain.items()} and plain[2][1] == 0
+    kept = {r.doc_id for r in ngram_join.keep_one(named).collect()}
+    assert kept == {name(r.doc_id) for r in ngram_join.keep_one(docs_of(rows)).collect()} and "d01" not in kept
