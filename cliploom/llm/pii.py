@@ -4,22 +4,24 @@ Protected entities are the e-mail addresses, IP addresses, card and phone number
 `min_letters` or more letters, lower-cased, outside e-mail addresses) co-occurs with an entity where both stand in one
 document.  Over the whole corpus
 
-    disclosure(term, entity) = log2(p(entity | term) / p(entity)) / -log2 p(entity)
-
-is the share of the entity's information that the term gives away: p(entity) is the entity's share of all documents and
-p(entity | term) the share s of the term's documents in which both stand together, smoothed by how much was seen of it: with
-c different texts that hold both (copies are one) it is (c s + p(entity)) / (c + 1), so no entity is too rare to have terms,
-and evidence from few texts counts for less.  Terms at or over `threshold` become spans of kind `term` wherever they stand
-in any document; `sanitise` generalises the entities to their kind and removes or generalises the terms.
-
-A term's documents are counted over the corpus only where they can matter.  p(entity | term) must reach
-p(entity) ** (1 - threshold), and a term stands in no fewer documents than in those with entities.  So terms that stand in
-too many of the documents with entities go before terms and entities meet, and pairs that fall short on these counts go
-before the corpus is read for the terms of the rest.  When it is, the `COMMON_TERMS` most frequent of the terms that are in no
-pair left are left out by a broadcast of that size, which spares most of the shuffle.  No term that discloses is lost by it.
-
-Rows meet by (term, entity) and by term, always as counts that were pre-aggregated before the shuffle.  Entities that stand
-in one text only have the same counts there, so one of them stands for all.  Spans are only cut from documents that hold a
+    disclosure(term, entity) = p(entity | term) = c s / (c + 1)
+
+is how sure the term makes of the entity: s is the share of the term's documents in which both stand together and c the
+number of different texts that hold both (copies are one), so evidence from few texts counts for less.  A term discloses an
+entity if that is `threshold` or more - at 0.6 under three quarters of a bit of the entity is left - if at least
+`MIN_CONTEXTS` different texts show it, and if it at least doubles the entity's share of all documents.  None of this
+depends on how many other documents there are, but that an entity in a third of them or more needs more of a term.  Terms
+that disclose become spans of kind `term` wherever they stand in any document; `sanitise` generalises the entities to their
+kind and removes or generalises the terms.
+
+A term's documents are counted over the corpus only where they can matter.  An entity of one text has no terms.  A term
+stands in no fewer documents than in those with entities, and in at most the entity's number of documents over the
+threshold.  So terms that stand in too many of the documents with entities go before terms and entities meet, and pairs that
+fall short on these counts go before the corpus is read for the terms of the rest.  When it is, the `COMMON_TERMS` most
+frequent of the terms that are in no pair left are left out by a broadcast of that size, which spares most of the shuffle.
+No term that discloses is lost by it.
+
+Rows meet by (term, entity) and by term, always as counts that were pre-aggregated before the shuffle.  Spans are only cut from documents that hold a
 revealing term: where a document holds few, by a pattern of its own terms, else by a join of its words with them.
 
 Edge cases: a null text is empty and gives no spans; repeated rows and rows that share a doc_id are told apart by their
@@ -37,6 +39,8 @@ from .columns import HYPHEN_MARK, NAMED, SPACE_MARK, checkpointed, joined, named
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Ruled-out terms, and documents with revealing terms, that are broadcast at most.
 COMMON_TERMS, BROADCAST_ROWS = 100_000, 100_000
+#: Different texts that must show a term with an entity.
+MIN_CONTEXTS = 2
 #: Revealing terms of a document up to which one pattern finds them.
 PATTERN_TERMS = 500
 
@@ -144,10 +148,9 @@ def _mentions(docs: DataFrame, min_letters: int) -> DataFrame:
 
 
 def _disclosure(pair_docs: Column, term_docs: Column, entity_docs: Column, contexts: Column, n: int) -> Column:
-    p_entity = F.least(entity_docs / F.lit(n), F.lit(1.0))
-    seen = F.least(pair_docs / term_docs, F.lit(1.0))
-    p_given = (contexts * seen + p_entity) / (contexts + 1)
-    return F.when(p_entity < 1, F.log2(p_given / p_entity) / -F.log2(p_entity)).otherwise(F.lit(0.0))
+    """p(entity | term), or 0 where too few texts show both or the entity is no likelier by it."""
+    sure = contexts * F.least(pair_docs / term_docs, F.lit(1.0)) / (contexts + 1)
+    return F.when((contexts >= MIN_CONTEXTS) & (sure * n >= 2 * entity_docs), sure).otherwise(F.lit(0.0))
 
 
 def candidate_pairs(mentions: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -158,13 +161,10 @@ def candidate_pairs(mentions: DataFrame, n: int, threshold: float) -> tuple[Data
     texts = mentions.where(F.size("values") > 0).groupBy("_pii_hash").agg(F.count(F.lit(1)).alias("copies"), F.first("values").alias("values"), F.first("terms").alias("terms"))
     texts = checkpointed(texts)
     placed = texts.select("_pii_hash", "copies", F.explode("values").alias("entity"))
-    counted = placed.groupBy("entity").agg(F.sum("copies").alias("entity_docs"), F.count(F.lit(1)).alias("texts"), F.min("_pii_hash").alias("_pii_hash"))
-    single = counted.where("texts = 1").groupBy("_pii_hash", "entity_docs").agg(F.min("entity").alias("entity"))
-    shared = placed.select("_pii_hash", "entity").join(counted.where("texts > 1").select("entity", "entity_docs"), "entity")
-    stand = single.unionByName(shared.select("_pii_hash", "entity_docs", "entity"))
+    counted = placed.groupBy("entity").agg(F.sum("copies").alias("entity_docs"), F.count(F.lit(1)).alias("texts"))
     # The documents that a term may stand in at most to disclose the entity, a rounding error aside.
-    most = F.pow(F.col("entity_docs").cast("double"), F.lit(threshold)) * (float(n) ** (1 - threshold) * (1 + 1e-9))
-    stand = checkpointed(stand.withColumn("most", most))
+    most = F.col("entity_docs").cast("double") / (threshold * (1 - 1e-9))
+    stand = checkpointed(placed.select("_pii_hash", "entity").join(counted.where(F.col("texts") >= MIN_CONTEXTS).select("entity", "entity_docs"), "entity").withColumn("most", most))
 
     each = texts.select("_pii_hash", "copies", F.explode("terms").alias("term"))
     seen = checkpointed(each.groupBy("term").agg(F.sum("copies").alias("seen_docs")))
@@ -190,7 +190,7 @@ def holders(docs: DataFrame, terms: DataFrame, ruled_out: DataFrame, min_letters
 
 
 def disclosing_terms(pairs: DataFrame, held: DataFrame, n: int, threshold: float) -> DataFrame:
-    """(term, entity, disclosure) at or over the threshold; one entity stands for those of one text only."""
+    """(term, entity, disclosure) at or over the threshold."""
     scored = pairs.join(held.groupBy("term").agg(F.count(F.lit(1)).alias("term_docs")), "term")
     score = _disclosure(F.col("pair_docs"), F.col("term_docs"), F.col("entity_docs"), F.col("contexts"), n)
     return scored.select("term", "entity", score.alias("disclosure")).where(F.col("disclosure") >= threshold)
@@ -222,7 +222,7 @@ def _term_spans(docs: DataFrame, held: DataFrame, terms: DataFrame, min_letters:
     return few.unionByName(many).groupBy("_pii_doc", "_pii_h").agg(F.collect_set(found).alias("found"))
 
 
-def disclosures(docs: DataFrame, min_letters: int = 1, threshold: float = 0.9) -> DataFrame:
+def disclosures(docs: DataFrame, min_letters: int = 1, threshold: float = 0.6) -> DataFrame:
     """doc_id, _pii_hash, base and private: all spans, as arrays of (kind_no, kind, start, end); one row per document."""
     mentions = checkpointed(_mentions(docs, min_letters))
     n = mentions.count()

@@ -230,13 +230,14 @@ def brute_terms(rows, threshold):
             contexts[pair].add(text)
     telling = set()
     for (x, v), c in pair_docs.items():
-        p, k = entity_docs[v] / n, len(contexts[(x, v)])
-        if p < 1 and math.log2((k * c / docs[x] + p) / (k + 1) / p) / -math.log2(p) >= threshold:
+        k = len(contexts[(x, v)])
+        sure = k * c / docs[x] / (k + 1)
+        if k >= 2 and sure >= threshold and sure * n >= 2 * entity_docs[v]:
             telling.add(x)
     return {i: {(m.start(), m.end()) for m in word.finditer(t) if m[0].lower() in telling} for (i, _), t in zip(rows, plain)}, docs, telling
 
 
-@pytest.mark.parametrize(("threshold", "pattern_terms"), [(0.9, pii.PATTERN_TERMS), (0.6, pii.PATTERN_TERMS), (0.6, 0)])
+@pytest.mark.parametrize(("threshold", "pattern_terms"), [(0.6, pii.PATTERN_TERMS), (0.4, pii.PATTERN_TERMS), (0.4, 0)])
 def test_terms_by_brute_force(docs_of, monkeypatch, threshold, pattern_terms):
     monkeypatch.setattr(pii, "PATTERN_TERMS", pattern_terms)  # 0: all by the join
     rnd = random.Random(8)
@@ -275,11 +276,20 @@ def test_terms_of_rare_entities(docs_of):
     rows = [(1, "Zorblat plans with one@rare.example.com"), (2, "Quixmore plans for two@rare.example.com"), (3, "so Quixmore plans to meet two@rare.example.com"), (4, "and Zorblat again")]
     rows += [(100 + i, f"so and again plans with for to meet number {i}") for i in range(1500)]
     got = {r.doc_id: r.spans for r in pii.digest(docs_of(rows)).collect()}
-    # Seen in one text, or in two; not where the term stands without the entity half of the time, nor for common words.
+    # Seen in two texts; not where the term stands without the entity half of the time, nor for common words.
     assert "term:0:8" in got[2] and "term:3:11" in got[3] and all(got[i].count("term") == 1 for i in (2, 3))
     assert "term" not in got[1] and "term" not in got[4] and "term" not in got[100]
+    # One text is no evidence, however rare the term and the entity are.
     one = {r.doc_id: r.spans for r in pii.digest(docs_of(rows[:3] + rows[4:])).collect()}
-    assert "term:0:7" in one[1]
+    assert "term" not in one[1] and one[2] == got[2]
+
+
+@pytest.mark.parametrize("n", [20, 60, 1000, 1040, 3000])
+def test_terms_do_not_hang_on_the_corpus_size(docs_of, n):
+    rows = [(1, "Zorblat plans with one@rare.example.com"), (2, "Quixmore plans for two@rare.example.com"), (3, "so Quixmore plans to meet two@rare.example.com"), (4, "Vexel by six@rare.example.com or else"), (5, "else Vexel at six@rare.example.com"), (6, "no Vexel here"), (7, "nor Vexel here")]
+    rows += [(100 + i, f"so and plans with for to meet or else by at number {i}") for i in range(n)]
+    got = {r.doc_id: r.spans for r in pii.digest(docs_of(rows)).collect()}
+    assert {i for i, s in got.items() if "term" in s} == {2, 3} and "term:0:8" in got[2] and "term:3:11" in got[3]
 
 
 def test_edges(edges, empty):
