@@ -75,10 +75,12 @@ def event_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.withColumn("end_sec", F.col("start_sec") + F.floor(F.col("value") * 100 + 0.5) * 0.6).drop("value")
 
 
-def ranges(spark: SparkSession, sf_dir: str, count: int = 20, step: float = 129600.0, width: float = 20000.0) -> DataFrame:
-    """asset_id, range_id, start_sec, end_sec: the same tumbling ranges for each user of events."""
-    users = table(spark, sf_dir, "events").select(F.col("user_id").alias("asset_id")).distinct()
-    rows = users.withColumn("range_id", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+def ranges(spark: SparkSession, sf_dir: str, step: float = 129600.0, width: float = 20000.0) -> DataFrame:
+    """asset_id, range_id, start_sec, end_sec: the same tumbling ranges for each user of events, up to the last event."""
+    events = table(spark, sf_dir, "events")
+    last = events.agg(F.floor(F.max(seconds("ts")) / step).cast("int").alias("_last")).withColumn("_one", F.lit(1))
+    rows = events.select(F.col("user_id").alias("asset_id"), F.lit(1).alias("_one")).distinct().join(last, "_one")
+    rows = rows.select("asset_id", F.explode(F.sequence(F.lit(0), "_last")).alias("range_id"))
     return rows.withColumns({"start_sec": F.col("range_id") * step, "end_sec": F.col("range_id") * step + width})
 
 

@@ -137,7 +137,7 @@ ORACLES["timeline_state"] = f"""WITH {ITEMS} SELECT scope, count(*) AS item_coun
 _T = "floor((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 1000) / 1e3"
 AUDIO = f"audio AS (SELECT user_id AS asset_id, event_id, {_T} AS t, {r('least(1e0, value / 500)')} AS rms, value < 5 AS silent FROM events)"
 SPANS_E = f"es AS (SELECT user_id AS asset_id, event_id, {_T} AS s, {_T} + floor(value * 100 + 0.5e0) * {d(0.6)} AS e, event_type AS text FROM events)"
-_ranges = lambda width: f"ranges AS (SELECT asset_id, i::INT AS range_id, i * 129600e0 AS s, i * 129600e0 + {width} AS e FROM (SELECT DISTINCT user_id AS asset_id FROM events), range(0, 20) x(i))"
+_ranges = lambda width: f"ranges AS (SELECT asset_id, i::INT AS range_id, i * 129600e0 AS s, i * 129600e0 + {width} AS e FROM (SELECT DISTINCT user_id AS asset_id FROM events), range(0, (SELECT floor(max({_T}) / 129600)::BIGINT + 1 FROM events)) x(i))"
 _NEAR = """ins AS (SELECT r.asset_id, range_id, event_id, t, rms, silent, 'inside' AS matched FROM ranges r JOIN audio a ON a.asset_id = r.asset_id AND t >= s AND t <= e),
 near AS (SELECT r.asset_id, range_id, event_id, t, rms, silent, 'nearest' AS matched FROM ranges r JOIN audio a ON a.asset_id = r.asset_id WHERE NOT EXISTS (SELECT 1 FROM ins i WHERE i.asset_id = r.asset_id AND i.range_id = r.range_id)
   QUALIFY row_number() OVER (PARTITION BY r.asset_id, range_id ORDER BY abs(t - (s + e) / 2), t, event_id) = 1),
