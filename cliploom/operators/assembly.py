@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import clamp, padded, rounded
 from ..functions.text import is_question
-from .intervals import gap_stats, overlapping_ranges
+from ..sources.scratch import checkpointed
+from .intervals import gap_stats
+from .ranges import overlapping_ranges, points_in_ranges
 
 
 def split_dividers(segments: DataFrame, turns: DataFrame, spans: DataFrame, scenes: DataFrame, keys: tuple[str, str] = ("asset_id", "segment_id"), bin_width: float = 30.0) -> DataFrame:
@@ -35,7 +37,8 @@ def split_dividers(segments: DataFrame, turns: DataFrame, spans: DataFrame, scen
     by_gap = gaps(own, 1.25).join(counts.where("n >= 3").select(asset, seg), [asset, seg])
     by_gap = by_gap.select(asset, seg, "s", "e", F.lit(2).alias("rank"), (-F.col("gap")).alias("order"), "mid", F.lit("transcript-gap").alias("rule"))
     cuts = scenes.select(asset, rounded("end_sec", 3).alias("mid"), F.lead("start_sec").over(Window.partitionBy(asset).orderBy("pos")).alias("next")).where("next is not null")
-    by_scene = long_ones.join(cuts, asset).where("mid >= s + 1.5 and mid <= e - 1.5").join(counts, [asset, seg], "left")
+    inner = long_ones.select(asset, seg, "s", "e", (F.col("s") + 1.5).alias("_a"), (F.col("e") - 1.5).alias("_b"))
+    by_scene = points_in_ranges(cuts, inner, [asset], "mid", "_a", "_b", bin_width).drop("_a", "_b").join(counts, [asset, seg], "left")
     both_sides = F.col("n").isNull() | ((F.col("first_a") < F.col("mid")) & (F.col("last_b") > F.col("mid")))
     order = F.when(F.col("n").isNull(), F.abs(F.col("mid") - (F.col("s") + F.col("e")) / 2)).otherwise(F.col("mid"))
     by_scene = by_scene.where(both_sides).select(asset, seg, "s", "e", F.lit(3).alias("rank"), order.alias("order"), "mid", F.lit("scene-divider").alias("rule"))
@@ -75,7 +78,8 @@ def continuity(segments: DataFrame, spans: DataFrame, turns: DataFrame, scenes:
     Segments hold segment_id, range, analysis_mode, transcript_excerpt, seed_sources and source (the segment that a part was
     split from, or null); turns hold turn, scenes pos.
     """
-    rows = _neighbours(segments, key)
+    # Read by each of the joins below, and dear where the caller's segments are.
+    rows = checkpointed(_neighbours(segments, key))
     pairs = rows.where("left is not null").select(key, "pos", "_from", "_to", F.col("left.start_sec").alias("ls"), F.col("left.end_sec").alias("le"), F.col("start_sec").alias("rs"), F.col("end_sec").alias("re"))
     ranges = F.array_sort(F.collect_list(F.struct(F.col("a").alias("start"), F.col("b").alias("end"))))
 
@@ -95,7 +99,8 @@ def continuity(segments: DataFrame, spans: DataFrame, turns: DataFrame, scenes:
     on = on.select(key, "pos", gap_stats(F.col("r"))["largest"].alias("turn_gap"), (F.col("shared") | next_turn).alias("on_turn"), (next_turn & (F.col("first.a") - F.col("last.b") >= TURN_BREAK)).alias("turn_break"))
     order = Window.partitionBy(key).orderBy("pos")
     cuts = scenes.withColumn("_next", F.lead("pos").over(order)).where("_next is not null").select(key, rounded(F.col("end_sec"), 3).alias("cut"))
-    cut = pairs.join(cuts, key).where("cut >= le and cut <= rs").select(key, "pos").distinct().withColumn("divider", F.lit(True))
+    pauses = pairs.where("le <= rs").select(key, "pos", "le", "rs")
+    cut = points_in_ranges(cuts, pauses, [key], "cut", "le", "rs", bin_width).select(key, "pos").distinct().withColumn("divider", F.lit(True))
     rows = rows.join(said, [key, "pos"], "left").join(on, [key, "pos"], "left").join(cut, [key, "pos"], "left").drop("_from", "_to")
     zero, no = F.lit(0.0), F.lit(False)
     return rows.withColumns(
@@ -164,6 +169,7 @@ def assembled(segments: DataFrame, spans: DataFrame, turns: DataFrame, scenes: D
         F.when(cut, F.col("segment_id").cast("string")).alias("source"),
         F.when(cut, F.col("rule")).otherwise(F.lit("")).alias("rule"),
     )
+    parts = checkpointed(parts)
     near = continuity(describe(parts), spans, turns, scenes, key)
     chains = merged_chains(near, merge_rule(), key)
     # A chain of one row is that row.

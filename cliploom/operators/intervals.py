@@ -127,12 +127,13 @@ def refined_by_duration(start: Column, end: Column, duration: Column) -> Column:
     return F.struct(rounded(F.greatest(F.lit(0.0), centre - half), 3).alias("start"), rounded(F.least(duration, centre + half), 3).alias("end"), F.lit("duration-rule").alias("strategy"), F.lit(0.48).alias("confidence"))
 
 
-def refined_by_scene(seeds: DataFrame, scenes: DataFrame, key: str = "asset_id", seed_id: str = "seed_id") -> DataFrame:
+def refined_by_scene(seeds: DataFrame, scenes: DataFrame, key: str = "asset_id", seed_id: str = "seed_id", bin_width: float = 30.0) -> DataFrame:
     """key, seed_id, refined: the first scene that holds the seed's centre, else the one that overlaps it most.
 
-    Scenes over 8 seconds give way to the duration rule.
+    Scenes over 8 seconds give way to the duration rule.  A seed meets only scenes of its own bins.
     """
-    both = seeds.join(scenes.select(key, F.col("pos").alias("_pos"), F.col("start_sec").alias("_a"), F.col("end_sec").alias("_b")), key)
+    own = scenes.select(key, F.col("pos").alias("_pos"), F.col("start_sec").alias("_a"), F.col("end_sec").alias("_b"))
+    both = overlapping_ranges(seeds.select(key, seed_id, "start_sec", "end_sec", "duration_sec"), own, [key], ("start_sec", "end_sec"), ("_a", "_b"), bin_width)
     centre = (F.col("start_sec") + F.col("end_sec")) / 2
     holds = ((F.col("_a") <= centre) & (centre <= F.col("_b"))).cast("int")
     overlap = F.greatest(F.lit(0.0), F.least("end_sec", "_b") - F.greatest("start_sec", "_a"))
@@ -143,10 +144,11 @@ def refined_by_scene(seeds: DataFrame, scenes: DataFrame, key: str = "asset_id",
     return best.select(key, seed_id, F.when(F.col("_b") - F.col("_a") > 8, by_rule.withField("strategy", F.lit("scene-duration"))).otherwise(snapped).alias("refined"))
 
 
-def refined_by_audio(seeds: DataFrame, audio: DataFrame, key: str = "asset_id", seed_id: str = "seed_id", least: float = 0.05) -> DataFrame:
+def refined_by_audio(seeds: DataFrame, audio: DataFrame, key: str = "asset_id", seed_id: str = "seed_id", least: float = 0.05, bin_width: float = 30.0) -> DataFrame:
     """key, seed_id, refined: the run of energetic audio rows nearest to the seed's centre, padded by half the mean step.
 
-    Runs under a second or centred more than two seconds away do not count.
+    Runs under a second or centred more than two seconds away do not count; so a seed only meets runs that come within two
+    seconds and a step of its centre.
     """
     order = Window.partitionBy(key).orderBy("t")
     loud = (~F.col("is_silent")) & (F.col("rms_energy") >= least)
@@ -154,8 +156,9 @@ def refined_by_audio(seeds: DataFrame, audio: DataFrame, key: str = "asset_id",
     rows = rows.withColumn("_run", F.row_number().over(order) - F.row_number().over(Window.partitionBy(key, "_loud").orderBy("t")))
     steps = audio.withColumn("_gap", F.col("t") - F.lag("t").over(order)).groupBy(key).agg(F.coalesce(F.avg("_gap"), F.lit(1.0)).alias("_step"))
     runs = rows.where("_loud").groupBy(key, "_run").agg(F.min("t").alias("_a"), F.max("t").alias("_b"))
-    both = seeds.join(steps, key).join(runs, key)
     centre = (F.col("start_sec") + F.col("end_sec")) / 2
+    reach = seeds.select(key, seed_id, "start_sec", "end_sec", "duration_sec").join(steps, key).withColumns({"_lo": centre - 2 - F.col("_step"), "_hi": centre + 2 + F.col("_step")})
+    both = overlapping_ranges(reach, runs.select(key, F.col("_a"), F.col("_b")), [key], ("_lo", "_hi"), ("_a", "_b"), bin_width)
     away = F.greatest(F.col("_a") - centre, centre - F.col("_b"), F.lit(0.0))
     turn = Window.partitionBy(key, seed_id).orderBy("_away", "_a")
     best = both.withColumn("_away", away).withColumn("_turn", F.row_number().over(turn)).where("_turn = 1")
@@ -176,7 +179,7 @@ def refined(seeds: DataFrame, by_transcript: DataFrame, by_audio: DataFrame, by_
     return kept.select(key, seed_id, F.col("start").alias("start_sec"), F.col("end").alias("end_sec"), F.col("strategy").alias("boundary_strategy"), F.col("confidence").alias("boundary_confidence"))
 
 
-def refined_by_transcript(seeds: DataFrame, spans: DataFrame, turns: DataFrame, key: str = "asset_id", seed_id: str = "seed_id", margin: float = 0.75) -> DataFrame:
+def refined_by_transcript(seeds: DataFrame, spans: DataFrame, turns: DataFrame, key: str = "asset_id", seed_id: str = "seed_id", margin: float = 0.75, bin_width: float = 30.0) -> DataFrame:
     """key, seed_id, refined: a seed snapped to the turns (else spans) that it overlaps within the margin.
 
     After a closing question the next turn joins if it starts within 1.6 s; where one turn matched that asks nothing, the
@@ -186,7 +189,7 @@ def refined_by_transcript(seeds: DataFrame, spans: DataFrame, turns: DataFrame,
 
     order = Window.partitionBy(key).orderBy("start_sec", "end_sec")
     ahead = turns.select(key, F.col("start_sec").alias("a"), F.col("end_sec").alias("b"), is_question("text").alias("q"), F.lead("start_sec").over(order).alias("next_a"), F.lead("end_sec").over(order).alias("next_b"), F.coalesce(is_question(F.lead("text").over(order)), F.lit(False)).alias("next_q"))
-    by_turn = overlapping_ranges(seeds, ahead, [key], ("start_sec", "end_sec"), ("a", "b"), None, margin)
+    by_turn = overlapping_ranges(seeds, ahead, [key], ("start_sec", "end_sec"), ("a", "b"), bin_width, margin)
     last = F.max(F.struct("a", "b", "q", "next_a", "next_b", "next_q"))
     found = by_turn.groupBy(key, seed_id).agg(F.min("a").alias("a"), F.max("b").alias("b"), F.count(F.lit(1)).alias("n"), last.alias("l"))
     pause = F.col("l.next_a") - F.col("l.b")
@@ -194,7 +197,7 @@ def refined_by_transcript(seeds: DataFrame, spans: DataFrame, turns: DataFrame,
     end = F.when(F.coalesce(joins, F.lit(False)), F.greatest("b", "l.next_b")).otherwise(F.col("b"))
     snap = lambda a, b, name, conf: F.struct(a.alias("start"), b.alias("end"), F.lit(name).alias("strategy"), F.lit(conf).alias("confidence"))
     first = found.select(key, seed_id, snap(F.col("a"), end, "turn-snap", 0.93).alias("refined"))
-    by_span = overlapping_ranges(seeds, spans.select(key, F.col("start_sec").alias("a"), F.col("end_sec").alias("b")), [key], ("start_sec", "end_sec"), ("a", "b"), None, margin)
+    by_span = overlapping_ranges(seeds, spans.select(key, F.col("start_sec").alias("a"), F.col("end_sec").alias("b")), [key], ("start_sec", "end_sec"), ("a", "b"), bin_width, margin)
     second = by_span.groupBy(key, seed_id).agg(snap(F.min("a"), F.max("b"), "transcript-snap", 0.90).alias("refined"))
     both = first.unionByName(second.join(first.select(key, seed_id), [key, seed_id], "left_anti"))
     return both.where(F.col("refined.end") - F.col("refined.start") >= 1)
