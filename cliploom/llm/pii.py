@@ -7,14 +7,15 @@ document.  Over the whole corpus
     disclosure(term, entity) = p(entity | term) = c s / (c + 1)
 
 is how sure the term makes of the entity: s is the share of the term's documents in which both stand together and c the
-number of different texts that hold both (copies are one), so evidence from few texts counts for less.  A term discloses an
-entity if that is `threshold` or more - at 0.6 under three quarters of a bit of the entity is left - if at least
-`MIN_CONTEXTS` different texts show it, and if it at least doubles the entity's share of all documents.  None of this
+number of different contexts of the entity in these, so evidence from few of them counts for less.  A context is what stands
+within `AROUND` code points of the entity; exact copies and most near copies of a text have the same one.  A term discloses
+an entity if its disclosure is `threshold` or more - at 0.6 under three quarters of a bit of the entity is left - if at least
+`MIN_CONTEXTS` contexts show it, and if it at least doubles the entity's share of all documents.  None of this
 depends on how many other documents there are, but that an entity in a third of them or more needs more of a term.  Terms
 that disclose become spans of kind `term` wherever they stand in any document; `sanitise` generalises the entities to their
 kind and removes or generalises the terms.
 
-A term's documents are counted over the corpus only where they can matter.  An entity of one text has no terms.  A term
+A term's documents are counted over the corpus only where they can matter.  An entity of one context has no terms.  A term
 stands in no fewer documents than in those with entities, and in at most the entity's number of documents over the
 threshold.  So terms that stand in too many of the documents with entities go before terms and entities meet, and pairs that
 fall short on these counts go before the corpus is read for the terms of the rest.  When it is, the `COMMON_TERMS` most
@@ -39,8 +40,8 @@ from .columns import HYPHEN_MARK, NAMED, SPACE_MARK, checkpointed, joined, named
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Ruled-out terms, and documents with revealing terms, that are broadcast at most.
 COMMON_TERMS, BROADCAST_ROWS = 100_000, 100_000
-#: Different texts that must show a term with an entity.
-MIN_CONTEXTS = 2
+#: Contexts that must show a term with an entity, and how far a context reaches, in code points.
+MIN_CONTEXTS, AROUND = 2, 16
 #: Revealing terms of a document up to which one pattern finds them.
 PATTERN_TERMS = 500
 
@@ -140,31 +141,41 @@ def _terms(text: Column, min_letters: int) -> Column:
     return F.array_distinct(F.transform(words, lambda x: F.lower(x)))
 
 
+def _placed_values(text: Column) -> Column:
+    """The entities of a text, each with the least of the contexts that it stands in: `AROUND` code points on either side."""
+
+    def context(x: Column) -> Column:
+        before = F.substring(text, F.greatest(x["start"] - AROUND, F.lit(0)) + 1, F.least(x["start"], F.lit(AROUND)))
+        return F.concat(before, F.lit("\n"), F.substring(text, x["end"] + 1, F.lit(AROUND)))
+
+    return F.zip_with("base", "values", lambda x, v: F.struct(v.alias("entity"), context(x).alias("context")))
+
+
 def _mentions(docs: DataFrame, min_letters: int) -> DataFrame:
-    """Documents with their spans, distinct entities and, where they have any, distinct terms."""
+    """Documents with their spans, entities with their contexts and, where they have any, distinct terms."""
     rows = entities(docs.select("doc_id", "text", F.xxhash64(text_of()).alias("_pii_hash")), keep=("doc_id", "_pii_hash", "text"))
     terms = F.when(F.size("values") > 0, _terms(text_of(), min_letters)).otherwise(F.array().cast("array<string>"))
-    return rows.select("doc_id", "_pii_hash", "base", F.array_distinct("values").alias("values"), terms.alias("terms"))
+    return rows.select("doc_id", "_pii_hash", "base", F.array_distinct(_placed_values(text_of())).alias("values"), terms.alias("terms"))
 
 
 def _disclosure(pair_docs: Column, term_docs: Column, entity_docs: Column, contexts: Column, n: int) -> Column:
-    """p(entity | term), or 0 where too few texts show both or the entity is no likelier by it."""
+    """p(entity | term), or 0 where too few contexts show both or the entity is no likelier by it."""
     sure = contexts * F.least(pair_docs / term_docs, F.lit(1.0)) / (contexts + 1)
     return F.when((contexts >= MIN_CONTEXTS) & (sure * n >= 2 * entity_docs), sure).otherwise(F.lit(0.0))
 
 
 def candidate_pairs(mentions: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(pairs, seen): term, entity, entity_docs, pair_docs, contexts - counts of documents, and of different texts, over
+    """(pairs, seen): term, entity, entity_docs, pair_docs, contexts - counts of documents, and of different contexts, over
     whole documents - of all pairs that can disclose, and some that term counts over the corpus will show not to; and
     term, seen_docs of all terms of the documents with entities.
     """
     texts = mentions.where(F.size("values") > 0).groupBy("_pii_hash").agg(F.count(F.lit(1)).alias("copies"), F.first("values").alias("values"), F.first("terms").alias("terms"))
     texts = checkpointed(texts)
-    placed = texts.select("_pii_hash", "copies", F.explode("values").alias("entity"))
-    counted = placed.groupBy("entity").agg(F.sum("copies").alias("entity_docs"), F.count(F.lit(1)).alias("texts"))
+    placed = texts.select("_pii_hash", "copies", F.inline("values")).groupBy("_pii_hash", "copies", "entity").agg(F.min("context").alias("context"))
+    counted = placed.groupBy("entity").agg(F.sum("copies").alias("entity_docs"), F.countDistinct("context").alias("contexts"))
     # The documents that a term may stand in at most to disclose the entity, a rounding error aside.
     most = F.col("entity_docs").cast("double") / (threshold * (1 - 1e-9))
-    stand = checkpointed(placed.select("_pii_hash", "entity").join(counted.where(F.col("texts") >= MIN_CONTEXTS).select("entity", "entity_docs"), "entity").withColumn("most", most))
+    stand = checkpointed(placed.select("_pii_hash", "entity", "context").join(counted.where(F.col("contexts") >= MIN_CONTEXTS).select("entity", "entity_docs"), "entity").withColumn("most", most))
 
     each = texts.select("_pii_hash", "copies", F.explode("terms").alias("term"))
     seen = checkpointed(each.groupBy("term").agg(F.sum("copies").alias("seen_docs")))
@@ -172,6 +183,7 @@ def candidate_pairs(mentions: DataFrame, n: int, threshold: float) -> tuple[Data
     most_of_text = stand.groupBy("_pii_hash").agg(F.max("most").alias("text_most"))
     rare = each.join(most_of_text, "_pii_hash").join(seen.where(F.col("seen_docs") <= most_of_all), "term").where("seen_docs <= text_most")
     pairs = rare.select("_pii_hash", "copies", "term", "seen_docs").join(stand, "_pii_hash").where("seen_docs <= most")
+    pairs = pairs.groupBy("term", "entity", "entity_docs", "seen_docs", "context").agg(F.sum("copies").alias("copies"))
     pairs = pairs.groupBy("term", "entity", "entity_docs", "seen_docs").agg(F.sum("copies").alias("pair_docs"), F.count(F.lit(1)).alias("contexts"))
     may = _disclosure(F.col("pair_docs"), F.col("seen_docs"), F.col("entity_docs"), F.col("contexts"), n) >= threshold - 1e-9
     return pairs.where(may).drop("seen_docs"), seen
@@ -186,7 +198,7 @@ def _bounded(rows: DataFrame) -> DataFrame:
 def holders(docs: DataFrame, terms: DataFrame, ruled_out: DataFrame, min_letters: int) -> DataFrame:
     """_pii_h, term: for each document, copies as well, its text's hash and the given terms that it holds."""
     each = docs.select(F.xxhash64(text_of()).alias("_pii_h"), F.explode(_terms(text_of(), min_letters)).alias("term"))
-    return each.join(F.broadcast(ruled_out), "term", "left_anti").join(terms, "term", "left_semi")
+    return each.join(F.broadcast(ruled_out), "term", "left_anti").join(_bounded(terms), "term", "left_semi")
 
 
 def disclosing_terms(pairs: DataFrame, held: DataFrame, n: int, threshold: float) -> DataFrame:

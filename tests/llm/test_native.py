@@ -222,12 +222,15 @@ def brute_terms(rows, threshold):
     values = []
     for _, t in rows:
         t = t or ""
-        values.append({(k, t[a:b].lower() if k < 2 else re.sub("[^0-9]", "", t[a:b])) for k, a, _, b in brute_pii(t)})
+        held = defaultdict(list)
+        for k, a, _, b in brute_pii(t):
+            held[k, t[a:b].lower() if k < 2 else re.sub("[^0-9]", "", t[a:b])].append((t[max(0, a - 16) : a] + "\n" + t[b : b + 16]).encode())
+        values.append({e: min(c) for e, c in held.items()})
     n, docs, entity_docs, pair_docs, contexts = len(rows), Counter(x for t in terms for x in t), Counter(v for e in values for v in e), Counter(), defaultdict(set)
-    for (_, text), t, e in zip(rows, terms, values):
+    for t, e in zip(terms, values):
         for pair in ((x, v) for x in t for v in e):
             pair_docs[pair] += 1
-            contexts[pair].add(text)
+            contexts[pair].add(e[pair[1]])
     telling = set()
     for (x, v), c in pair_docs.items():
         k = len(contexts[(x, v)])
@@ -284,6 +287,14 @@ def test_terms_of_rare_entities(docs_of):
     assert "term" not in one[1] and one[2] == got[2]
 
 
+def test_near_copies_are_one_context(docs_of):
+    text = "Brindle wrote that the flarn was late, see boss@corp.example.com for the plan of the wexley"
+    rows = [(1, text), (2, text + " and more"), (3, "Well: " + text), (4, text.replace("flarn", "spoon"))] + [(100 + i, f"the plan that was late for more {i}") for i in range(50)]
+    assert all("term" not in r.spans for r in pii.digest(docs_of(rows)).collect())
+    got = {r.doc_id: r.n_terms for r in pii.digest(docs_of([*rows, (5, "Brindle says boss@corp.example.com knows")])).collect()}
+    assert all(got[i] == 1 for i in range(1, 6)) and got[100] == 0
+
+
 @pytest.mark.parametrize("n", [20, 60, 1000, 1040, 3000])
 def test_terms_do_not_hang_on_the_corpus_size(docs_of, n):
     rows = [(1, "Zorblat plans with one@rare.example.com"), (2, "Quixmore plans for two@rare.example.com"), (3, "so Quixmore plans to meet two@rare.example.com"), (4, "Vexel by six@rare.example.com or else"), (5, "else Vexel at six@rare.example.com"), (6, "no Vexel here"), (7, "nor Vexel here")]
