@@ -34,7 +34,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of linked ones; ids are integers.
+    """The first document of each group of linked ones; ids are of any type that can be ordered.
 
     Null and empty texts link with nothing and stay; of rows that share an id one stays; rows with a null id all stay.
     """
