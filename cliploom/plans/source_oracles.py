@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import oracles as o
-from .field_oracles import LABELLED, _cnt, _has, _one
+from .field_oracles import LABELLED, _cnt, _has
 from .oracles import ORACLES, clamp, d, r
 
 ORACLES["scene_cuts"] = f"""WITH RECURSIVE {o.AUDIO}, cl AS (SELECT asset_id, floor(max(t)) + 7200e0 AS dur FROM audio GROUP BY asset_id),

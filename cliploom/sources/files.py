@@ -1,6 +1,6 @@
 """Media listings and captured probes.  S01-S04, S16, S18, S20 of the survey.
 
-Live probing, transcription and frame decoding need programs outside Spark; their captured output is read from tables.
+Probes and logs are read from what the programs wrote, which `programs` captures on the executors.
 """
 
 from __future__ import annotations
@@ -8,7 +8,7 @@ from __future__ import annotations
 import os
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import parsed_float
