@@ -130,8 +130,8 @@ def _crc_entry(i: int) -> int:
 def crc32(src: str, p: str) -> str:
     """{p}crc: doc_id, text, text_crc32, by a fold over the bytes."""
     return f"""{p}table AS (SELECT [{",".join(str(_crc_entry(i)) for i in range(256))}]::UBIGINT[] AS entries),
-{p}bytes AS (SELECT doc_id, text, list_prepend(4294967295::UBIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::UBIGINT)) AS bytes FROM {src}),
-{p}crc AS (SELECT doc_id, text, xor(list_reduce(bytes, lambda a, x: xor(a >> 8::UBIGINT, entries[xor(a & 255::UBIGINT, x)::BIGINT + 1])), 4294967295::UBIGINT)::BIGINT AS text_crc32 FROM {p}bytes, {p}table)"""
+{p}bytes AS MATERIALIZED (SELECT doc_id, text, list_prepend(4294967295::UBIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::UBIGINT)) AS bytes FROM {src}),
+{p}crc AS MATERIALIZED (SELECT doc_id, text, xor(list_reduce(bytes, lambda a, x: xor(a >> 8::UBIGINT, entries[xor(a & 255::UBIGINT, x)::BIGINT + 1])), 4294967295::UBIGINT)::BIGINT AS text_crc32 FROM {p}bytes, {p}table)"""
 
 
 def sharding(src: str, p: str) -> str:
@@ -139,23 +139,18 @@ def sharding(src: str, p: str) -> str:
     one, two = sharding_rules.MULTIPLIERS
     word = "4294967296::UBIGINT"
 
-    def network(value: str) -> tuple[str, str]:
-        """Aliases that lead from a value to the network's output, and the output."""
-        steps = [f"({value} // m) AS l0, ({value} % m) AS r0"]
-        for i, key in enumerate(sharding_rules.round_keys(sharding_rules.SEED)):
-            a, b, c = f"a{i}", f"b{i}", f"c{i}"
-            steps.append(
-                f"((r{i} + {key}::UBIGINT) % {word} * {one}::UBIGINT % {word}) AS {a}, (xor({a}, {a} >> 15::UBIGINT) * {two}::UBIGINT % {word}) AS {b}, (xor({b}, {b} >> 13::UBIGINT) % m) AS {c}, r{i} AS l{i + 1}, xor(l{i}, {c}) AS r{i + 1}"
-            )
-        n = sharding_rules.ROUNDS
-        return ", ".join(steps), f"(l{n} * m + r{n})"
-
-    first, out = network("x")
+    def network(source: str) -> str:
+        """A subquery with x put through the network; a level for each step, as columns of one level would be spelled out in the next."""
+        rows = f"(SELECT *, x // m AS l, x % m AS r, 0::UBIGINT AS a, 0::UBIGINT AS b FROM {source})"
+        for key in sharding_rules.round_keys(sharding_rules.SEED):
+            rows = f"(SELECT * REPLACE (r AS l, xor(l, xor(b, b >> 13::UBIGINT) % m) AS r) FROM (SELECT *, xor(a, a >> 15::UBIGINT) * {two}::UBIGINT % {word} AS b FROM (SELECT * EXCLUDE (a, b), (r + {key}::UBIGINT) % {word} * {one}::UBIGINT % {word} AS a FROM {rows})))"
+        return f"(SELECT doc_id, l * m + r AS x FROM {rows})"
+
     return f"""{crc32(src, p)},
 {p}n AS (SELECT count(*)::UBIGINT AS n, (1::UBIGINT << greatest(1, (ceil(log2(count(*))) + 1)::BIGINT // 2)::UBIGINT) AS m FROM {src}),
-{p}rows AS (SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT + 1 AS size, text_crc32, (row_number() OVER (ORDER BY doc_id NULLS FIRST) - 1)::UBIGINT AS x FROM {p}crc),
-{p}walk AS (SELECT doc_id, {out} AS x FROM (SELECT doc_id, m, {first} FROM {p}rows, {p}n)
-  UNION ALL SELECT doc_id, {out} FROM (SELECT w.doc_id, m, {first} FROM {p}walk w, {p}n WHERE x >= n)),
+{p}rows AS MATERIALIZED (SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT + 1 AS size, text_crc32, (row_number() OVER (ORDER BY doc_id NULLS FIRST) - 1)::UBIGINT AS x FROM {p}crc),
+{p}walk AS (SELECT doc_id, x FROM {network(f"(SELECT doc_id, m, x FROM {p}rows, {p}n)")}
+  UNION ALL SELECT doc_id, x FROM {network(f"(SELECT w.doc_id, m, w.x FROM {p}walk w, {p}n WHERE w.x >= n)")}),
 {p}dealt AS (SELECT r.doc_id, size, text_crc32, w.x AS place FROM {p}rows r JOIN {p}walk w USING (doc_id), {p}n WHERE w.x < n)"""
 
 
