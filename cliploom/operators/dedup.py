@@ -61,6 +61,16 @@ def intersections(bins: DataFrame, group: str, item: str, threshold: float | Non
     return common.select(group, "a", "b", rounded(F.col("common") / F.col("mass"), 6).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
+def compared(items: DataFrame, group: str, item: str, similarity: Callable[[Column, Column], Column]) -> DataFrame:
+    """group, a, b, similarity of all pairs of a group's items by a function of two rows (structs), as `leaders` takes it.
+
+    For groups of few items: there is no bound that could prune pairs of a function that isn't known.
+    """
+    row = F.struct(*(F.col(c) for c in items.columns))
+    one, two = (items.select(group, F.col(item).alias(n), row.alias(f"_{n}")) for n in ("a", "b"))
+    return one.join(two, group).where("a <> b").select(group, "a", "b", similarity(F.col("_a"), F.col("_b")).alias("similarity"))
+
+
 def leaders(items: DataFrame, similar: DataFrame, group: str, item: str, score: str, threshold: float = 0.85) -> DataFrame:
     """group, item, leader, dedup_group, deduplicated: by score descending each unvisited item leads and absorbs what is similar to it.
 

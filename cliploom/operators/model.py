@@ -6,6 +6,7 @@ hands in; tasks run in parallel as Spark partitions, and `batches_of` keeps the
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import clamp, rounded
 from ..functions.text import is_placeholder, key_values, repaired_json, whole_json
+from ..sources.scratch import checkpointed
 
 Analyzer = Callable[[pd.DataFrame], pd.DataFrame]
 
@@ -34,6 +36,68 @@ def detected(assets: DataFrame, detect: Callable[[pd.DataFrame], pd.DataFrame],
     return assets.mapInPandas(run, schema)
 
 
+def attempted(rows: DataFrame, work: Analyzer, fields: str, key: str = "asset_id") -> tuple[DataFrame, DataFrame]:
+    """(results, states): work() over each asset's rows at once, and per asset what came of it: n (rows) and error (null, or what was raised).
+
+    `work` takes a pandas frame of one asset's rows and returns one of `fields`.  An asset whose work raises has no results and
+    stops no other.  What is found is written to the shared folder, so results and states come from one run of the work.
+    """
+    kind = dict(rows.dtypes)[key]
+    names = [f.split()[0] for f in re.split(r",(?![^<]*>)", fields.replace(", ", ","))]
+
+    def run(name: tuple, batch: pd.DataFrame) -> pd.DataFrame:
+        try:
+            found, error = work(batch)[names], None
+        except Exception as failure:  # noqa: BLE001  (any failure is the asset's own)
+            found, error = pd.DataFrame(columns=names), f"{type(failure).__name__}: {failure}"
+        out = found.reset_index(drop=True).assign(**{key: name[0], "_found": True, "_error": None})
+        # One more row tells of the asset itself.
+        told = pd.DataFrame([{key: name[0], "_found": False, "_error": error} | dict.fromkeys(names)])
+        return pd.concat([told, out.astype(object)])[[key, "_found", "_error", *names]]
+
+    every = checkpointed(rows.groupBy(key).applyInPandas(run, f"{key} {kind}, _found boolean, _error string, {fields}"))
+    states = every.groupBy(key).agg(F.count_if("_found").alias("n"), F.max("_error").alias("error"))
+    return every.where("_found").drop("_found", "_error"), states
+
+
+SPANS = "start_sec double, end_sec double, text string"
+
+
+def transcribed(clips: DataFrame, cache: DataFrame, transcribe: Analyzer, key: str = "asset_id", cache_key: str = "cache_key") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(spans, states, fresh) of clips (key, cache_key and what the transcriber needs, any number of rows each).
+
+    Spans come from the cache (cache_key, spans) where it has the clip, else from `transcribe`; blank ones are dropped.  States
+    tell per clip its status - cached, transcribed or failed -, n_spans and the error.  `fresh` are the cache rows of what was
+    transcribed; failed clips get none, so they are tried again.
+    """
+    known = cache.groupBy(cache_key).agg(F.min("spans").alias("spans"))
+    heads = clips.select(key, cache_key).distinct()
+    hits = heads.join(known, cache_key)
+    found, tried = attempted(clips.join(known.select(cache_key), cache_key, "left_anti"), transcribe, SPANS, key)
+    spoken = F.trim(F.coalesce("text", F.lit(""))) != ""
+    found = found.where(spoken)
+    spans = hits.select(key, F.inline("spans")).where(spoken).select(key, "start_sec", "end_sec", "text").unionByName(found)
+    status = hits.select(key, F.lit("cached").alias("status"), F.lit(None).cast("string").alias("error")).unionByName(tried.select(key, F.when(F.col("error").isNull(), "transcribed").otherwise("failed").alias("status"), "error"))
+    states = status.join(spans.groupBy(key).agg(F.count(F.lit(1)).alias("n_spans")), key, "left").na.fill(0, ["n_spans"])
+    listed = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start_sec", "end_sec", "text"))).alias("spans"))
+    done = tried.where("error is null").select(key).join(heads, key).join(listed, key, "left")
+    return spans, states, done.select(cache_key, F.coalesce("spans", F.array().cast("array<struct<start_sec:double,end_sec:double,text:string>>")).alias("spans"))
+
+
+def analyzed(tasks: DataFrame, analyze: Analyzer, result: str, fallback: Column, key: str = "asset_id", row: str = "segment_id") -> DataFrame:
+    """The tasks with result, status (live or fallback) and detail: one call per asset, and the fallback for each row without an answer.
+
+    `analyze` returns (row, result) for the rows that it answers, `result` being a type; detail is what was raised, or
+    `omitted` for a row that a call left out.  The first of several answers for a row, by value, counts.
+    """
+    kind = dict(tasks.dtypes)[row]
+    found, states = attempted(tasks, analyze, f"{row} {kind}, result {result}", key)
+    rows = tasks.join(found.groupBy(row).agg(F.min("result").alias("_live")), row, "left").join(states.select(key, "error"), key, "left")
+    live = F.col("_live").isNotNull()
+    told = {"result": F.coalesce("_live", fallback), "status": F.when(live, "live").otherwise("fallback"), "detail": F.when(~live, F.coalesce("error", F.lit("omitted")))}
+    return rows.withColumns(told).drop("_live", "error")
+
+
 def resolved(tasks: DataFrame, cache: DataFrame, fresh: DataFrame, fallback: DataFrame, key: str = "cache_key") -> DataFrame:
     """Each task with its result and `status`: cached, live or fallback, in that order of preference.
 

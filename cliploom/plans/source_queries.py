@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -194,3 +195,34 @@ def screened_sound(spark: SparkSession, sf_dir: str) -> DataFrame:
     silences, samples = files.silence_rows(checkpointed(log))
     grid = first.select("asset_id").distinct().withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(98), F.lit(7)))).withColumn("t", F.col("t") + 0.125)
     return signals.audio_rows(samples, silences, grid)
+
+
+@query
+def transcriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations transcribed, some from a cache, some failing, each with its state, number of spans and last end."""
+    rows = adapters.spans(spark, sf_dir).select("asset_id", F.concat(F.lit("k"), "asset_id").alias("cache_key"), "start_sec", "end_sec", "text")
+    cached = rows.where("asset_id % 4 = 0").groupBy("cache_key").agg(F.array_sort(F.collect_list(F.struct("start_sec", (F.col("end_sec") + 1).alias("end_sec"), "text"))).alias("spans"))
+
+    def transcribe(batch: pd.DataFrame) -> pd.DataFrame:
+        if batch["asset_id"].iat[0] % 11 == 3:
+            raise ValueError("no sound")
+        return batch.assign(text=batch["text"].where(batch["start_sec"] < 20, " "))
+
+    spans, states, fresh = model.transcribed(rows, cached, transcribe)
+    ends = spans.groupBy("asset_id").agg(F.max("end_sec").alias("last_end"))
+    stored = fresh.select(F.substring("cache_key", 2, 20).cast("long").alias("asset_id"), F.size("spans").cast("long").alias("n_stored"))
+    return states.join(ends, "asset_id", "left").join(stored, "asset_id", "left")
+
+
+@query
+def analyzed_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments answered by one call per clip; clips whose call fails and rows that it leaves out fall back."""
+    tasks = adapters.segments(spark, sf_dir).select("asset_id", "segment_id", "pos")
+
+    def analyze(batch: pd.DataFrame) -> pd.DataFrame:
+        if batch["asset_id"].iat[0] % 9 == 4:
+            raise RuntimeError("busy")
+        said = batch[batch["pos"] % 5 != 2]
+        return pd.DataFrame({"segment_id": said["segment_id"], "result": [f"{p} of {len(batch)}" for p in said["pos"]]})
+
+    return model.analyzed(tasks, analyze, "string", F.concat(F.lit("rule "), F.col("pos").cast("string")))

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cliploom.operators import dedup
 
@@ -65,3 +66,10 @@ def test_vector_cells_are_pruned(spark):
     assert own.count() == n - 1 and cells > 5 and guests.count() < n * cells / 6
     assert dedup.vector_pairs(df.where("false"), "id", "v").count() == 0
     assert dedup.vector_pairs(df, "id", "v", 0.95, cell_vectors=20).where("a >= b").count() == 0
+
+
+def test_any_similarity(spark):
+    items = spark.createDataFrame([(1, "a", 3.0, 10), (1, "b", 2.0, 11), (1, "c", 1.0, 30), (2, "d", 1.0, 10)], "g int, i string, score double, tone int")
+    near = dedup.compared(items, "g", "i", lambda x, y: 1 / (1 + F.abs(x["tone"] - y["tone"])))
+    got = {r.i: (r.leader, r.deduplicated) for r in dedup.leaders(items, near, "g", "i", "score", 0.5).collect()}
+    assert got == {"a": ("a", False), "b": ("a", True), "c": ("c", False), "d": ("d", False)}
