@@ -102,6 +102,6 @@ q AS (SELECT g.asset_id, g.t, sum(greatest(0e0, least(b, e.t + 0.75e0) - greates
 SELECT g.asset_id, g.t, {r(clamp('coalesce(av, 0e0)'))} AS rms_energy, {r(clamp('coalesce(mx, 0e0)'))} AS peak_loudness, coalesce(quiet, 0e0) >= 0.5e0 * (b - a) AS is_silent FROM g LEFT JOIN m USING (asset_id, t) LEFT JOIN q USING (asset_id, t)"""
 ORACLES["transcriptions"] = f"""WITH {o.CONV}, x AS (SELECT asset_id, CASE WHEN asset_id % 4 = 0 THEN 'cached' WHEN asset_id % 11 = 3 THEN 'failed' ELSE 'transcribed' END AS status, s, e, trim(text) <> '' AND (asset_id % 4 = 0 OR s < 20) AS said FROM sp),
 y AS (SELECT asset_id, status, CASE WHEN status = 'failed' THEN 'ValueError: no sound' END AS error, count(*) FILTER (said AND status <> 'failed') AS n_spans, max(e) FILTER (said AND status <> 'failed') + CASE WHEN status = 'cached' THEN 1 ELSE 0 END AS last_end FROM x GROUP BY asset_id, status)
-SELECT *, CASE WHEN status = 'transcribed' THEN n_spans END AS n_stored FROM y"""
+SELECT *, md5('/media/' || asset_id || '.mov|' || (asset_id * 1000 + 7) || '|' || (asset_id % 100) || '|small') AS cache_key, CASE WHEN status = 'transcribed' THEN n_spans END AS n_stored FROM y"""
 ORACLES["analyzed_segments"] = f"""WITH {o.SEGMENTS}, x AS (SELECT asset_id, segment_id, pos, asset_id % 9 <> 4 AND pos % 5 <> 2 AS live, count(*) OVER (PARTITION BY asset_id) AS n FROM seg)
 SELECT asset_id, segment_id, pos, CASE WHEN live THEN pos || ' of ' || n ELSE 'rule ' || pos END AS result, CASE WHEN live THEN 'live' ELSE 'fallback' END AS status, CASE WHEN NOT live THEN CASE WHEN asset_id % 9 = 4 THEN 'RuntimeError: busy' ELSE 'omitted' END END AS detail FROM x"""

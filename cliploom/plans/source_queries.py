@@ -200,7 +200,9 @@ def screened_sound(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def transcriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations transcribed, some from a cache, some failing, each with its state, number of spans and last end."""
-    rows = adapters.spans(spark, sf_dir).select("asset_id", F.concat(F.lit("k"), "asset_id").alias("cache_key"), "start_sec", "end_sec", "text")
+    path = F.concat(F.lit("/media/"), F.col("asset_id").cast("string"), F.lit(".mov"))
+    key = documents.span_cache_key(path, F.col("asset_id") * 1000 + 7, F.col("asset_id") % 100, F.lit("small"))
+    rows = adapters.spans(spark, sf_dir).select("asset_id", key.alias("cache_key"), "start_sec", "end_sec", "text")
     cached = rows.where("asset_id % 4 = 0").groupBy("cache_key").agg(F.array_sort(F.collect_list(F.struct("start_sec", (F.col("end_sec") + 1).alias("end_sec"), "text"))).alias("spans"))
 
     def transcribe(batch: pd.DataFrame) -> pd.DataFrame:
@@ -210,8 +212,9 @@ def transcriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     spans, states, fresh = model.transcribed(rows, cached, transcribe)
     ends = spans.groupBy("asset_id").agg(F.max("end_sec").alias("last_end"))
-    stored = fresh.select(F.substring("cache_key", 2, 20).cast("long").alias("asset_id"), F.size("spans").cast("long").alias("n_stored"))
-    return states.join(ends, "asset_id", "left").join(stored, "asset_id", "left")
+    keys = rows.select("asset_id", "cache_key").distinct()
+    stored = fresh.select("cache_key", F.size("spans").cast("long").alias("n_stored"))
+    return states.join(ends, "asset_id", "left").join(keys, "asset_id").join(stored, "cache_key", "left")
 
 
 @query
