@@ -82,7 +82,7 @@ ARTICLES = ("article", "main")
 HEADING = re.compile("h[1-6]")
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?:svg|math)\b(?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+(?<=/)>|<(?P<raw>" + RAW + r")\b(?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?:svg|math)\b(?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+(?<=/)>|<(?P<raw>" + RAW + r")\b(?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*>|</?[a-zA-Z][^>]*(?:>|\Z)|[^<]+|<",
     re.DOTALL | re.IGNORECASE,
 )

@@ -167,6 +167,10 @@ def test_html():
     assert html_extract.main_text("<body><article><p>cut <b>off")[0] == "cut off"
     assert html_extract.main_text("a < b and c")[0] == "a < b and c"
     assert html_extract.main_text("<p title='a > b'>x</p><!-- <p>gone</p> --><p hidden>h</p>")[0] == "x"
+    # All that ends a comment.
+    for comment in ("<!-->", "<!--->", "<!-- x --!>", "<!---->", "<!-- a > b -- c -->", "<!--->-->"):
+        want = "a-->b\nc" if comment == "<!--->-->" else "ab\nc"
+        assert html_extract.main_text(f"<p>a{comment}b</p><p>c</p>")[0] == want, comment
     for odd in (None, "", "<html></html>", "<script>x", "<!-- never closed <p>x</p>", "</p></div>"):
         assert html_extract.main_text(odd) == ("", False)
     for kept in ("layout has-sidebar", "header-fixed page", "form-factor-review", "blog-posts", "downloads"):
