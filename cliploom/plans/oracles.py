@@ -315,14 +315,16 @@ SELECT asset_id, s AS start_sec, e AS end_sec FROM dkept"""
 
 _ACLIP = "ac AS (SELECT asset_id, event_id % 40 + 0.5e0 AS t, max(rms) AS rms, bool_and(silent) AS silent FROM audio GROUP BY ALL)"
 _SEED_LEN = "greatest(1.5e0, least(6e0, e - s))"
-ORACLES["seed_refinement"] = f"""WITH RECURSIVE {ASSETS}, {SCENES('assets', 'asset_id', 'duration_sec')}, {AUDIO}, {_ACLIP}, {CONV},
-sd AS (SELECT asset_id, duration_sec AS dur, i::INT AS seed, i * 3e0 AS s, least(i * 3e0 + 4, duration_sec) AS e, (i * 3e0 + least(i * 3e0 + 4, duration_sec)) / 2 AS c FROM assets, range(0, 4) x(i) WHERE i * 3e0 < least(i * 3e0 + 4, duration_sec)),
-x0 AS (SELECT *, CASE WHEN s - lag(e) OVER (PARTITION BY asset_id ORDER BY s, e) <= {d(0.9)} THEN 0 ELSE 1 END AS o FROM sp WHERE asset_id % 3 = 0), x1 AS (SELECT *, sum(o) OVER (PARTITION BY asset_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM x0),
+
+
+def refinement(said: str, heard: str) -> str:
+    """x0 to rkept and fine: seeds sd (asset_id, dur, seed, s, e, c) refined and kept apart, of the spans and sound rows that pass."""
+    return f"""x0 AS (SELECT *, CASE WHEN s - lag(e) OVER (PARTITION BY asset_id ORDER BY s, e) <= {d(0.9)} THEN 0 ELSE 1 END AS o FROM sp WHERE {said}), x1 AS (SELECT *, sum(o) OVER (PARTITION BY asset_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM x0),
 x2 AS (SELECT asset_id, k, min(s) AS a, max(e) AS b, string_agg(trim(text), ' ' ORDER BY s, e, trim(text)) AS text FROM x1 GROUP BY ALL), x3 AS (SELECT *, {_ASK} AS q FROM x2),
 x4 AS (SELECT *, lead(a) OVER w AS na, lead(b) OVER w AS nb, coalesce(lead(q) OVER w, false) AS nq FROM x3 WINDOW w AS (PARTITION BY asset_id ORDER BY a, b)),
 x5 AS (SELECT sd.asset_id, seed, min(a) AS a, max(b) AS b, count(*) AS n, max({{'a': a, 'b': b, 'q': q, 'na': na, 'nb': nb, 'nq': nq}}) AS l FROM sd JOIN x4 ON x4.asset_id = sd.asset_id AND b >= s - 0.75e0 AND a <= e + 0.75e0 GROUP BY ALL),
 tr AS (SELECT asset_id, seed, a, CASE WHEN coalesce((l.q AND NOT l.nq AND l.na - l.b <= 1.6e0) OR (n = 1 AND NOT l.q AND NOT l.nq AND l.na - l.b <= {d(0.95)}), false) THEN greatest(b, l.nb) ELSE b END AS b FROM x5),
-y0 AS (SELECT *, NOT silent AND rms >= {d(0.05)} AS loud FROM ac WHERE asset_id % 3 <> 1 AND t >= 3), y1 AS (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY t) - row_number() OVER (PARTITION BY asset_id, loud ORDER BY t) AS run, t - lag(t) OVER (PARTITION BY asset_id ORDER BY t) AS g FROM y0),
+y0 AS (SELECT *, NOT silent AND rms >= {d(0.05)} AS loud FROM ac WHERE {heard}), y1 AS (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY t) - row_number() OVER (PARTITION BY asset_id, loud ORDER BY t) AS run, t - lag(t) OVER (PARTITION BY asset_id ORDER BY t) AS g FROM y0),
 y2 AS (SELECT asset_id, coalesce(avg(g), 1e0) AS step FROM y1 GROUP BY ALL), y3 AS (SELECT asset_id, run, min(t) AS a, max(t) AS b FROM y1 WHERE loud GROUP BY ALL),
 y4 AS (SELECT sd.*, greatest(0e0, a - step / 2) AS a, least(dur, b + step / 2) AS b FROM sd JOIN y2 USING (asset_id) JOIN y3 USING (asset_id) QUALIFY row_number() OVER (PARTITION BY asset_id, seed ORDER BY greatest(a - c, c - b, 0e0), a) = 1),
 au AS (SELECT asset_id, seed, {r('a', 3)} AS a, {r('b', 3)} AS b FROM y4 WHERE b - a >= 1 AND abs((a + b) / 2 - c) <= 2),
@@ -332,7 +334,12 @@ du AS (SELECT asset_id, seed, {r(f'greatest(0e0, c - {_SEED_LEN} / 2)', 3)} AS a
 fine AS (SELECT du.asset_id, du.seed, CASE WHEN tr.b - tr.a >= 1 THEN {{'a': tr.a, 'b': tr.b, 'st': 'turn-snap', 'cf': {d(0.93)}}} WHEN au.seed IS NOT NULL THEN {{'a': au.a, 'b': au.b, 'st': 'audio-snap', 'cf': {d(0.74)}}}
   WHEN sc.seed IS NOT NULL AND sc.b - sc.a <= 8 THEN {{'a': sc.a, 'b': sc.b, 'st': 'scene-snap', 'cf': {d(0.62)}}} ELSE {{'a': du.a, 'b': du.b, 'st': CASE WHEN sc.seed IS NOT NULL THEN 'scene-duration' ELSE 'duration-rule' END, 'cf': {d(0.48)}}} END AS x
   FROM du LEFT JOIN tr USING (asset_id, seed) LEFT JOIN au USING (asset_id, seed) LEFT JOIN sc USING (asset_id, seed)),
-ro AS (SELECT asset_id, seed, x.a AS s, x.b AS e, x.st AS st, x.cf AS cf, row_number() OVER (PARTITION BY asset_id ORDER BY -x.cf, -(x.b - x.a), seed) AS i FROM fine), {_kept('r', 'ro', 0.9)}
+ro AS (SELECT asset_id, seed, x.a AS s, x.b AS e, x.st AS st, x.cf AS cf, row_number() OVER (PARTITION BY asset_id ORDER BY -x.cf, -(x.b - x.a), seed) AS i FROM fine), {_kept('r', 'ro', 0.9)}"""
+
+
+ORACLES["seed_refinement"] = f"""WITH RECURSIVE {ASSETS}, {SCENES('assets', 'asset_id', 'duration_sec')}, {AUDIO}, {_ACLIP}, {CONV},
+sd AS (SELECT asset_id, duration_sec AS dur, i::INT AS seed, i * 3e0 AS s, least(i * 3e0 + 4, duration_sec) AS e, (i * 3e0 + least(i * 3e0 + 4, duration_sec)) / 2 AS c FROM assets, range(0, 4) x(i) WHERE i * 3e0 < least(i * 3e0 + 4, duration_sec)),
+{refinement('asset_id % 3 = 0', 'asset_id % 3 <> 1 AND t >= 3')}
 SELECT ro.asset_id, ro.seed AS seed_id, ro.s AS start_sec, ro.e AS end_sec, st AS boundary_strategy, cf AS boundary_confidence FROM ro JOIN rkept USING (asset_id, i)"""
 
 ORACLES["leader_dedup"] = f"""WITH RECURSIVE {BINS}, mass AS (SELECT asset_id, seg, sum(weight) AS m FROM bins GROUP BY ALL), sim AS (SELECT x.asset_id, x.seg AS a, y.seg AS b, sum(least(x.weight, y.weight)) AS c FROM bins x JOIN bins y ON x.asset_id = y.asset_id AND x.bin = y.bin AND x.seg <> y.seg GROUP BY ALL),

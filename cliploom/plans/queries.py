@@ -495,8 +495,8 @@ def timecodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", code.alias("timecode"), text.timecode_seconds(code, F.lit(25.0)).alias("seconds"), text.clock(F.col("value") * 20).alias("clock"))
 
 
-def _screened(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The plan up to the review, with customers as clips, hash-seeded frames, and answers that trim or split what is doubtful."""
+def _screening_inputs(spark: SparkSession, sf_dir: str) -> tuple:
+    """Customers as clips, hash-seeded frames, events as sound, conversations as spans, and answers that trim or split; the settings."""
     from ..config import EngineConfig
     from . import screening
 
@@ -505,10 +505,36 @@ def _screened(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = adapters.spans(spark, sf_dir).select("asset_id", "start_sec", "end_sec", "text")
     answers = clips.select(F.concat(F.col("asset_id").cast("string"), F.lit("-segment-01")).alias("segment_id"), F.when(F.col("asset_id") % 2 == 0, "trim").otherwise("split").alias("decision"), F.lit(0.5).alias("new_start"), F.lit(None).cast("double").alias("new_end"), F.lit(2.5).alias("split_at"))
     given = screening.Inputs(clips, signals.seeded_signals(named), _clip_audio(spark, sf_dir), spans, answers=answers)
-    config = EngineConfig(max_segments_per_asset=3, budget_pct=60.0, validation_budget_pct=50.0, validation_max=10**6)
+    return given, EngineConfig(max_segments_per_asset=3, budget_pct=60.0, validation_budget_pct=50.0, validation_max=10**6)
+
+
+def _screened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plan up to the review."""
+    from . import screening
+
+    given, config = _screening_inputs(spark, sf_dir)
     return screening.reviewed(screening.flagged(screening.segments(given, config), given, config))
 
 
+@query
+def screened_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plan's seeds: scenes and the strongest windows of picture and sound, kept apart."""
+    from . import screening
+
+    given, config = _screening_inputs(spark, sf_dir)
+    return screening.seeds(given, config)
+
+
+@query
+def screened_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plan's seeds refined by speech, sound, scene or length, and numbered."""
+    from . import screening
+
+    given, config = _screening_inputs(spark, sf_dir)
+    found = screening.refined_ranges(given, config, saved(speech.turns(given.spans)))
+    return found.withColumn("seed_sources", joined(F.col("seed_sources")))
+
+
 @query
 def screened_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = ("start_sec", "end_sec", "analysis_mode", "boundary_strategy", "operation", "rule_family", "score_total", "ambiguity", "validation_status", "deduplicated", "dedup_group_id", "shortlisted", "stage")

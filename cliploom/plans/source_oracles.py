@@ -105,3 +105,17 @@ y AS (SELECT asset_id, status, CASE WHEN status = 'failed' THEN 'ValueError: no
 SELECT *, md5('/media/' || asset_id || '.mov|' || (asset_id * 1000 + 7) || '|' || (asset_id % 100) || '|small') AS cache_key, CASE WHEN status = 'transcribed' THEN n_spans END AS n_stored FROM y"""
 ORACLES["analyzed_segments"] = f"""WITH {o.SEGMENTS}, x AS (SELECT asset_id, segment_id, pos, asset_id % 9 <> 4 AND pos % 5 <> 2 AS live, count(*) OVER (PARTITION BY asset_id) AS n FROM seg)
 SELECT asset_id, segment_id, pos, CASE WHEN live THEN pos || ' of ' || n ELSE 'rule ' || pos END AS result, CASE WHEN live THEN 'live' ELSE 'fallback' END AS status, CASE WHEN NOT live THEN CASE WHEN asset_id % 9 = 4 THEN 'RuntimeError: busy' ELSE 'omitted' END END AS detail FROM x"""
+
+#: The plan's frames, as the query of segment signals makes them.
+_FRAMES = ORACLES["segment_signals"][len(f"WITH {o.ASSETS}, ") : ORACLES["segment_signals"].index("w AS (SELECT asset_id, i::INT AS sid")].replace("\nv AS (", "\nfv AS (")
+_window = lambda rows, t, order: f"SELECT asset_id, s, e, row_number() OVER (PARTITION BY asset_id ORDER BY {order}, t, s, e) AS i FROM (SELECT *, {r('a0', 3)} AS s, {r('least(dur, a0 + wd)', 3)} AS e FROM (SELECT *, greatest(0e0, t - wd / 2) AS a0 FROM (SELECT x.*, duration_sec AS dur, greatest(2.5e0, least(5.5e0, duration_sec / 8)) AS wd FROM {rows} x JOIN assets USING (asset_id)))) WHERE e - s >= 1.5e0"
+SEEDS = f"""{o.ASSETS}, {o.SCENES('assets', 'asset_id', 'duration_sec')}, {o.AUDIO}, {o._ACLIP}, {_FRAMES}
+vq AS ({_window('fv', 't', 'score DESC, distinctiveness DESC')}), {o._kept('v', 'vq', 0.7, 3)}, hx AS (SELECT * FROM ac WHERE NOT silent AND rms >= {d(0.05)}), hq AS ({_window('hx', 't', 'rms DESC')}), {o._kept('h', 'hq', 0.7, 3)},
+nq AS (SELECT asset_id, least(a, duration_sec) AS s, least(b, duration_sec) AS e, row_number() OVER (PARTITION BY asset_id ORDER BY {r('least(b, duration_sec) - least(a, duration_sec)', 3)}, a) AS i FROM scenes JOIN assets USING (asset_id) WHERE least(b, duration_sec) - least(a, duration_sec) >= 1), {o._kept('n', 'nq', 0.9)},
+al AS (SELECT asset_id, 0 AS src, row_number() OVER (PARTITION BY asset_id ORDER BY s, e) AS place, s, e, 'scene' AS source, {d(0.55)} AS conf FROM nkept UNION ALL SELECT asset_id, 1, k, s, e, 'visual-peak', {d(0.72)} FROM vkept UNION ALL SELECT asset_id, 2, k, s, e, 'audio-peak', {d(0.68)} FROM hkept),
+zq AS (SELECT al.asset_id, s, least(e, duration_sec) AS e, source, conf, duration_sec, row_number() OVER (PARTITION BY al.asset_id ORDER BY least(e, duration_sec) - s, s, src, place) AS i FROM al JOIN assets USING (asset_id)), {o._kept('z', 'zq', 0.9)},
+seeds AS (SELECT k.asset_id, k.s, k.e, source, conf, duration_sec, (row_number() OVER (PARTITION BY k.asset_id ORDER BY k.s, k.e))::INT AS seed FROM zkept k JOIN zq q ON q.asset_id = k.asset_id AND q.i = k.i)"""
+ORACLES["screened_seeds"] = f"WITH RECURSIVE {SEEDS} SELECT asset_id, s AS start_sec, e AS end_sec, source, conf AS confidence, seed AS seed_id, duration_sec FROM seeds"
+ORACLES["screened_ranges"] = f"""WITH RECURSIVE {SEEDS}, {o.CONV}, sd AS (SELECT asset_id, duration_sec AS dur, seed, s, e, (s + e) / 2 AS c, source FROM seeds),
+{o.refinement('true', 'true')}
+SELECT ro.asset_id, ro.asset_id || '-segment-' || {o.padded('row_number() OVER (PARTITION BY ro.asset_id ORDER BY ro.s, ro.e, ro.seed)', 2)} AS segment_id, ro.s AS start_sec, ro.e AS end_sec, st AS boundary_strategy, cf AS boundary_confidence, sd.source AS seed_sources FROM ro JOIN rkept USING (asset_id, i) JOIN sd USING (asset_id, seed)"""
