@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import rational_seconds, rational_time, timecode_seconds
 from ..operators.sequence import offsets
+from .scratch import checkpointed
 
 _ASSET = "struct<_id:string,_name:string,_uid:string,_src:string,_start:string,_duration:string,_hasVideo:string,_hasAudio:string,_audioSources:string,_audioChannels:string,_format:string>"
 _CLIP = "struct<_name:string,_ref:string,_offset:string,_start:string,_duration:string,_tcFormat:string,_enabled:string>"
@@ -51,11 +52,13 @@ def exported(rows: DataFrame, name: Column | str, scope: str = "scope", order: s
         F.col("name").alias("_name"), F.coalesce(F.nullif("interchange_reel_name", F.lit("")), F.col("name")).alias("_uid"), file_uri(F.col("source_path")).alias("_src"), rational_time(start).alias("_start"), rational_time("duration_sec").alias("_duration"),
         F.lit("1").alias("_hasVideo"), flag("1").alias("_hasAudio"), flag("1").alias("_audioSources"), flag("2").alias("_audioChannels"), F.lit("r1").alias("_format"),
     )
-    every = rows.withColumns({"_frame": frame, "_element": element})
+    clip = F.struct(F.col("label").alias("_name"), F.col("asset_id"), rational_time("offset_sec").alias("_offset"), rational_time("source_start").alias("_start"), rational_time("length_sec").alias("_duration"))
+    title = (F.lit(name) if isinstance(name, str) else name).alias("_title")
+    # Read for the assets and for the clips.
+    every = checkpointed(rows.select(scope, "asset_id", order, "length_sec", title, frame.alias("_frame"), element.alias("_element"), clip.alias("_clip")))
     assets = every.groupBy(scope, "asset_id").agg(F.min(order).alias("_first"), F.min_by("_element", order).alias("_element"))
     listed = assets.groupBy(scope).agg(F.array_sort(F.collect_list(F.struct("_first", "asset_id", "_element"))).alias("_assets"))
-    clip = F.struct(F.col("label").alias("_name"), F.col("asset_id"), rational_time("offset_sec").alias("_offset"), rational_time("source_start").alias("_start"), rational_time("length_sec").alias("_duration"))
-    spine = every.groupBy(scope).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_place"), clip.alias("_clip")))).alias("_clips"), F.min_by("_frame", order).alias("_frame"), F.sum("length_sec").alias("_length"), F.first(F.lit(name) if isinstance(name, str) else name).alias("_title"))
+    spine = every.groupBy(scope).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_place"), "_clip"))).alias("_clips"), F.min_by("_frame", order).alias("_frame"), F.sum("length_sec").alias("_length"), F.first("_title").alias("_title"))
     docs = spine.join(listed, scope)
     number = lambda i: F.concat(F.lit("r"), (i + 2).cast("string"))
     ids = F.map_from_entries(F.transform("_assets", lambda a, i: F.struct(a["asset_id"], number(i))))
