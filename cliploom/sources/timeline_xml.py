@@ -6,7 +6,7 @@ and parsed in parallel, and nothing goes through the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import rational_seconds, rational_time, timecode_seconds
@@ -57,36 +57,45 @@ def exported(rows: DataFrame, name: Column | str, scope: str = "scope", order: s
     # Read for the assets and for the clips.
     every = checkpointed(rows.select(scope, "asset_id", order, "length_sec", title, frame.alias("_frame"), element.alias("_element"), clip.alias("_clip")))
     assets = every.groupBy(scope, "asset_id").agg(F.min(order).alias("_first"), F.min_by("_element", order).alias("_element"))
-    listed = assets.groupBy(scope).agg(F.array_sort(F.collect_list(F.struct("_first", "asset_id", "_element"))).alias("_assets"))
-    spine = every.groupBy(scope).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_place"), "_clip"))).alias("_clips"), F.min_by("_frame", order).alias("_frame"), F.sum("length_sec").alias("_length"), F.first("_title").alias("_title"))
+    # Assets are numbered by rows: a map of them, searched for each clip, would take the square of a document's length.
+    numbers = assets.withColumn("_ref", F.concat(F.lit("r"), (F.row_number().over(Window.partitionBy(scope).orderBy("_first", "asset_id")) + 1).cast("string")))
+    numbers = checkpointed(numbers)
+    resource = F.struct(F.col("_ref").alias("_id"), *(F.col("_element")[c].alias(c) for c in ("_name", "_uid", "_src", "_start", "_duration", "_hasVideo", "_hasAudio", "_audioSources", "_audioChannels", "_format")))
+    values = lambda listed: F.transform(F.sort_array(F.collect_list(listed)), lambda x: x["_value"])
+    listed = numbers.groupBy(scope).agg(values(F.struct("_first", "asset_id", resource.alias("_value"))).alias("_assets"))
+    one = F.struct(F.col("_clip._name").alias("_name"), F.col("_ref"), *(F.col(f"_clip.{x}").alias(x) for x in ("_offset", "_start", "_duration")), F.lit("NDF").alias("_tcFormat"), F.lit("1").alias("_enabled"))
+    referred = every.join(numbers.select(scope, "asset_id", "_ref"), [scope, "asset_id"])
+    spine = referred.groupBy(scope).agg(values(F.struct(F.col(order).alias("_place"), one.alias("_value"))).alias("_clips"), F.min_by("_frame", order).alias("_frame"), F.sum("length_sec").alias("_length"), F.first("_title").alias("_title"))
     docs = spine.join(listed, scope)
-    number = lambda i: F.concat(F.lit("r"), (i + 2).cast("string"))
-    ids = F.map_from_entries(F.transform("_assets", lambda a, i: F.struct(a["asset_id"], number(i))))
-    resources = F.struct(F.col("_frame").alias("format"), F.transform("_assets", lambda a, i: F.struct(number(i).alias("_id"), *(a["_element"][c].alias(c) for c in ("_name", "_uid", "_src", "_start", "_duration", "_hasVideo", "_hasAudio", "_audioSources", "_audioChannels", "_format")))).alias("asset"))
-    placed = F.transform("_clips", lambda c: F.struct(c["_clip"]["_name"].alias("_name"), F.col("_ids")[c["_clip"]["asset_id"]].alias("_ref"), *(c["_clip"][x].alias(x) for x in ("_offset", "_start", "_duration")), F.lit("NDF").alias("_tcFormat"), F.lit("1").alias("_enabled")))
-    sequence = F.struct(F.lit("r1").alias("_format"), rational_time("_length").alias("_duration"), F.lit("0s").alias("_tcStart"), F.lit("NDF").alias("_tcFormat"), F.lit("stereo").alias("_audioLayout"), F.lit("48k").alias("_audioRate"), F.struct(placed.alias("asset-clip")).alias("spine"))
+    resources = F.struct(F.col("_frame").alias("format"), F.col("_assets").alias("asset"))
+    sequence = F.struct(F.lit("r1").alias("_format"), rational_time("_length").alias("_duration"), F.lit("0s").alias("_tcStart"), F.lit("NDF").alias("_tcFormat"), F.lit("stereo").alias("_audioLayout"), F.lit("48k").alias("_audioRate"), F.struct(F.col("_clips").alias("asset-clip")).alias("spine"))
     project = F.struct(F.col("_title").alias("_name"), sequence.alias("sequence"))
     library = F.struct(F.struct(F.col("_title").alias("_name"), project.alias("project")).alias("event"))
     whole = F.to_xml(F.struct(F.lit("1.11").alias("_version"), resources.alias("resources"), library.alias("library")), {"rowTag": "fcpxml"})
     head = F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<!DOCTYPE fcpxml>\n')
-    return docs.withColumn("_ids", ids).select(scope, F.concat(head, whole).alias("xml"))
+    return docs.select(scope, F.concat(head, whole).alias("xml"))
 
 
 def parsed(documents: DataFrame, xml: str = "xml") -> DataFrame:
     """The documents' other columns with pos, name, asset_uid, offset_sec, start_sec, duration_sec of each clip.
 
-    A clip's asset is known by its reference within its document; an unknown one has the uid ''.
+    A clip's asset is known by its reference within its document; an unknown one has the uid '',
+    and of assets with one id the last counts.
     """
     bare = F.regexp_replace(F.col(xml), "<!DOCTYPE [^>]*>", "")
-    rows = documents.withColumn("_doc", F.from_xml(bare, _READ, {"rowTag": "fcpxml"}))
-    known = F.filter(F.coalesce("_doc.resources.asset", F.array()), lambda a: a["_id"].isNotNull())
-    rows = rows.withColumn("_uids", F.map_from_entries(F.array_distinct(F.transform(known, lambda a: F.struct(a["_id"], F.coalesce(a["_uid"], F.lit("")))))))
-    spine = F.col("_doc.library.event.project.sequence.spine").getField("asset-clip")
-    found = rows.select("*", F.posexplode(spine).alias("pos", "_clip"))
-    times = {new: rational_seconds(F.col(f"_clip.{old}")) for new, old in (("offset_sec", "_offset"), ("start_sec", "_start"), ("duration_sec", "_duration"))}
+    rows = documents.withColumns({"_doc": F.from_xml(bare, _READ, {"rowTag": "fcpxml"}), "_of": F.monotonically_increasing_id()})
+    # Assets and clips leave the document as rows in one list, so that no row carries the document's assets along.
+    none = F.lit(None).cast("string")
+    asset = lambda a, i: F.struct(F.lit(None).cast("int").alias("pos"), i.alias("_n"), a["_id"].alias("_id"), a["_uid"].alias("_uid"), *(none.alias(c) for c in ("_name", "_offset", "_start", "_duration")))
+    clip = lambda c, i: F.struct(i.alias("pos"), F.lit(None).cast("int").alias("_n"), c["_ref"].alias("_id"), none.alias("_uid"), *(c[x].alias(x) for x in ("_name", "_offset", "_start", "_duration")))
+    known = F.transform(F.filter(F.coalesce("_doc.resources.asset", F.array()), lambda a: a["_id"].isNotNull()), asset)
+    spine = F.transform(F.coalesce(F.col("_doc.library.event.project.sequence.spine").getField("asset-clip"), F.array()), clip)
     kept = [c for c in documents.columns if c != xml]
-    uid = F.coalesce(F.try_element_at("_uids", F.col("_clip._ref")), F.lit(""))
-    return found.select(*kept, "pos", F.col("_clip._name").alias("name"), uid.alias("asset_uid"), *(v.alias(k) for k, v in times.items()))
+    found = rows.select(*kept, "_of", F.inline(F.concat(known, spine)))
+    last = F.max(F.struct("_n", "_uid")).over(Window.partitionBy("_of", "_id"))
+    found = found.withColumn("asset_uid", F.coalesce(last["_uid"], F.lit(""))).where("pos is not null")
+    times = {new: rational_seconds(old) for new, old in (("offset_sec", "_offset"), ("start_sec", "_start"), ("duration_sec", "_duration"))}
+    return found.select(*kept, "pos", F.col("_name").alias("name"), "asset_uid", *(v.alias(k) for k, v in times.items()))
 
 
 def export(name: str, rows: DataFrame, order: str = "order_index") -> str:

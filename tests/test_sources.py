@@ -41,6 +41,18 @@ def test_timeline_round_trip(spark):
     assert [(r.name, r.asset_uid, r.offset_sec, r.start_sec, r.duration_sec) for r in rows] == [("Opener", "R1", 0.0, 12.0, 1.5), ("Outro", "R1", 1.5, 15.5, 3.0)]
 
 
+def test_timeline_assets_are_joined_not_searched(spark):
+    """No clip searches or carries its document's assets; of assets with one id the last counts."""
+    n = 300
+    rows = spark.range(n).select(F.lit(0).alias("scope"), F.col("id").alias("asset_id"), F.col("id").alias("order_index"), F.lit("x").alias("label"), F.concat(F.lit("a"), F.col("id").cast("string")).alias("name"), F.lit("/m").alias("source_path"), F.lit("").alias("interchange_reel_name"), F.lit(24.0).alias("fps"), F.lit(4).alias("width"), F.lit(2).alias("height"), *(F.lit(1.0).alias(c) for c in ("duration_sec", "length_sec", "offset_sec", "source_start")))
+    found = timeline_xml.parsed(timeline_xml.exported(rows, "cut"))
+    assert sorted((r.pos, r.asset_uid) for r in found.collect()) == [(i, f"a{i}") for i in range(n)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(x in plan for x in ("map_from_entries", "mapfromentries", "array_distinct", "element_at"))
+    twice = '<fcpxml><resources><asset id="r2" uid="A"/><asset id="r2" uid="B"/></resources><library><event><project><sequence><spine><asset-clip name="n" ref="r2" offset="0s" start="0s" duration="1s"/></spine></sequence></project></event></library></fcpxml>'
+    assert timeline_xml.parse(spark, twice).first().asset_uid == "B"
+
+
 def test_media_listing(spark, tmp_path):
     for name in ("Originals/C1.MOV", "Proxy/C1_proxy.mp4", "Proxy/notes.txt"):
         p = tmp_path / name
