@@ -280,6 +280,11 @@ def key_values(raw: Column | str, allowed: Sequence[str]) -> Column:
     return F.when(some, F.struct(*(read(k).alias(k) for k in allowed)))
 
 
+def told_number(x: Column) -> Column:
+    """A number as text, a whole one without decimals."""
+    return F.when(x == F.floor(x), x.cast("long").cast("string")).otherwise(x.cast("string"))
+
+
 def row_key(*columns: Column | str, method: str = "sha1") -> Column:
     """A hash of the columns as canonical JSON; stable within this engine."""
     text = F.to_json(F.struct(*(col(c) for c in columns)))

@@ -132,8 +132,11 @@ def json_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(n == 4, "no object here")
         .otherwise(F.concat(F.lit('{"k": "'), F.col("k"), F.lit('", "list": [1, 2], "text": "cut')))
     )
-    found = e.withColumn("found", text.repaired_json(raw))
-    return found.select("event_id", F.get_json_object("found", "$.k").alias("k"), F.get_json_object("found", "$.list").alias("list"), F.get_json_object("found", "$.text").alias("text"))
+    # What has no object is read as 'key: value' lines, as answers about boundaries are.
+    found = e.withColumns({"found": text.repaired_json(raw), "lines": text.key_values(raw, ("k",))})
+    told = F.coalesce(F.col("lines.k.text"), text.told_number(F.col("lines.k.number")))
+    k = F.when(F.col("found").isNotNull(), F.get_json_object("found", "$.k")).otherwise(told)
+    return found.select("event_id", k.alias("k"), F.get_json_object("found", "$.list").alias("list"), F.get_json_object("found", "$.text").alias("text"))
 
 
 @query

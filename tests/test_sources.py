@@ -53,6 +53,13 @@ def test_timeline_assets_are_joined_not_searched(spark):
     assert timeline_xml.parse(spark, twice).first().asset_uid == "B"
 
 
+def test_json_repairs_reads_lines(spark, sf_dir):
+    from cliploom.plans.queries import QUERIES
+
+    lines = [r.k for r in QUERIES["json_repairs"](spark, sf_dir).where("event_id % 6 = 3").collect()]
+    assert lines and all(k is not None and k.isdigit() for k in lines)
+
+
 def test_media_listing(spark, tmp_path):
     for name in ("Originals/C1.MOV", "Proxy/C1_proxy.mp4", "Proxy/notes.txt"):
         p = tmp_path / name
