@@ -60,6 +60,13 @@ def test_json_repairs_reads_lines(spark, sf_dir):
     assert lines and all(k is not None and k.isdigit() for k in lines)
 
 
+def test_parts_are_spread(spark, sf_dir):
+    """A file that one task scans is dealt out before the work on its rows."""
+    from cliploom.plans.queries import QUERIES
+
+    assert QUERIES["hash_unit"](spark, sf_dir).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_media_listing(spark, tmp_path):
     for name in ("Originals/C1.MOV", "Proxy/C1_proxy.mp4", "Proxy/notes.txt"):
         p = tmp_path / name
