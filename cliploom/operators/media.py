@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import padded, rounded
@@ -23,9 +23,15 @@ def match_media(media: DataFrame) -> DataFrame:
     score = F.lit(0.4)
     for test, gain in points:
         score = score + F.when(test, F.lit(gain)).otherwise(F.lit(0.0))
-    pairs = sources.join(proxies, "key").withColumn("score", F.least(F.lit(1.0), score))
-    turn = F.row_number().over(Window.partitionBy("s_path").orderBy(F.desc("score"), "p_path"))
-    best = pairs.withColumn("_turn", turn).where("_turn = 1")
+    # Files that score alike are one class: only classes meet, and of a class of proxies the first path stands for all.
+    alike = lambda prefix: [f"{prefix}_{c}" for c in ("stem", "ext", "duration_sec", "fps")]
+    source_classes = sources.select("key", *alike("s")).distinct()
+    proxy_classes = proxies.groupBy("key", *alike("p")).agg(F.min("p_path").alias("p_path"))
+    pairs = source_classes.join(proxy_classes, "key").withColumn("score", F.least(F.lit(1.0), score))
+    first = pairs.groupBy("key", *alike("s")).agg(F.min(F.struct((-F.col("score")).alias("_less"), "p_path")).alias("_best"))
+    first = first.toDF("_key", *(f"_{c}" for c in alike("s")), "_best")
+    same = [F.col("key") == F.col("_key"), *(F.col(c).eqNullSafe(F.col(f"_{c}")) for c in alike("s"))]
+    best = sources.join(first, same).groupBy("s_path").agg(F.min("_best").alias("_best")).select("s_path", F.col("_best.p_path").alias("p_path"), (-F.col("_best._less")).alias("score"))
     label = F.when(F.col("score") >= 0.85, "strong").when(F.col("score") >= 0.7, "likely").when(F.col("score") >= 0.55, "possible").otherwise("weak")
     matched = best.select(F.col("s_path").alias("source_path"), F.col("p_path").alias("proxy_path"), rounded(F.col("score"), 2).alias("confidence"), label.alias("reason"))
     alone = sources.join(best.select("s_path"), "s_path", "left_anti").select(F.col("s_path").alias("source_path"), F.lit(None).cast("string").alias("proxy_path"), F.lit(1.0).alias("confidence"), F.lit("source-only").alias("reason"))

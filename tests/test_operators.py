@@ -283,6 +283,15 @@ def test_proxy_match(spark):
     assert got["/a/Originals/C1.mov"].confidence >= 0.85 and got["/a/Proxy/C2_proxy.mov"].confidence == 0.45 and got["/a/Originals/C3.mov"].confidence == 1.0
 
 
+def test_match_media_pairs_classes(spark):
+    """Files of one key that score alike never meet one by one."""
+    rows = spark.range(4_000).select(F.format_string("/m/%05d", "id").alias("path"), F.when(F.col("id") % 2 == 0, "source").otherwise("proxy").alias("role"), F.lit("k").alias("clip_key"), F.lit("k").alias("stem"), F.lit("mov").alias("ext"), (F.col("id") % 4 / 2).alias("duration_sec"), F.lit(None).cast("double").alias("fps"))
+    found = media.match_media(rows)
+    assert {tuple(r) for r in found.groupBy("proxy_path", "confidence").count().collect()} == {("/m/00001", 0.9, 2_000)}
+    # Pairs of files would be ranked for each source; classes are brought to their best by aggregates.
+    assert "Window [row_number" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_scores(spark):
     base = dict.fromkeys(scoring.METRICS, 0.9)
     row = {"asset_id": 1, "segment_id": 1, "has_speech": False, "transcript_excerpt": "", **base}

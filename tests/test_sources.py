@@ -64,7 +64,7 @@ def test_parts_are_spread(spark, sf_dir):
     """A file that one task scans is dealt out before the work on its rows."""
     from cliploom.plans.queries import QUERIES
 
-    assert QUERIES["hash_unit"](spark, sf_dir).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert QUERIES["hash_unit"](spark, sf_dir).rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
 
 
 def test_media_listing(spark, tmp_path):
