@@ -371,7 +371,8 @@ def _dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = adapters.table(spark, sf_dir, "part")
     every = F.array(*(F.when(test, other) for test, other in needs.values()))
     edges = rows.select(p.alias("after"), F.explode(F.array_compact(every)).alias("before"))
-    return edges.join(rows.select(p.alias("before")), "before", "left_semi").select("before", "after")
+    # Not broadcast: a file of parts is small and has very many keys, which would all go through the driver.
+    return edges.join(rows.select(p.alias("before")).hint("merge"), "before", "left_semi").select("before", "after")
 
 
 @query

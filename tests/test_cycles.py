@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from cliploom.operators import graph
 
@@ -48,3 +49,12 @@ def test_no_cycles(spark):
     for few in (graph.TASK_EDGES, 5):
         assert graph.cycles(frame, few).count() == 0 and graph.strong_components(frame.where("false"), few).count() == 0
     assert graph.acyclic(frame)[0]
+
+
+def test_nodes_are_not_broadcast(spark):
+    """Files of nodes are small and hold very many rows, which a broadcast would send through the driver."""
+    edges = spark.range(2_000).select((F.col("id") % 1_000).alias("before"), ((F.col("id") + 1) % 1_000).alias("after"))
+    found = graph.cycles(edges)
+    assert found.where("on_cycle").count() == 1_000
+    for plan in (found, graph._spread(edges.select(F.col("before").alias("node"), F.lit(0).alias("colour")).limit(1), edges)):
+        assert "Broadcast" not in plan._jdf.queryExecution().executedPlan().toString()
