@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,3 +74,14 @@ def test_any_similarity(spark):
     near = dedup.compared(items, "g", "i", lambda x, y: 1 / (1 + F.abs(x["tone"] - y["tone"])))
     got = {r.i: (r.leader, r.deduplicated) for r in dedup.leaders(items, near, "g", "i", "score", 0.5).collect()}
     assert got == {"a": ("a", False), "b": ("a", True), "c": ("c", False), "d": ("d", False)}
+
+
+def test_vector_batches_are_bounded():
+    """At wide angles every vector goes to every cell, and of equal vectors all pairs count: neither is made at once."""
+    v = np.eye(64)[np.arange(3_000) % 64]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3_000)), pa.array(v.tolist()), pa.array([63] * 3_000, pa.int32()), pa.array([0.0] * 3_000)], names=["item", "v", "cell", "angle"])
+    copies = list(dedup._guests(np.eye(64), np.full(64, 4.0), 4.0)(iter([batch])))
+    assert sum(b.num_rows for b in copies) == 3_000 * 63 and max(b.num_rows for b in copies) <= dedup.MOST_COPIES
+    block = pa.RecordBatch.from_arrays([pa.array(range(3_000)), pa.array(np.ones((3_000, 4)).tolist()), *(pa.array([0] * 3_000, pa.int32()) for _ in range(4))], names=["item", "v", "cell", "block", "lo", "hi"])
+    pairs = list(dedup._block_pairs(0.9)(iter([block])))
+    assert sum(b.num_rows for b in pairs) == 3_000 * 2_999 // 2 and max(b.num_rows for b in pairs) <= dedup.MOST_PAIRS
