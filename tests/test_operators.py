@@ -283,6 +283,15 @@ def test_proxy_match(spark):
     assert got["/a/Originals/C1.mov"].confidence >= 0.85 and got["/a/Proxy/C2_proxy.mov"].confidence == 0.45 and got["/a/Originals/C3.mov"].confidence == 1.0
 
 
+def test_views_join_items_to_takes_first(spark):
+    """Segments without a take have no take_id: joined by it, they would all meet in one task."""
+    segments = spark.createDataFrame([(1, i) for i in range(4)], "asset_id long, segment_id long")
+    found = views.segment_views(segments, spark.createDataFrame([(1, "a")], "asset_id long, asset_name string"), spark.createDataFrame([(0, "t0"), (1, "t1")], "segment_id long, take_id string"), spark.createDataFrame([("t1", True)], "take_id string, on_timeline boolean"))
+    assert sorted((r.segment_id, r.take_id, r.on_timeline) for r in found.collect()) == [(0, "t0", None), (1, "t1", True), (2, None, None), (3, None, None)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join LeftOuter, (segment_id") < plan.index("Join LeftOuter, (take_id")
+
+
 def test_match_media_pairs_classes(spark):
     """Files of one key that score alike never meet one by one."""
     rows = spark.range(4_000).select(F.format_string("/m/%05d", "id").alias("path"), F.when(F.col("id") % 2 == 0, "source").otherwise("proxy").alias("role"), F.lit("k").alias("clip_key"), F.lit("k").alias("stem"), F.lit("mov").alias("ext"), (F.col("id") % 4 / 2).alias("duration_sec"), F.lit(None).cast("double").alias("fps"))
