@@ -242,18 +242,24 @@ def _repaired_json(raw: pd.Series) -> pd.Series:
 
 
 def whole_json(raw: Column | str) -> Column:
-    """`object` for a text that is a JSON object, `other` for other JSON, null for a text that is none."""
-    kind = F.schema_of_variant(F.try_parse_json(col(raw)))
+    """`object` for a text that is a JSON object, `other` for other JSON, null for a text that is none.
+
+    Texts that begin as no JSON does aren't parsed: a parse that fails costs many times one that doesn't.
+    """
+    kind = F.schema_of_variant(F.try_parse_json(F.when(col(raw).rlike(r'^[ \t\r\n]*[\[{"0-9tfn-]'), col(raw))))
     return F.when(kind.startswith("OBJECT"), "object").when(kind.isNotNull(), "other")
 
 
 def repaired_json(raw: Column | str) -> Column:
-    """A JSON object out of model output (see `_repaired`); null where there is none.  Python sees only texts that aren't JSON.
+    """A JSON object out of model output (see `_repaired`); null where there is none.
 
-    Where many rows are whole, `operators.model.with_objects` keeps them out of Python's batches altogether.
+    Python sees only texts that aren't JSON and have a brace.  Where many rows are whole, `operators.model.with_objects`
+    keeps them out of Python's batches altogether.
     """
-    kind = whole_json(raw)
-    return F.when(kind == "object", col(raw)).when(kind.isNull(), _repaired_json(F.when(kind.isNull(), col(raw))))
+    braced = F.when(F.contains(col(raw), F.lit("{")), col(raw))
+    kind = whole_json(braced)
+    # Python's result is null for what is JSON, so only then the kind is asked for once more.
+    return F.coalesce(_repaired_json(F.when(kind.isNull(), braced)), F.when(kind == "object", braced))
 
 
 _NUMBER = r"^[+-]?((\d[\d_]*\.?[\d_]*|\.\d+)([eE][+-]?\d+)?|(?i:nan|inf|infinity))$"

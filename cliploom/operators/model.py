@@ -148,15 +148,21 @@ def normalised(raw: Column, fallback: Column) -> Column:
 
     Placeholder texts, empty lists, unknown keep labels and numbers that do not parse are not usable.
     """
-    a = F.from_json(repaired_json(raw), ANSWER)
-    text = lambda name: F.coalesce(F.when(~is_placeholder(a[name]), F.trim(a[name])), fallback[name])
-    listed = lambda name: F.coalesce(F.when(F.size(F.filter(a[name], lambda x: ~is_placeholder(x))) > 0, F.filter(a[name], lambda x: ~is_placeholder(x))), fallback[name])
-    return F.struct(
-        *(text(n).alias(n) for n in ("shot_type", "camera_motion", "mood")),
-        *(listed(n).alias(n) for n in ("story_roles", "quality_findings", "risk_flags")),
-        F.coalesce(F.when(F.lower(a["keep_label"]).isin("keep", "maybe", "reject"), F.lower(a["keep_label"])), fallback["keep_label"]).alias("keep_label"),
-        F.coalesce(F.when(a["confidence"].try_cast("double").isNotNull(), rounded(clamp(a["confidence"].try_cast("double")), 4)), fallback["confidence"]).alias("confidence"),
-    )
+    text = lambda a, name: F.coalesce(F.when(~is_placeholder(a[name]), F.trim(a[name])), fallback[name])
+    some = lambda items: F.get(F.filter(F.array(items), lambda x: F.size(x) > 0), 0)
+    listed = lambda a, name: F.coalesce(some(F.filter(a[name], lambda x: ~is_placeholder(x))), fallback[name])
+
+    def record(a: Column) -> Column:
+        keep, sure = F.lower(a["keep_label"]), a["confidence"].try_cast("double")
+        return F.struct(
+            *(text(a, n).alias(n) for n in ("shot_type", "camera_motion", "mood")),
+            *(listed(a, n).alias(n) for n in ("story_roles", "quality_findings", "risk_flags")),
+            F.coalesce(F.when(keep.isin("keep", "maybe", "reject"), keep), fallback["keep_label"]).alias("keep_label"),
+            F.coalesce(F.when(sure.isNotNull(), rounded(clamp(sure), 4)), fallback["confidence"]).alias("confidence"),
+        )
+
+    # As an item of an array the answer is parsed once; as an expression it would be anew for each use of a field.
+    return F.get(F.transform(F.array(F.from_json(repaired_json(raw), ANSWER)), record), 0)
 
 
 def normalised_boundary(decision: Column, confidence: Column, start: Column, end: Column, new_start: Column, new_end: Column, split_at: Column, local: bool = True, duration: Column | None = None) -> Column:

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from cliploom.functions import text
 from cliploom.operators import intervals, model, review
 
 
@@ -22,6 +23,18 @@ def test_normalised(spark):
     assert rows[1].n.keep_label == "f" and rows[1].n.confidence == 0.5
 
 
+def test_an_answer_is_parsed_once(spark):
+    rules = F.struct(*(F.lit("f").alias(n) for n in ("shot_type", "camera_motion", "mood", "keep_label")), *(F.array(F.lit("f")).alias(n) for n in ("story_roles", "quality_findings", "risk_flags")), F.lit(0.5).alias("confidence"))
+    plan = spark.range(9).select(F.concat(F.lit("{"), "id").alias("raw")).select(model.normalised(F.col("raw"), rules).alias("n")).select("n.*")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
+
+
+def test_repaired_json_of_texts_that_begin_as_none(spark):
+    raw = [None, "", "nothing", "{", ' \n{"a": 1}', '[{"a": 1}]', 'x {"a": 1}', '"{"', "5 {}", 'true, {"a": [1', "-{}"]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(raw)], "i int, raw string")
+    assert [r.x for r in rows.select("i", text.repaired_json("raw").alias("x")).orderBy("i").collect()] == [None, None, None, None, ' \n{"a": 1}', None, '{"a": 1}', None, None, None, "{}"]
+
+
 def test_normalised_boundary(spark):
     rows = [("split", 0.8, 0.0, 10.0), ("split", 0.9, 0.0, 10.0), ("trim", 0.9, 0.0, 10.0), ("odd", 0.9, 0.0, 10.0)]
     nothing = F.lit(None).cast("double")
