@@ -10,8 +10,10 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.numeric import clamp, rounded
 from ..functions.text import is_placeholder, key_values, repaired_json, whole_json
@@ -41,25 +43,90 @@ def attempted(rows: DataFrame, work: Analyzer, fields: str, key: str = "asset_id
 
     `work` takes a pandas frame of one asset's rows and returns one of `fields`.  An asset whose work raises has no results and
     stops no other.  What is found is written to the shared folder, so results and states come from one run of the work.
+    Columns of plain types travel for many assets at once, as a frame of its own for each costs more than little work does.
     """
     kind = dict(rows.dtypes)[key]
     names = [f.split()[0] for f in re.split(r",(?![^<]*>)", fields.replace(", ", ","))]
+    out = f"{key} {kind}, _found boolean, _error string, {fields}"
 
-    def run(name: tuple, batch: pd.DataFrame) -> pd.DataFrame:
+    def tried(batch: pd.DataFrame) -> tuple[pd.DataFrame | None, str | None]:
         try:
-            found, error = work(batch)[names], None
+            return work(batch)[names], None
         except Exception as failure:  # noqa: BLE001  (any failure is the asset's own)
-            found, error = pd.DataFrame(columns=names), f"{type(failure).__name__}: {failure}"
-        out = found.reset_index(drop=True).assign(**{key: name[0], "_found": True, "_error": None})
+            return None, f"{type(failure).__name__}: {failure}"
+
+    def run(name: tuple, batch: pd.DataFrame) -> pd.DataFrame:
+        found, error = tried(batch)
+        found = pd.DataFrame(columns=names) if found is None else found
+        found = found.reset_index(drop=True).assign(**{key: name[0], "_found": True, "_error": None})
         # One more row tells of the asset itself.
         told = pd.DataFrame([{key: name[0], "_found": False, "_error": error} | dict.fromkeys(names)])
-        return pd.concat([told, out.astype(object)])[[key, "_found", "_error", *names]]
-
-    every = checkpointed(rows.groupBy(key).applyInPandas(run, f"{key} {kind}, _found boolean, _error string, {fields}"))
+        return pd.concat([told, found.astype(object)])[[key, "_found", "_error", *names]]
+
+    # Few bytes but much work each: a stated number of tasks isn't put together again by size.
+    rows = rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, key)
+    schema = T.StructType.fromDDL(out)
+    if {t for _, t in rows.dtypes} <= PLAIN and kind not in ("float", "double") and {f.dataType.simpleString() for f in schema} <= PLAIN:
+        arrow = pa.schema([(f.name, getattr(pa, ARROW.get(f.dataType.simpleString(), f.dataType.simpleString()))()) for f in schema])
+
+        def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for frames in _by_key(batches, key):
+                rows: list[list] = [[] for _ in arrow]
+                for name, batch in frames:
+                    found, error = tried(batch)
+                    told = [[name], [False], [error], *([None] for _ in names)]
+                    if found is not None:
+                        n = len(found)
+                        told = [[name] * (n + 1), [False] + [True] * n, [None] * (n + 1), *([None, *found[c].tolist()] for c in names)]
+                    for column, values in zip(rows, told, strict=True):
+                        column.extend(values)
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type, from_pandas=True) for x, f in zip(rows, arrow, strict=True)], schema=arrow)
+
+        every = checkpointed(rows.sortWithinPartitions(key).mapInArrow(runs, out))
+    else:
+        every = checkpointed(rows.groupBy(key).applyInPandas(run, out))
     states = every.groupBy(key).agg(F.count_if("_found").alias("n"), F.max("_error").alias("error"))
     return every.where("_found").drop("_found", "_error"), states
 
 
+#: Types whose columns are the same in a frame of many assets as in one of each asset, as long as none is null.
+PLAIN = {"tinyint", "smallint", "int", "bigint", "float", "double", "boolean", "string"}
+ARROW = {"tinyint": "int8", "smallint": "int16", "int": "int32", "bigint": "int64", "float": "float32", "double": "float64", "boolean": "bool_"}
+
+
+def _by_key(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[tuple[object, pd.DataFrame]]]:
+    """Each key with its rows, of batches in the order of keys; lists of the keys that end in a batch."""
+
+    def cut(table: pa.Table, bounds: list[int], names: list) -> list[tuple[object, pd.DataFrame]]:
+        # A null in one asset's rows would change the types of all others' columns.
+        whole = None if any(c.null_count for c in table.columns) else table.to_pandas()
+        found = []
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            frame = table.slice(a, b - a).to_pandas() if whole is None else whole.iloc[a:b].reset_index(drop=True)
+            found.append((names[a], frame))
+        return found
+
+    kept: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        names = batch.column(key).to_pylist()
+        if kept and names[0] == last and names[-1] == last:
+            kept.append(batch)
+            continue
+        table = pa.Table.from_batches([*kept, batch])
+        names = [last] * (table.num_rows - batch.num_rows) + names
+        bounds = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1])]
+        last, tail = names[-1], bounds[-1]
+        if len(bounds) > 1:
+            yield cut(table, bounds, names)
+        kept = table.slice(tail).to_batches()
+    if kept:
+        table = pa.Table.from_batches(kept)
+        yield cut(table, [0, table.num_rows], [last])
+
+
 SPANS = "start_sec double, end_sec double, text string"
 
 
@@ -91,6 +158,8 @@ def analyzed(tasks: DataFrame, analyze: Analyzer, result: str, fallback: Column,
     `omitted` for a row that a call left out.  The first of several answers for a row, by value, counts.
     """
     kind = dict(tasks.dtypes)[row]
+    # Asked and answered: read twice.
+    tasks = checkpointed(tasks)
     found, states = attempted(tasks, analyze, f"{row} {kind}, result {result}", key)
     rows = tasks.join(found.groupBy(row).agg(F.min("result").alias("_live")), row, "left").join(states.select(key, "error"), key, "left")
     live = F.col("_live").isNotNull()

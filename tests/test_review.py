@@ -23,6 +23,26 @@ def test_normalised(spark):
     assert rows[1].n.keep_label == "f" and rows[1].n.confidence == 0.5
 
 
+def test_attempted_sees_each_asset_whole(spark):
+    """More rows than a batch, nulls in one asset only, results left out and failures; one frame from many assets in a task."""
+    rows = spark.range(30_000).select(F.when(F.col("id") % 3 > 0, F.when(F.col("id") < 20_000, 0).otherwise(F.floor(F.col("id") / 4))).alias("asset_id"), "id", F.when(F.col("id") != 29_999, F.col("id") * 2).alias("n"))
+
+    def work(batch):
+        if batch["asset_id"].iat[0] == 5_001:
+            raise ValueError("no")
+        assert list(batch.index) == list(range(len(batch))) and batch["asset_id"].nunique(dropna=False) == 1
+        assert batch["n"].dtype == ("float64" if batch["id"].max() == 29_999 else "int64")
+        return batch[["id"]].assign(size=len(batch), n=batch["n"])
+
+    found, states = model.attempted(rows, work, "id long, size int, n long")
+    want = rows.where("asset_id is null or asset_id <> 5001").groupBy("asset_id").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("n"))
+    got = found.groupBy("asset_id").agg(F.max("size").cast("long").alias("size"), F.sum("n").alias("n"))
+    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+    assert [tuple(r) for r in states.where("error is not null").collect()] == [(5001, 0, "ValueError: no")]
+    # One process reads many assets: far fewer groups reach Python than there are.
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().toString() and found.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+
+
 def test_an_answer_is_parsed_once(spark):
     rules = F.struct(*(F.lit("f").alias(n) for n in ("shot_type", "camera_motion", "mood", "keep_label")), *(F.array(F.lit("f")).alias(n) for n in ("story_roles", "quality_findings", "risk_flags")), F.lit(0.5).alias("confidence"))
     plan = spark.range(9).select(F.concat(F.lit("{"), "id").alias("raw")).select(model.normalised(F.col("raw"), rules).alias("n")).select("n.*")._jdf.queryExecution().optimizedPlan().toString()
