@@ -6,7 +6,7 @@ Going through a group in order, a row stays unless an earlier row that stays con
   `TASK_EDGES` edges are settled as their edges stream through a task in order; of larger ones each round settles the rows
   that nothing undecided precedes, all at once, with the rows they suppress.  Where conflicts form long chains and rounds
   settle little, the next stretch of the order, of about `TASK_EDGES` edges, is settled in one go instead.
-* `kept_apart` takes ranges that conflict by their overlap.  The first `FIRST_ROWS` of a group are folded; of a longer group,
+* `kept_apart` takes ranges that conflict by their overlap.  The first `FIRST_ROWS` of a group are folded, at once where no group is longer; of a longer group,
   those kept suppress among the others by a join on (key, cell), which leaves little where ranges are dense.  When that no
   longer halves the rows, ranges are sparse, and the conflicts among the rest are few enough to be edges.
 """
@@ -112,7 +112,11 @@ def kept_apart(rows: DataFrame, key: str, order: Sequence[str], start: str, end:
     """The rows that overlap no earlier kept one of their key by the ratio `most`; with `limit`, the first so many of a key.
 
     `order` names columns that put a key's rows into a total order, ascending.  Ratio: overlap over the shorter length.
+    The rows are written first: they are counted by key, and folded.
     """
+    rows = written(rows)
+    if rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > first_rows).isEmpty():
+        return _fold(rows, key, order, start, end, most, limit)
     turn = Window.partitionBy(key).orderBy(*order)
     first = rows.withColumn("_turn", F.row_number().over(turn)).where(F.col("_turn") <= first_rows)
     kept = _fold(first.drop("_turn"), key, order, start, end, most, limit)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import rounded
+from ..sources.scratch import written
 from .greedy import kept_apart
 from .ranges import overlapping_ranges, points_in_ranges
 
@@ -111,6 +112,8 @@ def seed_regions(scenes: DataFrame, visual_peaks: DataFrame, audio_peaks: DataFr
     source = lambda df, n, name, conf: df.select(key, F.lit(n).alias("_source"), F.col("_place"), "start_sec", "end_sec", F.lit(name).alias("source"), F.lit(conf).alias("confidence"))
     peaks = lambda df: df.join(framed, key, "left_semi").withColumn("_place", F.col("pos") if "pos" in df.columns else by_start)
     every = source(own.withColumn("_place", by_start), 0, "scene", 0.55).unionByName(source(peaks(visual_peaks), 1, "visual-peak", 0.72)).unionByName(source(peaks(audio_peaks), 2, "audio-peak", 0.68))
+    # Three folds, read for their ranges and for the clips without any.
+    every = written(every)
     rest = clips.join(framed, key, "left_semi").join(every.select(key).distinct(), key, "left_anti")
     whole = rest.select(key, F.lit(3).alias("_source"), F.lit(1).alias("_place"), F.lit(0.0).alias("start_sec"), rounded(F.greatest("duration_sec", F.lit(1.0)), 3).alias("end_sec"), F.lit("fallback").alias("source"), F.lit(0.30).alias("confidence"))
     cut = every.unionByName(whole).where("end_sec > start_sec").join(clips, key)

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from cliploom.operators import dedup, greedy, intervals
 
@@ -95,3 +96,13 @@ def test_seed_regions(spark):
     heard = spark.createDataFrame([(1, 20.0, 20.5), (2, 7.0, 8.0)], "asset_id int, start_sec double, end_sec double")
     got = intervals.seed_regions(scenes, seen, heard, clips, framed=clips.where("asset_id <> 2")).collect()
     assert sorted(map(tuple, got)) == [(1, 0.0, 5.5, "scene", 0.55), (1, 20.0, 20.5, "audio-peak", 0.68), (2, 0.0, 5.5, "scene", 0.55), (3, 0.0, 0.4, "fallback", 0.3), (4, 0.0, 20.0, "fallback", 0.3)]
+
+
+def test_short_groups_are_read_once(spark):
+    """Without a long group nothing is ordered by windows: rows are written, counted by key and folded."""
+    rows = spark.range(400).select((F.col("id") % 40).alias("k"), F.col("id").alias("n"), (F.col("id") / 40).alias("a"), (F.col("id") / 40 + 2).alias("b"))
+    kept = greedy.kept_apart(rows, "k", ["n"], "a", "b", 0.5)
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Range (" not in plan and plan.count("Relation") == 1
+    longer = greedy.kept_apart(rows, "k", ["n"], "a", "b", 0.5, first_rows=3)
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, longer.collect()))
