@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clamp, padded, rounded
+from ..sources.scratch import written
+from .views import numbered
 
 # Fixed values.
 MIN_SCORE, ALTERNATE_GAP, LONG_CLIP_SEC = 0.68, 0.08, 18.0
@@ -99,14 +101,12 @@ def run_budget(total: Column, pct: float, most: int) -> Column:
 def drained(targets: DataFrame, pct: float = 100.0, most: int = 2) -> DataFrame:
     """The run-wide budget spent asset by asset: adds run_rank and status (`pending` or `over_budget`).
 
-    Ranks are over targets only, which are few per asset; they are found per asset first and added up over assets.
+    Ranks are places in the order of assets and their targets, found without gathering them in a task.
     """
-    per_asset = targets.groupBy("asset_id").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("asset_id").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_asset.select("asset_id", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_total"))
-    rows = targets.join(offsets, "asset_id").withColumn("run_rank", F.col("_before") + F.row_number().over(Window.partitionBy("asset_id").orderBy("target_rank")))
-    budget = run_budget(F.col("_total"), pct, most)
-    return rows.withColumn("status", F.when(F.col("run_rank") <= budget, "pending").otherwise("over_budget")).drop("_before", "_total")
+    rows = written(targets)
+    budget = run_budget(F.lit(rows.count()), pct, most)
+    ranked = numbered(rows, [F.col("asset_id"), F.col("target_rank")], "run_rank")
+    return ranked.withColumn("status", F.when(F.col("run_rank") <= budget, "pending").otherwise("over_budget"))
 
 
 def seed_drift(start: Column, end: Column, seeds: Column) -> Column:

@@ -2,6 +2,9 @@
 
 import math
 
+from pyspark.sql import functions as F
+
+from cliploom.operators import selection
 from cliploom.plans import adapters
 
 
@@ -15,3 +18,12 @@ def test_lines_are_dealt_by_their_number(spark, sf_dir, monkeypatch):
     # Lines aren't grouped by order and supplier before they are dealt.
     assert "hashpartitioning(l_orderkey" in plan and not any("hashpartitioning" in x and "l_suppkey" in x for x in plan.splitlines())
     assert sorted(map(str, rows.collect())) == before
+
+
+def test_drained_gathers_no_assets(spark):
+    rows = spark.range(300).select(F.floor(F.col("id") / 3).alias("asset_id"), "id", (F.lit(3) - F.col("id") % 3).cast("int").alias("target_rank"))
+    found = selection.drained(rows, 50.0, 1000)
+    assert "windowspecdefinition(asset_id" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = [(r.asset_id, r.target_rank, r.status) for r in found.orderBy("run_rank").collect()]
+    assert got == [(a, k, "pending" if 3 * a + k <= 150 else "over_budget") for a in range(100) for k in (1, 2, 3)]
+    assert selection.drained(rows.where("false")).count() == 0
