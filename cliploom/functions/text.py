@@ -275,15 +275,20 @@ def key_values(raw: Column | str, allowed: Sequence[str]) -> Column:
     lines = F.filter(F.split(F.coalesce(col(raw), F.lit("")), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), lambda x: F.contains(x, F.lit(":")))
     pairs = F.transform(lines, lambda x: F.struct(F.replace(F.lower(bare(F.substring_index(x, ":", 1))), F.lit(" "), F.lit("_")).alias("key"), bare(F.substr(x, F.instr(x, ":") + 1)).alias("value")))
 
-    def read(key: str) -> Column:
-        value = F.element_at(F.transform(F.filter(pairs, lambda p: p["key"] == key), lambda p: p["value"]), -1)
+    # Items of arrays are found once; as expressions they would be anew for each use.
+    once = lambda x, use: F.get(F.transform(F.array(x), use), 0)
+
+    def told(value: Column) -> Column:
         quoted = value.startswith('"') & value.endswith('"') & (F.length(value) >= 2)
         number = ~quoted & value.rlike(_NUMBER)
         text = F.when(quoted, F.substr(value, F.lit(2), F.length(value) - 2)).when(~number & (F.lower(value) != "null"), value)
         return F.struct(text.alias("text"), F.when(number, F.replace(value, F.lit("_"), F.lit("")).try_cast("double")).alias("number"))
 
-    some = F.exists(pairs, lambda p: p["key"].isin(*allowed))
-    return F.when(some, F.struct(*(read(k).alias(k) for k in allowed)))
+    def read(pairs: Column, key: str) -> Column:
+        return once(F.try_element_at(F.transform(F.filter(pairs, lambda p: p["key"] == key), lambda p: p["value"]), F.lit(-1)), told)
+
+    some = lambda pairs: F.exists(pairs, lambda p: p["key"].isin(*allowed))
+    return once(pairs, lambda found: F.when(some(found), F.struct(*(read(found, k).alias(k) for k in allowed))))
 
 
 def told_number(x: Column) -> Column:

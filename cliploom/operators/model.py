@@ -204,12 +204,17 @@ def boundary_payload(raw: Column, found: Column) -> Column:
 
     Lines tell decision, reason and confidence only, as local models write them; other answers are never read that way.
     """
-    lines = key_values(raw, ("decision", "reason", "confidence"))
-    spoken = F.struct(
-        F.coalesce(lines["decision"]["text"], lines["decision"]["number"].cast("string")).alias("decision"), lines["reason"]["text"].alias("reason"), lines["confidence"]["number"].alias("confidence"),
-        *(F.lit(None).cast("double").alias(c) for c in ("suggested_start_sec", "suggested_end_sec", "split_point_sec")),
-    )
-    return F.when(found.isNotNull(), F.from_json(found, BOUNDARY)).when(lines.isNotNull(), spoken)
+
+    def spoken(lines: Column) -> Column:
+        return F.struct(
+            F.coalesce(lines["decision"]["text"], lines["decision"]["number"].cast("string")).alias("decision"), lines["reason"]["text"].alias("reason"), lines["confidence"]["number"].alias("confidence"),
+            *(F.lit(None).cast("double").alias(c) for c in ("suggested_start_sec", "suggested_end_sec", "split_point_sec")),
+        )
+
+    # As an item of an array the lines are read once, not anew for each field.
+    lines = F.array(key_values(raw, ("decision", "reason", "confidence")))
+    told = F.get(F.transform(lines, lambda x: F.when(x.isNotNull(), spoken(x))), 0)
+    return F.when(found.isNotNull(), F.from_json(found, BOUNDARY)).otherwise(told)
 
 
 def normalised(raw: Column, fallback: Column) -> Column:

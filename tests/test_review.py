@@ -49,6 +49,14 @@ def test_an_answer_is_parsed_once(spark):
     assert plan.count("from_json") == 1
 
 
+def test_lines_of_an_answer_are_read_once(spark):
+    rows = spark.createDataFrame([('Decision : "SPLIT"\nconfidence: 0.5\nReason: a: b\nreason: null',), ("confidence: 1_0",), ("x",), (None,)], "raw string")
+    found = rows.select(model.boundary_payload(F.col("raw"), F.lit(None).cast("string")).alias("p")).select("p.decision", "p.reason", "p.confidence")
+    assert [tuple(r) for r in found.collect()] == [("SPLIT", None, 0.5), (None, None, 10.0), (None, None, None), (None, None, None)]
+    asked = model.boundary_payload(F.col("raw"), F.lit(None).cast("string"))
+    assert rows.select(asked.alias("p"))._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") <= 2
+
+
 def test_repaired_json_of_texts_that_begin_as_none(spark):
     raw = [None, "", "nothing", "{", ' \n{"a": 1}', '[{"a": 1}]', 'x {"a": 1}', '"{"', "5 {}", 'true, {"a": [1', "-{}"]
     rows = spark.createDataFrame([(i, x) for i, x in enumerate(raw)], "i int, raw string")
