@@ -57,10 +57,12 @@ def timeline_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def project_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every clip as a project document with its segments and takes, written as JSON and read again."""
     clips = adapters.assets(spark, sf_dir)
-    segments = adapters.segments(spark, sf_dir)
+    # Segments and takes are of the same rows, which are made once.
+    segments = checkpointed(adapters.segments(spark, sf_dir).select("asset_id", "segment_id", "pos", "start_sec", "end_sec", "transcript_excerpt", "sharpness", "stability", "prefilter_score"))
     project, asset = F.col("asset_id").alias("project_id"), F.col("asset_id").cast("string")
     name = F.concat(F.lit("s"), F.col("segment_id").cast("string"))
-    metrics = F.map_filter(F.create_map(*(x for c in ("sharpness", "stability") for x in (F.lit(c), F.col(c)))), lambda _, v: v.isNotNull())
+    metrics = F.create_map(*(x for c in ("sharpness", "stability") for x in (F.lit(c), F.col(c))))
+    metrics = F.when(F.col("sharpness").isNotNull() & F.col("stability").isNotNull(), metrics).otherwise(F.map_filter(metrics, lambda _, v: v.isNotNull()))
     frames = {
         "project": clips.select(project, F.concat(F.lit("p"), asset).alias("id"), F.col("asset_name").alias("name"), F.lit("done").alias("status"), F.array(F.lit("/media")).alias("media_roots"), F.concat(F.lit('the "story" of\n'), "asset_name").alias("story_summary")),
         "assets": clips.select(project, F.lit(0).alias("pos"), asset.alias("id"), F.col("asset_name").alias("name"), "duration_sec", "has_speech"),

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scratch import checkpointed
+
 ASSET = "struct<id:string,name:string,source_path:string,proxy_path:string,duration_sec:double,fps:double,width:int,height:int,has_speech:boolean,interchange_reel_name:string,source_timecode:string,has_proxy:boolean,proxy_match_confidence:double,proxy_match_reason:string>"
 PREFILTER = (
     "struct<score:double,shortlisted:boolean,filtered_before_vlm:boolean,selection_reason:string,sampled_frame_count:int,sampled_frame_timestamps_sec:array<double>,top_frame_timestamps_sec:array<double>,"
@@ -45,7 +48,9 @@ def project(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 def projects(documents: DataFrame, key: str = "project_id", document: str = "document") -> dict[str, DataFrame]:
     """The frames of many documents (key, text), each row with its key; a text that isn't a document has no rows but in `project`, of nulls."""
-    return _frames(documents.select(key, F.from_json(document, PROJECT).alias("_d")).select(key, "_d.*"), [key])
+    # Texts are made and parsed once, not again for each frame that is read.
+    parsed = checkpointed(documents.select(key, F.from_json(document, PROJECT).alias("_d")))
+    return _frames(parsed.select(key, "_d.*"), [key])
 
 
 def project_documents(frames: dict[str, DataFrame], key: str = "project_id") -> DataFrame:
@@ -57,15 +62,18 @@ def project_documents(frames: dict[str, DataFrame], key: str = "project_id") ->
     head = frames["project"]
     summary = F.coalesce("story_summary", F.lit("")) if "story_summary" in head.columns else F.lit("")
     out = head.select(key, F.struct(*(c for c in head.columns if c not in (key, "story_summary"))).alias("project"), summary.alias("_summary"))
+    lists = []
     for name, kind in _KINDS.items():
         if name in frames:
             rows = frames[name]
             known = T.DataType.fromDDL(kind).names
-            packed = F.struct("pos", F.struct(*(c for c in known if c in rows.columns)).alias("x"))
-            listed = rows.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct(packed["pos"].alias("pos"), F.to_json(packed["x"]).alias("x")))), lambda p: p["x"]).alias(f"_{name}"))
-            out = out.join(listed, key, "left")
-        else:
-            out = out.withColumn(f"_{name}", F.lit(None).cast("array<string>"))
+            lists.append(rows.select(key, F.struct("pos", F.to_json(F.struct(*(c for c in known if c in rows.columns))).alias("x")).alias(f"_{name}")))
+    if lists:
+        # The rows of all lists of a project meet in one shuffle, each in its own column.
+        rows = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), lists)
+        listed = lambda c: F.transform(F.sort_array(F.collect_list(c)), lambda p: p["x"]).alias(c)
+        out = out.join(rows.groupBy(key).agg(*(listed(c) for c in rows.columns if c != key)), key, "left")
+    out = out.withColumns({f"_{name}": F.lit(None).cast("array<string>") for name in _KINDS if name not in frames})
     texts = lambda name: F.concat(F.lit("["), F.array_join(F.coalesce(f"_{name}", F.array().cast("array<string>")), ","), F.lit("]"))
     field = lambda name, value: F.concat(F.lit(f'"{name}":'), value)
     shown = F.to_json(F.struct(F.concat(F.coalesce(F.col("project.id"), F.lit("")), F.lit("-timeline")).alias("id"), F.lit(1).alias("version"), F.col("_summary").alias("story_summary")))

@@ -31,6 +31,32 @@ def test_project_round_trip(spark, tmp_path):
         assert frames[name].collect() == other[name].collect()
 
 
+def test_documents_are_made_and_parsed_once(spark, sf_dir):
+    """The lists of a project meet in one grouping; a text is parsed once for all frames, and the query's segments are made once."""
+    from cliploom.plans.queries import QUERIES
+
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    heads = spark.createDataFrame([(1, "p1"), (2, "p2"), (3, "p3")], "project_id int, id string")
+    segments = spark.createDataFrame([(1, 2, "s2", None), (1, 1, "s1", 0.5), (2, 1, "s3", 1.5), (4, 1, "s4", 0.0)], "project_id int, pos int, id string, start_sec double")
+    takes = spark.createDataFrame([(1, 1, "t1", "s1"), (3, 1, "t3", "s3")], "project_id int, pos long, id string, candidate_segment_id string")
+    texts = documents.project_documents({"project": heads, "segments": segments, "takes": takes})
+    assert plan(texts).count("Aggregate") == 1
+    rest = lambda p: f'"timeline":{{"id":"{p}-timeline","version":1,"story_summary":"","items":[]}}'
+    assert {r.project_id: r.document for r in texts.collect()} == {
+        1: '{"project":{"id":"p1"},"assets":[],"candidate_segments":[{"id":"s1","start_sec":0.5},{"id":"s2"}],"take_recommendations":[{"id":"t1","candidate_segment_id":"s1"}],' + rest("p1") + "}",
+        2: '{"project":{"id":"p2"},"assets":[],"candidate_segments":[{"id":"s3","start_sec":1.5}],"take_recommendations":[],' + rest("p2") + "}",
+        3: '{"project":{"id":"p3"},"assets":[],"candidate_segments":[],"take_recommendations":[{"id":"t3","candidate_segment_id":"s3"}],' + rest("p3") + "}",
+    }
+    none = documents.project_documents({"project": heads}).where("project_id = 2").first().document
+    assert none == '{"project":{"id":"p2"},"assets":[],"candidate_segments":[],"take_recommendations":[],' + rest("p2") + "}"
+    found = documents.projects(texts.unionByName(spark.createDataFrame([(9, "no document")], "project_id int, document string")))
+    assert not any("from_json" in plan(rows) for rows in found.values())
+    assert sorted((r.project_id, r.id) for r in found["segments"].collect()) == [(1, "s1"), (1, "s2"), (2, "s3")]
+    assert sorted((r.project_id, r.id or "") for r in found["project"].collect()) == [(1, "p1"), (2, "p2"), (3, "p3"), (9, "")]
+    made = plan(QUERIES["project_documents"](spark, sf_dir))
+    assert "l_orderkey" not in made and "from_json" not in made
+
+
 def test_timeline_round_trip(spark):
     items = spark.createDataFrame([(1, "t1", 0, 0.5, 2.0, "Opener"), (1, "t2", 1, 0.0, 3.0, "Outro")], "scope int, take_id string, order_index int, trim_in_sec double, trim_out_sec double, label string")
     takes = spark.createDataFrame([("t1", "s1"), ("t2", "s2")], "take_id string, segment_id string")
