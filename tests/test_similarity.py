@@ -1,5 +1,6 @@
 """Threshold joins of histograms and vectors against all pairs."""
 
+import pathlib
 import random
 
 import numpy as np
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cliploom.operators import dedup
+from cliploom.sources.scratch import shared_folder
 
 
 @pytest.mark.parametrize("threshold", [0.2, 0.5, 0.85, 1.0])
@@ -85,3 +87,30 @@ def test_vector_batches_are_bounded():
     block = pa.RecordBatch.from_arrays([pa.array(range(3_000)), pa.array(np.ones((3_000, 4)).tolist()), *(pa.array([0] * 3_000, pa.int32()) for _ in range(4))], names=["item", "v", "cell", "block", "lo", "hi"])
     pairs = list(dedup._block_pairs(0.9)(iter([block])))
     assert sum(b.num_rows for b in pairs) == 3_000 * 2_999 // 2 and max(b.num_rows for b in pairs) <= dedup.MOST_PAIRS
+
+
+def held(folder):
+    return sum(f.stat().st_size for f in pathlib.Path(folder.removeprefix("file:")).rglob("*") if f.is_file())
+
+
+def wide(spark, n, dims=16):
+    v = np.random.default_rng(7).normal(size=(n, dims))
+    return spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id int, v array<double>")
+
+
+def test_wide_angles_write_no_copies(spark):
+    """Of vectors that all cells could meet, what is kept grows with the vectors and not with their cells."""
+    n = 1_200
+    df = wide(spark, n)
+    folder = shared_folder(spark)
+    before = held(folder)
+    found = dedup.vector_pairs(df, "id", "v", 0.4, cell_vectors=20, block_vectors=100)
+    # Vectors of 16 doubles: some 200 bytes a row; copies for half of 60 cells would be 30 times as much.
+    assert held(folder) - before < 6 * 200 * n
+    assert "CartesianProduct" in found._jdf.queryExecution().executedPlan().toString()
+    u = np.array([r.v for r in df.orderBy("id").collect()])
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    cosine = np.floor(u @ u.T * 1e6 + 0.5) / 1e6
+    want = {(i, j) for i, j in np.argwhere(cosine >= 0.4).tolist() if i < j}
+    got = [(r.a, r.b) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
