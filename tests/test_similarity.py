@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cliploom.operators import dedup
+from cliploom.operators.graph import least_reached
 from cliploom.sources.scratch import shared_folder
 
 
@@ -114,3 +115,29 @@ def test_wide_angles_write_no_copies(spark):
     want = {(i, j) for i, j in np.argwhere(cosine >= 0.4).tolist() if i < j}
     got = [(r.a, r.b) for r in found.collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+@pytest.mark.parametrize(("threshold", "task", "name"), [(0.4, 30, "int"), (0.97, 40, "string"), (0.9999, 15, "int")])
+def test_vector_links(spark, threshold, task, name):
+    """The components of all pairs from edges that are fewer than the vectors, in several parts."""
+    v = planted(260)
+    df = spark.createDataFrame([(i + 100, x.tolist()) for i, x in enumerate(v)], "id int, v array<double>").withColumn("id", F.col("id").cast(name)).repartition(3)
+    links = [(int(r.a) - 100, int(r.b) - 100) for r in dedup.vector_links(df, "id", "v", threshold, block_vectors=7, task_vectors=task).collect()]
+    length = np.linalg.norm(v, axis=1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        cosine = np.floor((v @ v.T) / np.outer(length, length) * 1e6 + 0.5) / 1e6
+    pairs = np.argwhere(np.triu(cosine >= threshold, 1))
+    want = least_reached(*pairs.T, 260)
+    assert len(links) < 260 and (least_reached(*np.array(links).T, 260) == want).all()
+    assert len(links) < len(pairs) / 10 or threshold > 0.4
+    assert len({*want.tolist()}) > 12 or threshold < 0.97
+
+
+def test_vector_links_of_copies_and_of_none(spark):
+    copies = spark.createDataFrame([(i, [1.0, float(i % 3 == 0)]) for i in range(300)] + [(300, [-1.0, 0.0]), (301, [0.0, 0.0]), (302, [float("nan"), 1.0]), (None, [1.0, 0.0])], "id int, v array<double>")
+    links = dedup.vector_links(copies, "id", "v", 0.9, block_vectors=20, task_vectors=40)
+    # 100 and 200 equal vectors, linked as two stars; no other vector has a partner.
+    root = least_reached(*np.array(links.collect()).T, 302)
+    assert links.count() == 298 and root.tolist() == [int(i % 3 > 0) for i in range(300)] + [300, 301]
+    assert dedup.vector_links(copies.where("false"), "id", "v", 0.9).count() == 0
+    assert dedup.vector_links(copies.where("id >= 299"), "id", "v", 0.9).count() == 0
